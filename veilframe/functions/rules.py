@@ -108,8 +108,8 @@ SECRET_RULES = (
     Rule("API_KEY", "openai-key", OPENAI_KEY, 0.98, "critical", hints=("sk-",)),
     Rule("API_KEY", "aws-key", AWS_KEY, 0.98, "critical", hints=("AKIA",)),
     Rule("API_KEY", "github-token", GITHUB_TOKEN, 0.98, "critical", hints=("ghp_", "gho_", "ghu_", "ghs_")),
-    Rule("COOKIE", "cookie", COOKIE, 0.9, "critical", True, folded_hints=("cook",)),
-    Rule("PASSWORD", "password", PASSWORD, 0.9, "critical", True, folded_hints=("passw", "pwd", "secret")),
+    Rule("COOKIE", "cookie", COOKIE, 0.9, "critical", True, folded_hints=("COO",)),
+    Rule("PASSWORD", "password", PASSWORD, 0.9, "critical", True, folded_hints=("PASSW", "PWD", "SECRET")),
 )
 
 PERSONAL_RULES = (
@@ -119,8 +119,8 @@ PERSONAL_RULES = (
     Rule("BANK_CARD", "bank-card", BANK_CARD, 0.72, probe=LONG_NUMBER),
     Rule("USCC", "cn-uscc", USCC, 0.78, probe=r"[0-9A-Z]{18}"),
     Rule("CONTRACT_ID", "contract-id", CONTRACT_ID, 0.86, ignore_case=True, probe=r"[A-Za-zſ]-?\d{4}"),
-    Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("cust-",)),
-    Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("sample-",)),
+    Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("CUST-",)),
+    Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("SAMPLE-",)),
     Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}"),
     Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD")),
     Rule("DATE", "cn-date", DATE, 0.75, probe=r"(?:19|20)\d{2}[年/-]"),

@@ -32,8 +32,9 @@ def text_of(column: str) -> str:
 
 
 def folded(text: str) -> str:
-    """Case-folded text: letters that only fold by way of upper case included."""
-    return f"lower(upper({text}))"
+    """Upper-cased text, which also folds the long s; hints hold no letter (i, k)
+    with a variant that upper-casing leaves alone."""
+    return f"upper({text})"
 
 
 def possible(text: str, rule: Rule) -> str:
