@@ -1,0 +1,205 @@
+import csv
+import io
+import json
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilframe.functions.delimited import flattened_sql
+from veilframe.plans.runs import prepare, scan
+from veilframe.functions.crypto import vault_key
+from veilframe.operators.tokens import empty_vault
+from veilframe.sources.files import extract, read_documents, read_files
+from veilframe.sources.policies import Policy, load_policy
+from veilframe.sources.tables import documents
+from veilframe.sources.terms import read_terms
+
+
+def write(path, data):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(data if isinstance(data, bytes) else data.encode("utf-8"))
+    return str(path)
+
+
+def by_id(docs):
+    return {row["source_id"]: row for row in docs.collect()}
+
+
+def contents(spark, files):
+    return spark.createDataFrame([(path, bytearray(data)) for path, data in files.items()], "path string, content binary")
+
+
+@pytest.fixture()
+def folder(tmp_path):
+    # pytest's folders must not hide the files: no part may start with a dot
+    assert not any(part.startswith(".") for part in tmp_path.parts)
+    return tmp_path
+
+
+def test_text_csv_and_json(spark, folder):
+    write(folder / "a.md", "# 标题\n张三 电话13812345678")
+    write(folder / "b.csv", "name,phone\n李四,13900001111\n")
+    write(folder / "sub/c.json", '{"person": "王五", "email": "user@example.com"}')
+    docs = by_id(read_documents(spark, [str(folder)], str(folder)))
+    assert docs["a.md"]["text"] == "# 标题\n张三 电话13812345678"
+    assert docs["b.csv"]["text"] == "name | phone\n李四 | 13900001111"
+    assert docs["sub/c.json"]["text"] == '{\n  "email": "user@example.com",\n  "person": "王五"\n}'
+    assert {row["status"] for row in docs.values()} == {"ok"}
+    assert docs["b.csv"]["media_type"] == "text/csv"
+
+
+def test_hidden_and_underscore_files(spark, folder):
+    shown = write(folder / "in/_shown.txt", "under")
+    write(folder / "in/_sub/deep.txt", "deep")
+    write(folder / "in/_a=b.txt", "kept by Spark itself")
+    write(folder / "in/_metadata", "too")
+    write(folder / "in/.hidden.txt", "no")
+    write(folder / "in/.git/x.txt", "no")
+    write(folder / "in/__pycache__/x.txt", "no")
+    named = write(folder / "in/.dir/named.md", "yes")
+    also = write(folder / "in/.also.md", "yes")
+    git = write(folder / "in/.git/y.md", "no")
+    docs = by_id(read_documents(spark, [str(folder / "in"), named, also, git, shown, shown], str(folder)))
+    assert sorted(docs) == [
+        "in/.also.md", "in/.dir/named.md", "in/_a=b.txt", "in/_metadata", "in/_shown.txt", "in/_sub/deep.txt",
+    ]
+    assert read_files(spark, [str(folder / "in"), shown]).count() == 4
+    assert docs["in/_shown.txt"]["text"] == "under"
+
+
+def test_a_missing_path_is_an_error(spark, folder):
+    with pytest.raises(Exception):
+        read_documents(spark, [str(folder / "missing.txt")], str(folder)).collect()
+
+
+def test_errors_stay_in_the_table(spark):
+    docs = by_id(
+        extract(
+            contents(
+                spark,
+                {
+                    "/r/a.pages": b"x",
+                    "/r/b.bin": b"x",
+                    "/r/c.json": b'{"a": 1} trailing',
+                    "/r/d.csv": b"\xff\xfe,x",
+                    "/r/e.PDF": b"x",
+                    "/r/f.doc": b"x",
+                    "/r/g.png": b"x",
+                    "/r/noext": b"x",
+                    "/else/h.docx": b"x",
+                },
+            ),
+            "/r",
+        )
+    )
+    codes = {name: row["error_code"] for name, row in docs.items()}
+    assert codes == {
+        "a.pages": "unsupported_format",
+        "b.bin": "unknown_format",
+        "c.json": "extract_failed",
+        "d.csv": "extract_failed",
+        "e.PDF": "pdf_dependency_missing",
+        "f.doc": "doc_dependency_missing",
+        "g.png": "ocr_dependency_missing",
+        "noext": "unknown_format",
+        "h.docx": "unsupported_format",
+    }
+    assert all(row["text"] == "" and row["status"] == "error" and row["error_message"] for row in docs.values())
+
+
+def test_decoding_cascade(spark):
+    docs = by_id(
+        extract(
+            contents(
+                spark,
+                {
+                    "/r/bom.txt": b"\xef\xbb\xbfabc",
+                    "/r/gb.txt": "张三".encode("gb18030"),
+                    "/r/latin.txt": b"caf\xe9",
+                    "/r/ends.txt": b"a\r\nb\rc\n",
+                    "/r/bom.csv": b"\xef\xbb\xbfa,b\r\n",
+                },
+            ),
+            "/r",
+        )
+    )
+    assert docs["bom.txt"]["text"] == "﻿abc"
+    assert docs["gb.txt"]["text"] == "张三"
+    assert docs["latin.txt"]["text"] == "café"
+    assert docs["ends.txt"]["text"] == "a\nb\nc\n"
+    assert docs["bom.csv"]["text"] == "a | b"
+
+
+def test_json_lines_give_a_document_per_line(spark):
+    docs = by_id(extract(contents(spark, {"/r/x.jsonl": b'{"b":1,"a":"\xc3\xa9"}\n\n[1]\nbad\n'}), "/r"))
+    assert docs["x.jsonl:1"]["text"] == json.dumps({"a": "é", "b": 1}, ensure_ascii=False, indent=2)
+    assert docs["x.jsonl:3"]["text"] == "[\n  1\n]"
+    assert docs["x.jsonl:4"]["error_code"] == "extract_failed"
+    assert len(docs) == 3
+
+
+def test_delimited_text_equals_the_csv_module(spark):
+    rng = random.Random(7)
+    parts = ["a", "b b", '"', '""', ",", ",", "\n", "\r\n", "\r", "\t", 'x"y', '"q"', '"a,b"', '"l\nm"', " ", "é😀", "'", "|", "\\"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts += ["", "\n", "a,", "a,b\n", '"open', '"open\n', '"' + '""' * 60000 + '"', '"' + "x" * 131073 + '"']
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(8)
+    for separator, dialect in ((",", "excel"), (r"\t", "excel-tab")):
+        got = {row[0]: row[1] for row in frame.select("n", F.expr(flattened_sql("t", separator))).collect()}
+        for n, text in enumerate(texts):
+            try:
+                rows = csv.reader(io.StringIO(text, newline=""), dialect=dialect)
+                expected = "\n".join(" | ".join(row) for row in rows)
+            except csv.Error:
+                expected = None
+            assert got[n] == expected, repr(text[:80])
+
+
+def test_an_unreadable_file_blocks_a_release_but_not_a_scan(spark, folder):
+    write(folder / "legacy.pages", "binary")
+    write(folder / "ok.txt", "fine")
+    docs = read_documents(spark, [str(folder)], str(folder))
+    assert scan(docs).blocked is False
+    assert prepare(docs, vault_key(spark, b"s" * 32), empty_vault(spark)).blocked is True
+    write(folder / "scan.png", "x")
+    assert scan(read_documents(spark, [str(folder)], str(folder))).blocked is True
+
+
+def test_policies(spark, folder):
+    policy = Policy()
+    assert [policy.action_for(name) for name in ("API_KEY", "PRIVATE_KEY", "PERSON", "EMAIL", "OTHER")] == [
+        "fail", "fail", "tokenize", "mask", "replace",
+    ]
+    path = write(
+        folder / "mine.yaml",
+        "default_action: redact\nfail_on: [MONEY]\nentities:\n  PERSON: mask\n  MONEY: bucket\n"
+        "custom_terms:\n  - source: names.csv\n    entity: PERSON\n  - source: more.csv\n  - entity: X\n",
+    )
+    mine = load_policy(spark, path)
+    assert (mine.name, mine.action_for("PERSON"), mine.action_for("MONEY"), mine.action_for("ORG")) == (
+        "mine", "mask", "fail", "redact",
+    )
+    assert mine.dictionaries == (("names.csv", "PERSON"), ("more.csv", "CUSTOM"))
+    actions = spark.createDataFrame([("PERSON",), ("MONEY",), ("ORG",)], "e string")
+    assert [row[0] for row in actions.select(mine.action_column(F.col("e"))).collect()] == ["mask", "fail", "redact"]
+
+
+def test_dictionary_files(spark, folder):
+    write(folder / "names.csv", b"\xef\xbb\xbfname\n  Ada Lovelace ,x\n\n\"Grace, H\"\nVALUE\nAda Lovelace\n")
+    policy = Policy(dictionaries=(("missing.csv", "ORG"), ("names.csv", "PERSON")))
+    rows = read_terms(spark, policy, str(folder)).orderBy("term_ord").collect()
+    assert [(row["term"], row["entity_type"]) for row in rows] == [
+        ("Ada Lovelace", "PERSON"), ("Grace, H", "PERSON"), ("Ada Lovelace", "PERSON"),
+    ]
+    assert read_terms(spark, Policy(), str(folder)) is None
+
+
+def test_a_policy_without_an_entity_uses_its_default(spark):
+    entities = dict(Policy().entities)
+    del entities["SAMPLE_ID"]
+    docs = documents(spark.createDataFrame([("a", "SAMPLE-20260622-A17")], "id string, t string"), "id", "t")
+    run = prepare(docs, vault_key(spark, b"s" * 32), empty_vault(spark), Policy(entities=entities), prefix="P")
+    assert run.sanitized.first()["text"] == "[P_SAMPLE_ID_REPLACED]"
+    assert os.path.isdir(spark.conf.get("spark.checkpoint.dir"))
