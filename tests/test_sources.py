@@ -65,7 +65,10 @@ def test_hidden_and_underscore_files(spark, folder):
     assert sorted(docs) == [
         "in/.also.md", "in/.dir/named.md", "in/_a=b.txt", "in/_metadata", "in/_shown.txt", "in/_sub/deep.txt",
     ]
-    assert read_files(spark, [str(folder / "in"), shown]).count() == 4
+    again = read_files(spark, [str(folder / "in"), shown]).select("path").collect()
+    assert len({row[0] for row in again}) == len(again) == 4
+    again = read_files(spark, [str(folder / "in/.dir"), named, str(folder / "in/__pycache__/x.txt"), str(folder)]).collect()
+    assert len({row[0] for row in again}) == len(again) == 6
     assert docs["in/_shown.txt"]["text"] == "under"
 
 

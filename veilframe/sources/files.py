@@ -82,15 +82,23 @@ def _plain_path(path: str) -> str:
     return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
 
 
+def _hidden(part: str) -> bool:
+    """Whether a folder scan leaves out files below a part of this name."""
+    return part in SKIPPED_FOLDERS or (part.startswith(".") and part not in (".", ".."))
+
+
 def _without_nested(paths: list[str]) -> list[str]:
-    """Requested paths in order of name, without repeats and without those that
-    a requested folder brings along anyway."""
+    """Requested paths without repeats and without those that a requested
+    folder brings along anyway, so that no file is read twice."""
     kept: list[str] = []
     for path in sorted({_plain_path(path).rstrip("/") or "/" for path in paths}):
-        inner = [path[len(one) :].split("/") for one in kept if path.startswith(one + "/")]
-        if any(not any(part.startswith((".", "_")) for part in parts) for parts in inner):
-            continue
-        kept.append(path)
+        for folder in [one for one in kept if path.startswith(one + "/")]:
+            if any(map(_hidden, folder.split("/"))):
+                kept.remove(folder)  # a folder below a hidden one brings nothing
+            elif not any(map(_hidden, path.split("/"))):
+                break
+        else:
+            kept.append(path)
     return kept
 
 
@@ -135,7 +143,7 @@ def _overlooked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for entry in system.get_file_info(fs.FileSelector(inner, recursive=True)):
                 below = entry.path[len(inner) :].lstrip("/").split("/")
                 if entry.type == fs.FileType.File and any(map(_passed_over, below)):
-                    if any(part.startswith(".") for part in below):
+                    if any(map(_hidden, below)):
                         continue
                     yield pd.DataFrame({"path": [scheme + entry.path], "content": [content(system, entry.path)]})
 
