@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-WORD = r"[\p{L}\p{N}_]"
+WORD = r"[A-Za-z0-9_\p{L}\p{N}]"  # the first part only makes plain text faster
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 DIGIT = r"\p{Nd}"
 SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -44,15 +44,18 @@ DATE = (
 )
 ADDRESS_SUFFIXES = ("省", "市", "区", "县", "镇", "街道", "路", "号楼", "园区", "大厦", "基地")
 COMMON_PERSONS = ("张三", "李四", "王五", "赵六", "陈七", "刘强", "王芳", "李娜", "张伟")
+PERSON_WORDS = ("姓名", "联系人", "负责人", "员工", "代表", "由")
 PERSON_CONTEXT = r"(?:姓名|联系人|负责人|员工|代表|由|甲方代表|乙方代表)[:：\s]*([一-龥]{2,4})"
 ORG_CONTEXT = (
     r"(?:在|代表|来自|客户|供应商|公司|主体)[:：\s]*"
     r"([一-龥A-Za-z0-9（）()]{2,32}(?:科技|公司|集团|大学|医院|实验室|中心|研究院|有限公司))"
 )
+ORG_CONTEXT_ENDINGS = ("科技", "公司", "集团", "大学", "医院", "实验室", "中心", "研究院")
 ORG_GENERIC = (
     r"[一-龥A-Za-z0-9（）()]{2,36}"
     r"(?:科技有限公司|生物科技有限公司|有限公司|研究中心|实验室|研究院|集团|大学|医院)"
 )
+ORG_GENERIC_ENDINGS = ("有限公司", "研究中心", "实验室", "研究院", "集团", "大学", "医院")
 ORG_MARKERS = ("客户为", "给", "向", "合作单位：", "合作单位:", "代表")
 
 ENTITY_PRIORITY = {"PRIVATE_KEY": 100, "API_KEY": 95, "JWT": 90, "PASSWORD": 85, "COOKIE": 80}
@@ -124,14 +127,14 @@ PERSONAL_RULES = (
     Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}"),
     Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD")),
     Rule("DATE", "cn-date", DATE, 0.75, probe=r"(?:19|20)\d{2}[年/-]"),
-    Rule("ADDRESS", "cn-address", ADDRESS_RUN, 0.7, keep="head", keep_pattern=ADDRESS_KEEP, probe=CJK),
+    Rule("ADDRESS", "cn-address", ADDRESS_RUN, 0.7, keep="head", keep_pattern=ADDRESS_KEEP, hints=ADDRESS_SUFFIXES, probe=CJK),
 )
 
 NAME_RULES = (
     Rule("PERSON", "cn-person-common", "", 0.88, terms=COMMON_PERSONS, probe=CJK),
-    Rule("PERSON", "cn-person-context", PERSON_CONTEXT, 0.84, keep="group", probe=CJK),
-    Rule("ORG", "cn-org-context", ORG_CONTEXT, 0.84, keep="group", probe=CJK),
-    Rule("ORG", "cn-org-generic", ORG_GENERIC, 0.8, keep="tail", markers=ORG_MARKERS, probe=CJK),
+    Rule("PERSON", "cn-person-context", PERSON_CONTEXT, 0.84, keep="group", hints=PERSON_WORDS, probe=CJK),
+    Rule("ORG", "cn-org-context", ORG_CONTEXT, 0.84, keep="group", hints=ORG_CONTEXT_ENDINGS, probe=CJK),
+    Rule("ORG", "cn-org-generic", ORG_GENERIC, 0.8, keep="tail", markers=ORG_MARKERS, hints=ORG_GENERIC_ENDINGS, probe=CJK),
 )
 
 # Discovery order of the built-in detectors; dictionary terms come between

@@ -10,7 +10,7 @@ and one parse of it is far cheaper than thousands of calls into the JVM.
 
 from __future__ import annotations
 
-from veilframe.functions.patterns import column_name, sql_regex, sql_string
+from veilframe.functions.patterns import column_name, spark_regex, sql_regex, sql_string
 from veilframe.functions.rules import BUILTIN_RULES, DEFAULT_PRIORITY, ENTITY_PRIORITY, NAME_RULES, Rule
 
 SPAN_FIELDS = (
@@ -37,15 +37,18 @@ def folded(text: str) -> str:
     return f"upper({text})"
 
 
+def has_hint(text: str, rule: Rule) -> str:
+    """Whether the text holds one of the rule's hints; true without any."""
+    hints = [f"contains({text}, {sql_string(hint)})" for hint in rule.hints]
+    hints += [f"contains({folded(text)}, {sql_string(hint)})" for hint in rule.folded_hints]
+    return "(" + " or ".join(hints) + ")" if hints else "true"
+
+
 def possible(text: str, rule: Rule) -> str:
     """False only when the rule cannot match the text."""
-    if rule.hints:
-        return "(" + " or ".join(f"contains({text}, {sql_string(hint)})" for hint in rule.hints) + ")"
-    if rule.folded_hints:
-        return "(" + " or ".join(f"contains({folded(text)}, {sql_string(hint)})" for hint in rule.folded_hints) + ")"
     if rule.probe:
-        return f"({text} rlike {sql_regex(rule.probe)})"
-    return "true"
+        return f"({text} rlike {sql_regex(rule.probe)} and {has_hint(text, rule)})"
+    return has_hint(text, rule)
 
 
 def matches(text: str, rule: Rule) -> str:
@@ -61,19 +64,15 @@ def after_markers(value: str, markers: tuple[str, ...]) -> str:
     return f"case {tests} else {value} end"
 
 
-def _kept(rule: Rule, text: str, hits: str, regex: str) -> str:
-    """The parts of the matches that become spans."""
+def _kept(rule: Rule, groups) -> str:
+    """The parts of the matches ``m.hits`` that become spans."""
     if rule.keep == "group":
-        return f"regexp_extract_all({text}, {regex}, 1)"
+        return groups(3)
     if rule.keep == "head":
-        return f"transform({hits}, h -> regexp_extract(h, {sql_regex(rule.keep_pattern)}, 0))"
+        return f"transform(m.hits, h -> regexp_extract(h, {sql_regex(rule.keep_pattern)}, 0))"
     if rule.keep == "tail":
-        return f"transform({hits}, h -> {after_markers('h', rule.markers)})"
-    return hits
-
-
-def _pieces(rule_id: int, gaps: str, hits: str, kept: str) -> str:
-    return f"named_struct('rule', {rule_id}, 'gaps', {gaps}, 'hits', {hits}, 'kept', {kept})"
+        return f"transform(m.hits, h -> {after_markers('h', rule.markers)})"
+    return "m.hits"
 
 
 def rule_pieces(rule_id: int, rule: Rule, text: str, check: str) -> str:
@@ -81,14 +80,20 @@ def rule_pieces(rule_id: int, rule: Rule, text: str, check: str) -> str:
     without a match.  A built-in name list gives one entry per name found."""
     if rule.terms:
         names = "array(" + ", ".join(sql_string(term) for term in rule.terms) + ")"
-        gaps = rf"split({text}, concat('\\Q', n, '\\E'), -1)"
-        hits = f"array_repeat(n, size({gaps}) - 1)"
-        entries = f"transform(filter({names}, n -> contains({text}, n)), n -> {_pieces(rule_id, gaps, hits, hits)})"
+        parts = rf"transform(filter({names}, n -> contains({text}, n)), n -> named_struct('n', n, 'gaps', split({text}, concat('\\Q', n, '\\E'), -1)))"
+        hits = "array_repeat(m.n, size(m.gaps) - 1)"
+        entries = f"transform({parts}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', {hits}, 'kept', {hits}))"
         return f"if({check}, {entries}, array())"
-    regex = sql_regex(rule.pattern, rule.ignore_case)
-    hits = f"regexp_extract_all({text}, {regex}, 0)"
-    entry = _pieces(rule_id, f"split({text}, {regex}, -1)", hits, _kept(rule, text, hits, regex))
-    return f"if({check} and {matches(text, rule)}, array({entry}), array())"
+    # From the end of the last match (\\G) on, the shortest gap that a match
+    # follows: the same matches as a plain search, and the texts between them.
+    plain = spark_regex(rule.pattern, rule.ignore_case).replace("'", r"\x27")
+
+    def groups(number: int) -> str:
+        return rf"regexp_extract_all({text}, r'(?s)\G(.*?)({plain})', {number})"
+
+    found = f"array(named_struct('gaps', {groups(1)}, 'hits', {groups(2)}))"
+    entries = f"transform({found}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', m.hits, 'kept', {_kept(rule, groups)}))"
+    return f"if({check} and {matches(text, rule)}, {entries}, array())"
 
 
 def offsets_of(piece: str) -> str:

@@ -9,13 +9,24 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import column_name, sql_regex
 from veilframe.functions.rules import BUILTIN_RULES, Rule
-from veilframe.functions.spans import found_sql, matches, possible, text_of
+from veilframe.functions.spans import NO_SPANS, found_sql, has_hint, matches, possible, text_of
 from veilframe.operators.resolve import resolve_sql
 from veilframe.sources.policies import Policy
 
 SPANS = "spans"
 
 
+def evaluated_once(sql: str, empty: str) -> str:
+    """An expression that the optimizer leaves where it is.
+
+    A filter on spans, or the one Spark infers for ``inline``, would otherwise be
+    moved below the detection by repeating the whole detection inside the filter.
+    Naming the task makes the column non-deterministic for the optimizer only:
+    the condition never holds.  Filters on other columns belong before detection.
+    """
+    return f"if(spark_partition_id() < 0, {empty}, {sql})"
+
+
 def _with_checks(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[DataFrame, dict[Rule, str]]:
     """Add one boolean column per cheap check that several rules share.
 
@@ -27,7 +38,7 @@ def _with_checks(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[D
     checks: dict[Rule, str] = {}
     for n, rule in enumerate(rules):
         if rule.probe in shared:
-            checks[rule] = shared[rule.probe]
+            checks[rule] = f"({shared[rule.probe]} and {has_hint(text_of(text), rule)})"
         elif rule.folded_hints:  # all of these share one folding of the text
             added.append(f"{possible(text_of(text), rule)} as _hint_{n}")
             checks[rule] = f"_hint_{n}"
@@ -58,7 +69,7 @@ def found_spans(
     ``terms`` names a column that already holds dictionary spans.
     """
     checked, found = _found(docs, policy, rules, text, terms)
-    return checked.select(*map(F.col, map(column_name, docs.columns)), F.expr(found).alias(output))
+    return checked.select(*map(F.col, map(column_name, docs.columns)), F.expr(evaluated_once(found, NO_SPANS)).alias(output))
 
 
 def detect(
@@ -71,7 +82,7 @@ def detect(
     """Add ``spans``: the accepted, non-overlapping spans in text order."""
     found = found_spans(docs, policy, rules, text, terms, "_found")
     kept = [column_name(name) for name in docs.columns]
-    return found.selectExpr(*kept, f"{resolve_sql('_found')} as {SPANS}")
+    return found.selectExpr(*kept, f"{evaluated_once(resolve_sql('_found'), NO_SPANS)} as {SPANS}")
 
 
 def findings(detected: DataFrame, key: str = "source_id") -> DataFrame:

@@ -16,7 +16,7 @@ from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings
 from veilframe.operators.dictionary import add_term_spans
 from veilframe.operators.redact import document_order, occurrences, redact_with_tokens
-from veilframe.session import staged
+from veilframe.session import spread, staged
 from veilframe.sources.policies import Policy, load_policy
 from veilframe.sources.tables import repeated_ids
 from veilframe.sources.terms import read_terms
@@ -51,6 +51,7 @@ def new_run_id() -> str:
 
 
 def _detected(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...], terms: DataFrame | None) -> DataFrame:
+    docs = spread(docs)
     if terms is None:
         return detect(docs, policy, rules)
     return detect(add_term_spans(docs, terms, policy), policy, rules, terms="_terms").drop("_terms")

@@ -35,3 +35,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/veilframe-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that arrives in fewer partitions than there are
+    cores (one small file, one compressed file).  Detection costs far more than
+    moving such a table; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
