@@ -31,7 +31,7 @@ PARTS = [
     "-x-34", "-12", "-345", "-20261", "Ab1", "x1-y-22", "人民币", "RMB", "¥", "$", "元", "万元", "万", "美元", "USD", "1,234.50", "5",
     "eyJ", "abcdefghijk", "ABCDEFGHIJ_-", "sk-", "proj-", "test_", "live_", "abcdefghijklmnopqrstuvwx", "AKIA", "ABCDEFGHIJKLMNOP", "ghp_",
     "ghs_", "cookie", "Set-Cookie", "cooKie", "COOKİE", "password", "paſſword", "PWD", "secret", "passwd", "hunter2hunter2", "a@b.co",
-    "founder@example.com", "x.y+z@sub-domain.org", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----",
+    "founder@example.com", "\0", "x.y+z@sub-domain.org", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----",
 ]
 
 

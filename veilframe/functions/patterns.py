@@ -15,6 +15,7 @@ BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 DIGIT = r"\p{Nd}"
 SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+_WORD_START = re.compile(r"\\b(?:\(\?:)?[A-Za-z0-9]")
 _CLASS_OR_ESCAPE = re.compile(r"\[(?:\\.|[^\]\\])*\]|\\[bds]")
 
 
@@ -34,7 +35,10 @@ def spark_regex(plain: str, ignore_case: bool = False) -> str:
             part = re.sub(r"A-Z(?!a-z)", "A-Za-z", part)
         return part
 
-    body = _CLASS_OR_ESCAPE.sub(rewrite, plain)
+    start = ""
+    if _WORD_START.match(plain):  # before a word character, a boundary is the end of no word
+        plain, start = plain[2:], f"(?<!{WORD})"
+    body = start + _CLASS_OR_ESCAPE.sub(rewrite, plain)
     return f"(?iu){body}" if ignore_case else body
 
 

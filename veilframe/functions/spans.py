@@ -64,10 +64,10 @@ def after_markers(value: str, markers: tuple[str, ...]) -> str:
     return f"case {tests} else {value} end"
 
 
-def _kept(rule: Rule, groups) -> str:
+def _kept(rule: Rule, regex: str) -> str:
     """The parts of the matches ``m.hits`` that become spans."""
-    if rule.keep == "group":
-        return groups(3)
+    if rule.keep == "group":  # these patterns look at nothing outside their match
+        return f"transform(m.hits, h -> regexp_extract(h, {regex}, 1))"
     if rule.keep == "head":
         return f"transform(m.hits, h -> regexp_extract(h, {sql_regex(rule.keep_pattern)}, 0))"
     if rule.keep == "tail":
@@ -75,25 +75,41 @@ def _kept(rule: Rule, groups) -> str:
     return "m.hits"
 
 
-def rule_pieces(rule_id: int, rule: Rule, text: str, check: str) -> str:
+def has_nul(text: str) -> str:
+    return f"contains({text}, '\\0')"
+
+
+def _split_at_matches(text: str, rule: Rule, nul: str) -> str:
+    """The matches and the gaps before and after them, in at most one entry.
+
+    One search marks the matches with a character that the text does not hold
+    and a split at that character gives both.  The rare text with the character
+    is searched twice instead: from the end of the last match (``\\G``) the
+    shortest gap that a match follows, once for the gaps, once for the matches.
+    """
+    regex = sql_regex(rule.pattern, rule.ignore_case)
+    plain = spark_regex(rule.pattern, rule.ignore_case).replace("'", r"\x27")
+    marked = f"""transform(
+        filter(array(split(regexp_replace({text}, {regex}, '\\0$0\\0'), '\\0', -1)), a -> size(a) > 1),
+        a -> named_struct('gaps', filter(a, (x, i) -> i % 2 = 0), 'hits', filter(a, (x, i) -> i % 2 = 1)))"""
+    gaps, hits = (rf"regexp_extract_all({text}, r'(?s)\G(.*?)({plain})', {group})" for group in (1, 2))
+    return f"if({nul}, array(named_struct('gaps', {gaps}, 'hits', {hits})), {marked})"
+
+
+def rule_pieces(rule_id: int, rule: Rule, text: str, check: str, nul: str) -> str:
     """An array with the matches of one rule and the texts between them, empty
     without a match.  A built-in name list gives one entry per name found."""
     if rule.terms:
         names = "array(" + ", ".join(sql_string(term) for term in rule.terms) + ")"
-        parts = rf"transform(filter({names}, n -> contains({text}, n)), n -> named_struct('n', n, 'gaps', split({text}, concat('\\Q', n, '\\E'), -1)))"
-        hits = "array_repeat(m.n, size(m.gaps) - 1)"
-        entries = f"transform({parts}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', {hits}, 'kept', {hits}))"
-        return f"if({check}, {entries}, array())"
-    # From the end of the last match (\\G) on, the shortest gap that a match
-    # follows: the same matches as a plain search, and the texts between them.
-    plain = spark_regex(rule.pattern, rule.ignore_case).replace("'", r"\x27")
-
-    def groups(number: int) -> str:
-        return rf"regexp_extract_all({text}, r'(?s)\G(.*?)({plain})', {number})"
-
-    found = f"array(named_struct('gaps', {groups(1)}, 'hits', {groups(2)}))"
-    entries = f"transform({found}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', m.hits, 'kept', {_kept(rule, groups)}))"
-    return f"if({check} and {matches(text, rule)}, {entries}, array())"
+        gaps = rf"split({text}, concat('\\Q', n, '\\E'), -1)"
+        parts = f"transform(filter({names}, n -> contains({text}, n)), n -> named_struct('n', n, 'gaps', {gaps}))"
+        found = f"transform({parts}, p -> named_struct('gaps', p.gaps, 'hits', array_repeat(p.n, size(p.gaps) - 1)))"
+        kept = "m.hits"
+    else:
+        found = _split_at_matches(text, rule, nul)
+        kept = _kept(rule, sql_regex(rule.pattern, rule.ignore_case))
+    entries = f"transform({found}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', m.hits, 'kept', {kept}))"
+    return f"if({check}, {entries}, array())"
 
 
 def offsets_of(piece: str) -> str:
@@ -118,11 +134,14 @@ def offsets_of(piece: str) -> str:
         acc -> acc.spans)"""
 
 
-def found_sql(text: str, rules: tuple[Rule, ...], checks: dict[Rule, str], actions: dict[str, str]) -> str:
+def found_sql(
+    text: str, rules: tuple[Rule, ...], checks: dict[Rule, str], actions: dict[str, str], nul: str | None = None
+) -> str:
     """All spans of the rules, in discovery order, overlapping ones too."""
+    nul = nul or has_nul(text)
     if not rules:
         return NO_SPANS
-    pieces = ",\n".join(rule_pieces(n, rule, text, checks[rule]) for n, rule in enumerate(rules))
+    pieces = ",\n".join(rule_pieces(n, rule, text, checks[rule], nul) for n, rule in enumerate(rules))
     heads = [str(n) for n, rule in enumerate(rules) if rule.keep == "head"]
     head = f"r.rule in ({', '.join(heads)})" if heads else "false"
     about = ",\n".join(

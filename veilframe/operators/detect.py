@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import column_name, sql_regex
 from veilframe.functions.rules import BUILTIN_RULES, Rule
-from veilframe.functions.spans import NO_SPANS, found_sql, has_hint, matches, possible, text_of
+from veilframe.functions.spans import NO_SPANS, found_sql, has_hint, has_nul, matches, possible, text_of
 from veilframe.operators.resolve import resolve_sql
 from veilframe.sources.policies import Policy
 
@@ -34,7 +34,8 @@ def _with_checks(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[D
     """
     uses = Counter(rule.probe for rule in rules if rule.probe)
     shared = {probe: f"_probe_{n}" for n, probe in enumerate(uses) if uses[probe] > 1}
-    added = [f"{text_of(text)} rlike {sql_regex(probe)} as {name}" for probe, name in shared.items()]
+    added = [f"{has_nul(text_of(text))} as _nul"]
+    added += [f"{text_of(text)} rlike {sql_regex(probe)} as {name}" for probe, name in shared.items()]
     checks: dict[Rule, str] = {}
     for n, rule in enumerate(rules):
         if rule.probe in shared:
@@ -50,7 +51,7 @@ def _with_checks(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[D
 def _found(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...], text: str, terms: str | None):
     checked, checks = _with_checks(docs, rules, text)
     actions = {rule.entity: policy.action_for(rule.entity) for rule in rules}
-    found = found_sql(text_of(text), rules, checks, actions)
+    found = found_sql(text_of(text), rules, checks, actions, "_nul")
     if terms:
         found = f"concat({found}, coalesce({column_name(terms)}, array()))"
     return checked, found

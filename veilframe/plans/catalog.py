@@ -164,7 +164,7 @@ def resolve_overlaps(spark, sf_dir):
             'priority', cast({priority} as int), 'place', {n}, 'detector', 'd', 'risk', 'medium', 'value', '')"""
         for n, (start, length, confidence, fails, priority) in enumerate(OVERLAPS)
     )
-    lines = table(spark, sf_dir, "lineitem").selectExpr(
+    lines = spread(table(spark, sf_dir, "lineitem")).selectExpr(
         f"{LINE_KEY} as source_id", f"cast(array({spans}) as {SPANS_TYPE}) as found"
     )
     resolved = lines.selectExpr("source_id", f"{resolve_sql('found')} as spans")
