@@ -75,9 +75,10 @@ def splice_sql(text: str, spans: str, replacements: str) -> str:
             f"{end} div {CHUNK} - {start} div {CHUNK} + 1), ''), {start} % {CHUNK} + 1, {end} - {start})"
         )
 
-    before = "if(i = 0, 0, " + f"{spans}[i - 1].end)"
-    body = f"""transform({spans}, (s, i) -> concat(
-        transform(array(cast({before} as int)), p -> {piece('p', 's.start')})[0], {replacements}[i]))"""
+    before = f"if(i = 0, 0, {spans}[i - 1].end)"
+    pairs = f"zip_with({spans}, {replacements}, (s, put) -> named_struct('s', s, 'put', put))"
+    body = f"""transform({pairs}, (p, i) -> concat(
+        transform(array(cast({before} as int)), b -> {piece('b', 'p.s.start')})[0], p.put))"""
     tail = f"""transform(array(cast({spans}[size({spans}) - 1].end as int)),
         p -> {piece('p', f'length({text})')})[0]"""
     return f"""if(size({spans}) = 0, {text}, transform(

@@ -9,24 +9,13 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import column_name, sql_regex
 from veilframe.functions.rules import BUILTIN_RULES, Rule
-from veilframe.functions.spans import NO_SPANS, found_sql, has_hint, has_nul, matches, possible, text_of
+from veilframe.functions.spans import NO_SPANS, evaluated_once, found_sql, has_hint, has_nul, matches, possible, text_of
 from veilframe.operators.resolve import resolve_sql
 from veilframe.sources.policies import Policy
 
 SPANS = "spans"
 
 
-def evaluated_once(sql: str, empty: str) -> str:
-    """An expression that the optimizer leaves where it is.
-
-    A filter on spans, or the one Spark infers for ``inline``, would otherwise be
-    moved below the detection by repeating the whole detection inside the filter.
-    Naming the task makes the column non-deterministic for the optimizer only:
-    the condition never holds.  Filters on other columns belong before detection.
-    """
-    return f"if(spark_partition_id() < 0, {empty}, {sql})"
-
-
 def _with_checks(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[DataFrame, dict[Rule, str]]:
     """Add one boolean column per cheap check that several rules share.
 

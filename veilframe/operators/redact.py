@@ -45,33 +45,27 @@ def redact_with_tokens(
     """Replace ``text``, taking tokens from ``tokens(entity_type, value, token, uses)``.
 
     Documents without a span to tokenize never leave their partition.  For the
-    others the spans alone go to the tokens and back; the text is shuffled once,
-    when the finished replacements come home to their documents.
+    others the spans to tokenize go to the tokens and back; the text is shuffled
+    once, when the tokens come home to their documents.
     """
     needs = F.expr("exists(spans, s -> s.action = 'tokenize')")
     plain = redact(detected.where(~needs), prefix, text)
     marked = detected.where(needs)
 
-    spans = marked.select(F.col(key), F.posexplode(F.expr(_OPEN)).alias("pos", "s"))
-    fixed = spans.where("s.action != 'tokenize'").select(
-        key, "pos", F.expr(placeholder_sql("s", prefix)).alias("replacement")
-    )
+    spans = marked.select(F.col(key), F.posexplode(F.expr(_OPEN)).alias("pos", "s")).where("s.action = 'tokenize'")
     looked_up = join_skewed(
-        spans.where("s.action = 'tokenize'").select(key, "pos", "s.entity_type", "s.value"),
-        tokens,
-        ["entity_type", "value"],
-        "uses",
-    ).select(key, "pos", F.col("token").alias("replacement"))
-    replacements = (
-        fixed.unionByName(looked_up)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "replacement"))).alias("_replacements"))
+        spans.select(key, "pos", "s.entity_type", "s.value"), tokens, ["entity_type", "value"], "uses", [key, "pos"]
     )
+    found = looked_up.groupBy(key).agg(F.collect_list(F.struct("pos", F.col("token").alias("put"))).alias("_tokens"))
     others = [column_name(name) for name in detected.columns if name != text]
-    spliced = splice_sql(text_of(text), "_open", "_replacements.replacement")
+    fixed = f"""filter(
+        transform(_open, (s, i) -> named_struct(
+            'pos', i, 'put', if(s.action = 'tokenize', null, {placeholder_sql('s', prefix)}))),
+        p -> p.put is not null)"""
     tokenized = (
-        marked.join(replacements, key)
+        marked.join(found, key)
         .selectExpr("*", f"{_OPEN} as _open")
-        .selectExpr(*others, f"{spliced} as {column_name(text)}")
+        .selectExpr("*", f"sort_array(concat({fixed}, _tokens)).put as _puts")
+        .selectExpr(*others, f"{splice_sql(text_of(text), '_open', '_puts')} as {column_name(text)}")
     )
     return plain.unionByName(tokenized)

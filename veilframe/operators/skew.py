@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than 1/HOT_SHARE of all uses, so there are
 # fewer than HOT_SHARE hot keys whatever the data: a bound for the broadcast.
 HOT_SHARE = 1000
+SALTS = 64
 
 
-def join_skewed(rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str) -> DataFrame:
+def join_skewed(rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str, spread_by: list[str]) -> DataFrame:
     """Inner join ``rows`` to ``lookup`` (one row per key) on ``keys``.
 
-    ``uses`` counts the rows of each key.  The hot keys, bounded in number, are
-    broadcast and their rows stay where they are; only the rest is shuffled.
+    ``uses`` counts the rows of each key.  Rows of a hot key are spread over
+    ``SALTS`` parts by a hash of ``spread_by``, to each of which the key's
+    lookup row is copied; all other keys have a single part.
     """
     total = lookup.agg(F.sum(uses).alias("total")).scalar()
-    hot = lookup.where(F.col(uses) * HOT_SHARE > total)
-    cold = lookup.where(F.col(uses) * HOT_SHARE <= total)
-    by_hot = rows.join(F.broadcast(hot), keys)
-    by_cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    return by_hot.unionByName(by_cold)
+    is_hot = F.col(uses) * HOT_SHARE > total
+    hot = lookup.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = lookup.withColumn("_salt", F.explode(salts))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt", "_hot")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.crypto import identity, vault_key
 from veilframe.functions.rules import rules_for, rules_named
-from veilframe.functions.spans import SPANS_TYPE
+from veilframe.functions.spans import NO_SPANS, SPANS_TYPE, evaluated_once
 from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings, has_fail
 from veilframe.operators.dictionary import term_findings, with_term_spans
@@ -165,9 +165,9 @@ def resolve_overlaps(spark, sf_dir):
         for n, (start, length, confidence, fails, priority) in enumerate(OVERLAPS)
     )
     lines = spread(table(spark, sf_dir, "lineitem")).selectExpr(
-        f"{LINE_KEY} as source_id", f"cast(array({spans}) as {SPANS_TYPE}) as found"
+        f"{LINE_KEY} as source_id", f"{evaluated_once(f'cast(array({spans}) as {SPANS_TYPE})', NO_SPANS)} as found"
     )
-    resolved = lines.selectExpr("source_id", f"{resolve_sql('found')} as spans")
+    resolved = lines.selectExpr("source_id", f"{evaluated_once(resolve_sql('found'), NO_SPANS)} as spans")
     return resolved.select("source_id", F.inline("spans")).select(
         "source_id", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"),
         "entity_type", "action",
