@@ -19,6 +19,7 @@ SPAN_FIELDS = (
 )
 SPAN_TYPE = "struct<" + SPAN_FIELDS.replace(" ", ":").replace(",:", ",") + ">"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
+BLOCK = 256
 NO_SPANS = f"cast(array() as {SPANS_TYPE})"
 
 # Place of a detector in discovery order, the last tie-break of overlaps;
@@ -123,19 +124,35 @@ def rule_pieces(rule_id: int, rule: Rule, text: str, check: str, nul: str) -> st
     return f"if({check}, {entries}, array())"
 
 
-def offsets_of(piece: str) -> str:
+def blocks_of(array: str) -> str:
+    """An array (by name) cut into blocks.
+
+    A fold that grows an array copies it in every step.  Folding block by block,
+    with a fold over the blocks for what they hand on, keeps the work in line
+    with the number of elements also where a document has very many.
+    """
+    return f"transform(sequence(0, greatest(size({array}) - 1, 0) div {BLOCK}), b -> slice({array}, b * {BLOCK} + 1, {BLOCK}))"
+
+
+def offsets_of(piece: str, head: str) -> str:
     """The spans of one entry: running lengths of gaps and matches give the
-    offsets.  A part cut at its head ends early, any other ends its match."""
-    return f"""aggregate(
-        filter(
-            zip_with(arrays_zip({piece}.hits, {piece}.kept), {piece}.gaps,
-                (p, gap) -> named_struct('gap', gap, 'hit', p.hits, 'kept', p.kept)),
-            p -> p.hit is not null),
-        named_struct('pos', 0, 'spans', cast(array() as array<struct<start:int,end:int,rule:int,value:string>>)),
+    offsets.  A part cut at its ``head`` ends early, any other ends its match."""
+    pairs = f"""filter(
+        zip_with(arrays_zip({piece}.hits, {piece}.kept), {piece}.gaps,
+            (p, gap) -> named_struct('gap', gap, 'hit', p.hits, 'kept', p.kept)),
+        p -> p.hit is not null)"""
+    starts = """aggregate(bs, named_struct('pos', 0, 'out', cast(array() as array<int>)),
+        (acc, blk) -> named_struct(
+            'pos', acc.pos + aggregate(blk, 0, (n, p) -> n + length(p.gap) + length(p.hit)),
+            'out', concat(acc.out, array(acc.pos))),
+        acc -> acc.out)"""
+    spans = f"""aggregate(
+        blk,
+        named_struct('pos', pos, 'spans', cast(array() as array<struct<start:int,end:int,rule:int,value:string>>)),
         (acc, p) -> named_struct(
             'pos', acc.pos + length(p.gap) + length(p.hit),
             'spans', if(p.kept = '', acc.spans, concat(acc.spans, array(
-                if({{head}},
+                if({head},
                     named_struct(
                         'start', acc.pos + length(p.gap),
                         'end', acc.pos + length(p.gap) + length(p.kept), 'rule', {piece}.rule, 'value', p.kept),
@@ -143,6 +160,8 @@ def offsets_of(piece: str) -> str:
                         'start', acc.pos + length(p.gap) + length(p.hit) - length(p.kept),
                         'end', acc.pos + length(p.gap) + length(p.hit), 'rule', {piece}.rule, 'value', p.kept)))))),
         acc -> acc.spans)"""
+    return f"""transform(array({pairs}), ps -> transform(array({blocks_of('ps')}), bs ->
+        flatten(zip_with(bs, {starts}, (blk, pos) -> {spans})))[0])[0]"""
 
 
 def found_sql(
@@ -162,7 +181,7 @@ def found_sql(
         f"'detector', {sql_string(rule.detector)}, 'risk', {sql_string(rule.risk)})"
         for n, rule in enumerate(rules)
     )
-    offsets = offsets_of("r").format(head=head)
+    offsets = offsets_of("r", head)
     return f"""transform(
         transform(
             flatten(transform(concat({pieces}), r -> {offsets})),

@@ -24,7 +24,7 @@ def redact(detected: DataFrame, prefix: str = DEFAULT_PREFIX, text: str = "text"
 
 def document_order() -> Column:
     """Documents in path order, folder by folder; rows of tables by their id."""
-    return F.translate(F.coalesce("path", "source_id"), "/", "\0")
+    return F.replace(F.coalesce("path", "source_id"), F.lit("/"), F.lit("\0"))
 
 
 def occurrences(detected: DataFrame, order: Column | str = "source_id", key: str = "source_id") -> DataFrame:

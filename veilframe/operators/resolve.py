@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.functions.spans import NO_SPANS, SPAN_TYPE
-
-_ENTRY = f"struct<start:int,end:int,found:int,span:{SPAN_TYPE}>"
-
+from veilframe.functions.spans import NO_SPANS, blocks_of
 
 def _greedy(cluster: str) -> str:
     """Accept the spans of a cluster best first, each unless it overlaps one
@@ -22,23 +19,25 @@ def _greedy(cluster: str) -> str:
 
 
 def _clustered(spans: str) -> str:
-    """The choice among overlapping spans: one pass in start order cuts them into
-    clusters that do not touch each other, and the greedy choice looks at one
-    cluster at a time.  The result equals the choice over the whole document,
-    because spans of different clusters never overlap."""
+    """The choice among overlapping spans.  In start order, a span that starts
+    where all earlier ones have ended opens a cluster, and the greedy choice
+    looks at one cluster at a time.  The result equals the choice over the whole
+    document, because spans of different clusters never overlap."""
     ordered = f"""sort_array(filter(
         transform({spans}, (s, i) -> named_struct('start', s.start, 'end', s.end, 'found', i, 'span', s)),
         s -> s.end > s.start))"""
-    clusters = f"""aggregate(
-        {ordered},
-        named_struct('reach', 0, 'cluster', cast(array() as array<{_ENTRY}>),
-            'done', cast(array() as array<array<{_ENTRY}>>)),
-        (acc, s) -> named_struct(
-            'reach', greatest(acc.reach, s.end),
-            'cluster', if(s.start >= acc.reach, array(s), concat(acc.cluster, array(s))),
-            'done', if(s.start >= acc.reach, concat(acc.done, array(acc.cluster)), acc.done)),
-        acc -> concat(acc.done, array(acc.cluster)))"""
-    return f"flatten(transform(filter({clusters}, c -> size(c) > 0), c -> {_greedy('c')}))"
+    # How far the earlier spans reach: over whole blocks, then inside each block.
+    reach_of_blocks = """aggregate(bs, named_struct('reach', 0, 'out', cast(array() as array<int>)),
+        (acc, blk) -> named_struct('reach', greatest(acc.reach, array_max(blk.end)), 'out', concat(acc.out, array(acc.reach))),
+        acc -> acc.out)"""
+    reach = f"""transform(array({blocks_of('es')}), bs -> flatten(zip_with(bs, {reach_of_blocks},
+        (blk, before) -> aggregate(blk, named_struct('reach', before, 'out', cast(array() as array<int>)),
+            (acc, e) -> named_struct('reach', greatest(acc.reach, e.end), 'out', concat(acc.out, array(acc.reach))),
+            acc -> acc.out))))[0]"""
+    heads = "filter(transform(es, (e, i) -> if(e.start >= rs[i], i, null)), i -> i is not null)"
+    clusters = "transform(hs, (h, j) -> slice(es, h + 1, coalesce(get(hs, j + 1), size(es)) - h))"
+    return f"""transform(array({ordered}), es -> transform(array({reach}), rs -> transform(array({heads}), hs ->
+        flatten(transform({clusters}, c -> {_greedy('c')})))[0])[0])[0]"""
 
 
 def resolve_sql(spans: str) -> str:
