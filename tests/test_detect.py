@@ -115,6 +115,16 @@ def test_many_spans_in_one_document(spark):
     assert [s[:2] for s in found] == [(12 * n, 12 * n + 11) for n in range(5000)]
 
 
+def test_very_many_overlapping_spans_in_one_document(spark):
+    # contract codes hold project codes and dates; every contract wins its place
+    text = " ".join(f"HT-2026-{n % 9000 + 1000}, 2026-06-{n % 28 + 1:02d}" for n in range(30000))
+    found = spark_spans(detect(frame(spark, [text]), Policy()))["0"]
+    assert [s[:3] for s in found[:2]] == [(0, 12, "CONTRACT_ID"), (14, 24, "DATE")]
+    assert [(s[0], s[1]) for s in found] == [
+        place for n in range(30000) for place in ((25 * n, 25 * n + 12), (25 * n + 14, 25 * n + 24))
+    ]
+
+
 def test_rules_can_be_chosen(spark):
     detected = detect(frame(spark, [FIRST]), Policy(), rules_named("email", "cn-phone"))
     assert {row["entity_type"] for row in findings(detected).collect()} == {"EMAIL", "PHONE"}
