@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.rules import DICTIONARY_CONFIDENCE, DICTIONARY_DETECTOR
 from veilframe.functions.spans import DICTIONARY_PLACE, SPANS_TYPE, priority_sql, text_of
+from veilframe.operators.skew import SALTS
 from veilframe.sources.policies import Policy
 
 # Term lists up to this many characters travel to every task.
@@ -138,9 +139,14 @@ def term_findings(docs: DataFrame, terms: DataFrame, text: str = "text", key: st
     places = pieces.select(
         key, "piece_no", F.posexplode(F.slice(windows, 1, PIECE)).alias("pos", "window")
     ).select(key, (F.col("piece_no") * PIECE + F.col("pos")).alias("start"), "window")
-    places = places.withColumn("_head", F.substring("window", 1, low))
-    listed = terms.withColumn("_head", F.substring("term", 1, low))
-    hits = places.join(listed, "_head").where(F.expr("startswith(window, term)"))
+    # The positions with one popular start may be a good part of all: spread them
+    # over salted copies of the terms, which are few beside the positions.
+    salt = F.pmod(F.xxhash64(key, "start"), F.lit(SALTS)).cast("int")
+    places = places.withColumn("_head", F.substring("window", 1, low)).withColumn("_salt", salt)
+    listed = terms.withColumn("_head", F.substring("term", 1, low)).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    hits = places.join(listed, ["_head", "_salt"]).where(F.expr("startswith(window, term)"))
     hits = hits.select(
         key, "start", (F.col("start") + F.length("term")).cast("int").alias("end"), "term_ord", "entity_type", F.col("term").alias("value")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,12 @@ from veilframe.operators.redact import occurrences, redact, redact_with_tokens
 from veilframe.operators.resolve import resolve_sql
 from veilframe.plans import runs
 from veilframe.plans.carriers import CARRIERS, CUST_CODE, NOTE, padded
-from veilframe.session import spread, staged
+from veilframe.session import shared_folder, spread, staged
 from veilframe.sources import files
 from veilframe.sources.policies import Policy
 from veilframe.sources.tables import documents
+from veilframe.sources.terms import read_terms
+from veilframe.sources.vaults import VaultFolder
 
 Query = Callable[[SparkSession, str], DataFrame]
 POLICY = Policy()
@@ -108,7 +111,7 @@ def _terms(rows: DataFrame, column: str, entity: str) -> DataFrame:
 
 def _ordered_by(spark, sf_dir) -> DataFrame:
     """A sentence per order that names its customer."""
-    named = table(spark, sf_dir, "orders").join(
+    named = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).join(
         table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.expr("o_custkey = c_custkey")
     )
     text = "concat('Order of ', c_name, ', status ', o_orderstatus)"
@@ -133,7 +136,7 @@ def dictionary_join(spark, sf_dir):
 def dictionary_products(spark, sf_dir):
     """Product names in a text per line item, before overlaps are settled."""
     parts = table(spark, sf_dir, "part")
-    lines = table(spark, sf_dir, "lineitem").join(parts.select("p_partkey", "p_name", "p_type"), F.expr("l_partkey = p_partkey"))
+    lines = spread(table(spark, sf_dir, "lineitem")).join(parts.select("p_partkey", "p_name", "p_type"), F.expr("l_partkey = p_partkey"))
     docs = documents(lines, F.expr(LINE_KEY), F.expr("concat('ship ', p_name, ' (', p_type, '), spare ', p_name)"))
     docs = with_term_spans(docs, _terms(parts, "p_name", "PROJECT"), POLICY)
     found = docs.select(F.inline("_terms"))
@@ -369,7 +372,8 @@ def _as_files(spark, sf_dir) -> DataFrame:
     """Documents as file contents; their language picks the kind of file."""
     path = "concat('/data/', source, '/', doc_id, case lang when 'en' then '.md' when 'fr' then '.TXT' when 'de' then '.pdf' else '.bin' end)"
     content = "encode(replace(text, chr(10), concat(chr(13), chr(10))), 'UTF-8')"
-    return table(spark, sf_dir, "documents").selectExpr(f"{path} as path", f"{content} as content")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return rows.selectExpr(f"{path} as path", f"{content} as content")
 
 
 def _classified_documents(spark, sf_dir) -> DataFrame:
@@ -409,6 +413,57 @@ def read_written_files(spark, sf_dir):
     return lines.where("line != ''")
 
 
+# --- sinks and stores, written to the shared folder and read back ------------
+
+
+def _target(spark, label: str) -> str:
+    return f"{shared_folder(spark)}/veilframe-{label}-{uuid.uuid4().hex}"
+
+
+def written_documents(spark, sf_dir):
+    target = _target(spark, "documents")
+    audit.write_documents(redact(detect(_documents(spark, sf_dir), POLICY)), target, "run-1")
+    return spark.read.parquet(target).select("source_id", "output_name", "text", "run_id")
+
+
+def written_bundle(spark, sf_dir):
+    """Lines of the written bundle and how often each occurs."""
+    target = _target(spark, "bundle")
+    audit.write_bundle(redact(detect(_documents(spark, sf_dir), POLICY)), target)
+    lines = spark.read.option("lineSep", "\n").text(f"{target}/part=*")
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def written_report(spark, sf_dir):
+    target = _target(spark, "report")
+    runs.scan(_documents(spark, sf_dir), run_id="run-1").write_report(target)
+    schema = "entity_type string, action string, source_id string, start bigint, end bigint, confidence double, risk string"
+    return spark.read.schema(schema).json(f"{target}/run-1/findings").select(
+        "entity_type", "action", "source_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "confidence", "risk"
+    )
+
+
+def vault_folder(spark, sf_dir):
+    """Two committed runs, opened again from the folder."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"))
+    folder = VaultFolder(spark, _target(spark, "vault"))
+    for run_id, rows in (("run-1", orders.where("o_orderstatus = 'F'")), ("run-2", orders)):
+        state = folder.load()
+        docs = documents(rows, F.expr(padded("o_orderkey")), F.expr(f"concat('编号', {CUST_CODE}, '。')"))
+        folder.append(state, _assigned(spark, sf_dir, detect(docs, POLICY), state, run_id))
+    key = vault_key(spark, SECRET)
+    value = tokens.decrypt(F.col("value_enc"), F.col("identity"), key)
+    return folder.load().token_map.select("token", value.alias("value"))
+
+
+def terms_from_files(spark, sf_dir):
+    """Product names written as a term list and read by a policy."""
+    target = _target(spark, "terms")
+    table(spark, sf_dir, "part").select(F.concat(F.lit("  "), "p_name").alias("name")).distinct().write.csv(target, header=True)
+    policy = Policy(dictionaries=((target, "PROJECT"),))
+    return read_terms(spark, policy).select("term", "entity_type")
+
+
 def queries() -> dict[str, Query]:
     named = {f"detect_{name}": _carrier_query(name) for name in CARRIERS}
     listed = (
@@ -417,7 +472,8 @@ def queries() -> dict[str, Query]:
         assign_tokens_again, run_membership, purge_first_run, rekey_vault, vault_status, keyed_identity, tokenize_notes,
         prepare_notes, restore_notes, gate_documents, gate_texts, gate_run, second_pass, report_findings, report_summary,
         counts_by_action, grouped_counts, findings_per_document, document_results, bundle_sections, extract_text_files,
-        content_hash, json_canonical, delimited_flatten, read_written_files,
+        content_hash, json_canonical, delimited_flatten, read_written_files, written_documents, written_bundle, written_report,
+        vault_folder, terms_from_files,
     )
     named.update({query.__name__: query for query in listed})
     named["bucket_money"] = _redacted_carrier("money")

@@ -16,7 +16,7 @@ from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings
 from veilframe.operators.dictionary import add_term_spans
 from veilframe.operators.redact import document_order, occurrences, redact_with_tokens
-from veilframe.session import spread, staged
+from veilframe.session import staged
 from veilframe.sources.policies import Policy, load_policy
 from veilframe.sources.tables import repeated_ids
 from veilframe.sources.terms import read_terms
@@ -51,7 +51,6 @@ def new_run_id() -> str:
 
 
 def _detected(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...], terms: DataFrame | None) -> DataFrame:
-    docs = spread(docs)
     if terms is None:
         return detect(docs, policy, rules)
     return detect(add_term_spans(docs, terms, policy), policy, rules, terms="_terms").drop("_terms")
@@ -100,6 +99,7 @@ def prepare(
     policy: str | dict | Policy = "strict-ai",
     run_id: str | None = None,
     output: str | None = None,
+    bundle: bool = True,
     terms: DataFrame | None = None,
     rules: tuple[Rule, ...] = BUILTIN_RULES,
     prefix: str = DEFAULT_PREFIX,
@@ -109,8 +109,9 @@ def prepare(
 
     A fail finding, an unreadable document or a leak found by the second pass
     blocks the run: no text is written and the vault stays as it is.  Otherwise
-    the sanitized texts and the bundle go to ``output`` and the new tokens into
-    the vault folder.
+    the sanitized texts go to ``output`` and the new tokens into the vault folder.
+    ``bundle`` also writes the texts as one ordered bundle, for which they have to
+    be sorted by source id.
     """
     spark = docs.sparkSession
     policy = load_policy(spark, policy)
@@ -137,7 +138,8 @@ def prepare(
     name = None
     if output:
         audit.write_documents(sanitized, f"{output}/documents", run_id)
-        audit.write_bundle(sanitized, f"{output}/bundle/run_id={run_id}")
+        if bundle:
+            audit.write_bundle(sanitized, f"{output}/bundle/run_id={run_id}")
         name = F.concat(F.lit(f"{output}/documents/run_id={run_id}#"), audit.output_name(F.col("source_id")))
     if isinstance(vault, VaultFolder):
         vault.append(state, assignment)

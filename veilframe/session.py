@@ -38,8 +38,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that arrives in fewer partitions than there are
-    cores (one small file, one compressed file).  Detection costs far more than
-    moving such a table; a table of many files stays as it is."""
+    """Use all cores for a scanned table that arrives in fewer partitions than
+    there are cores (one small file, one compressed file).  Detection costs far
+    more than moving such a table; a table of many files stays as it is.
+
+    For tables straight from a source: counting the partitions of a query with
+    shuffles would run them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
