@@ -197,6 +197,8 @@ def test_dictionary_files(spark, folder):
         ("Ada Lovelace", "PERSON"), ("Grace, H", "PERSON"), ("Ada Lovelace", "PERSON"),
     ]
     assert read_terms(spark, Policy(), str(folder)) is None
+    with pytest.raises(ValueError):
+        read_terms(spark, Policy(dictionaries=(("_names.csv", "PERSON"),)), str(folder))
 
 
 def test_a_policy_without_an_entity_uses_its_default(spark):

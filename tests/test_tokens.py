@@ -129,6 +129,17 @@ def test_folder_keeps_tokens_over_runs_purge_and_rekey(spark, key, tmp_path):
         assert b"Edsger" not in path.read_bytes()
 
 
+def test_commits_of_the_same_version_are_noticed(spark, key, tmp_path):
+    folder = VaultFolder(spark, str(tmp_path / "vault"))
+    first = folder.load()
+    folder.append(first, assign_tokens(places(spark, FIRST), first, key, "run-1"))
+    spark.createDataFrame([(1, 1, "other")], "version int, base int, folder string").write.mode("append").parquet(
+        str(tmp_path / "vault/commits")
+    )
+    with pytest.raises(VaultChanged):
+        folder.load()
+
+
 def test_restore_takes_one_pass_and_counts(spark, key):
     rows = FIRST + [("z", "z", 0, "ORG", "see [VEIL_ORG_0001] there")]
     vault = with_assignment(empty_vault(spark), assign_tokens(places(spark, rows), empty_vault(spark), key, "run-1"))

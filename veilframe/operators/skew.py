@@ -11,16 +11,20 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
-def join_skewed(rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str, spread_by: list[str]) -> DataFrame:
+def join_skewed(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str, spread_by: list[str], counts: DataFrame | None = None
+) -> DataFrame:
     """Inner join ``rows`` to ``lookup`` (one row per key) on ``keys``.
 
     ``uses`` counts the rows of each key.  Rows of a hot key are spread over
     ``SALTS`` parts by a hash of ``spread_by``, to each of which the key's
-    lookup row is copied; all other keys have a single part.
+    lookup row is copied; all other keys have a single part.  ``counts`` may give
+    keys and uses from a table that is cheaper to read than the lookup.
     """
-    total = lookup.agg(F.sum(uses).alias("total")).scalar()
+    counts = lookup if counts is None else counts
+    total = counts.agg(F.sum(uses).alias("total")).scalar()
     is_hot = F.col(uses) * HOT_SHARE > total
-    hot = lookup.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    hot = counts.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copies = lookup.withColumn("_salt", F.explode(salts))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")

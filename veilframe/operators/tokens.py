@@ -155,7 +155,7 @@ def restore(
         "token", "uses", decrypt(F.col("value_enc"), F.col("identity"), key).alias("value")
     )
     values = (
-        join_skewed(found, lookup, ["token"], "uses", [doc_key, "pos"])
+        join_skewed(found, lookup, ["token"], "uses", [doc_key, "pos"], uses)
         .groupBy(doc_key)
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("put")))).alias("_puts"),

@@ -111,7 +111,7 @@ def listed_folder_path() -> Column:
 _FILE_SCHEMA = "path string, content binary"
 
 
-def _passed_over(name: str) -> bool:
+def passed_over(name: str) -> bool:
     """Whether Spark's file listing drops a file or folder of this name."""
     return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
 
@@ -135,14 +135,14 @@ def _overlooked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             scheme = asked.split("://", 1)[0] + "://" if "://" in asked else ""
             info = system.get_file_info(inner)
             if info.type == fs.FileType.File:
-                if _passed_over(posixpath.basename(inner)):
+                if passed_over(posixpath.basename(inner)):
                     yield pd.DataFrame({"path": [scheme + inner], "content": [content(system, inner)]})
                 continue
             if info.type == fs.FileType.NotFound:
                 raise FileNotFoundError(asked)
             for entry in system.get_file_info(fs.FileSelector(inner, recursive=True)):
                 below = entry.path[len(inner) :].lstrip("/").split("/")
-                if entry.type == fs.FileType.File and any(map(_passed_over, below)):
+                if entry.type == fs.FileType.File and any(map(passed_over, below)):
                     if any(map(_hidden, below)):
                         continue
                     yield pd.DataFrame({"path": [scheme + entry.path], "content": [content(system, entry.path)]})

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.sources.files import passed_over
 from veilframe.sources.policies import Policy
 
 TERMS_SCHEMA = "term_ord bigint, term string, entity_type string"
@@ -35,9 +36,13 @@ def read_terms(spark: SparkSession, policy: Policy, base: str | None = None) ->
     tables = []
     for number, (source, entity) in enumerate(policy.dictionaries):
         path = source if "/" == source[:1] or "://" in source or base is None else f"{base.rstrip('/')}/{source}"
+        if passed_over(path.rstrip("/").rsplit("/", 1)[-1]):
+            raise ValueError(f"Spark would read nothing from a list of this name: {path}")
         try:
             cells = spark.read.csv(path, schema="_c0 string", header=False, multiLine=True, escape='"', enforceSchema=True)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         rows = clean_terms(cells, "_c0", entity)
         tables.append(rows.withColumn("term_ord", F.col("term_ord") + F.lit(number) * F.lit(1 << 56)))

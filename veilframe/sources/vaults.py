@@ -6,11 +6,11 @@ version to ``commits``; a run that dies in between leaves the old state valid.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilframe.operators.tokens import (
     COUNTERS_SCHEMA,
@@ -21,62 +21,77 @@ from veilframe.operators.tokens import (
     empty_vault,
 )
 
-COMMITS_SCHEMA = "version int, base int"
+COMMITS_SCHEMA = "version int, base int, folder string"
 
 
 class VaultChanged(RuntimeError):
-    """Another run committed first; nothing was added, run again."""
+    """Another run committed first; run again from the new state."""
 
 
 @dataclass(frozen=True)
 class VaultFolder:
+    """Meant for one writing run at a time.  A run that finds a newer state than
+    it started from adds nothing; should two runs still commit at the same
+    moment, the vault refuses to load rather than lose one of them."""
+
     spark: SparkSession
     path: str
 
-    def _latest(self) -> tuple[int, int]:
-        """Last version and the version its tables start from; one row."""
+    def _commits(self) -> list[tuple[int, int, str]]:
+        """(version, base, folder) of all commits in order, one per run."""
         try:
             commits = self.spark.read.schema(COMMITS_SCHEMA).parquet(f"{self.path}/commits")
-        except AnalysisException:  # the folder does not exist yet
-            return 0, 1
-        last = commits.agg(F.max(F.struct("version", "base")).alias("last")).first()["last"]
-        return (last["version"], last["base"]) if last else (0, 1)
-
-    def _table(self, name: str, schema: str, first: int, last: int) -> DataFrame:
-        paths = [f"{self.path}/{name}/v{version}" for version in range(first, last + 1)]
-        return self.spark.read.schema(schema).parquet(*paths)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        rows = sorted(tuple(row) for row in commits.collect())
+        if len({version for version, _, _ in rows}) < len(rows):
+            raise VaultChanged("two runs committed the same version; remove one of them from commits")
+        return rows
+
+    def _table(self, name: str, schema: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{folder}/{name}" for folder in folders))
 
     def exists(self) -> bool:
-        return self._latest()[0] > 0
+        return bool(self._commits())
 
     def load(self) -> Vault:
-        version, base = self._latest()
-        if version == 0:
+        commits = self._commits()
+        if not commits:
             return empty_vault(self.spark)
+        version, base, last = commits[-1]
+        folders = [folder for number, _, folder in commits if number >= base]
         return Vault(
-            self._table("token_map", MAP_SCHEMA, base, version),
-            self._table("token_runs", RUNS_SCHEMA, base, version),
-            self._table("counters", COUNTERS_SCHEMA, version, version),
+            self._table("token_map", MAP_SCHEMA, folders),
+            self._table("token_runs", RUNS_SCHEMA, folders),
+            self._table("counters", COUNTERS_SCHEMA, [last]),
             version,
         )
 
-    def _write(self, expected: int, base: int | None, token_map, token_runs, counters) -> int:
-        latest, latest_base = self._latest()
-        if latest != expected:
-            raise VaultChanged(f"vault is at version {latest}, the run started from {expected}")
+    def _write(self, expected: int, full: bool, token_map, token_runs, counters) -> int:
         version = expected + 1
+        folder = f"v{version:06d}-{uuid.uuid4().hex}"
+
+        def base() -> int:
+            commits = self._commits()
+            latest = commits[-1][0] if commits else 0
+            if latest != expected:
+                raise VaultChanged(f"vault is at version {latest}, the run started from {expected}")
+            return version if full or not commits else commits[-1][1]
+
+        base()
         for name, table in (("token_map", token_map), ("token_runs", token_runs), ("counters", counters)):
-            table.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
-        if self._latest()[0] != expected:
-            raise VaultChanged(f"vault moved on from version {expected} during the run")
-        commit = self.spark.createDataFrame([(version, base or (latest_base if latest else version))], COMMITS_SCHEMA)
+            table.write.parquet(f"{self.path}/{folder}/{name}")
+        commit = self.spark.createDataFrame([(version, base(), folder)], COMMITS_SCHEMA)
         commit.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self._commits()
         return version
 
     def append(self, vault: Vault, assignment: Assignment) -> int:
         """Commit what a run adds; only new rows are written."""
-        return self._write(vault.version, None, assignment.new_map, assignment.new_runs, assignment.counters)
+        return self._write(vault.version, False, assignment.new_map, assignment.new_runs, assignment.counters)
 
     def overwrite(self, vault: Vault) -> int:
         """Commit a changed vault (purge, re-key) as a full new state."""
-        return self._write(vault.version, vault.version + 1, vault.token_map, vault.token_runs, vault.counters)
+        return self._write(vault.version, True, vault.token_map, vault.token_runs, vault.counters)
