@@ -35,6 +35,13 @@ PARTS = [
 ]
 
 
+# Characters by number, as they are hard to tell from others: Kelvin sign, dotted
+# and dotless i, long s, spaces of several kinds, a combining accent, a joiner.
+PARTS += [chr(n) for n in (0x212A, 0x130, 0x131, 0x17F, 0x3000, 0xA0, 0x2003, 0x200B, 0x1C, 0x1F, 0x85, 0x301, 0x200D)]
+PARTS += ["coo" + chr(0x212A) + "ie", "cook" + chr(0x130) + "e", "cook" + chr(0x131) + "e", "pa" + chr(0x17F) * 2 + "word", "cu" + chr(0x17F) + "t-2026-009"]
+PARTS += ["HT2026" + chr(0x212A) + "AB", "sample-20260622-" + chr(0x212A) + "17", "x" + chr(0x17F) + "2026abc", chr(0x212A) + "HT-2026-001" + chr(0x131)]
+
+
 def random_texts(count, seed, most=9):
     rng = random.Random(seed)
     return ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, most))) for _ in range(count)]
