@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import re
 import sys
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 from test_detect import FIRST, frame, random_texts, spark_spans
 
 import veilframe
+from veilframe import session
 from veilframe.functions.crypto import vault_key
 from veilframe.operators import dictionary
 from veilframe.operators.detect import detect
 from veilframe.operators.gate import leaks, with_document_verdict
 from veilframe.operators.tokens import empty_vault
+from veilframe.session import staged
 from veilframe.sources.policies import Policy
 from veilframe.sources.tables import documents
 from veilframe.sources.vaults import VaultFolder
@@ -97,6 +100,16 @@ def test_secret_joined_by_a_replacement_is_a_leak(spark):
     assert leaks(clean, Policy()).first()["entity_type"] == "PASSWORD"
 
 
+def test_staged_tables_can_be_dropped(spark):
+    df = staged(spark.range(3), "drop")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert df.count() == 3 and os.path.isdir(folder)
+    session._STAGED[:], kept = [path for path in session._STAGED if path in folder], list(session._STAGED)
+    assert session.drop_staged(spark) == 1
+    assert not os.path.exists(folder)
+    session._STAGED.extend(path for path in kept if os.path.isdir(path))
+
+
 def test_verdict_per_document(spark):
     docs = docs_of(spark, {"a": FIRST, "b": ROUND_TRIP})
     docs = docs.unionByName(docs_of(spark, {"c": ""}).withColumn("status", F.lit("error")))

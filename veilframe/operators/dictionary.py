@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.patterns import sql_string
 from veilframe.functions.rules import DICTIONARY_CONFIDENCE, DICTIONARY_DETECTOR
 from veilframe.functions.spans import DICTIONARY_PLACE, SPANS_TYPE, priority_sql, text_of
 from veilframe.operators.skew import SALTS
@@ -106,8 +107,11 @@ def with_term_spans(
 
 def _as_spans(hits: str, policy: Policy) -> Column:
     """Hits to full spans, ordered by term, then by place in the text."""
-    actions = " ".join(f"when '{name}' then '{policy.action_for(name)}'" for name in policy.entity_types())
-    action = f"case h.entity_type {actions} else '{policy.default_action}' end" if actions else f"'{policy.default_action}'"
+    other = sql_string(policy.default_action)
+    actions = " ".join(
+        f"when {sql_string(name)} then {sql_string(policy.action_for(name))}" for name in policy.entity_types()
+    )
+    action = f"case h.entity_type {actions} else {other} end" if actions else other
     ordered = f"""transform(array_sort(transform({hits}, h -> named_struct('o', h.term_ord, 's', h.start, 'h', h))), k -> k.h)"""
     return F.expr(f"""transform({ordered}, h -> named_struct(
         'start', h.start, 'end', h.end, 'entity_type', h.entity_type, 'action', {action},

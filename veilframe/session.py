@@ -25,6 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder once and read it from there.
 
@@ -34,9 +37,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/veilframe-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables this process has staged; returns their number.
+
+    Results of earlier runs read from them, so write what is to be kept first.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    dropped = 0
+    while _STAGED:
+        path = hadoop.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        dropped += 1
+    return dropped
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a scanned table that arrives in fewer partitions than
     there are cores (one small file, one compressed file).  Detection costs far
