@@ -100,6 +100,18 @@ def test_secret_joined_by_a_replacement_is_a_leak(spark):
     assert leaks(clean, Policy()).first()["entity_type"] == "PASSWORD"
 
 
+def test_both_plans_of_a_tokenized_table_read_their_own_part(spark, key):
+    from veilframe.operators.redact import HAS_TOKENS, needs_tokens, occurrences, redact_with_tokens
+    from veilframe.operators.tokens import assign_tokens
+
+    detected = detect(docs_of(spark, {"a": ROUND_TRIP, "b": "plain"}), Policy()).withColumn(HAS_TOKENS, needs_tokens())
+    detected = staged(detected, "parts", HAS_TOKENS)
+    done = redact_with_tokens(detected, assign_tokens(occurrences(detected), empty_vault(spark), key, "r").tokens)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert f"NOT {HAS_TOKENS}" in plan and "PartitionFilters: [isnotnull(has_tokens" in plan
+    assert {row["source_id"]: row["text"][:6] for row in done.collect()} == {"a": "[VEIL_", "b": "plain"}
+
+
 def test_staged_tables_can_be_dropped(spark):
     df = staged(spark.range(3), "drop")
     folder = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")

@@ -13,6 +13,16 @@ from veilframe.operators.skew import join_skewed
 _OPEN = "filter(spans, s -> s.action != 'fail')"
 
 
+HAS_TOKENS = "has_tokens"
+
+
+def needs_tokens() -> Column:
+    """Whether a document has a span to tokenize.  A table that holds this as
+    ``has_tokens`` and is partitioned by it is read once by the two plans of
+    :func:`redact_with_tokens`."""
+    return F.expr("exists(spans, s -> s.action = 'tokenize')")
+
+
 def redact(detected: DataFrame, prefix: str = DEFAULT_PREFIX, text: str = "text") -> DataFrame:
     """Replace ``text`` for documents whose spans need no token. No shuffle."""
     replacements = f"transform(_open, s -> {placeholder_sql('s', prefix)})"
@@ -48,7 +58,7 @@ def redact_with_tokens(
     others the spans to tokenize go to the tokens and back; the text is shuffled
     once, when the tokens come home to their documents.
     """
-    needs = F.expr("exists(spans, s -> s.action = 'tokenize')")
+    needs = F.col(HAS_TOKENS) if HAS_TOKENS in detected.columns else needs_tokens()
     plain = redact(detected.where(~needs), prefix, text)
     marked = detected.where(needs)
 

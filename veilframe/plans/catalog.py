@@ -14,7 +14,7 @@ from veilframe.functions.spans import NO_SPANS, SPANS_TYPE, evaluated_once
 from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings, has_fail
 from veilframe.operators.dictionary import term_findings, with_term_spans
-from veilframe.operators.redact import occurrences, redact, redact_with_tokens
+from veilframe.operators.redact import HAS_TOKENS, needs_tokens, occurrences, redact, redact_with_tokens
 from veilframe.operators.resolve import resolve_sql
 from veilframe.plans import runs
 from veilframe.plans.carriers import CARRIERS, CUST_CODE, NOTE, padded
@@ -271,7 +271,8 @@ def keyed_identity(spark, sf_dir):
 
 
 def tokenize_notes(spark, sf_dir):
-    detected = staged(detect(_notes(spark, sf_dir), POLICY), "notes")
+    detected = detect(_notes(spark, sf_dir), POLICY).withColumn(HAS_TOKENS, needs_tokens())
+    detected = staged(detected, "notes", HAS_TOKENS)
     assigned = _assigned(spark, sf_dir, detected)
     return redact_with_tokens(detected, assigned.tokens).select("source_id", "text")
 

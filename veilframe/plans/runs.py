@@ -15,7 +15,7 @@ from veilframe.functions.rules import BUILTIN_RULES, Rule
 from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings
 from veilframe.operators.dictionary import add_term_spans
-from veilframe.operators.redact import document_order, occurrences, redact_with_tokens
+from veilframe.operators.redact import HAS_TOKENS, document_order, needs_tokens, occurrences, redact_with_tokens
 from veilframe.session import staged
 from veilframe.sources.policies import Policy, load_policy
 from veilframe.sources.tables import repeated_ids
@@ -121,7 +121,8 @@ def prepare(
     if not repeated_ids(docs).isEmpty():
         raise ValueError("source ids repeat; a document would replace another")
     state = vault.load() if isinstance(vault, VaultFolder) else vault
-    detected = staged(_detected(docs, policy, rules, terms), "prepare")
+    detected = _detected(docs, policy, rules, terms).withColumn(HAS_TOKENS, needs_tokens())
+    detected = staged(detected, "prepare", HAS_TOKENS)
     found = findings(detected)
     if gate.run_verdict(detected, for_release=True).first()["blocked"]:
         return _result(run_id, True, detected, found, "prepared")

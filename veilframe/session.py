@@ -28,15 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder once and read it from there.
+def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder once and read it from there.  ``by``
+    names a column with few values whose rows are to be read apart.
 
     Later steps start from the written files: work is not repeated for each
     use, a lost executor costs a re-read only, and columns a step does not need
     are not read.
     """
     path = f"{shared_folder(df.sparkSession)}/veilframe-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
