@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import sql_string
 from veilframe.functions.rules import DICTIONARY_CONFIDENCE, DICTIONARY_DETECTOR
-from veilframe.functions.spans import DICTIONARY_PLACE, SPANS_TYPE, priority_sql, text_of
+from veilframe.functions.spans import DICTIONARY_PLACE, SPANS_TYPE, blocks_of, priority_sql, text_of
 from veilframe.operators.skew import SALTS
 from veilframe.sources.policies import Policy
 
@@ -164,9 +164,14 @@ def term_findings(docs: DataFrame, terms: DataFrame, text: str = "text", key: st
         .agg(F.array_sort(F.collect_list("start")).alias("starts"))
         .withColumn(
             "starts",
-            F.expr(f"""aggregate(starts, named_struct('free', 0, 'out', cast(array() as array<int>)),
-                (acc, s) -> if(s >= acc.free, named_struct('free', s + {length}, 'out', concat(acc.out, array(s))), acc),
-                acc -> acc.out)"""),
+            F.expr(f"""flatten(aggregate({blocks_of('starts')},
+                named_struct('free', 0, 'out', cast(array() as array<array<int>>)),
+                (done, blk) -> transform(array(aggregate(blk,
+                    named_struct('free', done.free, 'out', cast(array() as array<int>)),
+                    (acc, s) -> if(s >= acc.free,
+                        named_struct('free', s + {length}, 'out', concat(acc.out, array(s))), acc))),
+                    r -> named_struct('free', r.free, 'out', concat(done.out, array(r.out))))[0],
+                done -> done.out))"""),
         )
         .select(key, "term_ord", "entity_type", "value", F.explode("starts").alias("start"))
         .select(key, "start", (F.col("start") + F.length("value")).cast("int").alias("end"), "term_ord", "entity_type", "value")
