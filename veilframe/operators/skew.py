@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of all uses, so there are
-# fewer than HOT_SHARE hot keys whatever the data: a bound for the broadcast.
-HOT_SHARE = 1000
+# Parts a table is cut into, for each shuffle partition of the session.
+PARTS_PER_PARTITION = 4
+LEAST_PARTS = 64
 SALTS = 64
 
 
@@ -16,17 +16,21 @@ def join_skewed(
 ) -> DataFrame:
     """Inner join ``rows`` to ``lookup`` (one row per key) on ``keys``.
 
-    ``uses`` counts the rows of each key.  Rows of a hot key are spread over
-    ``SALTS`` parts by a hash of ``spread_by``, to each of which the key's
-    lookup row is copied; all other keys have a single part.  ``counts`` may give
-    keys and uses from a table that is cheaper to read than the lookup.
+    ``uses`` counts the rows of each key.  A part is to hold at most 1/P of all
+    uses, P being a multiple of the session's shuffle partitions: a key with more
+    is split into as many parts as its uses need, by a hash of ``spread_by``, and
+    its lookup row is copied to each.  Fewer than P keys can have more than 1/P
+    of the uses, which bounds the broadcast; all copies together are at most
+    the lookup's rows and 2 P.  ``counts`` may give keys and uses from a table
+    that is cheaper to read than the lookup.
     """
     counts = lookup if counts is None else counts
+    wanted = PARTS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(LEAST_PARTS, wanted)
     total = counts.agg(F.sum(uses).alias("total")).scalar()
-    is_hot = F.col(uses) * HOT_SHARE > total
-    hot = counts.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = lookup.withColumn("_salt", F.explode(salts))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt", "_hot")
+    needed = F.ceil(F.col(uses) * parts / total).cast("int")
+    hot = counts.where(F.col(uses) * parts > total).select(*keys, needed.alias("_parts"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(needed, F.lit(1)) - 1)))
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt", "_parts")
