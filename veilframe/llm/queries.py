@@ -4,21 +4,216 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilframe.llm import simhash
+from veilframe.llm import bpe, chat, counts, exact, language, mixing, quality, simhash, topk, warc
 from veilframe.llm.batches import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary() -> str:
+    return public_tokenizers.path(VOCABULARY)
 
 
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts look like marks of a template.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op2_chat(spark, sf_dir):
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    marked = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(MARKED).alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.examples(turns.unionByName(marked)))
+
+
+def bpe_digests(tokens: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of encoded and decoded texts."""
+    return tokens.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_bpe(spark, sf_dir):
+    return bpe_digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary()), vocabulary()))
+
+
+def op4_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark, sf_dir):
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(
+        F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\n"))), ""
+    )
+    return found.select("record_id", "url_key", "status", "response_id", headers.alias("headers"), F.sha2("body", 256).alias("body_sha256"))
+
+
+def op6_exact(spark, sf_dir):
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("copies_taken")
+
+
+def op9_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_counts(spark, sf_dir):
+    return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    made = (
+        op1_simhash, op2_chat, op3_bpe, op4_quality, op5_warc, op6_exact, op7_language, op8_mixing, op9_topk, op10_counts,
+    )
+    return {query.__name__: query for query in made}
+
+
+CHAT = rf"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{MARKED}'
+), placed AS (
+  SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    sum(15 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;'))
+      + length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))) OVER (w ROWS UNBOUNDED PRECEDING) AS shown
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY nth), '')) AS loss_sha256,
+  sum(CASE WHEN role = 'assistant' OR nth = n_turns THEN shown ELSE 0 END)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+WARC = r"""
+WITH spelled AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://(www\.)?', '', 'i') AS plain FROM pages
+), parted AS (
+  SELECT page_id, html, regexp_extract(plain, '^[^?]*') AS place, regexp_extract(plain, '\?(.*)$', 1) AS query FROM spelled
+), keyed AS (
+  SELECT page_id, html,
+    regexp_replace(lower(regexp_extract(place, '^[^/]*')), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(place, '^[^/]*(/.*)$', 1), '/+$', '') AS page,
+    list_sort(list_filter(string_split(query, '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref|sessionid)(=|$)', 'i'))) AS kept
+  FROM parted
+), records AS (
+  SELECT page_id, html, page || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
+    md5(coalesce(html, '')) AS tag, page_id % 28 AS day
+  FROM keyed
+), pairs AS (
+  SELECT r.page_id, r.url_key, r.tag, r.day, r.page_id + CASE WHEN r.page_id % 13 = 0 THEN -1 ELSE 7 END AS seen,
+    s.page_id AS found, s.html AS body, s.tag AS found_tag, s.day AS found_day
+  FROM records r LEFT JOIN records s
+    ON r.url_key = s.url_key AND s.page_id < r.page_id + CASE WHEN r.page_id % 13 = 0 THEN -1 ELSE 7 END
+  QUALIFY row_number() OVER (PARTITION BY r.page_id ORDER BY s.page_id DESC NULLS LAST) = 1
+), judged AS (
+  SELECT *, page_id % 5 <> 0 AS tagged,
+    CASE WHEN found IS NULL THEN 'no_response'
+      WHEN page_id % 5 <> 0 AND found % 5 <> 0 THEN
+        CASE WHEN page_id % 11 <> 0 AND tag = found_tag THEN 'resolved' ELSE 'mismatch' END
+      WHEN day = found_day THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM pairs
+), told AS (
+  SELECT *, status = 'resolved' AS ok, CASE WHEN page_id % 11 = 0 THEN '"new"' ELSE 'W/"' || tag || '"' END AS own_tag
+  FROM judged
+)
+SELECT 2 * page_id + 1 AS record_id, url_key, status, 2 * found AS response_id,
+  CASE WHEN ok THEN coalesce('content-length: ' || length(body) || chr(10), '') || 'content-type: text/html' || chr(10)
+    ELSE 'content-length: 0' || chr(10) END
+  || 'date: ' || seen || chr(10)
+  || CASE WHEN tagged THEN 'etag: ' || own_tag || chr(10)
+    WHEN ok AND found % 5 <> 0 THEN 'etag: "' || found_tag || '"' || chr(10) ELSE '' END
+  || 'last-modified: day ' || day || chr(10) AS headers,
+  CASE WHEN ok THEN sha256(body) END AS body_sha256
+FROM told
+"""
+
+EXACT = """
+WITH texts AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER alike AS keep_id, count(*) OVER alike AS group_size,
+  doc_id = max(doc_id) OVER alike AS kept, text_sha256
+FROM texts WINDOW alike AS (PARTITION BY text_sha256)
+"""
+
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no
+  FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CASE source_no % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS most,
+    sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS budget
+  FROM sources
+), levels AS (
+  SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, source_no
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER (ORDER BY most::DOUBLE / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM weighted
+), goals AS (
+  SELECT *, least(most::DOUBLE, max(CASE WHEN level < most::DOUBLE / weight THEN level END) OVER () * weight::DOUBLE) AS target
+  FROM levels
+), queued AS (
+  SELECT d.doc_id, d.size, g.source_no, g.source_size, g.target, floor(g.budget)::BIGINT AS budget,
+    greatest(1, floor(g.target / 1000))::BIGINT AS quantum, row_number() OVER () AS row_no,
+    sum(d.size) OVER (PARTITION BY g.source_no ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS done
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+), copies AS (
+  SELECT *, done - size + copy * source_size AS start FROM queued, (VALUES (0), (1)) AS twice(copy) WHERE size > 0
+), packets AS (
+  SELECT *, start + nth * quantum AS first, least(quantum, size - nth * quantum) AS words
+  FROM (
+    SELECT *, unnest(range(ceil(least(size::DOUBLE, target - start) / quantum)::BIGINT)) AS nth FROM copies WHERE start < target
+  )
+), ordered AS (
+  SELECT *, sum(words) OVER (ORDER BY (first + words) / target, source_no, first, words ROWS UNBOUNDED PRECEDING) AS total FROM packets
+), served AS (
+  SELECT row_no, sum(greatest(0, least(words, budget - (total - words))))::BIGINT AS taken FROM ordered GROUP BY row_no
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queued LEFT JOIN served USING (row_no)
+"""
+
+TOPK = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.vector, v.vector)::BIGINT AS score
+  FROM vectors q JOIN vectors v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op2_chat": CHAT, "op5_warc": WARC, "op6_exact": EXACT, "op8_mixing": MIXING, "op9_topk": TOPK}
