@@ -5,6 +5,7 @@ import re
 import sys
 
 import plain_model
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_detect import FIRST, frame, random_texts, spark_spans
@@ -15,11 +16,11 @@ from veilframe.functions.crypto import vault_key
 from veilframe.operators import dictionary
 from veilframe.operators.detect import detect
 from veilframe.operators.gate import leaks, with_document_verdict
-from veilframe.operators.tokens import empty_vault
+from veilframe.operators.tokens import empty_vault, with_assignment
 from veilframe.session import staged
 from veilframe.sources.policies import Policy
 from veilframe.sources.tables import documents
-from veilframe.sources.vaults import VaultFolder
+from veilframe.sources.vaults import VaultChanged, VaultFolder
 
 ROUND_TRIP = "张三代表涌源合生科技联系 founder@example.com，电话13812345678，金额人民币123456元。"
 RAW = ("张三", "涌源合生", "founder@example.com", "13812345678")
@@ -34,6 +35,13 @@ def key(spark):
     return vault_key(spark, b"secret of the tests")
 
 
+class Late(VaultFolder):
+    """A run that read the vault before another run committed."""
+
+    def load(self):
+        return empty_vault(self.spark)
+
+
 def everything(*tables):
     return json.dumps([[row.asDict(True) for row in table.collect()] for table in tables], ensure_ascii=False)
 
@@ -74,6 +82,61 @@ def test_prepare_writes_and_restore_brings_back(spark, key, tmp_path):
     assert (back["b/x y.md"]["restored"], back["b/x y.md"]["placeholders"], back["a.md"]["restored"]) == (2, 3, 0)
 
 
+def plain_values(folder):
+    """All that parquet files below a folder hold, as one string."""
+    return "".join(str(pq.read_table(path).to_pydict()) for path in folder.rglob("*.parquet") if path.is_file())
+
+
+def test_nothing_raw_stays_staged(spark, key, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path / "staging"))
+    raw = (*RAW, "sk-test")
+    run = veilframe.scan(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}))
+    assert run.blocked and run.findings.where("value = '13812345678'").count() >= 1
+    assert not any(value in plain_values(tmp_path) for value in raw)
+    run = veilframe.prepare(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}), key, empty_vault(spark))
+    assert run.blocked and not any(value in plain_values(tmp_path) for value in raw)
+    leaking = {"notes/password=hunter2hunter2.md": ROUND_TRIP}
+    run = veilframe.prepare(docs_of(spark, leaking), key, empty_vault(spark))
+    assert run.blocked and "代表" not in plain_values(tmp_path)
+    run = veilframe.prepare(docs_of(spark, {"b": ROUND_TRIP}), key, empty_vault(spark))
+    assert not run.blocked and "代表" in plain_values(tmp_path)
+    assert run.findings.where("value = '13812345678'").count() == 1
+    assert not any(value in plain_values(tmp_path) for value in raw)
+    assert not any(value.encode() in path.read_bytes() for path in tmp_path.rglob("*") if path.is_file() for value in raw)
+    vault = with_assignment(empty_vault(spark), run.assignment)
+    assert veilframe.restore(run.sanitized, key, vault).first()["restored"] == 2
+    assert not any(value in plain_values(tmp_path) for value in raw)
+
+
+def test_a_failing_run_leaves_nothing_staged(spark, key, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr("veilframe.operators.gate.leaks", lambda *args: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        veilframe.prepare(docs_of(spark, {"b": ROUND_TRIP}), key, empty_vault(spark))
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_run_that_comes_second_releases_nothing(spark, key, tmp_path):
+    folder = VaultFolder(spark, str(tmp_path / "vault"))
+    late = Late(spark, folder.path)
+    veilframe.prepare(docs_of(spark, {"a": "张三电话13812345678"}), key, folder, run_id="run-1")
+    with pytest.raises(VaultChanged):
+        veilframe.prepare(docs_of(spark, {"a": "李四电话13812345679"}), key, late, run_id="run-2", output=str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    state = folder.load()
+    assert state.version == 1 and {row["run_id"] for row in state.token_runs.collect()} == {"run-1"}
+
+
+def test_a_run_id_is_released_once(spark, key, tmp_path):
+    docs = docs_of(spark, {"a": "text"})
+    veilframe.prepare(docs, key, empty_vault(spark), run_id="run-1", output=str(tmp_path / "out"), bundle=False)
+    with pytest.raises(Exception):
+        veilframe.prepare(docs, key, empty_vault(spark), run_id="run-1", output=str(tmp_path / "out"), bundle=False)
+    assert spark.read.parquet(str(tmp_path / "out/documents")).count() == 1
+    with pytest.raises(ValueError):
+        veilframe.prepare(docs, key, empty_vault(spark), run_id="../x", output=str(tmp_path / "out"))
+
+
 def test_token_order_is_path_order(spark, key):
     docs = docs_of(spark, {"a.txt": "李四", "a/z": "王五", "a": "赵六"})
     docs = docs.withColumn("path", F.concat(F.lit("/r/"), F.col("source_id")))

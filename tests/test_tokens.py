@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.crypto import decrypt, encrypt, hmac_sha256, identity, vault_key
 from veilframe.operators import skew, tokens
 from veilframe.operators.tokens import assign_tokens, empty_vault, number_values, with_assignment
+from veilframe.sources import vaults
 from veilframe.sources.vaults import VaultChanged, VaultFolder
 
 SECRET = b"0123456789abcdef0123456789abcdef"
@@ -129,15 +130,27 @@ def test_folder_keeps_tokens_over_runs_purge_and_rekey(spark, key, tmp_path):
         assert b"Edsger" not in path.read_bytes()
 
 
-def test_commits_of_the_same_version_are_noticed(spark, key, tmp_path):
+def test_one_of_two_runs_wins_a_version(spark, key, tmp_path, monkeypatch):
     folder = VaultFolder(spark, str(tmp_path / "vault"))
     first = folder.load()
-    folder.append(first, assign_tokens(places(spark, FIRST), first, key, "run-1"))
-    spark.createDataFrame([(1, 1, "other")], "version int, base int, folder string").write.mode("append").parquet(
-        str(tmp_path / "vault/commits")
-    )
+    monkeypatch.setattr(VaultFolder, "_check", lambda self, expected: None)  # both got past the early look
+    assert folder.append(first, assign_tokens(places(spark, FIRST), first, key, "run-1")) == 1
     with pytest.raises(VaultChanged):
-        folder.load()
+        folder.append(first, assign_tokens(places(spark, [("z", "z", 0, "PERSON", "Edsger")]), first, key, "run-x"))
+    assert set(values(folder.load(), key)) == {("PERSON", "Grace"), ("PERSON", "Ada"), ("ORG", "Ada")}
+    assert len(list((tmp_path / "vault").glob("v0*"))) == 1
+
+
+def test_many_small_additions_are_compacted(spark, key, tmp_path, monkeypatch):
+    monkeypatch.setattr(vaults, "COMPACT_EVERY", 3)
+    folder = VaultFolder(spark, str(tmp_path / "vault"))
+    for n in range(5):
+        state = folder.load()
+        folder.append(state, assign_tokens(places(spark, [("a", "a", 0, "PERSON", f"name {n}")]), state, key, f"run-{n}"))
+    state = folder.load()
+    assert state.version == 5 and folder._commit(5)[0] == 4
+    assert values(state, key) == {("PERSON", f"name {n}"): f"[VEIL_PERSON_{n + 1:04d}]" for n in range(5)}
+    assert state.token_runs.count() == 5
 
 
 def test_restore_takes_one_pass_and_counts(spark, key):
@@ -163,6 +176,13 @@ def test_restore_takes_one_pass_and_counts(spark, key):
     assert every["a"] == "Grace and Ada, Grace"
 
 
+def test_restore_reads_the_texts_twice_at_most(spark, key, tmp_path):
+    vault = with_assignment(empty_vault(spark), assign_tokens(places(spark, FIRST), empty_vault(spark), key, "run-1"))
+    spark.createDataFrame([("a", "[VEIL_PERSON_0001]")], "source_id string, text string").write.parquet(str(tmp_path / "texts"))
+    plan = tokens.restore(spark.read.parquet(str(tmp_path / "texts")), vault, key)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("ReadSchema: struct<source_id:string,text:string>") <= 2
+
+
 def test_a_hot_key_is_spread(spark):
     rows = spark.range(60000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id as string)) as k")
     lookup = rows.groupBy("k").agg(F.count(F.lit(1)).alias("uses"), F.max("id").alias("v"))
@@ -170,3 +190,15 @@ def test_a_hot_key_is_spread(spark):
     assert joined.count() == 60000 and joined.select("id").distinct().count() == 60000
     copies = joined.where("k = 'hot'").agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
     assert tuple(copies) == (20000, 59997, 59997)
+
+
+def test_parts_of_a_hot_key_follow_its_uses(spark):
+    rows = spark.range(10000).selectExpr("id", "case when id % 2 = 0 then 'half' when id % 10 = 1 then 'tenth' else cast(id as string) end as k")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("uses"))
+    plan = skew.join_skewed(rows, counts, ["k"], "uses", ["id"])
+    assert plan.count() == 10000
+    before = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(skew.LEAST_PARTS, skew.PARTS_PER_PARTITION * before)
+    salted = skew.salted_lookup(counts, ["k"], "uses", counts)
+    copies = {row["k"]: row["n"] for row in salted[1].groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert copies["half"] == parts // 2 and copies["tenth"] == -(-parts // 10) and copies["3"] == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,15 +79,17 @@ def output_name(source_id: Column) -> Column:
     return F.concat(F.regexp_replace(source_id, r"[^\p{L}\p{N}._-]", "_"), F.lit(".redacted.md"))
 
 
+def checked_run_id(run_id: str) -> str:
+    """A run id that can name a folder."""
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"not a name for a folder: {run_id!r}")
+    return run_id
+
+
 def write_documents(sanitized: DataFrame, path: str, run_id: str) -> None:
-    """One row per sanitized document, under the run's partition."""
-    (
-        sanitized.select("source_id", output_name(F.col("source_id")).alias("output_name"), "text")
-        .withColumn("run_id", F.lit(run_id))
-        .write.mode("append")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
+    """One row per sanitized document, under the run's partition, which must not exist."""
+    named = sanitized.select("source_id", output_name(F.col("source_id")).alias("output_name"), "text")
+    named.write.mode("error").parquet(f"{path}/run_id={run_id}")
 
 
 def bundle_sections(sanitized: DataFrame) -> DataFrame:

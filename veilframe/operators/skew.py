@@ -11,26 +11,33 @@ LEAST_PARTS = 64
 SALTS = 64
 
 
-def join_skewed(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str, spread_by: list[str], counts: DataFrame | None = None
-) -> DataFrame:
-    """Inner join ``rows`` to ``lookup`` (one row per key) on ``keys``.
+def salted_lookup(lookup: DataFrame, keys: list[str], uses: str, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hot keys with their number of parts (``_parts``), and the lookup with a copy for each part (``_salt``).
 
-    ``uses`` counts the rows of each key.  A part is to hold at most 1/P of all
-    uses, P being a multiple of the session's shuffle partitions: a key with more
-    is split into as many parts as its uses need, by a hash of ``spread_by``, and
-    its lookup row is copied to each.  Fewer than P keys can have more than 1/P
-    of the uses, which bounds the broadcast; all copies together are at most
-    the lookup's rows and 2 P.  ``counts`` may give keys and uses from a table
-    that is cheaper to read than the lookup.
+    A part is to hold at most 1/P of all uses, P being a multiple of the
+    session's shuffle partitions: a key with more is split into as many parts as
+    its uses need.  Fewer than P keys can have more than 1/P of the uses, which
+    bounds the hot keys; all copies together are at most the lookup's rows and 2 P.
     """
-    counts = lookup if counts is None else counts
-    wanted = PARTS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = PARTS_PER_PARTITION * int(lookup.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(LEAST_PARTS, wanted)
     total = counts.agg(F.sum(uses).alias("total")).scalar()
     needed = F.ceil(F.col(uses) * parts / total).cast("int")
     hot = counts.where(F.col(uses) * parts > total).select(*keys, needed.alias("_parts"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(needed, F.lit(1)) - 1)))
+    return hot, copies
+
+
+def join_skewed(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str, spread_by: list[str], counts: DataFrame | None = None
+) -> DataFrame:
+    """Inner join ``rows`` to ``lookup`` (one row per key) on ``keys``.
+
+    ``uses`` counts the rows of each key.  Rows of a hot key are dealt to its
+    parts by a hash of ``spread_by``, and each part has a copy of the key's
+    lookup row.  ``counts`` may give keys and uses from a table that is cheaper to read than the lookup.
+    """
+    hot, copies = salted_lookup(lookup, keys, uses, lookup if counts is None else counts)
     salt = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt", "_parts")

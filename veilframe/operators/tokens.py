@@ -41,7 +41,7 @@ def empty_vault(spark: SparkSession) -> Vault:
 class Assignment:
     """What a run adds to a vault, and the token of every value it met."""
 
-    tokens: DataFrame  # entity_type, value, identity, token, uses -- raw values: never written
+    tokens: DataFrame  # entity_type, value, identity, token, uses -- values are decrypted as they are read, never written
     new_map: DataFrame
     new_runs: DataFrame
     counters: DataFrame
@@ -92,26 +92,23 @@ def assign_tokens(
 ) -> Assignment:
     """Give every value a token: a known value keeps its own, a new one gets the
     next number of its entity type, by first place in document order."""
-    values = staged(
-        distinct_values(occurrences).withColumn("identity", identity(F.col("entity_type"), F.col("value"), key)), "values"
-    )
+    named = distinct_values(occurrences).withColumn("identity", identity(F.col("entity_type"), F.col("value"), key))
+    sealed = encrypt(F.col("value"), F.col("identity"), key)
+    values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values")
     known = values.join(vault.token_map.select("identity", "token"), "identity")
     new = number_values(values.join(vault.token_map, "identity", "left_anti"), vault.counters).withColumn(
         "token", F.expr(token_sql("entity_type", "token_no", prefix))
     )
-    shared = ["entity_type", "value", "identity", "token", "uses"]
-    new_map = new.select(
-        "identity",
-        "entity_type",
-        "token_no",
-        "token",
-        encrypt(F.col("value"), F.col("identity"), key).alias("value_enc"),
-    )
+    shared = ["entity_type", "identity", "value_enc", "token", "uses"]
+    every = known.select(*shared).unionByName(new.select(*shared))
+    opened = decrypt(F.col("value_enc"), F.col("identity"), key)
+    given = every.select("entity_type", opened.alias("value"), "identity", "token", "uses")
+    new_map = new.select("identity", "entity_type", "token_no", "token", "value_enc")
     met = values.select("identity", F.lit(run_id).alias("run_id"))
     new_runs = met.join(vault.token_runs, ["identity", "run_id"], "left_anti")
     last = new.groupBy("entity_type").agg(F.max("token_no").alias("last_no"))
     counters = vault.counters.unionByName(last).groupBy("entity_type").agg(F.max("last_no").alias("last_no"))
-    return Assignment(known.select(*shared).unionByName(new.select(*shared)), new_map, new_runs, counters)
+    return Assignment(given, new_map, new_runs, counters)
 
 
 def with_assignment(vault: Vault, assignment: Assignment) -> Vault:
@@ -137,7 +134,8 @@ def restore(
 
     Adds ``restored`` and ``unresolved``, the numbers of tokens replaced and
     left, and ``placeholders``, the placeholders of any kind still in the text.
-    The tokens travel to the mapping, not the mapping to the texts; texts
+    The tokens are looked for once; what was found is staged (tokens, no
+    values) and travels to the mapping, not the mapping to the texts.  Texts
     without a token stay in their partition.
     """
     regex = F.lit(token_pattern(prefix))
@@ -148,9 +146,9 @@ def restore(
     entries = vault.token_map
     if run_id:
         entries = entries.join(vault.token_runs.where(F.col("run_id") == run_id), "identity", "left_semi")
-    marked = docs.where(has_token)
-    found = marked.select(F.col(doc_key), F.posexplode(F.regexp_extract_all(F.expr(source), regex, F.lit(0))).alias("pos", "token"))
-    uses = found.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    tokens = F.regexp_extract_all(F.expr(source), regex, F.lit(0))
+    found = staged(docs.where(has_token).select(F.col(doc_key), F.posexplode(tokens).alias("pos", "token")), "tokens")
+    uses = staged(found.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "uses")
     lookup = uses.join(entries, "token", "left").select(
         "token", "uses", decrypt(F.col("value_enc"), F.col("identity"), key).alias("value")
     )
@@ -166,7 +164,8 @@ def restore(
     woven = f"""array_join(zip_with(split({source}, _regex, -1), _puts.put,
         (gap, put) -> concat(gap, coalesce(put, ''))), '')"""
     with_tokens = (
-        marked.join(values, doc_key)
+        docs.where(has_token)
+        .join(values, doc_key)
         .withColumn("_regex", regex)
         .selectExpr(*others, f"{woven} as {column_name(text)}", "restored", "unresolved")
     )

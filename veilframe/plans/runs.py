@@ -16,9 +16,9 @@ from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings
 from veilframe.operators.dictionary import add_term_spans
 from veilframe.operators.redact import HAS_TOKENS, document_order, needs_tokens, occurrences, redact_with_tokens
-from veilframe.session import staged
+from veilframe.session import sensitive, staged
 from veilframe.sources.policies import Policy, load_policy
-from veilframe.sources.tables import repeated_ids
+from veilframe.sources.tables import DOCUMENT_FIELDS, repeated_ids
 from veilframe.sources.terms import read_terms
 from veilframe.sources.vaults import VaultFolder
 
@@ -26,7 +26,8 @@ from veilframe.sources.vaults import VaultFolder
 @dataclass(frozen=True)
 class RunResult:
     """Outcome of a run. ``report``, ``summary``, ``documents`` and ``outputs``
-    hold no raw values; ``findings`` does."""
+    hold no raw values; ``findings`` looks for them again when it is read, and has
+    none for what only the second pass saw."""
 
     run_id: str
     blocked: bool
@@ -56,16 +57,26 @@ def _detected(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...], terms: D
     return detect(add_term_spans(docs, terms, policy), policy, rules, terms="_terms").drop("_terms")
 
 
-def _result(run_id, blocked, detected, found, status, output_name=None, **extra) -> RunResult:
+def _without_values(detected: DataFrame) -> DataFrame:
+    """The documents' fields and spans, but neither texts nor raw values."""
+    bare = F.transform("spans", lambda span: span.withField("value", F.lit(None).cast("string")))
+    return detected.select(*(name for name in DOCUMENT_FIELDS if name not in ("path", "text")), bare.alias("spans"))
+
+
+def _result(run_id, blocked, public, found, status, output_name=None, leaked=None, **extra) -> RunResult:
+    """``public`` has no raw values; ``found`` works them out anew when it is read."""
+    told = findings(public)
+    if leaked is not None:
+        told, found = told.unionByName(leaked), found.unionByName(leaked)
     files = ("source_id", "status", "media_type", "sha256", "error_code", "error_message")
     return RunResult(
         run_id=run_id,
         blocked=blocked,
         findings=found,
-        report=audit.report_findings(found),
-        summary=audit.summary(found, run_id, blocked),
-        documents=detected.select(*files),
-        outputs=audit.document_results(detected, status, output_name),
+        report=audit.report_findings(told),
+        summary=audit.summary(told, run_id, blocked),
+        documents=public.select(*files),
+        outputs=audit.document_results(public, status, output_name),
         **extra,
     )
 
@@ -80,16 +91,17 @@ def scan(
 ) -> RunResult:
     """Find what a release of the documents would have to hide.
 
-    One pass over the texts; what it finds is written once without the texts,
-    and verdict, report and counts read that.
+    One pass over the texts; what it finds is written once, without texts and
+    raw values, and verdict, report and counts read that.
     """
     spark = docs.sparkSession
     policy = load_policy(spark, policy)
     if terms is None:
         terms = read_terms(spark, policy, base)
-    detected = staged(_detected(docs, policy, rules, terms).drop("text"), "scan")
-    blocked = gate.run_verdict(detected, for_release=False).first()["blocked"]
-    return _result(run_id or new_run_id(), blocked, detected, findings(detected), "scanned")
+    detected = _detected(docs, policy, rules, terms)
+    public = staged(_without_values(detected), "scan")
+    blocked = gate.run_verdict(public, for_release=False).first()["blocked"]
+    return _result(run_id or new_run_id(), blocked, public, findings(detected), "scanned")
 
 
 def prepare(
@@ -109,42 +121,49 @@ def prepare(
 
     A fail finding, an unreadable document or a leak found by the second pass
     blocks the run: no text is written and the vault stays as it is.  Otherwise
-    the sanitized texts go to ``output`` and the new tokens into the vault folder.
+    the new tokens go into the vault folder and then the sanitized texts to
+    ``output``; a run that finds the vault changed raises before any text is
+    written.  Tables with raw values that the run stages are deleted when it ends, whatever its end.
     ``bundle`` also writes the texts as one ordered bundle, for which they have to
     be sorted by source id.
     """
     spark = docs.sparkSession
     policy = load_policy(spark, policy)
-    run_id = run_id or new_run_id()
+    run_id = audit.checked_run_id(run_id or new_run_id())
     if terms is None:
         terms = read_terms(spark, policy, base)
     if not repeated_ids(docs).isEmpty():
         raise ValueError("source ids repeat; a document would replace another")
     state = vault.load() if isinstance(vault, VaultFolder) else vault
-    detected = _detected(docs, policy, rules, terms).withColumn(HAS_TOKENS, needs_tokens())
-    detected = staged(detected, "prepare", HAS_TOKENS)
-    found = findings(detected)
-    if gate.run_verdict(detected, for_release=True).first()["blocked"]:
-        return _result(run_id, True, detected, found, "prepared")
-
-    assignment = tokens.assign_tokens(occurrences(detected, document_order()), state, key, run_id, prefix)
-    sanitized = staged(
-        redact_with_tokens(detected, assignment.tokens, prefix).select("source_id", "path", "text"), "sanitized"
-    )
-    again = None if terms is None else (lambda sections: add_term_spans(sections, terms, policy))
-    leaked = staged(gate.leaks(sanitized, policy, rules, again), "leaks")
-    if not leaked.isEmpty():
-        return _result(run_id, True, detected, found.unionByName(leaked.drop("section")), "prepared")
-
-    name = None
-    if output:
-        audit.write_documents(sanitized, f"{output}/documents", run_id)
-        if bundle:
-            audit.write_bundle(sanitized, f"{output}/bundle/run_id={run_id}")
-        name = F.concat(F.lit(f"{output}/documents/run_id={run_id}#"), audit.output_name(F.col("source_id")))
-    if isinstance(vault, VaultFolder):
-        vault.append(state, assignment)
-    return _result(run_id, False, detected, found, "prepared", name, sanitized=sanitized, assignment=assignment)
+    again = _detected(docs, policy, rules, terms)
+    found = findings(again)
+    with sensitive(spark) as raw:
+        raw.add("prepare")
+        detected = staged(again.withColumn(HAS_TOKENS, needs_tokens()), "prepare", HAS_TOKENS)
+        public = staged(_without_values(detected), "report")
+        if gate.run_verdict(public, for_release=True).first()["blocked"]:
+            return _result(run_id, True, public, found, "prepared")
+
+        assignment = tokens.assign_tokens(occurrences(detected, document_order()), state, key, run_id, prefix)
+        bare = detected.select("source_id", "text", "spans", HAS_TOKENS)
+        sanitized = redact_with_tokens(bare, assignment.tokens, prefix).select("source_id", "text")
+        sanitized = staged(sanitized, "sanitized")
+        terms_again = None if terms is None else (lambda sections: add_term_spans(sections, terms, policy))
+        leaked = gate.leaks(sanitized, policy, rules, terms_again).drop("section")
+        leaked = staged(leaked.withColumn("value", F.lit(None).cast("string")), "leaks")
+        if not leaked.isEmpty():
+            raw.add("sanitized")
+            return _result(run_id, True, public, found, "prepared", leaked=leaked)
+
+        if isinstance(vault, VaultFolder):
+            vault.append(state, assignment)
+        name = None
+        if output:
+            audit.write_documents(sanitized, f"{output}/documents", run_id)
+            if bundle:
+                audit.write_bundle(sanitized, f"{output}/bundle/run_id={run_id}")
+            name = F.concat(F.lit(f"{output}/documents/run_id={run_id}#"), audit.output_name(F.col("source_id")))
+        return _result(run_id, False, public, found, "prepared", name, sanitized=sanitized, assignment=assignment)
 
 
 def restore(

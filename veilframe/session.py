@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,20 +45,41 @@ def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables this process has staged; returns their number.
 
     Results of earlier runs read from them, so write what is to be kept first.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     dropped = 0
     while _STAGED:
-        path = hadoop.Path(_STAGED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _STAGED.pop())
         dropped += 1
     return dropped
 
 
+@contextmanager
+def sensitive(spark: SparkSession) -> Iterator[set[str]]:
+    """Labels added to the result name tables, staged inside, that hold raw values: they are deleted at the end.  Should
+    the block fail, all tables staged inside are."""
+    before, labels, done = len(_STAGED), set(), False
+    try:
+        yield labels
+        done = True
+    finally:
+        mine, _STAGED[before:] = _STAGED[before:], []
+        for path in mine:
+            label = path.rsplit("/", 1)[1].split("-", 1)[1].rsplit("-", 1)[0]
+            if not done or label in labels:
+                _delete(spark, path)
+            else:
+                _STAGED.append(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a scanned table that arrives in fewer partitions than
     there are cores (one small file, one compressed file).  Detection costs far

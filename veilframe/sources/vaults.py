@@ -1,15 +1,17 @@
 """A vault kept in a folder: written next to the old state, then committed.
 
-Every change writes its tables under a new version and only then appends the
-version to ``commits``; a run that dies in between leaves the old state valid.
+Every change writes its tables under a new folder and only then creates the
+marker file of its version, which one run alone can do; a run that dies in between,
+or comes second, leaves the old state valid.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.operators.tokens import (
@@ -19,9 +21,11 @@ from veilframe.operators.tokens import (
     Assignment,
     Vault,
     empty_vault,
+    with_assignment,
 )
 
-COMMITS_SCHEMA = "version int, base int, folder string"
+#: After so many additions the next one writes the whole state, so that loading reads few folders.
+COMPACT_EVERY = 32
 
 
 class VaultChanged(RuntimeError):
@@ -30,68 +34,95 @@ class VaultChanged(RuntimeError):
 
 @dataclass(frozen=True)
 class VaultFolder:
-    """Meant for one writing run at a time.  A run that finds a newer state than
-    it started from adds nothing; should two runs still commit at the same
-    moment, the vault refuses to load rather than lose one of them."""
+    """Any number of runs may work from the same state; the first to commit wins and the others raise
+    :class:`VaultChanged` and leave nothing behind."""
 
     spark: SparkSession
     path: str
 
-    def _commits(self) -> list[tuple[int, int, str]]:
-        """(version, base, folder) of all commits in order, one per run."""
-        try:
-            commits = self.spark.read.schema(COMMITS_SCHEMA).parquet(f"{self.path}/commits")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _versions(self) -> list[int]:
+        files, folder = self._hadoop("commits")
+        if not files.exists(folder):
             return []
-        rows = sorted(tuple(row) for row in commits.collect())
-        if len({version for version, _, _ in rows}) < len(rows):
-            raise VaultChanged("two runs committed the same version; remove one of them from commits")
-        return rows
+        names = (status.getPath().getName() for status in files.listStatus(folder))
+        return sorted(int(name) for name in names if name.isdigit())
+
+    def _commit(self, version: int) -> tuple[int, str]:
+        """(base, folder): the version from which on a state's folders count, and the folder this one added."""
+        files, marker = self._hadoop(f"commits/{version:06d}")
+        stream = files.open(marker)
+        try:
+            content = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if not content:
+            raise VaultChanged(f"version {version} is being committed; try again")
+        entry = json.loads(content)
+        return entry["base"], entry["folder"]
+
+    def _claim(self, version: int, base: int, folder: str) -> None:
+        files, marker = self._hadoop(f"commits/{version:06d}")
+        try:
+            # The option asks object stores that can for a conditional put; other stores ignore it.
+            builder = files.createFile(marker).recursive().overwrite(False)
+            out = builder.opt("fs.option.create.conditional.overwrite", True).build()
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                raise VaultChanged(f"another run committed version {version}") from None
+            raise
+        out.write(bytearray(json.dumps({"base": base, "folder": folder}).encode()))
+        out.close()
 
     def _table(self, name: str, schema: str, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{folder}/{name}" for folder in folders))
 
     def exists(self) -> bool:
-        return bool(self._commits())
+        return bool(self._versions())
 
     def load(self) -> Vault:
-        commits = self._commits()
-        if not commits:
+        versions = self._versions()
+        if not versions:
             return empty_vault(self.spark)
-        version, base, last = commits[-1]
-        folders = [folder for number, _, folder in commits if number >= base]
+        base, last = self._commit(versions[-1])
+        folders = [self._commit(version)[1] for version in versions if base <= version < versions[-1]] + [last]
         return Vault(
             self._table("token_map", MAP_SCHEMA, folders),
             self._table("token_runs", RUNS_SCHEMA, folders),
             self._table("counters", COUNTERS_SCHEMA, [last]),
-            version,
+            versions[-1],
         )
 
-    def _write(self, expected: int, full: bool, token_map, token_runs, counters) -> int:
+    def _write(self, expected: int, base: int, token_map, token_runs, counters) -> int:
         version = expected + 1
         folder = f"v{version:06d}-{uuid.uuid4().hex}"
-
-        def base() -> int:
-            commits = self._commits()
-            latest = commits[-1][0] if commits else 0
-            if latest != expected:
-                raise VaultChanged(f"vault is at version {latest}, the run started from {expected}")
-            return version if full or not commits else commits[-1][1]
-
-        base()
-        for name, table in (("token_map", token_map), ("token_runs", token_runs), ("counters", counters)):
-            table.write.parquet(f"{self.path}/{folder}/{name}")
-        commit = self.spark.createDataFrame([(version, base(), folder)], COMMITS_SCHEMA)
-        commit.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        self._commits()
+        try:
+            for name, table in (("token_map", token_map), ("token_runs", token_runs), ("counters", counters)):
+                self._check(expected)
+                table.write.parquet(f"{self.path}/{folder}/{name}")
+            self._claim(version, base, folder)
+        except Exception:
+            files, own = self._hadoop(folder)
+            files.delete(own, True)
+            raise
         return version
 
+    def _check(self, expected: int) -> None:
+        latest = max(self._versions(), default=0)
+        if latest != expected:
+            raise VaultChanged(f"vault is at version {latest}, the run started from {expected}")
+
     def append(self, vault: Vault, assignment: Assignment) -> int:
-        """Commit what a run adds; only new rows are written."""
-        return self._write(vault.version, False, assignment.new_map, assignment.new_runs, assignment.counters)
+        """Commit what a run adds; only new rows are written, but for every ``COMPACT_EVERY``-th time."""
+        self._check(vault.version)
+        base = self._commit(vault.version)[0] if vault.version else 1
+        if vault.version + 1 - base >= COMPACT_EVERY:
+            return self.overwrite(with_assignment(vault, assignment))
+        return self._write(vault.version, base, assignment.new_map, assignment.new_runs, assignment.counters)
 
     def overwrite(self, vault: Vault) -> int:
         """Commit a changed vault (purge, re-key) as a full new state."""
-        return self._write(vault.version, True, vault.token_map, vault.token_runs, vault.counters)
+        return self._write(vault.version, vault.version + 1, vault.token_map, vault.token_runs, vault.counters)
