@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.session import spread
 
-#: What may stand between words: space and the control characters 9 to 13.
-SPACES = " \t\n\x0b\x0c\r"
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+# Results go back when so much text has been read, so that long texts don't pile up in a worker.
+RETURNED_CHARS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +36,30 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]],
         one = make()
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            if len(texts):
-                values = list(zip(*(one(text.as_py()) for text in texts), strict=True))
-                arrays = [pa.array(column) for column in values]
-                yield pa.RecordBatch.from_arrays([ids, *arrays], ["doc_id", *names])
+            values, start, chars = [], 0, 0
+            for at, text in enumerate(texts):
+                text = text.as_py()
+                values.append(one(text))
+                chars += len(text or "")
+                if chars > RETURNED_CHARS or at + 1 == len(texts):
+                    arrays = [pa.array(column) for column in zip(*values, strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids[start : at + 1], *arrays], ["doc_id", *names])
+                    values, start, chars = [], at + 1, 0
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, {fields}")
+
+
+def per_value(column: Column | str, make: Callable[[], Callable[[str | None], object]], kind: str) -> Column:
+    """A column made by a function of the whole text in ``column``, for rows that keep their other columns.
+
+    ``make`` runs once in each task and returns the function.
+    """
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = make()
+        for part in parts:
+            yield pd.Series([one(text) for text in part], dtype=object)
+
+    return run(column)

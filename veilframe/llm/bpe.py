@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm.batches import per_text, texts_of
 
-#: Encodings of short pre-tokens that a worker remembers.
+#: Encodings of short pre-tokens that a worker remembers, twice: the newest and those before.
 CACHED = 1 << 18
 CACHED_CHARS = 64
 # Longer texts are cut into pre-tokens one by one.
@@ -37,6 +38,7 @@ class Vocabulary(dict):
 
     def __init__(self, content: bytes):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         data = json.loads(content)
         model, splitter = data["model"], data["pre_tokenizer"]
         if model["type"] != "BPE" or splitter["type"] != "ByteLevel" or data["normalizer"] or model.get("ignore_merges"):
@@ -46,8 +48,10 @@ class Vocabulary(dict):
         ids = model["vocab"]
         letters = byte_letters()
         self.first = [ids[letter] for letter in letters]
-        pairs = (pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.base = max(ids.values()) + 1
+        self.ranks = {ids[a] * self.base + ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
         byte_of = {letter: byte for byte, letter in enumerate(letters)}
         self.special = {token["content"]: token["id"] for token in data["added_tokens"]}
         strings = {number: bytes(byte_of[c] for c in string) for string, number in ids.items()}
@@ -58,9 +62,14 @@ class Vocabulary(dict):
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.merged(piece.encode("utf-8", "replace")), "<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.merged(piece.encode("utf-8", "replace"))
+            packed = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED:
+                # What has been used since the last time stays in reach.
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -69,35 +78,39 @@ class Vocabulary(dict):
         """Ids of one pre-token.
 
         Symbols form a doubly linked list.  A queue holds the pairs that can be
-        merged by rank, then place; an entry whose symbols have changed since is stale and skipped.
+        merged by rank, then place, both in one number; an entry whose symbols
+        no longer have that rank is stale and skipped.
         """
-        merges = self.merges
-        symbols = [self.first[byte] for byte in text]
+        ranks, base, first = self.ranks, self.base, self.first
+        symbols = [first[byte] for byte in text]
         size = len(symbols)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         queue = []
         for at in range(size - 1):
-            pair = symbols[at], symbols[at + 1]
-            if pair in merges:
-                queue.append((merges[pair][0], at, pair))
+            rank = ranks.get(symbols[at] * base + symbols[at + 1])
+            if rank is not None:
+                queue.append(rank * size + at)
+        if not queue:
+            return symbols
         heapify(queue)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         while queue:
-            _, at, pair = heappop(queue)
+            rank, at = divmod(heappop(queue), size)
             right = after[at]
-            if symbols[at] != pair[0] or right >= size or symbols[right] != pair[1]:
+            if symbols[at] < 0 or right >= size or ranks.get(symbols[at] * base + symbols[right]) != rank:
                 continue
-            symbols[at], symbols[right] = merges[pair][1], -1
+            symbol = symbols[at] = self.made[rank]
+            symbols[right] = -1
             after[at] = right = after[right]
             if right < size:
                 before[right] = at
-                pair = symbols[at], symbols[right]
-                if pair in merges:
-                    heappush(queue, (merges[pair][0], at, pair))
+                rank = ranks.get(symbol * base + symbols[right])
+                if rank is not None:
+                    heappush(queue, rank * size + at)
             left = before[at]
             if left >= 0:
-                pair = symbols[left], symbols[at]
-                if pair in merges:
-                    heappush(queue, (merges[pair][0], left, pair))
+                rank = ranks.get(symbols[left] * base + symbol)
+                if rank is not None:
+                    heappush(queue, rank * size + left)
         return [symbol for symbol in symbols if symbol >= 0]
 
     def parts(self, text: str) -> Iterable[tuple[str, int | None]]:
@@ -176,3 +189,19 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
     fields = tokens.select("doc_id", "ids")
     return fields.mapInArrow(run, f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``ids`` as ``encoded`` gives them and ``text`` as ``decoded`` does, made in one task."""
+    shared = SharedVocabulary(docs.sparkSession, path)
+
+    def make():
+        vocabulary = shared.get()
+
+        def both(text):
+            ids = vocabulary.encode(text)
+            return ids, vocabulary.decode(ids)
+
+        return both
+
+    return per_text(texts_of(docs, id_col, text_col), make, "ids binary, text string")

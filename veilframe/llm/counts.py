@@ -43,15 +43,17 @@ class Lengths(dict):
 
     def __init__(self, frequent: PackedLengths, vocabulary: Vocabulary):
         super().__init__(frequent.table())
-        self.vocabulary, self.cache = vocabulary, {}
+        self.vocabulary, self.cache, self.older = vocabulary, {}, {}
 
     def __missing__(self, piece: str) -> int:
         length = self.cache.get(piece)
         if length is None:
-            length = len(self.vocabulary.merged(piece.encode("utf-8", "replace")))
+            length = self.older.get(piece)
+            if length is None:
+                length = len(self.vocabulary.merged(piece.encode("utf-8", "replace")))
             if len(piece) <= CACHED_CHARS:
                 if len(self.cache) >= CACHED:
-                    self.cache.clear()
+                    self.cache, self.older = {}, self.cache
                 self.cache[piece] = length
         return length
 

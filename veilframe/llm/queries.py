@@ -36,18 +36,19 @@ def op2_chat(spark, sf_dir):
     return chat.read_back(chat.examples(turns.unionByName(marked)))
 
 
-def bpe_digests(tokens: DataFrame) -> DataFrame:
+def bpe_digests(tokens: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of encoded and decoded texts."""
     return tokens.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
 def op3_bpe(spark, sf_dir):
-    return bpe_digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary()), vocabulary()))
+    return bpe_digests(bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op4_quality(spark, sf_dir):
