@@ -3,12 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from veilframe.llm import bpe, exact, language, mixing, queries, simhash
+from veilframe.session import staged
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a clear margin; those without letters go too."""
+    return language.accepted(docs)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z in either case) the document with the largest id."""
+    return exact.without_duplicates(docs)
+
+
+def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return simhash.without_near_duplicates(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document; ``n_chars`` is that of the text as taken."""
+    return mixing.mixture(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and the ``ids`` of each row."""
+    return queries.bpe_digests(bpe.round_trip(docs, queries.vocabulary()), "ids")
+
+
+STAGES = [
+    ("language", known_languages),
+    ("exact", distinct_texts),
+    ("simhash", distinct_fingerprints),
+    ("mixing", mixed_sources),
+    ("bpe", token_ids),
+]
 #: Compression sizes, fingerprints and tokens are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    raise NotImplementedError
+    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

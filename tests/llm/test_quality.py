@@ -1,0 +1,89 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veilframe.llm import quality
+from veilframe.llm.batches import table
+
+SF = "/root/testdata/sf0.01"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    return quality.quality(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()
+
+
+def test_held_out_quality_is_told(spark, found):
+    marks = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
+    assert len(found) == 1000
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
+    held = [(r.score, marks[r.doc_id]) for r in found if r.held_out and r.doc_id in marks]
+    ones, zeros = ([s for s, y in held if y == k] for k in (1, 0))
+    assert np.mean([a > b for a in ones for b in zeros]) > 0.9
+
+
+def test_runs_agree_and_only_texts_decide(spark, found):
+    docs = table(spark, SF, "documents").withColumn("lang", F.lit("x")).withColumn("score", F.lit("y")).repartition(3)
+    again = quality.quality(docs, table(spark, SF, "labels")).collect()
+    scores = {r.doc_id: r.score for r in found}
+    assert max(abs(scores[r.doc_id] - r.score) for r in again) < 1e-3
+
+
+def test_word_vectors_are_sums_over_neighbours(spark, monkeypatch):
+    texts = ["a b c d a b", "A b", "x", "", None, "THE the !!", "a " * 300]
+    places, signs = quality.index_vectors()
+    index = np.zeros((quality.WORDS, quality.DIMS))
+    for word in range(quality.WORDS):
+        np.add.at(index[word], places[word], signs[word])
+    expected = np.zeros((quality.WORDS, quality.DIMS))
+    for text in texts:
+        ids = [quality.Words()[t] for t in quality._TOKENS.findall(text or "")]
+        for i, word in enumerate(ids):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if i != j:
+                    expected[word] += index[ids[j]]
+    import pyarrow as pa
+
+    for chunk in (quality.CHUNK, 5):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        (out,) = quality.context_sums([pa.record_batch({"text": pa.array(texts, pa.string())})])
+        sums = np.zeros((quality.WORDS // quality.SLAB, quality.SLAB * quality.DIMS))
+        for slab, part in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            sums[slab] = np.frombuffer(part, "<f4")
+        assert np.allclose(sums.reshape(expected.shape), expected)
+
+
+def test_pooling_does_not_depend_on_chunks(monkeypatch):
+    vectors = np.random.default_rng(1).normal(size=(quality.WORDS, quality.DIMS)).astype(np.float32)
+    text = " ".join(f"word{i % 13}" for i in range(100))
+    whole = quality.pooled(text, vectors)
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert np.allclose(quality.pooled(text, vectors), whole)
+    assert not quality.pooled(None, vectors).any() and not quality.pooled(" ", vectors).any()
+
+
+def test_temperature_calibrates():
+    random = np.random.default_rng(2)
+    features = random.normal(size=(4000, 5))
+    chance = 1 / (1 + np.exp(-2 * features[:, 0]))
+    labels = (random.random(4000) < chance).astype(float)
+    model = quality.Network(features, labels)
+    scores = model.scores(features)
+    for low, high in ((0, 0.2), (0.2, 0.5), (0.5, 0.8), (0.8, 1)):
+        inside = (scores >= low) & (scores < high)
+        assert abs(scores[inside].mean() - labels[inside].mean()) < 0.08
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "short"), (None, "no id"), (5, "word " * 100_000), (3, "short"), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("features", F.lit(1))
+    for marks, score in (([], 0.5), ([(3, 1, 0), (2, 1, 0)], 1.0), ([(3, None, 0), (2, 7, 0)], 0.5)):
+        got = quality.quality(docs, spark.createDataFrame(marks, LABELS)).collect()
+        assert len(got) == len(rows) and {r.score for r in got} == {score}
+    mixed = quality.quality(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(1, 6)] + [(3, 0, 0), (None, 1, 0)], LABELS))
+    assert all(0 <= r.score <= 1 for r in mixed.collect())
+    assert quality.quality(docs.limit(0), spark.createDataFrame([], LABELS)).count() == 0

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.batches import per_text, texts_of
+from veilframe.llm.batches import per_text, per_value, texts_of
 
 #: What the classifier may learn from: passages per language, their length, and languages (the most frequent ones).
 PASSAGES = 600
@@ -78,8 +78,8 @@ def learned(
 ) -> Languages:
     """Dictionaries from ``passages`` documents of each language, chosen by a hash of their ids among all that are not held out.
 
-    Each gives ``PASSAGE_CHARS`` characters from a third of its length on; only
-    documents with text count.  At most ``LANGUAGES`` languages are learned.
+    Each gives ``PASSAGE_CHARS`` characters from a third of its length on, or its last ones if there are
+    fewer; only documents with text count.  At most ``LANGUAGES`` languages are learned.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
@@ -92,7 +92,7 @@ def learned(
     )
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.withColumn("place", place).join(F.broadcast(bounds), "lang").where(F.col("place") < F.col("bound") * (1 << 30))
-    start = F.floor(F.length("text") / 3).cast("int") + 1
+    start = F.greatest(F.lit(0), F.least(F.floor(F.length("text") / 3).cast("int"), F.length("text") - PASSAGE_CHARS)) + 1
     chosen = chosen.select("lang", "place", "doc_id", F.substring("text", start, F.lit(PASSAGE_CHARS)).alias("passage"))
     best = Window.partitionBy("lang").orderBy("place", "doc_id", "passage")
     rows = chosen.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= passages).collect()
@@ -102,6 +102,34 @@ def learned(
     return Languages(texts)
 
 
+def _classifier(docs: DataFrame, model: Languages):
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        known = shared.value
+        if known.key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[known.key] = known.compressors()
+        compressors = _LOADED[known.key]
+        return lambda text: known.classify(text, compressors)
+
+    return make
+
+
+def accepted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Languages | None = None
+) -> DataFrame:
+    """The rows of ``docs`` that ``languages`` does not reject, with all their columns and without a shuffle."""
+    classifier = _classifier(docs, learned(docs, id_col, text_col, lang_col) if model is None else model)
+
+    def make():
+        classify = classifier()
+        return lambda text: not classify(text)[2]
+
+    rows = docs.select(F.struct("*").alias("row"), per_value(F.col(text_col), make, "boolean").alias("kept"))
+    return rows.where("kept").select("row.*")
+
+
 def languages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Languages | None = None
 ) -> DataFrame:
@@ -116,17 +144,7 @@ def languages(
     nor held out.  Rows stay as they are, repeated ones too; other columns, ``lang``
     and ``source`` among them, play no part in a prediction.  Nothing is shuffled but the learned passages.
     """
-    model = learned(docs, id_col, text_col, lang_col) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        known = shared.value
-        if known.key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[known.key] = known.compressors()
-        compressors = _LOADED[known.key]
-        return lambda text: known.classify(text, compressors)
-
+    make = _classifier(docs, learned(docs, id_col, text_col, lang_col) if model is None else model)
     found = per_text(texts_of(docs, id_col, text_col), make, "lang_pred string, margin double, rejected boolean")
     score = F.least(F.lit(1.0), 4 * F.col("margin"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", score.alias("score"), "rejected")

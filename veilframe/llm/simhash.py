@@ -8,10 +8,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.batches import per_text, texts_of
+from veilframe.llm.batches import per_text, per_value, texts_of
 from veilframe.llm.components import components
 from veilframe.operators.skew import join_skewed
 from veilframe.session import staged
@@ -275,6 +275,15 @@ def _compared(copies: DataFrame, max_bits: int, limit: int | None) -> DataFrame:
     return dealt.mapInArrow(compare_cells(max_bits, limit), LINK)
 
 
+def _rooted(prints: DataFrame, max_bits: int, cell_limit: int) -> DataFrame:
+    """``fp``, ``doc`` (its smallest id), ``rows``, ``root`` (of its component) of each distinct fingerprint."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"))
+    distinct = staged(distinct, "distinct")
+    roots = components(links(distinct, max_bits, cell_limit))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return staged(rooted.select("fp", "doc", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -295,17 +304,39 @@ def near_duplicates(
     Other columns are ignored.  Only distinct fingerprints are copied and compared.
     """
     prints = staged(fingerprints(texts_of(docs, id_col, text_col), width), "prints")
-    distinct = staged(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows")), "distinct"
-    )
-    roots = components(links(distinct, max_bits, cell_limit))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "doc", "rows", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = staged(rooted, "rooted")
+    rooted = _rooted(prints, max_bits, cell_limit)
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("members"))
     labels = join_skewed(rooted, least, ["root"], "members", ["fp"]).select("fp", "rows", "component_id")
     labels = staged(labels, "labelled")
     return join_skewed(prints, labels, ["fp"], "rows", ["doc_id"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+    cell_limit: int = CELL_LIMIT,
+) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all columns of ``docs``: the one with the smallest id.
+
+    Of rows that share that id and fingerprint one stays; a component without any id
+    keeps a row too.  The kept fingerprint and id of each component meet the
+    documents by both, so a component of any size is spread.
+    """
+    prints = staged(fingerprints(texts_of(docs, id_col, text_col), width), "prints")
+    rooted = _rooted(prints, max_bits, cell_limit)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "fp")).alias("first"))
+    first = first.select("first.fp", F.coalesce("first.doc", F.lit(0)).alias("doc"), "first.none")
+    whole = docs.select(
+        F.struct("*").alias("row"),
+        per_value(F.col(text_col), lambda: lambda text: fingerprint(text, width), "long").alias("fp"),
+        F.coalesce(F.col(id_col), F.lit(0)).alias("doc"),
+        F.col(id_col).isNull().alias("none"),
+    )
+    keys = ["fp", "doc", "none"]
+    kept = whole.join(first, keys).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    return kept.where("nth = 1").select("row.*")
