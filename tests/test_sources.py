@@ -12,7 +12,7 @@ from veilframe.plans.runs import prepare, scan
 from veilframe.functions.crypto import vault_key
 from veilframe.operators.tokens import empty_vault
 from veilframe.sources.files import extract, read_documents, read_files
-from veilframe.sources.policies import Policy, load_policy
+from veilframe.sources.policies import STRICT_DICTIONARIES, Policy, load_policy
 from veilframe.sources.tables import documents
 from veilframe.sources.terms import read_terms
 
@@ -143,20 +143,54 @@ def test_json_lines_give_a_document_per_line(spark):
     assert len(docs) == 3
 
 
-def test_delimited_text_equals_the_csv_module(spark):
+def test_json_lines_without_a_line_are_an_error(spark):
+    docs = by_id(extract(contents(spark, {"/r/a.jsonl": b"", "/r/b.jsonl": b"\n \r\n", "/r/c.jsonl": b"{}"}), "/r"))
+    assert {name: row["error_code"] for name, row in docs.items()} == {
+        "a.jsonl": "extract_failed", "b.jsonl": "extract_failed", "c.jsonl:1": None,
+    }
+
+
+def test_half_a_surrogate_pair_is_an_error(spark):
+    docs = by_id(extract(contents(spark, {"/r/a.json": b'{"a":"\\ud800"}', "/r/b.json": b'{"a":"\\ud83d\\ude00"}'}), "/r"))
+    assert docs["a.json"]["error_code"] == "extract_failed" and docs["a.json"]["text"] == ""
+    assert docs["b.json"]["text"] == '{\n  "a": "😀"\n}'
+
+
+def test_files_are_read_in_one_scan(spark, folder):
+    write(folder / "in/a.jsonl", "{}\n{}")
+    write(folder / "in/b.csv", "a,b")
+    docs = read_documents(spark, [str(folder / "in")], str(folder))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("binaryFile") == 1 and plan.count("MapInPandas") == 0
+    assert len(docs.collect()) == 3
+
+
+def test_files_of_a_file_system_that_only_spark_knows(spark, folder):
+    write(folder / "in/a.txt", "one")
+    write(folder / "in/_b.txt", "two")
+    write(folder / "in/_c/d.txt", "three")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./in", f"file://{folder}/in")
+    docs = by_id(read_documents(spark, ["viewfs://tests/in"], "viewfs://tests"))
+    assert docs["in/a.txt"]["text"] == "one"
+    # No reader here opens these two, so they stop a release instead of going unseen.
+    assert {docs[name]["error_code"] for name in ("in/_b.txt", "in/_c/d.txt")} == {"extract_failed"}
+    assert len(docs) == 3
+
+
+def test_delimited_text_equals_the_csv_module(spark, request):
     rng = random.Random(7)
     parts = ["a", "b b", '"', '""', ",", ",", "\n", "\r\n", "\r", "\t", 'x"y', '"q"', '"a,b"', '"l\nm"', " ", "é😀", "'", "|", "\\"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
     texts += ["", "\n", "a,", "a,b\n", '"open', '"open\n', '"' + '""' * 60000 + '"', '"' + "x" * 131073 + '"']
+    texts.append("a," + "y" * 300_000 + ",b\n")
     frame = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(8)
+    before = csv.field_size_limit(1 << 30)  # cells of any length are read
+    request.addfinalizer(lambda: csv.field_size_limit(before))
     for separator, dialect in ((",", "excel"), (r"\t", "excel-tab")):
         got = {row[0]: row[1] for row in frame.select("n", F.expr(flattened_sql("t", separator))).collect()}
         for n, text in enumerate(texts):
-            try:
-                rows = csv.reader(io.StringIO(text, newline=""), dialect=dialect)
-                expected = "\n".join(" | ".join(row) for row in rows)
-            except csv.Error:
-                expected = None
+            rows = csv.reader(io.StringIO(text, newline=""), dialect=dialect)
+            expected = "\n".join(" | ".join(row) for row in rows)
             assert got[n] == expected, repr(text[:80])
 
 
@@ -189,6 +223,22 @@ def test_policies(spark, folder):
     assert [row[0] for row in actions.select(mine.action_column(F.col("e"))).collect()] == ["mask", "fail", "redact"]
 
 
+def test_policies_of_a_wrong_shape_are_refused(spark):
+    for data in ({"entities": ["PERSON"]}, {"fail_on": "PERSON"}, {"custom_terms": {"a": 1}}, {"custom_terms": ["a.csv"]}, {"default_action": []}):
+        with pytest.raises(ValueError):
+            load_policy(spark, data)
+    empty = load_policy(spark, {"entities": None, "fail_on": None, "other": 1})
+    assert (empty.name, empty.default_action, empty.entity_types()) == ("custom", "replace", [])
+
+
+def test_the_built_in_policy_reads_its_term_lists(spark, folder):
+    for name, _ in STRICT_DICTIONARIES:
+        write(folder / name, f"name\nsomeone of {name.rsplit('/')[-1]}\n")
+    docs = documents(spark.createDataFrame([("a", "x someone of employees.csv y")], "id string, t string"), "id", "t")
+    assert [(r.entity_type, r.value) for r in scan(docs, base=str(folder)).findings.collect()] == [("PERSON", "someone of employees.csv")]
+    assert scan(docs, base=str(folder / "nothing")).findings.isEmpty()
+
+
 def test_dictionary_files(spark, folder):
     write(folder / "names.csv", b"\xef\xbb\xbfname\n  Ada Lovelace ,x\n\n\"Grace, H\"\nVALUE\nAda Lovelace\n")
     policy = Policy(dictionaries=(("missing.csv", "ORG"), ("names.csv", "PERSON")))

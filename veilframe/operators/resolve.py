@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from veilframe.functions.spans import NO_SPANS, blocks_of
 
+# A cluster of more spans is looked at through slots of its length.
+FEW = 64
+
+
 def _greedy(cluster: str) -> str:
     """Accept the spans of a cluster best first, each unless it overlaps one
     accepted before.  Best: fail action, confidence, length, entity priority,
@@ -11,11 +15,35 @@ def _greedy(cluster: str) -> str:
     ranked = f"""sort_array(transform({cluster}, e -> named_struct(
         'soft', if(e.span.action = 'fail', 0, 1), 'confidence', -e.span.confidence, 'length', e.start - e.end,
         'priority', -e.span.priority, 'place', e.span.place, 'found', e.found, 'span', e.span)))"""
-    return f"""if(size({cluster}) = 1, transform({cluster}, e -> e.span), sort_array(aggregate(
+    few = f"""sort_array(aggregate(
         {ranked},
         {NO_SPANS},
         (kept, k) -> if(
-            exists(kept, a -> a.start < k.span.end and k.span.start < a.end), kept, concat(kept, array(k.span))))))"""
+            exists(kept, a -> a.start < k.span.end and k.span.start < a.end), kept, concat(kept, array(k.span)))))"""
+    return f"""if(size({cluster}) = 1, transform({cluster}, e -> e.span),
+        if(size({cluster}) <= {FEW}, {few}, {_greedy_by_slots(cluster, ranked)}))"""
+
+
+def _greedy_by_slots(cluster: str, ranked: str) -> str:
+    """The same choice for a large cluster.  Its length is cut into as many slots
+    as the root of its size; accepted spans stand in all slots they touch, and a
+    span is compared with those in its own slots only.  Accepted spans are
+    apart, so few slots hold many and all slots together hold hardly more than there are spans."""
+    shape = f"""named_struct('low', {cluster}[0].start, 'slots', cast(ceil(sqrt(size({cluster}))) as int), 'width',
+        cast(ceil((array_max({cluster}.end) - {cluster}[0].start) / ceil(sqrt(size({cluster})))) as int))"""
+    first, last = "((k.span.start - z.low) div z.width)", "((k.span.end - 1 - z.low) div z.width)"
+    empty = f"transform(sequence(1, z.slots), i -> {NO_SPANS})"
+    clash = f"""exists(slice(slots, cast({first} + 1 as int), cast({last} - {first} + 1 as int)),
+        slot -> exists(slot, a -> a.start < k.span.end and k.span.start < a.end))"""
+    # Most spans stand in one slot, which is replaced without a look at the others.
+    at = f"cast({first} as int)"
+    one = f"""concat(slice(slots, 1, {at}), array(concat(slots[{at}], array(k.span))),
+        slice(slots, {at} + 2, size(slots)))"""
+    many = f"transform(slots, (slot, i) -> if(i between {first} and {last}, concat(slot, array(k.span)), slot))"
+    placed = f"if({first} = {last}, {one}, {many})"
+    own = "filter(slot, a -> (a.start - z.low) div z.width = i)"
+    return f"""transform(array({shape}), z -> sort_array(flatten(transform(
+        aggregate({ranked}, {empty}, (slots, k) -> if({clash}, slots, {placed})), (slot, i) -> {own}))))[0]"""
 
 
 def _clustered(spans: str) -> str:

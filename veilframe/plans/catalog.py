@@ -13,7 +13,7 @@ from veilframe.functions.rules import rules_for, rules_named
 from veilframe.functions.spans import NO_SPANS, SPANS_TYPE, evaluated_once
 from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings, has_fail
-from veilframe.operators.dictionary import term_findings, with_term_spans
+from veilframe.operators.dictionary import add_term_spans, term_findings
 from veilframe.operators.redact import HAS_TOKENS, needs_tokens, occurrences, redact, redact_with_tokens
 from veilframe.operators.resolve import resolve_sql
 from veilframe.plans import runs
@@ -120,7 +120,7 @@ def _ordered_by(spark, sf_dir) -> DataFrame:
 
 def dictionary_scan(spark, sf_dir):
     terms = _terms(table(spark, sf_dir, "customer"), "c_name", "PERSON")
-    docs = with_term_spans(_ordered_by(spark, sf_dir), terms, POLICY)
+    docs = add_term_spans(_ordered_by(spark, sf_dir), terms, POLICY)
     return spans_out(findings(detect(docs, POLICY, terms="_terms")))
 
 
@@ -138,7 +138,7 @@ def dictionary_products(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     lines = spread(table(spark, sf_dir, "lineitem")).join(parts.select("p_partkey", "p_name", "p_type"), F.expr("l_partkey = p_partkey"))
     docs = documents(lines, F.expr(LINE_KEY), F.expr("concat('ship ', p_name, ' (', p_type, '), spare ', p_name)"))
-    docs = with_term_spans(docs, _terms(parts, "p_name", "PROJECT"), POLICY)
+    docs = add_term_spans(docs, _terms(parts, "p_name", "PROJECT"), POLICY)
     found = docs.select(F.inline("_terms"))
     return found.groupBy("value", "start", "end").agg(F.count(F.lit(1)).alias("found")).select(
         "value", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"), "found"

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import posixpath
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,54 +116,89 @@ def passed_over(name: str) -> bool:
     return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
 
 
-def _overlooked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Folders listed at once.
+LISTERS = 32
+# Schemes of Spark that the reader of single files knows by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def overlooked_paths(spark: SparkSession, requested: list[str]) -> list[str]:
     """Files that Spark's file sources pass over because of their names.
 
     Those sources drop names that start with ``_`` or ``.``, silently and even
     if such a file is asked for; a check that never sees a file must not pass
-    it.  One task reads one requested path, a file at a time.
+    it.  Folders are listed by the cluster's own file systems, many at a time;
+    only names come to the driver, and only overlooked ones are kept.
     """
-    from pyarrow import fs
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def entries(folder: str) -> list[tuple[str, bool]]:
+        path = hadoop.Path(folder)
+        listed = path.getFileSystem(conf).listStatus(path)
+        return [(f"{folder.rstrip('/')}/{status.getPath().getName()}", status.isDirectory()) for status in listed]
+
+    found, folders = [], []
+    for asked in requested:
+        path = hadoop.Path(asked)
+        if path.getFileSystem(conf).getFileStatus(path).isDirectory():
+            folders.append((asked, False))
+        elif passed_over(asked.rsplit("/", 1)[-1]):
+            found.append(asked)
+    with ThreadPoolExecutor(LISTERS) as pool:
+        while folders:
+            deeper = []
+            for (_, dropped), listed in zip(folders, pool.map(entries, [folder for folder, _ in folders]), strict=True):
+                for path, is_folder in listed:
+                    name = path.rsplit("/", 1)[-1]
+                    if _hidden(name):
+                        continue
+                    if is_folder:
+                        deeper.append((path, dropped or passed_over(name)))
+                    elif dropped or passed_over(name):
+                        found.append(path)
+            folders = deeper
+    return found
+
 
-    def content(system, path):
-        with system.open_input_file(path) as handle:
-            return handle.read()
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The contents of single files; null where the file cannot be opened here."""
+    from pyarrow import fs
 
     for batch in batches:
-        for asked in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(asked) if "://" in asked else (fs.LocalFileSystem(), asked)
-            scheme = asked.split("://", 1)[0] + "://" if "://" in asked else ""
-            info = system.get_file_info(inner)
-            if info.type == fs.FileType.File:
-                if passed_over(posixpath.basename(inner)):
-                    yield pd.DataFrame({"path": [scheme + inner], "content": [content(system, inner)]})
-                continue
-            if info.type == fs.FileType.NotFound:
-                raise FileNotFoundError(asked)
-            for entry in system.get_file_info(fs.FileSelector(inner, recursive=True)):
-                below = entry.path[len(inner) :].lstrip("/").split("/")
-                if entry.type == fs.FileType.File and any(map(passed_over, below)):
-                    if any(map(_hidden, below)):
-                        continue
-                    yield pd.DataFrame({"path": [scheme + entry.path], "content": [content(system, entry.path)]})
+        for path in batch["path"]:
+            scheme, _, rest = path.rpartition("://")
+            try:
+                uri = f"{_SCHEMES.get(scheme, scheme)}://{rest}"
+                system, inner = fs.FileSystem.from_uri(uri) if scheme else (fs.LocalFileSystem(), path)
+                with system.open_input_file(inner) as handle:
+                    content = handle.read()
+            except (OSError, ValueError):
+                content = None
+            yield pd.DataFrame({"path": [path], "content": [content]})
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(path, content)`` of files and folders, each file once.
 
     Explicitly named files are read even below hidden folders (but not below
-    ``.git``); folders are read recursively without hidden parts.
+    ``.git``); folders are read recursively without hidden parts.  Spark reads
+    the contents; files that it would leave out because of their names are read
+    one by one, and one that cannot be has null content.
     """
     requested = _without_nested(paths)
     asked = spark.createDataFrame([(path,) for path in requested], "path string")
-    asked = asked.repartition(max(1, len(requested)), "path")
     plain_path = F.regexp_replace(F.col("path"), "^file:/+", "/")
     seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(requested)
-    found = seen.select(plain_path.alias("path"), "content").unionByName(asked.mapInPandas(_overlooked, _FILE_SCHEMA))
+    found = seen.select(plain_path.alias("path"), "content")
+    overlooked = overlooked_paths(spark, requested)
+    if overlooked:
+        few = spark.createDataFrame([(path,) for path in overlooked], "path string")
+        few = few.repartition(min(len(overlooked), 1000))
+        found = found.unionByName(few.mapInPandas(_contents, _FILE_SCHEMA))
     named = asked.select("path", F.lit(True).alias("named"))
     in_git = F.array_contains(F.split(F.col("path"), "/"), ".git")
     counts = (F.col("named").isNotNull() & ~in_git) | listed_folder_path()
-    return found.join(named, "path", "left").where(counts).drop("named")
+    return found.join(F.broadcast(named), "path", "left").where(counts).drop("named")
 
 
 def source_id(root: str) -> Column:
@@ -214,7 +249,11 @@ def _canonical_json(texts: pd.Series) -> pd.Series:
 
     def canonical(text):
         try:
-            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, indent=2, sort_keys=True)
+            if text is None:
+                return None
+            shown = json.dumps(json.loads(text), ensure_ascii=False, indent=2, sort_keys=True)
+            shown.encode("utf-8")  # half of a surrogate pair is not text
+            return shown
         except (ValueError, RecursionError):
             return None
 
@@ -247,7 +286,8 @@ def extract(files: DataFrame, root: str = "/") -> DataFrame:
 
     A file that cannot be read becomes a document with an error code and an
     empty text, never a missing row.  Files of JSON lines give one document per
-    line, ``<source id>:<line number>``.
+    line that is not blank, ``<source id>:<line number>``; one without such a
+    line is a document that could not be read.
     """
     base = classify(files).select(
         source_id(root).alias("source_id"), "path", F.sha2("content", 256).alias("sha256"), "content", "reader", "error_code"
@@ -259,18 +299,18 @@ def extract(files: DataFrame, root: str = "/") -> DataFrame:
     )
     text = text.withColumn("_cells", cells).drop("content")
 
-    lines = text.where("reader = 'jsonl'").select(
-        "*", F.posexplode(F.split(F.col("_text"), "\n", -1)).alias("_line", "_one")
+    # Every file goes the same way: one piece, or for JSON lines a piece per line.
+    whole = "array(named_struct('line', cast(null as int), 'one', {}))"
+    lines = """filter(transform(split(_text, '\\n', -1), (one, n) -> named_struct('line', n + 1, 'one', one)),
+        piece -> trim(piece.one) != '')"""
+    pieces = f"""case when reader = 'jsonl' then
+            if(coalesce(size({lines}), 0) > 0, {lines}, {whole.format('cast(null as string)')})
+        else {whole.format('_text')} end"""
+    read = text.withColumn("_piece", F.explode(F.expr(pieces))).drop("_text")
+    read = read.withColumn("_text", F.col("_piece.one")).withColumn(
+        "source_id", F.expr("if(_piece.line is null, source_id, concat(source_id, ':', _piece.line))")
     )
-    lines = lines.where(F.trim("_one") != "").select(
-        F.concat("source_id", F.lit(":"), F.col("_line") + 1).alias("source_id"),
-        *[name for name in text.columns if name not in ("source_id", "_text")],
-        F.col("_one").alias("_text"),
-    )
-    whole = text.where("reader is null or reader != 'jsonl'")
-    every = whole.unionByName(lines)
-
-    read = every.withColumn("_json", json_text(F.when(F.col("reader").isin("json", "jsonl"), F.col("_text")))).withColumn(
+    read = read.withColumn("_json", json_text(F.when(F.col("reader").isin("json", "jsonl"), F.col("_text")))).withColumn(
         "text",
         F.when(F.col("reader") == "text", F.col("_text"))
         .when(F.col("reader") == "csv", delimited_text("_cells"))
