@@ -240,10 +240,7 @@ def test_dictionary_against_the_plain_model(spark):
         assert found[str(n)] == plain_model.detect(text, Policy(), TERMS), repr(text)
 
 
-@pytest.mark.parametrize("automaton", [True, False])
-def test_hits_of_terms_with_and_without_the_automaton(monkeypatch, automaton):
-    if not automaton:
-        monkeypatch.setitem(sys.modules, "ahocorasick", None)
+def test_hits_of_terms():
     find = dictionary._finder(["aa", "aba"])
     assert find("aaaabaaba") == [(0, 0, 2), (0, 2, 4), (0, 5, 7), (1, 3, 6), (1, 6, 9)]
     assert find(None) == []
@@ -254,9 +251,25 @@ def test_both_dictionary_plans_give_the_same(spark, monkeypatch):
     docs, terms = frame(spark, texts), term_table(spark, TERMS)
     first = spark_spans(dictionary.with_term_spans(docs, terms, Policy()), "_terms")
     monkeypatch.setattr(dictionary, "BROADCAST_CHARS", 0)
-    joined = dictionary.add_term_spans(docs, terms, Policy())
-    assert "Join" in joined._jdf.queryExecution().toString()
-    assert spark_spans(joined, "_terms") == first
+    for piece, bits in ((1 << 16, 27), (7, 12), (1 << 16, 1)):
+        monkeypatch.setattr(dictionary, "PIECE", piece)
+        monkeypatch.setattr(dictionary, "MOST_MARK_BITS", bits)
+        joined = dictionary.add_term_spans(docs, terms, Policy())
+        assert "Join" in joined._jdf.queryExecution().toString()
+        assert spark_spans(joined, "_terms") == first
+
+
+def test_short_and_very_long_terms_meet_by_the_join(spark):
+    long = "Z" + "yx" * 500
+    terms = [("a", "PERSON"), (long, "ORG"), ("bc", "PERSON"), (long[:-1], "PROJECT"), ("a", "ORG")]
+    texts = ["a b a", f"..{long}..", long[:-1], "bcbc", "", "none"]
+    docs = documents(spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(texts)], "id string, t string"), "id", "t")
+    found = dictionary.term_findings(docs, term_table(spark, terms)).select("source_id", "start", "end", "entity_type", "value").collect()
+    expected = [
+        (f"d{n}", m.start(), m.end(), entity, term)
+        for n, text in enumerate(texts) for term, entity in terms for m in re.finditer(re.escape(term), text)
+    ]
+    assert sorted(map(tuple, found)) == sorted(expected)
 
 
 def test_terms_reach_prepare_and_its_second_pass(spark, key):

@@ -54,6 +54,8 @@ def test_hidden_and_underscore_files(spark, folder):
     shown = write(folder / "in/_shown.txt", "under")
     write(folder / "in/_sub/deep.txt", "deep")
     write(folder / "in/_a=b.txt", "kept by Spark itself")
+    write(folder / "in/empty.txt", "")
+    empty = write(folder / "one.jsonl", "")
     write(folder / "in/_metadata", "too")
     write(folder / "in/.hidden.txt", "no")
     write(folder / "in/.git/x.txt", "no")
@@ -61,14 +63,16 @@ def test_hidden_and_underscore_files(spark, folder):
     named = write(folder / "in/.dir/named.md", "yes")
     also = write(folder / "in/.also.md", "yes")
     git = write(folder / "in/.git/y.md", "no")
-    docs = by_id(read_documents(spark, [str(folder / "in"), named, also, git, shown, shown], str(folder)))
+    docs = by_id(read_documents(spark, [str(folder / "in"), named, also, git, shown, shown, empty], str(folder)))
     assert sorted(docs) == [
         "in/.also.md", "in/.dir/named.md", "in/_a=b.txt", "in/_metadata", "in/_shown.txt", "in/_sub/deep.txt",
+        "in/empty.txt", "one.jsonl",
     ]
+    assert (docs["in/empty.txt"]["status"], docs["one.jsonl"]["status"]) == ("ok", "error")
     again = read_files(spark, [str(folder / "in"), shown]).select("path").collect()
-    assert len({row[0] for row in again}) == len(again) == 4
+    assert len({row[0] for row in again}) == len(again) == 5
     again = read_files(spark, [str(folder / "in/.dir"), named, str(folder / "in/__pycache__/x.txt"), str(folder)]).collect()
-    assert len({row[0] for row in again}) == len(again) == 6
+    assert len({row[0] for row in again}) == len(again) == 8
     assert docs["in/_shown.txt"]["text"] == "under"
 
 

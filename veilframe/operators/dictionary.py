@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.patterns import sql_string
+from veilframe.functions.patterns import column_name, sql_string
 from veilframe.functions.rules import DICTIONARY_CONFIDENCE, DICTIONARY_DETECTOR
 from veilframe.functions.spans import DICTIONARY_PLACE, SPANS_TYPE, blocks_of, priority_sql, text_of
-from veilframe.operators.skew import SALTS
+from veilframe.operators.skew import join_skewed
+from veilframe.session import staged
 from veilframe.sources.policies import Policy
 
 # Term lists up to this many characters travel to every task.
 BROADCAST_CHARS = 32 * 1024 * 1024
-# Texts are cut into pieces of this many characters before positions are listed.
-PIECE = 4096
+# Texts are looked at in pieces of this many characters.
+PIECE = 1 << 16
+# The table of marks for larger lists has at most this many bits, as a power of two.
+MOST_MARK_BITS = 27
 
 
 def distinct_terms(terms: DataFrame) -> DataFrame:
@@ -38,25 +46,14 @@ def term_chars(terms: DataFrame) -> int:
 
 def _finder(terms: list[str]):
     """A function from a text to its non-overlapping hits, term by term."""
-    try:
-        import ahocorasick
-    except ImportError:  # the same hits, one search per term
-
-        def search(text: str):
-            for number, term in enumerate(terms):
-                at = text.find(term)
-                while at >= 0:
-                    yield number, at
-                    at = text.find(term, at + 1)
-    else:
-        automaton = ahocorasick.Automaton()
-        for number, term in enumerate(terms):
-            automaton.add_word(term, number)
-        automaton.make_automaton()
-
-        def search(text: str):
-            for last, number in automaton.iter(text):
-                yield number, last - len(terms[number]) + 1
+    automaton = ahocorasick.Automaton()
+    for number, term in enumerate(terms):
+        automaton.add_word(term, number)
+    automaton.make_automaton()
+
+    def search(text: str):
+        for last, number in automaton.iter(text):
+            yield number, last - len(terms[number]) + 1
 
     def find(text: str | None) -> list[tuple[int, int, int]]:
         hits = []
@@ -119,41 +116,142 @@ def _as_spans(hits: str, policy: Policy) -> Column:
         'detector', '{DICTIONARY_DETECTOR}', 'risk', 'medium', 'value', h.value))""").cast(SPANS_TYPE)
 
 
+# --- term lists of any size ---------------------------------------------------
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(count, base, np.uint64)])
+
+
+class Rolling:
+    """Hashes of all parts of a text: running sums of its characters times powers of an odd number, modulo 2^64."""
+
+    def __init__(self, codes: np.ndarray):
+        self.sums = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(int(_BASE), len(codes))[:-1])]
+        self.back = _powers(pow(int(_BASE), -1, 1 << 64), len(codes))
+
+    def of(self, starts: np.ndarray, length: int) -> np.ndarray:
+        own = np.uint64(length * int(_MIX) & (1 << 64) - 1)
+        mixed = (self.sums[starts + length] - self.sums[starts]) * self.back[starts] + own
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        return mixed ^ (mixed >> np.uint64(29))
+
+
+def head_length(length: int) -> int:
+    """Terms are told by their first characters: as many as the largest power of two up to their length."""
+    return 1 << (length.bit_length() - 1)
+
+
+def _marks(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places in a table of 2^bits marks for each hash."""
+    return [(hashes >> np.uint64(64 - bits)).astype(np.int64), (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)]
+
+
+def _set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    one, two = _marks(hashes, bits)
+    seen = table[one >> 3] >> (one & 7).astype(np.uint8) & 1
+    return (seen & table[two >> 3] >> (two & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+
+
+def term_marks(terms: DataFrame, bits: int) -> np.ndarray:
+    """A table with the marks of all terms and of their heads.  Its size is bounded whatever the list: where that is too
+    small for the list, more places are looked at in vain."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.array([], np.int64)]
+            for term in batch.column(0).to_pylist():
+                rolling, start = Rolling(_codes(term)), np.zeros(1, np.int64)
+                for length in (head_length(len(term)), len(term)):
+                    places += _marks(rolling.of(start, length), bits)
+            at = np.unique(np.concatenate(places))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(1 << (at & 31))], ["word", "mark"])
+
+    words = terms.select("term").mapInArrow(marked, "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    table = np.zeros(1 << max(0, bits - 5), "<u4")
+    found = words.toArrow()
+    table[found.column("word").to_numpy()] = found.column("marks").to_numpy()
+    return table.view(np.uint8)
+
+
 def term_findings(docs: DataFrame, terms: DataFrame, text: str = "text", key: str = "source_id") -> DataFrame:
     """Occurrences by equi-join, for term lists of any size.
 
-    Every text position offers its next characters, every term its first ones
-    (as many as the shortest term has); equal ones meet in a hash join and the
-    rest of the term is compared there.  Only windows as long as the longest
-    term are shuffled, never texts or pairs of texts and terms.
+    Each task hashes the parts of its texts that are as long as some term and
+    looks them up in a broadcast table of marks (16 MB at most): first the head, and only behind a known head the whole
+    length.  What passes is sent on as place and digest of the part, and meets
+    the terms by digest.  So neither texts nor windows move, whatever the length of the terms; popular terms are
+    split by ``join_skewed``.  The digests are salted for each call, as they are staged.
     """
+    spark = docs.sparkSession
     terms = distinct_terms(terms)
-    bounds = terms.agg(F.min(F.length("term")).alias("low"), F.max(F.length("term")).alias("high")).first()
-    low, high = bounds["low"] or 1, bounds["high"] or 1
-    # Pieces overlap by the longest term, so that every window lies in one piece.
-    pieces = docs.select(
-        F.col(key),
-        F.posexplode(
-            F.regexp_extract_all(
-                F.expr(text_of(text)), F.lit(rf"(?s)(?=(.{{1,{PIECE + high - 1}}})).{{1,{PIECE}}}"), F.lit(1)
+    shape = terms.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.length("term"))).alias("lengths")).first()
+    bits = min(max(12, (32 * (shape["n"] or 1) - 1).bit_length()), MOST_MARK_BITS)
+    shared = spark.sparkContext.broadcast(term_marks(terms, bits))
+    heads: dict[int, list[int]] = {}
+    for length in shape["lengths"]:
+        heads.setdefault(head_length(length), []).append(length)
+    longest = max(shape["lengths"], default=1)
+    salt = uuid.uuid4().hex
+
+    def places(part: str, own: int) -> Iterator[tuple[int, int]]:
+        """Starts and lengths of parts that may be terms, with starts below ``own``."""
+        codes, marks = _codes(part), shared.value
+        rolling = Rolling(codes)
+        for head, lengths in heads.items():
+            starts = np.arange(max(0, min(own, len(codes) - head + 1)))
+            starts = starts[_set(marks, rolling.of(starts, head), bits)]
+            for length in lengths:
+                fit = starts[starts + length <= len(codes)]
+                if length != head:
+                    fit = fit[_set(marks, rolling.of(fit, length), bits)]
+                yield from ((start, length) for start in fit.tolist())
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salted = hashlib.sha256(salt.encode())
+
+        def digest(part: str) -> bytes:
+            own = salted.copy()
+            own.update(part.encode("utf-8", "replace"))
+            return own.digest()
+
+        for batch in batches:
+            rows: list[tuple[int, int, int, bytes]] = []
+            for number, whole in enumerate(batch.column(1).to_pylist()):
+                for first in range(0, len(whole), PIECE):
+                    part = whole[first : first + PIECE + longest - 1]
+                    rows += (
+                        (number, first + start, first + start + length, digest(part[start : start + length]))
+                        for start, length in places(part, PIECE)
+                    )
+            numbers, starts, ends, digests = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(numbers, pa.int64())),
+                    pa.array(starts, pa.int32()),
+                    pa.array(ends, pa.int32()),
+                    pa.array(digests, pa.binary()),
+                ],
+                [key, "start", "end", "digest"],
             )
-        ).alias("piece_no", "piece"),
-    )
-    windows = F.regexp_extract_all(F.col("piece"), F.lit(rf"(?s)(?=(.{{{low},{high}}})).{{1}}"), F.lit(1))
-    places = pieces.select(
-        key, "piece_no", F.posexplode(F.slice(windows, 1, PIECE)).alias("pos", "window")
-    ).select(key, (F.col("piece_no") * PIECE + F.col("pos")).alias("start"), "window")
-    # The positions with one popular start may be a good part of all: spread them
-    # over salted copies of the terms, which are few beside the positions.
-    salt = F.pmod(F.xxhash64(key, "start"), F.lit(SALTS)).cast("int")
-    places = places.withColumn("_head", F.substring("window", 1, low)).withColumn("_salt", salt)
-    listed = terms.withColumn("_head", F.substring("term", 1, low)).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    hits = places.join(listed, ["_head", "_salt"]).where(F.expr("startswith(window, term)"))
-    hits = hits.select(
-        key, "start", (F.col("start") + F.length("term")).cast("int").alias("end"), "term_ord", "entity_type", F.col("term").alias("value")
-    )
+
+    keyed = docs.select(F.col(key), F.expr(text_of(text)).alias("text"))
+    key_type = keyed.schema[key].dataType.simpleString()
+    passed = keyed.mapInArrow(found, f"{column_name(key)} {key_type}, start int, end int, digest binary")
+    passed = staged(passed, "places")
+    uses = staged(passed.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    entries = F.collect_list(F.struct("term_ord", "entity_type", F.col("term").alias("value")))
+    digest = F.unhex(F.sha2(F.concat(F.lit(salt), "term"), 256))
+    listed = terms.withColumn("digest", digest).groupBy("digest").agg(entries.alias("entries")).join(uses, "digest")
+    hits = join_skewed(passed, listed, ["digest"], "uses", [key, "start"], uses)
+    hits = hits.select(key, "start", "end", F.inline("entries")).select(key, "start", "end", "term_ord", "entity_type", "value")
     # A term that can overlap itself keeps its leftmost occurrences only.
     length = "length(value)"
     knotted = f"{length} > 1 and exists(sequence(1, greatest({length} - 1, 1)), n -> n < {length} and startswith(value, right(value, n)))"

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Parts a table is cut into, for each shuffle partition of the session.
 PARTS_PER_PARTITION = 4
 LEAST_PARTS = 64
-SALTS = 64
 
 
 def salted_lookup(lookup: DataFrame, keys: list[str], uses: str, counts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.crypto import identity, vault_key
@@ -20,10 +20,10 @@ from veilframe.plans import runs
 from veilframe.plans.carriers import CARRIERS, CUST_CODE, NOTE, padded
 from veilframe.session import shared_folder, spread, staged
 from veilframe.sources import files
-from veilframe.sources.policies import Policy
-from veilframe.sources.tables import documents
+from veilframe.sources.policies import STRICT_DICTIONARIES, Policy, load_policy
+from veilframe.sources.tables import documents, joined_documents
 from veilframe.sources.terms import read_terms
-from veilframe.sources.vaults import VaultFolder
+from veilframe.sources.vaults import VaultChanged, VaultFolder
 
 Query = Callable[[SparkSession, str], DataFrame]
 POLICY = Policy()
@@ -280,7 +280,7 @@ def tokenize_notes(spark, sf_dir):
 def prepare_notes(spark, sf_dir):
     """The whole run: detection, gate, tokens, splice, second pass."""
     run = runs.prepare(_notes(spark, sf_dir), vault_key(spark, SECRET), tokens.empty_vault(spark), run_id="run-1")
-    return run.sanitized.select("source_id", "text")
+    return run.sanitized.select("source_id", "text", F.lit(run.blocked).alias("blocked"))
 
 
 def restore_notes(spark, sf_dir):
@@ -294,6 +294,18 @@ def restore_notes(spark, sf_dir):
     return back.select("source_id", "text", "restored", "unresolved", F.col("placeholders").cast("bigint").alias("placeholders"))
 
 
+def restore_popular(spark, sf_dir):
+    """There and back where one customer code fills half of all tokens."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    text = F.expr(f"concat('编号CUST-2020-0000001。编号', {CUST_CODE}, '。')")
+    policy = Policy(entities={"CUSTOMER": "tokenize"})
+    key = vault_key(spark, SECRET)
+    docs = documents(orders, F.expr(padded("o_orderkey")), text)
+    run = runs.prepare(docs, key, tokens.empty_vault(spark), policy, "run-1", rules=rules_for("CUSTOMER"))
+    back = tokens.restore(run.sanitized, tokens.with_assignment(tokens.empty_vault(spark), run.assignment), key, "run-1")
+    return back.select("source_id", "text", "restored", F.col("placeholders").cast("bigint").alias("placeholders"))
+
+
 # --- gates and audit --------------------------------------------------------
 
 
@@ -314,6 +326,88 @@ def gate_run(spark, sf_dir):
     return clean.withColumn("run", F.lit("notes")).unionByName(failing.withColumn("run", F.lit("secrets")))
 
 
+def gate_unreadable(spark, sf_dir):
+    """Verdicts of a scan and of a release, as more kinds of files join in: texts, then PDF, then images."""
+    path = "concat('/data/', source, '/', doc_id, case lang when 'en' then '.md' when 'fr' then '.txt' when 'de' then '.pdf' else '.png' end)"
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    every = rows.selectExpr("lang", f"{path} as path", "encode(text, 'UTF-8') as content")
+    out = []
+    for kind, languages in (("texts", ("en", "fr")), ("pdf", ("en", "fr", "de")), ("images", ("en", "fr", "de", "es"))):
+        docs = files.extract(every.where(F.col("lang").isin(*languages)).drop("lang"), "/data")
+        scanned = runs.scan(docs, POLICY, run_id=kind)
+        released = runs.prepare(docs, vault_key(spark, SECRET), tokens.empty_vault(spark), POLICY, run_id=kind)
+        counts = scanned.documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "error").alias("unread"))
+        out.append(
+            counts.select(
+                F.lit(kind).alias("kind"), "documents", "unread",
+                F.lit(scanned.blocked).alias("scan_blocked"), F.lit(released.blocked).alias("release_blocked"),
+            )
+        )
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def blocked_writes_nothing(spark, sf_dir):
+    """A release of texts with secrets: what it says, and what it leaves behind."""
+    target = _target(spark, "blocked")
+    folder = VaultFolder(spark, f"{target}/vault")
+    run = runs.prepare(_carried(spark, sf_dir, "secrets"), vault_key(spark, SECRET), folder, POLICY, "run-1", output=f"{target}/out")
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    left = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return run.summary.select("blocked", "finding_count", F.lit(left).alias("left_behind"))
+
+
+class _EarlierState(VaultFolder):
+    """The vault as a run saw it that started before another one committed."""
+
+    def load(self):
+        return tokens.empty_vault(self.spark)
+
+
+def clashing_runs(spark, sf_dir):
+    """Two runs from one state of a vault: entries and released documents of each."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"))
+    target, key = _target(spark, "clash"), vault_key(spark, SECRET)
+    text = F.expr(f"concat('编号', {CUST_CODE}, '。')")
+    folder = VaultFolder(spark, f"{target}/vault")
+    first = documents(orders.where("o_orderstatus = 'F'"), F.expr(padded("o_orderkey")), text)
+    runs.prepare(first, key, folder, POLICY, "run-1", output=f"{target}/out", bundle=False)
+    try:
+        later = documents(orders, F.expr(padded("o_orderkey")), text)
+        runs.prepare(later, key, _EarlierState(spark, folder.path), POLICY, "run-2", output=f"{target}/out", bundle=False)
+    except VaultChanged:
+        pass
+    entries = folder.load().token_runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("entries"))
+    released = spark.read.parquet(f"{target}/out/documents").groupBy("run_id").agg(F.count(F.lit(1)).alias("documents"))
+    return entries.join(released, "run_id", "full")
+
+
+def policy_from_file(spark, sf_dir):
+    """Findings by action under a policy read from YAML, and under the built-in one with its term lists."""
+    target = _target(spark, "policies")
+    lines = "default_action: redact\nfail_on: [DATE]\nentities:\n  EMAIL: generalize\n  PHONE: mask\n"
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(f"{target}/own.yaml", lineSep="\n")
+    own = load_policy(spark, f"{target}/own.yaml")
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    names.write.csv(f"{target}/{STRICT_DICTIONARIES[0][0]}", header=True)
+    built_in = load_policy(spark, "default")
+    terms = read_terms(spark, built_in, target)
+    named = detect(add_term_spans(_ordered_by(spark, sf_dir), terms, built_in), built_in, terms="_terms")
+    found = findings(detect(_notes(spark, sf_dir), own)).withColumn("policy", F.lit(own.name))
+    found = found.unionByName(findings(named).withColumn("policy", F.lit(built_in.name)))
+    return found.groupBy("policy", "entity_type", "action").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def split_secrets(spark, sf_dir):
+    """Keys that begin in one turn of a conversation and end in a later one."""
+    opening = "concat(text, chr(10), '-----BEGIN PRIVATE KEY-----', chr(10), turn)"
+    closing = "concat(turn, chr(10), '-----END PRIVATE KEY-----', chr(10), text)"
+    turns = table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn", f"case turn % 4 when 0 then {opening} when 2 then {closing} else '-' end as text"
+    )
+    found = findings(detect(joined_documents(turns, "conv_id", ["turn"], "text"), POLICY, rules_for("PRIVATE_KEY")))
+    return found.groupBy("source_id").agg(F.count(F.lit(1)).alias("secrets"), F.sum(F.length("value")).alias("chars"))
+
+
 def second_pass(spark, sf_dir):
     """Secrets that only the finished sections show: here in the heading."""
     orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
@@ -404,6 +498,35 @@ def delimited_flatten(spark, sf_dir):
     return files.extract(rows, "/crm").select("source_id", "text", "media_type")
 
 
+def jsonl_lines(spark, sf_dir):
+    """Files of JSON lines with blank lines between; every fiftieth is empty."""
+    content = "if(event_id % 50 = 0, concat(' ', chr(10)), concat(props, chr(13), chr(10), chr(10), '\"', event_type, '\"', chr(10)))"
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "concat('/events/', event_id, '.jsonl') as path", f"encode({content}, 'UTF-8') as content"
+    )
+    return files.extract(rows, "/events").select("source_id", "text", "status", "error_code")
+
+
+def read_manifest(spark, sf_dir):
+    """Nations as files of many kinds: in folders asked for twice, with names that Spark leaves out, hidden, empty, not UTF-8."""
+    target = _target(spark, "manifest")
+    for row in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator():
+        name, text = (
+            (f"plain/{row.n_name}.txt", f"{row.n_name}\r\n"),
+            (f"_under/deep/{row.n_name}.md", row.n_name),
+            (f".hidden/{row.n_name}.txt", row.n_name),
+            (f"{row.n_name}.tsv", f"a\tb\r\n{row.n_name}\t"),
+            (f"_{row.n_name}.txt", f"国家{row.n_name}"),
+            (f"{row.n_name}.jsonl", ""),
+        )[row.n_nationkey % 6]
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
+        out.write(bytearray(text.encode("gb18030")))
+        out.close()
+    docs = files.read_documents(spark, [target, f"{target}/plain", f"{target}/.hidden/NATION_2.txt"], target)
+    return docs.select("source_id", "text", "status", "error_code")
+
+
 def read_written_files(spark, sf_dir):
     """Customers written as CSV files by Spark and read back as documents."""
     folder = staged(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "crm").inputFiles()[0].rsplit("/", 1)[0]
@@ -435,6 +558,35 @@ def written_bundle(spark, sf_dir):
     return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def bundle_order(spark, sf_dir):
+    """The place of each document in the written bundle: its files by name, sections as they stand."""
+    target = _target(spark, "bundle")
+    audit.write_bundle(redact(detect(_documents(spark, sf_dir), POLICY)), target)
+    parts = spark.read.text(f"{target}/part=*", wholetext=True).select(
+        F.input_file_name().alias("file"), F.regexp_extract_all("value", F.lit("(?m)^## Source: (.*)$"), F.lit(1)).alias("named")
+    )
+    parts = staged(parts, "parts")
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    parts = parts.withColumn("before", F.coalesce(F.sum(F.size("named")).over(earlier), F.lit(0)))
+    return parts.select("before", F.posexplode("named").alias("pos", "source_id")).select(
+        (F.col("before") + F.col("pos") + 1).alias("place"), "source_id"
+    )
+
+
+def report_files(spark, sf_dir):
+    """Documents and outputs of a written report, and its summary, read back."""
+    target = _target(spark, "report")
+    runs.scan(_classified_documents(spark, sf_dir), POLICY, run_id="run-1").write_report(target)
+    docs = spark.read.schema("source_id string, status string, media_type string, sha256 string, error_code string").json(
+        f"{target}/run-1/documents"
+    )
+    outputs = spark.read.schema("source_id string, status string, finding_count bigint").json(f"{target}/run-1/outputs")
+    summary = spark.read.schema("run_id string, blocked boolean, finding_count bigint").json(f"{target}/run-1/summary")
+    total = summary.select("run_id", "blocked", F.col("finding_count").alias("findings"))
+    both = docs.join(outputs.withColumnRenamed("status", "outcome"), "source_id", "full")
+    return both.crossJoin(F.broadcast(total))  # the summary is one row
+
+
 def written_report(spark, sf_dir):
     target = _target(spark, "report")
     runs.scan(_documents(spark, sf_dir), run_id="run-1").write_report(target)
@@ -474,7 +626,8 @@ def queries() -> dict[str, Query]:
         prepare_notes, restore_notes, gate_documents, gate_texts, gate_run, second_pass, report_findings, report_summary,
         counts_by_action, grouped_counts, findings_per_document, document_results, bundle_sections, extract_text_files,
         content_hash, json_canonical, delimited_flatten, read_written_files, written_documents, written_bundle, written_report,
-        vault_folder, terms_from_files,
+        vault_folder, terms_from_files, restore_popular, gate_unreadable, blocked_writes_nothing, clashing_runs,
+        policy_from_file, split_secrets, jsonl_lines, read_manifest, bundle_order, report_files,
     )
     named.update({query.__name__: query for query in listed})
     named["bucket_money"] = _redacted_carrier("money")

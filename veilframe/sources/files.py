@@ -122,40 +122,44 @@ LISTERS = 32
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
-def overlooked_paths(spark: SparkSession, requested: list[str]) -> list[str]:
-    """Files that Spark's file sources pass over because of their names.
+def overlooked_paths(spark: SparkSession, requested: list[str]) -> list[tuple[str, bool]]:
+    """Files that Spark's file sources pass over, and whether they are empty.
 
-    Those sources drop names that start with ``_`` or ``.``, silently and even
-    if such a file is asked for; a check that never sees a file must not pass
-    it.  Folders are listed by the cluster's own file systems, many at a time;
-    only names come to the driver, and only overlooked ones are kept.
+    Those sources drop empty files and names that start with ``_`` or ``.``,
+    silently and even if such a file is asked for; a check that never sees a file
+    must not pass it.  Folders are listed by the cluster's own file systems, many
+    at a time; only names come to the driver, and only overlooked ones are kept.
     """
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
 
-    def entries(folder: str) -> list[tuple[str, bool]]:
+    def entries(folder: str) -> list[tuple[str, bool, bool]]:
         path = hadoop.Path(folder)
         listed = path.getFileSystem(conf).listStatus(path)
-        return [(f"{folder.rstrip('/')}/{status.getPath().getName()}", status.isDirectory()) for status in listed]
+        return [
+            (f"{folder.rstrip('/')}/{status.getPath().getName()}", status.isDirectory(), status.getLen() == 0)
+            for status in listed
+        ]
 
     found, folders = [], []
     for asked in requested:
         path = hadoop.Path(asked)
-        if path.getFileSystem(conf).getFileStatus(path).isDirectory():
+        status = path.getFileSystem(conf).getFileStatus(path)
+        if status.isDirectory():
             folders.append((asked, False))
-        elif passed_over(asked.rsplit("/", 1)[-1]):
-            found.append(asked)
+        elif status.getLen() == 0 or passed_over(asked.rsplit("/", 1)[-1]):
+            found.append((asked, status.getLen() == 0))
     with ThreadPoolExecutor(LISTERS) as pool:
         while folders:
             deeper = []
             for (_, dropped), listed in zip(folders, pool.map(entries, [folder for folder, _ in folders]), strict=True):
-                for path, is_folder in listed:
+                for path, is_folder, is_empty in listed:
                     name = path.rsplit("/", 1)[-1]
                     if _hidden(name):
                         continue
                     if is_folder:
                         deeper.append((path, dropped or passed_over(name)))
-                    elif dropped or passed_over(name):
-                        found.append(path)
+                    elif dropped or is_empty or passed_over(name):
+                        found.append((path, is_empty))
             folders = deeper
     return found
 
@@ -165,7 +169,10 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
-        for path in batch["path"]:
+        for path, is_empty in zip(batch["path"], batch["is_empty"], strict=True):
+            if is_empty:
+                yield pd.DataFrame({"path": [path], "content": [b""]})
+                continue
             scheme, _, rest = path.rpartition("://")
             try:
                 uri = f"{_SCHEMES.get(scheme, scheme)}://{rest}"
@@ -189,10 +196,11 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     asked = spark.createDataFrame([(path,) for path in requested], "path string")
     plain_path = F.regexp_replace(F.col("path"), "^file:/+", "/")
     seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(requested)
-    found = seen.select(plain_path.alias("path"), "content")
+    # Whether or not this version of Spark reads empty files, they come from the list.
+    found = seen.where("length > 0").select(plain_path.alias("path"), "content")
     overlooked = overlooked_paths(spark, requested)
     if overlooked:
-        few = spark.createDataFrame([(path,) for path in overlooked], "path string")
+        few = spark.createDataFrame(overlooked, "path string, is_empty boolean")
         few = few.repartition(min(len(overlooked), 1000))
         found = found.unionByName(few.mapInPandas(_contents, _FILE_SCHEMA))
     named = asked.select("path", F.lit(True).alias("named"))
