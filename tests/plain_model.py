@@ -8,7 +8,11 @@ import re
 
 from veilframe.functions import rules as R
 
-# --- fixed values: the two patterns that the library splits in two ----------
+# --- fixed values: the patterns that the library writes in another form -----
+MONEY = (
+    r"(?:人民币|RMB|¥|\$)\s*\d[\d,]*(?:\.\d+)?\s*(?:元|万元|万|美元|USD)?"
+    r"|\d[\d,]*(?:\.\d+)?\s*(?:元|万元|万|美元|USD)"
+)
 PROJECT = (
     r"(?<![A-Za-z0-9])(?:[A-Z][A-Za-z0-9]*|[A-Za-z]+)-[A-Za-z0-9]+"
     r"(?:-[A-Za-z0-9]+)*-\d{2,4}(?![A-Za-z0-9])"
@@ -22,7 +26,7 @@ def rule_spans(text, rule):
         for term in rule.terms:
             spans += [(m.start(), m.end()) for m in re.finditer(re.escape(term), text)]
         return spans
-    pattern = {"project-code": PROJECT, "cn-address": ADDRESS}.get(rule.detector, rule.pattern)
+    pattern = {"project-code": PROJECT, "cn-address": ADDRESS, "money": MONEY}.get(rule.detector, rule.pattern)
     spans = []
     for match in re.finditer(pattern, text, re.IGNORECASE if rule.ignore_case else 0):
         start, end = match.span(1 if rule.keep == "group" else 0)

@@ -22,8 +22,8 @@ from veilframe.sources.policies import Policy
 from veilframe.sources.tables import documents
 from veilframe.sources.vaults import VaultChanged, VaultFolder
 
-ROUND_TRIP = "张三代表涌源合生科技联系 founder@example.com，电话13812345678，金额人民币123456元。"
-RAW = ("张三", "涌源合生", "founder@example.com", "13812345678")
+ROUND_TRIP = "王芳来自海棠云图科技，邮箱 desk.nine@mail.example.org，电话13577776666，报销RMB 654321元。"
+RAW = ("王芳", "海棠云图", "desk.nine@mail.example.org", "13577776666")
 
 
 def docs_of(spark, texts):
@@ -47,10 +47,10 @@ def everything(*tables):
 
 
 def test_scan_reports_no_raw_values(spark):
-    run = veilframe.scan(docs_of(spark, {"s.md": "张三 电话13812345678 邮箱 founder@example.com 合同HT-2026-001"}), run_id="r")
+    run = veilframe.scan(docs_of(spark, {"s.md": "王五 手机13577776666 写信 desk.nine@mail.example.org 订单PO-2031-778"}), run_id="r")
     rendered = everything(run.report, run.summary, run.documents, run.outputs)
     assert run.blocked is False and run.sanitized is None
-    assert not any(value in rendered for value in (*RAW, "HT-2026-001"))
+    assert not any(value in rendered for value in (*RAW, "王五", "PO-2031-778"))
     assert run.summary.first()["counts_by_entity"] == {"CONTRACT_ID": 1, "EMAIL": 1, "PERSON": 1, "PHONE": 1}
 
 
@@ -59,7 +59,7 @@ def test_a_secret_blocks(spark, key, tmp_path):
     run = veilframe.prepare(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}), key, folder, output=str(tmp_path / "out"))
     assert run.blocked and run.sanitized is None
     assert not (tmp_path / "out").exists() and not folder.exists()
-    assert "sk-test" not in everything(run.report, run.summary, run.documents, run.outputs)
+    assert "sk-live" not in everything(run.report, run.summary, run.documents, run.outputs)
 
 
 def test_prepare_writes_and_restore_brings_back(spark, key, tmp_path):
@@ -70,7 +70,7 @@ def test_prepare_writes_and_restore_brings_back(spark, key, tmp_path):
     run.write_report(str(tmp_path / "report"))
     parts = sorted((tmp_path / "out/bundle/run_id=run-1").glob("part=*/part-*.txt"))
     bundle = "".join(path.read_text("utf-8") for path in parts)
-    assert "[X_PERSON_0001]代表[X_ORG_0001]联系 [X_EMAIL_MASKED]，电话[X_PHONE_REDACTED]，金额[X_MONEY_100K_1M]。" in bundle
+    assert "[X_PERSON_0001]来自[X_ORG_0001]，邮箱 [X_EMAIL_MASKED]，电话[X_PHONE_REDACTED]，报销[X_MONEY_100K_1M]。" in bundle
     assert re.findall("## Source: (.*)", bundle) == ["a.md", "b/x y.md", "c.md"]
     assert bundle.startswith("# sanitized bundle\n\n## Source: a.md\n\nnothing\n\n")
     written = [p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()]
@@ -78,7 +78,7 @@ def test_prepare_writes_and_restore_brings_back(spark, key, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out/documents"))
     assert {row["output_name"] for row in stored.collect()} == {"b_x_y.md.redacted.md", "a.md.redacted.md", "c.md.redacted.md"}
     back = {row["source_id"]: row for row in veilframe.restore(run.sanitized, key, folder, "run-1", prefix="X").collect()}
-    assert back["b/x y.md"]["text"].startswith("张三代表涌源合生科技联系 [X_EMAIL_MASKED]")
+    assert back["b/x y.md"]["text"].startswith("王芳来自海棠云图科技，邮箱 [X_EMAIL_MASKED]")
     assert (back["b/x y.md"]["restored"], back["b/x y.md"]["placeholders"], back["a.md"]["restored"]) == (2, 3, 0)
 
 
@@ -89,18 +89,18 @@ def plain_values(folder):
 
 def test_nothing_raw_stays_staged(spark, key, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path / "staging"))
-    raw = (*RAW, "sk-test")
+    raw = (*RAW, "sk-live")
     run = veilframe.scan(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}))
-    assert run.blocked and run.findings.where("value = '13812345678'").count() >= 1
+    assert run.blocked and run.findings.where("value = '13577776666'").count() >= 1
     assert not any(value in plain_values(tmp_path) for value in raw)
     run = veilframe.prepare(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}), key, empty_vault(spark))
     assert run.blocked and not any(value in plain_values(tmp_path) for value in raw)
     leaking = {"notes/password=hunter2hunter2.md": ROUND_TRIP}
     run = veilframe.prepare(docs_of(spark, leaking), key, empty_vault(spark))
-    assert run.blocked and "代表" not in plain_values(tmp_path)
+    assert run.blocked and "报销" not in plain_values(tmp_path)
     run = veilframe.prepare(docs_of(spark, {"b": ROUND_TRIP}), key, empty_vault(spark))
-    assert not run.blocked and "代表" in plain_values(tmp_path)
-    assert run.findings.where("value = '13812345678'").count() == 1
+    assert not run.blocked and "报销" in plain_values(tmp_path)
+    assert run.findings.where("value = '13577776666'").count() == 1
     assert not any(value in plain_values(tmp_path) for value in raw)
     assert not any(value.encode() in path.read_bytes() for path in tmp_path.rglob("*") if path.is_file() for value in raw)
     vault = with_assignment(empty_vault(spark), run.assignment)

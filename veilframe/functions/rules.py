@@ -34,9 +34,11 @@ USCC = r"(?<![0-9A-Z])[0-9A-Z]{18}(?![0-9A-Z])"
 CONTRACT_ID = r"(?<![A-Za-z0-9])(?:HT|XS|NDA|CDA|PO|SO)-?\d{4}[-A-Z0-9]{3,}(?![A-Za-z0-9])"
 CUSTOMER = r"(?<![A-Za-z0-9])CUST-\d{4}-\d{3,}(?![A-Za-z0-9])"
 SAMPLE_ID = r"(?<![A-Za-z0-9])SAMPLE-\d{8}-[A-Z]\d{2,}(?![A-Za-z0-9])"
+# Behind an amount only its unit can follow, so nothing is given back; and an
+# amount without a sign before it is looked for from its first digit on.
 MONEY = (
-    r"(?:人民币|RMB|¥|\$)\s*\d[\d,]*(?:\.\d+)?\s*(?:元|万元|万|美元|USD)?"
-    r"|\d[\d,]*(?:\.\d+)?\s*(?:元|万元|万|美元|USD)"
+    r"(?:人民币|RMB|¥|\$)\s*+\d[\d,]*+(?:\.\d++)?+\s*+(?:元|万元|万|美元|USD)?"
+    r"|\d(?<!\d\d)[\d,]*+(?:\.\d++)?+\s*+(?:元|万元|万|美元|USD)"
 )
 DATE = (
     r"\b(?:19|20)\d{2}[年/-](?:0?[1-9]|1[0-2])"
@@ -103,8 +105,10 @@ class Rule:
     folded_hints: tuple[str, ...] = ()
     probe: str = ""
     terms: tuple[str, ...] = ()
+    rare: bool = False  # seldom found where its hints and probe are: ask for a match before working matches out
 
 
+# --- fixed values: entity, detector and confidence of each rule, in discovery order -----
 SECRET_RULES = (
     Rule("PRIVATE_KEY", "private-key", PRIVATE_KEY, 1.0, "critical", hints=("PRIVATE KEY-----",)),
     Rule("JWT", "jwt", JWT, 0.98, "critical", hints=("eyJ",)),
@@ -118,13 +122,13 @@ SECRET_RULES = (
 PERSONAL_RULES = (
     Rule("EMAIL", "email", EMAIL, 0.95, hints=("@",)),
     Rule("PHONE", "cn-phone", PHONE, 0.95, probe=LONG_NUMBER),
-    Rule("ID_CARD", "cn-id-card", ID_CARD, 0.95, probe=LONG_NUMBER),
-    Rule("BANK_CARD", "bank-card", BANK_CARD, 0.72, probe=LONG_NUMBER),
-    Rule("USCC", "cn-uscc", USCC, 0.78, probe=r"[0-9A-Z]{18}"),
+    Rule("ID_CARD", "cn-id-card", ID_CARD, 0.95, probe=LONG_NUMBER, rare=True),
+    Rule("BANK_CARD", "bank-card", BANK_CARD, 0.72, probe=LONG_NUMBER, rare=True),
+    Rule("USCC", "cn-uscc", USCC, 0.78, probe=r"[0-9A-Z]{18}", rare=True),
     Rule("CONTRACT_ID", "contract-id", CONTRACT_ID, 0.86, ignore_case=True, probe=r"[A-Za-zſ]-?\d{4}"),
     Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("CUST-",)),
     Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("SAMPLE-",)),
-    Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}"),
+    Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}", rare=True),
     Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD")),
     Rule("DATE", "cn-date", DATE, 0.75, probe=r"(?:19|20)\d{2}[年/-]"),
     Rule("ADDRESS", "cn-address", ADDRESS_RUN, 0.7, keep="head", keep_pattern=ADDRESS_KEEP, hints=ADDRESS_SUFFIXES, probe=CJK),
@@ -132,8 +136,8 @@ PERSONAL_RULES = (
 
 NAME_RULES = (
     Rule("PERSON", "cn-person-common", "", 0.88, terms=COMMON_PERSONS, probe=CJK),
-    Rule("PERSON", "cn-person-context", PERSON_CONTEXT, 0.84, keep="group", hints=PERSON_WORDS, probe=CJK),
-    Rule("ORG", "cn-org-context", ORG_CONTEXT, 0.84, keep="group", hints=ORG_CONTEXT_ENDINGS, probe=CJK),
+    Rule("PERSON", "cn-person-context", PERSON_CONTEXT, 0.84, keep="group", hints=PERSON_WORDS, probe=CJK, rare=True),
+    Rule("ORG", "cn-org-context", ORG_CONTEXT, 0.84, keep="group", hints=ORG_CONTEXT_ENDINGS, probe=CJK, rare=True),
     Rule("ORG", "cn-org-generic", ORG_GENERIC, 0.8, keep="tail", markers=ORG_MARKERS, hints=ORG_GENERIC_ENDINGS, probe=CJK),
 )
 

@@ -120,6 +120,8 @@ def rule_pieces(rule_id: int, rule: Rule, text: str, check: str, nul: str) -> st
     else:
         found = _split_at_matches(text, rule, nul)
         kept = _kept(rule, sql_regex(rule.pattern, rule.ignore_case))
+        if rule.rare:
+            check = f"({check} and {matches(text, rule)})"
     entries = f"transform({found}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', m.hits, 'kept', {kept}))"
     return f"if({check}, {entries}, array())"
 
@@ -160,8 +162,13 @@ def offsets_of(piece: str, head: str) -> str:
                         'start', acc.pos + length(p.gap) + length(p.hit) - length(p.kept),
                         'end', acc.pos + length(p.gap) + length(p.hit), 'rule', {piece}.rule, 'value', p.kept)))))),
         acc -> acc.spans)"""
-    return f"""transform(array({pairs}), ps -> transform(array({blocks_of('ps')}), bs ->
+    many = f"""transform(array({pairs}), ps -> transform(array({blocks_of('ps')}), bs ->
         flatten(zip_with(bs, {starts}, (blk, pos) -> {spans})))[0])[0]"""
+    # Most entries have one match, whose place is the length of the gap before it.
+    hit, kept, gap = (f"length({piece}.{name}[0])" for name in ("hits", "kept", "gaps"))
+    begin = f"{gap} + if({head}, 0, {hit} - {kept})"
+    one = f"""array(named_struct('start', {begin}, 'end', {begin} + {kept}, 'rule', {piece}.rule, 'value', {piece}.kept[0]))"""
+    return f"if(size({piece}.hits) = 1 and {piece}.kept[0] != '', {one}, {many})"
 
 
 def found_sql(
