@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,16 +49,19 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]],
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, {fields}")
 
 
+_ARROW_TYPES = {"boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
+
+
 def per_value(column: Column | str, make: Callable[[], Callable[[str | None], object]], kind: str) -> Column:
     """A column made by a function of the whole text in ``column``, for rows that keep their other columns.
 
     ``make`` runs once in each task and returns the function.
     """
 
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = make()
         for part in parts:
-            yield pd.Series([one(text) for text in part], dtype=object)
+            yield pa.array((one(text.as_py()) for text in part), _ARROW_TYPES[kind], size=len(part))
 
     return run(column)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.llm.batches import per_text, texts_of
 
 #: Encodings of short pre-tokens that a worker remembers, twice: the newest and those before.
-CACHED = 1 << 18
+CACHED = 1 << 16
 CACHED_CHARS = 64
 # Longer texts are cut into pre-tokens one by one.
 LONG = 1 << 20

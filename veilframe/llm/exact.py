@@ -6,23 +6,24 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from veilframe.llm.batches import texts_of
+from veilframe.llm.batches import per_value, texts_of
 from veilframe.session import staged
 
 #: A digest is frequent when it has more than 1/HOT_SHARE of all rows: a bound for the broadcast.
 HOT_SHARE = 1 << 13
 
 
-@F.pandas_udf(BinaryType())
-def digests(texts: pd.Series) -> pd.Series:
-    """SHA-256 of whole texts, A-Z lower-cased; null counts as empty."""
-    return texts.map(lambda text: hashlib.sha256((text or "").encode("utf-8", "replace").lower()).digest())
+def digest(text: str | None) -> bytes:
+    """SHA-256 of a whole text, A-Z lower-cased; null counts as empty."""
+    return hashlib.sha256((text or "").encode("utf-8", "replace").lower()).digest()
+
+
+def digests(text: Column | str) -> Column:
+    return per_value(text, lambda: digest, "binary")
 
 
 def merged(counts: Counter, counters: int) -> Counter:

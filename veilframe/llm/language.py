@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import zstandard
@@ -36,7 +35,6 @@ class Languages:
     """Raw-content dictionaries, the most frequent language first."""
 
     def __init__(self, passages: dict[str, list[str]]):
-        self.key = uuid.uuid4().hex
         self.names = list(passages)
         self.contents = [b" ".join(letters(text) for text in texts) for texts in passages.values()]
 
@@ -66,9 +64,6 @@ class Languages:
         return self.names[order[0]], margin, margin < NARROW and len(raw) >= SHORT_BYTES
 
 
-_LOADED: dict[str, list[zstandard.ZstdCompressor]] = {}
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -107,10 +102,7 @@ def _classifier(docs: DataFrame, model: Languages):
 
     def make():
         known = shared.value
-        if known.key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[known.key] = known.compressors()
-        compressors = _LOADED[known.key]
+        compressors = known.compressors()  # of a task, so that their memory goes back after it
         return lambda text: known.classify(text, compressors)
 
     return make
