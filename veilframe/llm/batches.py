@@ -16,12 +16,12 @@ RETURNED_CHARS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """``doc_id``, ``text`` and ``more`` columns alone; other columns, whatever their names, stay out of the way."""
-    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
 def per_text(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]], fields: str) -> DataFrame:
