@@ -55,7 +55,8 @@ _ARROW_TYPES = {"boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()
 def per_value(column: Column | str, make: Callable[[], Callable[[str | None], object]], kind: str) -> Column:
     """A column made by a function of the whole text in ``column``, for rows that keep their other columns.
 
-    ``make`` runs once in each task and returns the function.
+    ``make`` runs once in each task and returns the function.  The optimizer takes the column for non-deterministic,
+    so that no filter on it makes it work out each value twice.
     """
 
     @F.arrow_udf(kind)
@@ -64,4 +65,4 @@ def per_value(column: Column | str, make: Callable[[], Callable[[str | None], ob
         for part in parts:
             yield pa.array((one(text.as_py()) for text in part), _ARROW_TYPES[kind], size=len(part))
 
-    return run(column)
+    return run.asNondeterministic()(column)
