@@ -61,26 +61,34 @@ def token_pattern(prefix: str = DEFAULT_PREFIX) -> str:
     return rf"\[\Q{prefix}\E_[^\[\]]+_[0-9]{{4,}}\]"
 
 
-def splice_sql(text: str, spans: str, replacements: str) -> str:
-    """Put replacements in the place of spans (disjoint, in text order).
+def gaps_sql(text: str, spans: str) -> str:
+    """What stands before, between and behind the spans (by name; disjoint, in text order).
 
     ``substring`` counts code points from the front, so cutting a long text at
-    many places would read its front again for each of them.  The text is first
-    cut into chunks and every piece comes from the chunks that it touches.
+    many places would read its front again for each of them.  A long text is
+    first cut into chunks and every piece comes from the chunks that it touches.
     """
 
-    def piece(start: str, end: str) -> str:
-        return (
-            f"substring(array_join(slice(chunks, {start} div {CHUNK} + 1, "
-            f"{end} div {CHUNK} - {start} div {CHUNK} + 1), ''), {start} % {CHUNK} + 1, {end} - {start})"
-        )
-
-    before = f"if(i = 0, 0, {spans}[i - 1].end)"
-    pairs = f"zip_with({spans}, {replacements}, (s, put) -> named_struct('s', s, 'put', put))"
-    body = f"""transform({pairs}, (p, i) -> concat(
-        transform(array(cast({before} as int)), b -> {piece('b', 'p.s.start')})[0], p.put))"""
-    tail = f"""transform(array(cast({spans}[size({spans}) - 1].end as int)),
-        p -> {piece('p', f'length({text})')})[0]"""
-    return f"""if(size({spans}) = 0, {text}, transform(
-        array(regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0)),
-        chunks -> concat(array_join({body}, ''), {tail}))[0])"""
+    def cut(piece) -> str:
+        before = f"if(i = 0, 0, {spans}[i - 1].end)"
+        behind = f"transform(array(coalesce({spans}[size({spans}) - 1].end, 0)), b -> {piece('b', f'length({text})')})"
+        inner = f"transform({spans}, (s, i) -> transform(array({before}), b -> {piece('b', 's.start')})[0])"
+        return f"concat({inner}, {behind})"
+
+    short = cut(lambda start, end: f"substring({text}, {start} + 1, {end} - {start})")
+    long = cut(
+        lambda start, end: f"substring(array_join(slice(chunks, {start} div {CHUNK} + 1, "
+        f"{end} div {CHUNK} - {start} div {CHUNK} + 1), ''), {start} % {CHUNK} + 1, {end} - {start})"
+    )
+    chunks = f"array(regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0))"
+    return f"if(length({text}) <= {CHUNK}, {short}, transform({chunks}, chunks -> {long})[0])"
+
+
+def woven_sql(gaps: str, replacements: str) -> str:
+    """One text of gaps and what is to stand between them."""
+    return f"array_join(zip_with({gaps}, {replacements}, (gap, put) -> concat(gap, coalesce(put, ''))), '')"
+
+
+def splice_sql(text: str, spans: str, replacements: str) -> str:
+    """Put replacements in the place of spans (disjoint, in text order)."""
+    return f"if(size({spans}) = 0, {text}, {woven_sql(gaps_sql(text, spans), replacements)})"

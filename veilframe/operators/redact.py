@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import column_name
-from veilframe.functions.replacements import DEFAULT_PREFIX, placeholder_sql, splice_sql
+from veilframe.functions.replacements import DEFAULT_PREFIX, gaps_sql, placeholder_sql, splice_sql, woven_sql
 from veilframe.functions.spans import text_of
 from veilframe.operators.skew import join_skewed
 
@@ -68,14 +68,16 @@ def redact_with_tokens(
     )
     found = looked_up.groupBy(key).agg(F.collect_list(F.struct("pos", F.col("token").alias("put"))).alias("_tokens"))
     others = [column_name(name) for name in detected.columns if name != text]
+    # Cut the texts before they move, so that no span travels with them.
     fixed = f"""filter(
         transform(_open, (s, i) -> named_struct(
             'pos', i, 'put', if(s.action = 'tokenize', null, {placeholder_sql('s', prefix)}))),
         p -> p.put is not null)"""
-    tokenized = (
-        marked.join(found, key)
-        .selectExpr("*", f"{_OPEN} as _open")
-        .selectExpr("*", f"sort_array(concat({fixed}, _tokens)).put as _puts")
-        .selectExpr(*others, f"{splice_sql(text_of(text), '_open', '_puts')} as {column_name(text)}")
+    kept = [name for name in others if name != column_name(key)]
+    pieces = marked.selectExpr("*", f"{_OPEN} as _open").selectExpr(
+        column_name(key), *kept, f"{gaps_sql(text_of(text), '_open')} as _gaps", f"{fixed} as _fixed"
+    )
+    tokenized = pieces.join(found, key).selectExpr(
+        *others, f"{woven_sql('_gaps', 'sort_array(concat(_fixed, _tokens)).put')} as {column_name(text)}"
     )
     return plain.unionByName(tokenized)

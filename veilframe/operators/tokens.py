@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.crypto import VaultKey, decrypt, encrypt, identity
 from veilframe.functions.patterns import column_name
-from veilframe.functions.replacements import DEFAULT_PREFIX, token_pattern, token_sql
+from veilframe.functions.replacements import DEFAULT_PREFIX, token_pattern, token_sql, woven_sql
 from veilframe.functions.spans import text_of
 from veilframe.operators.skew import join_skewed
 from veilframe.session import staged
@@ -95,12 +95,12 @@ def assign_tokens(
     named = distinct_values(occurrences).withColumn("identity", identity(F.col("entity_type"), F.col("value"), key))
     sealed = encrypt(F.col("value"), F.col("identity"), key)
     values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values")
-    known = values.join(vault.token_map.select("identity", "token"), "identity")
-    new = number_values(values.join(vault.token_map, "identity", "left_anti"), vault.counters).withColumn(
-        "token", F.expr(token_sql("entity_type", "token_no", prefix))
-    )
-    shared = ["entity_type", "identity", "value_enc", "token", "uses"]
-    every = known.select(*shared).unionByName(new.select(*shared))
+    known = values.join(vault.token_map.select("identity", "token"), "identity").withColumn("token_no", F.lit(None).cast("long"))
+    numbered = number_values(values.join(vault.token_map, "identity", "left_anti"), vault.counters)
+    numbered = numbered.withColumn("token", F.expr(token_sql("entity_type", "token_no", prefix)))
+    shared = ["entity_type", "identity", "value_enc", "token", "token_no", "uses"]
+    every = staged(known.select(*shared).unionByName(numbered.select(*shared)), "given")
+    new = every.where("token_no is not null")
     opened = decrypt(F.col("value_enc"), F.col("identity"), key)
     given = every.select("entity_type", opened.alias("value"), "identity", "token", "uses")
     new_map = new.select("identity", "entity_type", "token_no", "token", "value_enc")
@@ -161,8 +161,7 @@ def restore(
             (F.count(F.lit(1)) - F.count("value")).alias("unresolved"),
         )
     )
-    woven = f"""array_join(zip_with(split({source}, _regex, -1), _puts.put,
-        (gap, put) -> concat(gap, coalesce(put, ''))), '')"""
+    woven = woven_sql(f"split({source}, _regex, -1)", "_puts.put")
     with_tokens = (
         docs.where(has_token)
         .join(values, doc_key)
