@@ -77,11 +77,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row_no"),
     )
     narrow = staged(narrow, "records")
-    marks = narrow.agg(F.percentile_approx("at", [i / RANGES for i in range(1, RANGES)], 10000).alias("marks"))
+    marks = narrow.agg(F.percentile_approx("at", [i / RANGES for i in range(1, RANGES)], 10000)).first()[0] or []
     timed = narrow.select("record_id", "row_no", "url_key", "at", "kind", _header("etag").alias("etag"), _header("last-modified").alias("changed"))
     # Ranges are cut anywhere: every record of one time is in one range, whatever the marks.
-    span = F.size(F.filter("marks", lambda mark: mark <= F.col("at")))
-    timed = timed.where("url_key is not null and at is not null").crossJoin(F.broadcast(marks)).withColumn("span", span).drop("marks")
+    span = F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda mark: mark <= F.col("at")))
+    timed = timed.where("url_key is not null and at is not null").withColumn("span", span)
     timed = staged(timed, "timed")
     response = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "changed"))
     ends = timed.groupBy("url_key", "span").agg(F.max(response).alias("last"))
