@@ -584,7 +584,7 @@ def report_files(spark, sf_dir):
     summary = spark.read.schema("run_id string, blocked boolean, finding_count bigint").json(f"{target}/run-1/summary")
     total = summary.select("run_id", "blocked", F.col("finding_count").alias("findings"))
     both = docs.join(outputs.withColumnRenamed("status", "outcome"), "source_id", "full")
-    return both.crossJoin(F.broadcast(total))  # the summary is one row
+    return both.withColumn("run_id", F.lit("run-1")).join(F.broadcast(total), "run_id")  # the summary is one row
 
 
 def written_report(spark, sf_dir):
