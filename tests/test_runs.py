@@ -2,7 +2,6 @@ import json
 import os
 import random
 import re
-import sys
 
 import plain_model
 import pyarrow.parquet as pq

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.crypto import identity, vault_key
-from veilframe.functions.rules import rules_for, rules_named
+from veilframe.functions.rules import rules_for
 from veilframe.functions.spans import NO_SPANS, SPANS_TYPE, evaluated_once
 from veilframe.operators import audit, gate, tokens
 from veilframe.operators.detect import detect, findings, has_fail
