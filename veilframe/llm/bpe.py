@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
 from struct import pack
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilframe.llm.batches import per_text, texts_of
 
 #: Encodings of short pre-tokens that a worker remembers, twice: the newest and those before.
-CACHED = 1 << 16
+CACHED = 1 << 18
 CACHED_CHARS = 64
 # Longer texts are cut into pre-tokens one by one.
 LONG = 1 << 20
@@ -25,6 +26,26 @@ LONG = 1 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def latin_pattern() -> re.Pattern:
+    """The same cuts for texts of Latin-1 characters, in classes that the standard module searches twice as fast."""
+    kinds = {name: "" for name in ("L", "N", "s")}
+    for char in map(chr, range(256)):
+        for name in kinds:
+            if regex.match(rf"\p{{{name}}}" if name != "s" else r"\s", char):
+                kinds[name] += re.escape(char)
+    plain = PATTERN.replace(r"(?!\S)", f"(?![^{kinds['s']}])").replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(kinds.values())}]")
+    for name, mark in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s")):
+        plain = plain.replace(mark, f"[{kinds[name]}]")
+    return re.compile(plain)
+
+
+def is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable
     Latin-1 stands for itself, the other bytes for the letters from 256 on, in order."""
@@ -57,7 +78,7 @@ class Vocabulary(dict):
         strings = {number: bytes(byte_of[c] for c in string) for string, number in ids.items()}
         strings |= {number: string.encode() for string, number in self.special.items()}
         self.strings = [strings.get(number, b"") for number in range(max(strings) + 1)]
-        self.pieces = regex.compile(PATTERN)
+        self.pieces, self.latin = regex.compile(PATTERN), latin_pattern()
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
 
@@ -120,9 +141,10 @@ class Vocabulary(dict):
         return [(part, self.special.get(part)) for part in self.marks.split(text) if part]
 
     def pre_tokens(self, text: str) -> Iterable[str]:
+        pieces = self.latin if is_latin(text) else self.pieces
         if len(text) <= LONG:
-            return self.pieces.findall(text)
-        return (found.group() for found in self.pieces.finditer(text))
+            return pieces.findall(text)
+        return (found.group() for found in pieces.finditer(text))
 
     def encode(self, text: str | None) -> bytes:
         packed = []
