@@ -39,22 +39,23 @@ class PackedLengths:
 
 
 class Lengths(dict):
-    """Tier one holds the frequent pre-tokens; what it misses is encoded and kept in the worker's cache."""
+    """Tier one, the frequent pre-tokens, is always there.  What it misses is encoded and kept beside it, as the worker's
+    cache: the newest and, in ``older``, those before."""
 
     def __init__(self, frequent: PackedLengths, vocabulary: Vocabulary):
         super().__init__(frequent.table())
-        self.vocabulary, self.cache, self.older = vocabulary, {}, {}
+        self.frequent, self.older, self.vocabulary = dict(self), {}, vocabulary
 
     def __missing__(self, piece: str) -> int:
-        length = self.cache.get(piece)
+        length = self.older.get(piece)
         if length is None:
-            length = self.older.get(piece)
-            if length is None:
-                length = len(self.vocabulary.merged(piece.encode("utf-8", "replace")))
-            if len(piece) <= CACHED_CHARS:
-                if len(self.cache) >= CACHED:
-                    self.cache, self.older = {}, self.cache
-                self.cache[piece] = length
+            length = len(self.vocabulary.merged(piece.encode("utf-8", "replace")))
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= len(self.frequent) + CACHED:
+                self.older = dict(self)
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = length
         return length
 
     def count(self, text: str | None) -> int:
