@@ -1,11 +1,12 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import topk
+from veilframe.llm import queries, topk
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -76,3 +77,49 @@ def test_repeated_rows_and_empty_tables(spark):
     assert sorted(map(tuple, found)) == sorted(once * 2)
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     assert topk.top_k(spark.createDataFrame([(50, [1.0])], SCHEMA)).count() == 0
+
+
+def wholly(rows, every=50, wanted=5):
+    """All pairs in fractions, without a range."""
+    def fits(row):
+        return row[0] is not None and row[1] is not None and all(x is not None and math.isfinite(x) for x in row[1])
+
+    used = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in filter(fits, rows)]
+    out = []
+    for q, a in used:
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in used if i != q and len(b) == len(a))
+            out += [(q, rank + 1, i, str(-s)) for rank, (s, i) in enumerate(best[:wanted])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("blocks", [(1 << 14, 1 << 10), (30, 3)])
+def test_large_components_take_part_exactly(spark, blocks):
+    rng = random.Random(4)
+    rows = vectors(200, 6, 5)
+    for i, size in enumerate([524288.0, 1e6, 3e8, 1e15, 2.0**60, 1e30, 1e154, 1e300, 1.7e308] * 3):
+        rows += [(300 + 10 * i, [rng.uniform(-size, size) for _ in range(6)]), (301 + 10 * i, [size] + [0.5, -0.25, 0.0, 3.0, -1e-9])]
+    rows += [(900 + i, [-1e6] * 6) for i in range(8)]
+    # Scores that doubles can't tell apart, and vectors that are alike.
+    rows += [(950 + i, [2.0**70, -(2.0**70), i / 256, 1.0, 1.0, 1.0]) for i in range(12)] + [(1000, [2.0**70, 2.0**70, 1.0, 0.0, 0.0, 0.0])]
+    rows += [(1100 + i, [2e6] * 6) for i in range(60)]
+    rows += [(1200, [math.inf] * 6), (1250, [math.nan] + [1e9] * 5), (1300, [None] + [1e9] * 5), (1350, None)]
+    # In range each, but their products' sum is not.
+    rows += [(1400 + i, [524287.5] * 600) for i in range(3)]
+    rng.shuffle(rows)
+    found = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), block_rows=blocks[0], block_queries=blocks[1], large=True)
+    assert found.columns == ["query_id", "rank", "vec_id", "score", "whole_score"]
+    got = found.collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.whole_score) for r in got) == wholly(rows)
+    assert all(r.score == (int(r.whole_score) if abs(int(r.whole_score)) < 1 << 63 else None) for r in got)
+    assert any(r.score is None for r in got)
+
+
+def test_query_keeps_large_vectors(spark, tmp_path):
+    rows = [(0, [1.0, 0.0]), (1, [600000.0, 0.0]), (2, [2.0, 0.0]), (50, [1e6, 1.0])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.op9_topk(spark, str(tmp_path))
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    best = [(0, 1, 50, 65536 * 10**6), (0, 2, 1, 65536 * 600000), (0, 3, 2, 65536 * 2)]
+    best += [(50, 1, 1, 65536 * 6 * 10**11), (50, 2, 2, 65536 * 2 * 10**6), (50, 3, 0, 65536 * 10**6)]
+    assert sorted(map(tuple, found.collect())) == best

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,15 @@ BLOCK_ROWS = 1 << 14
 BLOCK_QUERIES = 1 << 10
 #: Bits of an attribute that are kept as slices; the rest is made up for by exact scores of boundary rows.
 SLICES = 5
-#: Components are integers below this, so that scores fit into 64 bits.
+#: Components of the index are integers up to this in size, or less for long vectors, so that scores fit into 64 bits.
 LARGEST = 1 << 27
+MOST = (1 << 63) - 1
+#: Doubles from here on are integers.
+WHOLE = 1 << 53
+#: What a task gives for a block.  A score beyond 64 bits has its digits as text, and their number with its sign as side.
+FOUND = {
+    "query_id": pa.int64(), "query_row": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "side": pa.int32(), "digits": pa.string(),
+}
 
 
 class SlicedBlock:
@@ -112,38 +121,104 @@ class SlicedBlock:
         return ids[at][order], scores[order]
 
 
+class FarRows:
+    """Vectors of any finite components (``rows``): scored in doubles first, then in integers where doubles can't tell."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids = rows, ids
+        self.light = _light(rows)
+        # Twice what rounding, and what underflow of components and products, can add to a sum of so many terms.
+        dims = rows.shape[1]
+        self.slack = dims * 2.0**-51 * np.abs(self.light).sum(axis=1) + dims * 2.0**-1060
+
+    def best(self, query: np.ndarray, wanted: int, own: int) -> tuple[np.ndarray, list[int]]:
+        """Ids and exact scores of the ``wanted`` best rows but those of id ``own``; ties to smaller ids."""
+        at = np.flatnonzero(self.ids != own)
+        if len(at) > wanted:
+            rough, slack = (self.light @ _light(query))[at], self.slack[at]
+            least = np.partition(rough - slack, len(at) - wanted)[len(at) - wanted]
+            at = at[rough + slack >= least]
+        asked, scores, made = _integers(query), {}, []
+        for place in at:
+            row = self.rows[place]
+            same = row.tobytes()
+            if same not in scores:
+                scores[same] = sum(map(operator.mul, asked, _integers(row)))
+            made.append((-scores[same], int(self.ids[place])))
+        made = heapq.nsmallest(wanted, made)
+        return np.array([i for _, i in made], np.int64), [-score for score, _ in made]
+
+
+def _light(values: np.ndarray) -> np.ndarray:
+    """Divided by a power of two, so that none is above 1 in size."""
+    return np.ldexp(values, -int(np.frexp(np.abs(values).max(initial=0))[1]))
+
+
+def _integers(vector: np.ndarray) -> list[int]:
+    # 256 times an integer may be more than a double holds.
+    return [int(x) * SCALE if abs(x) >= WHOLE else int(x * SCALE) for x in vector.tolist()]
+
+
 def scaled(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    """floor(256 x) / 256, which a double holds exactly for each finite x."""
+    parts = lambda x: F.floor(x * SCALE).cast("double") / SCALE
+    return F.transform(vector, lambda x: F.when(F.abs(x.cast("double")) < WHOLE, parts(x.cast("double"))).otherwise(x.cast("double")))
 
 
-def usable(vector: Column) -> Column:
-    """Not null, and every component a finite number within the range of the index."""
-    largest = LARGEST / SCALE
+def usable(vector: Column, large: bool) -> Column:
+    """Not null, and every component a finite number; without ``large``, one below 524,288 in size."""
+    limit = math.inf if large else LARGEST / SCALE
     return F.coalesce(
-        F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < largest, F.lit(False))), F.lit(False)
+        F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(limit), F.lit(False))), F.lit(False)
     )
 
 
 def _matrix(table: pa.Table, dims: int) -> np.ndarray:
     values = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.int64).reshape(len(table), dims)
+    return values.reshape(len(table), dims)
 
 
-def block_search(wanted: int, slices: int):
-    fields = ["query_id", "query_row", "vec_id", "score"]
+def _near(matrix: np.ndarray) -> np.ndarray:
+    """Which vectors the index can hold."""
+    limit = min(LARGEST, math.isqrt(MOST // max(1, matrix.shape[1])))
+    return (np.abs(matrix) <= limit / SCALE).all(axis=1)
+
+
+def _indexed(matrix: np.ndarray) -> np.ndarray:
+    return (matrix * SCALE).astype(np.int64)
 
+
+def block_search(wanted: int, slices: int):
     def run(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = []
+        out = [[] for _ in FOUND]
         dims = key[0].as_py()
+
+        def put(own: int, row: int, ids: np.ndarray, scores: list[int]) -> None:
+            for vec_id, score in zip(ids.tolist(), scores, strict=True):
+                fits = -MOST <= score <= MOST
+                digits = None if fits else str(abs(score))
+                side = 0 if fits else len(digits) if score > 0 else -len(digits)
+                for column, value in zip(out, (own, row, vec_id, score if fits else None, side, digits), strict=True):
+                    column.append(value)
+
         if len(rows) and len(queries):
-            block = SlicedBlock(_matrix(rows, dims), slices)
-            ids = rows.column("vec_id").to_numpy()
-            asked = zip(queries.column("vec_id").to_numpy(), queries.column("row_no").to_numpy(), _matrix(queries, dims), strict=True)
-            for own, row, query in asked:
-                found, scores = block.best(query, wanted, ids, own)
-                out.append((np.full(len(found), own), np.full(len(found), row), found, scores))
-        columns = [np.concatenate(x) if out else np.array([], np.int64) for x in (zip(*out, strict=True) if out else [()] * 4)]
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(fields, columns, strict=True)})
+            all_rows, all_ids, asked = _matrix(rows, dims), rows.column("vec_id").to_numpy(), _matrix(queries, dims)
+            near, easy = _near(all_rows), _near(asked)
+            ids = all_ids[near]
+            block = SlicedBlock(_indexed(all_rows[near]), slices) if near.any() and easy.any() else None
+            far = FarRows(all_rows[~near], all_ids[~near]) if not near.all() and easy.any() else None
+            every = FarRows(all_rows, all_ids) if not easy.all() else None
+            owns, places = queries.column("vec_id").to_pylist(), queries.column("row_no").to_pylist()
+            for own, row, query, indexed in zip(owns, places, asked, easy, strict=True):
+                if not indexed:
+                    put(own, row, *every.best(query, wanted, own))
+                    continue
+                if block is not None:
+                    found, scores = block.best(_indexed(query), wanted, ids, own)
+                    put(own, row, found, scores.tolist())
+                if far is not None:
+                    put(own, row, *far.best(query, wanted, own))
+        return pa.table({name: pa.array(column, kind) for column, (name, kind) in zip(out, FOUND.items(), strict=True)})
 
     return run
 
@@ -157,26 +232,31 @@ def top_k(
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
     slices: int = SLICES,
+    large: bool = False,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``wanted`` best rows for each row whose id ``every`` divides.
 
     Components become floor(256 x); the score is the integer inner product,
     ties go to the smaller id.  Rows with the query's id are its own and not
-    among its results.  Vectors that are null or hold null, non-finite or
-    out-of-range components (524,288 or more in size) take no part, nor rows
-    without id; vectors of another length than the query's don't meet it, empty
-    ones score 0.  Repeated rows are candidates each, and a repeated query row
-    gets its results again.  Other columns are ignored.
+    among its results.  Vectors that are null or hold null or non-finite
+    components take no part, nor rows without id; without ``large``, neither do
+    vectors with a component of 524,288 or more in size.  With it they are
+    scored beside the index, in integers of any length; a score beyond 64 bits
+    is null, and ``whole_score`` has each score's digits as text.  Vectors of
+    another length than the query's don't meet it, empty ones score 0.  Repeated
+    rows are candidates each, and a repeated query row gets its results again.
+    Other columns are ignored.
 
     Rows are dealt to blocks of about ``block_rows`` by a hash of their place,
     queries to sets of about ``block_queries``; each set meets each block in one task, which
     makes the index of the block and passes on ``wanted`` rows per query.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), large))
     rows = rows.select("vec_id", scaled(F.col("vector")).alias("vector"), F.monotonically_increasing_id().alias("row_no"))
     rows = staged(rows.withColumn("dims", F.size("vector")), "vectors")
-    queries = rows.where(F.col("vec_id") % every == 0)
+    # Columns of their own: the optimizer may drop a column of the second side that has the identity of one of the first.
+    queries = rows.where(F.col("vec_id") % every == 0).select(*(F.col(name).alias(name) for name in rows.columns))
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     blocks, sets = (max(1, math.ceil(a / b)) for a, b in ((counted.n, block_rows), (counted.q, block_queries)))
 
@@ -188,8 +268,10 @@ def top_k(
     found = (
         dealt(rows, "block", blocks, "part", sets)
         .cogroup(dealt(queries, "part", sets, "block", blocks))
-        .applyInArrow(block_search(wanted, slices), "query_id long, query_row long, vec_id long, score long")
+        .applyInArrow(block_search(wanted, slices), "query_id long, query_row long, vec_id long, score long, side int, digits string")
     )
-    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    above, below = F.when(F.col("side") > 0, F.col("digits")), F.when(F.col("side") < 0, F.col("digits"))
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("side"), F.desc("score"), F.desc(above), below, "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= wanted)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    whole = F.coalesce(F.col("score").cast("string"), above, F.concat(F.lit("-"), below)).alias("whole_score")
+    return ranked.select("query_id", "rank", "vec_id", "score", *([whole] if large else []))
