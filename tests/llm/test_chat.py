@@ -63,6 +63,19 @@ def test_examples_hold_the_turns_before_and_train_one_reply(spark):
     assert trained == ["one &amp; two", "é", ""]
 
 
+def test_examples_of_a_long_conversation_need_not_fit_into_one_row(spark):
+    # 1,500 examples, 2.3 GB of text in all: more than any row can hold.
+    turns = spark.range(1500).select(
+        F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"),
+        F.rpad(F.col("id").cast("string"), 2000, "x").alias("text"),
+    )
+    size = len("<turn>assistant\n") + 2000 + len("</turn>\n")
+    made = chat.examples(turns)
+    trained = F.expr("substring(formatted, loss_start + 1, loss_length)") == F.rpad((F.col("last_turn") - 1).cast("string"), 2000, "x")
+    found = made.agg(F.count(F.lit(1)), F.sum(F.length("formatted")), F.count_if(trained), F.sum("last_turn")).first()
+    assert tuple(found) == (1500, size * 1500 * 1501 // 2, 1500, 1500 * 1501 // 2)
+
+
 def test_plan_has_one_shuffle_and_no_python(spark):
     turns = spark.createDataFrame(conversations(), SCHEMA)
     plan = chat.read_back(chat.examples(turns))._jdf.queryExecution().executedPlan().toString()

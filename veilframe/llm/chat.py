@@ -41,7 +41,8 @@ def examples(
     id are one conversation.  Other columns are ignored, no rows give none.
 
     Turns move once, by conversation.  A conversation has to fit into a row, as
-    its last example does in any form.
+    its last example does in any form; examples are rows of their own, made one
+    at a time.
     """
     rows = turns.select(
         F.col(conv).alias("conv_id"),
@@ -58,20 +59,23 @@ def examples(
         F.transform("said", lambda t: F.concat(_head(t["role"]), escaped(t["text"]), F.lit(CLOSE))).alias("shown"),
     )
 
-    def example(at: Column) -> Column:
+    def end(at: Column) -> Column:
         said = F.element_at("said", at)
-        before = F.array_join(F.slice("shown", F.lit(1), at - 1), "")
-        trained = said["role"] == TRAINED_ROLE
-        return F.struct(
-            at.alias("last_turn"),
-            F.concat(before, F.element_at("shown", at)).alias("formatted"),
-            (F.length(before) + F.length(_head(said["role"]))).alias("loss_start"),
-            F.when(trained, F.length(escaped(said["text"]))).otherwise(0).alias("loss_length"),
-        )
+        size = F.length(escaped(said["text"]))
+        return F.struct(at.alias("last_turn"), size.alias("size"), (said["role"] == TRAINED_ROLE).alias("trained"))
 
     places = F.sequence(F.lit(1), F.size("said"))
     ends = F.filter(places, lambda at: (F.element_at("said", at)["role"] == TRAINED_ROLE) | (at == F.size("said")))
-    return talks.select("conv_id", F.explode(F.transform(ends, example)).alias("made")).select("conv_id", "made.*")
+    # Only numbers are exploded; each text is made in its own row.
+    made = talks.select("conv_id", "shown", F.explode(F.transform(ends, end)).alias("end"))
+    made = made.select("conv_id", "end.*", F.array_join(F.slice("shown", F.lit(1), F.col("end.last_turn")), "").alias("formatted"))
+    return made.select(
+        "conv_id",
+        "last_turn",
+        "formatted",
+        (F.length("formatted") - F.col("size") - len(CLOSE)).alias("loss_start"),
+        F.when(F.col("trained"), F.col("size")).otherwise(0).alias("loss_length"),
+    )
 
 
 def read_back(made: DataFrame) -> DataFrame:
