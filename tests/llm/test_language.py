@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -45,6 +46,28 @@ def test_passages_are_bounded(spark):
     assert len(model.contents[0]) == 10 * language.PASSAGE_CHARS + 9
 
 
+def test_every_language_is_learned(spark):
+    def words(lang, seed):
+        rng, own = random.Random(seed), random.Random(f"words of {lang}")
+        known = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        return " ".join(rng.choice(known) for _ in range(40))
+
+    rows = [(150 * nth + lang, words(lang, nth), f"l{lang}") for lang in range(150) for nth in range(9 if lang < 140 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.learned(docs).names) == 150
+    found = {r.doc_id: r for r in language.languages(docs).collect()}
+    assert all(found[doc_id].lang_pred == lang and not found[doc_id].rejected for doc_id, _, lang in rows)
+
+
+def test_passages_of_many_languages_are_shared(monkeypatch):
+    assert language.share([5, 10**6, 700], 600) == 600
+    assert language.share([], 600) == 600
+    monkeypatch.setattr(language, "ALL_PASSAGES", 100)
+    assert language.share([2, 3, 500, 400], 600) == 47
+    assert language.share([2, 3, 500, 400], 10) == 10
+    assert language.share([9] * 300, 600) == 1
+
+
 def test_odd_rows(spark):
     base = [(r.doc_id, r.text, r.lang) for r in table(spark, SF, "documents").collect()]
     odd = [(10**7, None, "en"), (10**7 + 1, "", "en"), (10**7 + 2, "123 !!", "en"), (None, base[0][1], None), (10**7 + 3, base[0][1] * 300, None), base[5], base[5]]

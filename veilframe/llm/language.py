@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.batches import per_text, per_value, texts_of
 
-#: What the classifier may learn from: passages per language, their length, and languages (the most frequent ones).
+#: What the classifier may learn from: passages per language, of all languages, and their length.
 PASSAGES = 600
+ALL_PASSAGES = 128 * PASSAGES
 PASSAGE_CHARS = 400
-LANGUAGES = 128
 #: Texts are compressed in pieces, so that a dictionary matters throughout a long text.
 PIECE_BYTES = 1024
 LEVEL = 6
@@ -68,19 +68,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def share(counts: list[int], passages: int) -> int:
+    """The most passages of a language, 1 at least, with which all together keep to ``ALL_PASSAGES``."""
+    left = ALL_PASSAGES
+    for place, n in enumerate(sorted(counts)):
+        most = left // (len(counts) - place)
+        if n > most:
+            return max(1, min(passages, most))
+        left -= min(n, passages)
+    return passages
+
+
 def learned(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", passages: int = PASSAGES
 ) -> Languages:
     """Dictionaries from ``passages`` documents of each language, chosen by a hash of their ids among all that are not held out.
 
     Each gives ``PASSAGE_CHARS`` characters from a third of its length on, or its last ones if there are
-    fewer; only documents with text count.  At most ``LANGUAGES`` languages are learned.
+    fewer; only documents with text count.  Every language is learned; should there be more than ``ALL_PASSAGES``
+    passages in all, the languages with the most documents give fewer.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     known = known.where(F.length("text") > 0)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
     counts = [(row.lang, row.n) for row in counts.collect()]
+    passages = share([n for _, n in counts], passages)
     # A hash below this bound is expected for twice the passages wanted, so few rows move.
     bounds = docs.sparkSession.createDataFrame(
         [(lang, min(1.0, 2 * passages / n + 40 / n)) for lang, n in counts], "lang string, bound double"
