@@ -39,3 +39,10 @@ def test_detection_needs_no_shuffle_and_reads_two_columns(spark):
     assert "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert plan.count("regexp_replace") < 40 and json.dumps(plan).count("BEGIN [A-Z ]") <= 6
+
+
+def test_gate_counts_documents_of_any_language(spark, tmp_path):
+    rows = [(i, "web", lang, "plain words") for i, lang in enumerate(["en", "fr", "de", "es", "it", None])]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.kind: tuple(r)[1:] for r in catalog.gate_unreadable(spark, str(tmp_path)).collect()}
+    assert found == {"texts": (2, 0, False, False), "pdf": (3, 1, False, True), "images": (6, 4, True, True)}

@@ -330,10 +330,11 @@ def gate_unreadable(spark, sf_dir):
     """Verdicts of a scan and of a release, as more kinds of files join in: texts, then PDF, then images."""
     path = "concat('/data/', source, '/', doc_id, case lang when 'en' then '.md' when 'fr' then '.txt' when 'de' then '.pdf' else '.png' end)"
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    every = rows.selectExpr("lang", f"{path} as path", "encode(text, 'UTF-8') as content")
+    level = "case lang when 'en' then 1 when 'fr' then 1 when 'de' then 2 else 3 end as level"
+    every = rows.selectExpr(level, f"{path} as path", "encode(text, 'UTF-8') as content")
     out = []
-    for kind, languages in (("texts", ("en", "fr")), ("pdf", ("en", "fr", "de")), ("images", ("en", "fr", "de", "es"))):
-        docs = files.extract(every.where(F.col("lang").isin(*languages)).drop("lang"), "/data")
+    for upto, kind in enumerate(("texts", "pdf", "images"), 1):
+        docs = files.extract(every.where(F.col("level") <= upto).drop("level"), "/data")
         scanned = runs.scan(docs, POLICY, run_id=kind)
         released = runs.prepare(docs, vault_key(spark, SECRET), tokens.empty_vault(spark), POLICY, run_id=kind)
         counts = scanned.documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "error").alias("unread"))
