@@ -1,0 +1,111 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from veilframe.llm import merkle, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def climb(nodes):
+    """The root above a list of digests, and the steps of each: what stands before and after."""
+    steps, owners = [[] for _ in nodes], [[n] for n in range(len(nodes))]
+    while len(nodes) > 1:
+        above, held = [], []
+        for start in range(0, len(nodes), 8):
+            run = nodes[start : start + 8]
+            for at in range(len(run)):
+                for leaf in owners[start + at]:
+                    steps[leaf].append(("".join(run[:at]), "".join(run[at + 1 :])))
+            above.append(h(*run))
+            held.append([leaf for at in range(len(run)) for leaf in owners[start + at]])
+        nodes, owners = above, held
+    return nodes[0], steps
+
+
+def brute(rows):
+    """Sorted result rows for (doc_id, source, lang, n_chars, text)."""
+    if not rows:
+        return []
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append((row, h(*map(field, row))))
+    order = sorted(groups, key=lambda lang: (lang is not None, (lang or "").encode()))
+    subroots, inside = [], []
+    for lang in order:
+        groups[lang].sort(key=lambda r: (r[0][0] is not None, r[0][0] or 0, r[1]))
+        root, steps = climb([leaf for _, leaf in groups[lang]])
+        subroots.append(root)
+        inside.append(steps)
+    root, upper = climb(subroots)
+    out = []
+    for lang, subroot, steps, more in zip(order, subroots, inside, upper, strict=True):
+        for (row, leaf), own in zip(groups[lang], steps, strict=True):
+            way = own + more
+            text = row[4]
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0 and text is not None:
+                text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+            folded = h(*map(field, (*row[:4], text)))
+            for before, after in way:
+                folded = h(before, folded, after)
+            proof = h(*(before + after for before, after in way))
+            out.append((row[0], leaf, subroot, root, proof, folded, folded == root))
+    return sorted(out, key=str)
+
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def ours(spark, tmp_path, rows, extra=False):
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    if extra:
+        docs = docs.selectExpr("*", "1 as leaf", "2 as place", "3 as tree", "'x' as digest", "4 as steps", "5 as _group")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op12_merkle(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    return sorted(map(tuple, found.collect()), key=str)
+
+
+def made(count, seed, langs=("en", "fr", "de", None, "ü", "Z")):
+    rng = random.Random(seed)
+    return [(n, rng.choice(["web", None]), rng.choice(langs), rng.randint(0, 99), rng.choice(["Ab É", "", None, "plain", "ß" * 50])) for n in range(count)]
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [], [(5, None, None, None, None)], [(5, "s", "en", 3, "ABC"), (6, "s", "fr", 3, "ABC")], made(8, 1, ["en"]), made(9, 2, ["en"]),
+        made(65, 3, ["en"]), made(600, 4), made(40, 5, [f"l{n}" for n in range(200)]),
+        [(7, "s", "en", 1, "Twice")] * 70 + made(20, 6) + [(None, None, "en", None, "x" * 300_000), (None, "s", "en", 2, "Y")],
+        [*made(1000, 7, ["en"] * 9 + ["de"]), (2000, "s", "one", 1, "Q")],
+    ],
+)
+def test_equals_a_plain_tree(spark, tmp_path, rows):
+    assert ours(spark, tmp_path, rows, extra=True) == brute(rows)
+
+
+def test_query_equals_a_plain_tree_on_the_given_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
+    found = queries.op12_merkle(spark, SF).collect()
+    assert sorted(map(tuple, found), key=str) == brute([tuple(row) for row in docs.collect()])
+    assert {row.verified for row in found} == {True, False}
+
+
+def test_own_fields_and_groups(spark):
+    rows = [("b", 1), ("a", 2), ("c", 1), (None, 2)]
+    found = merkle.proofs(spark.createDataFrame(rows, "name string, kind int"), ("name", "kind"), "kind", "name").collect()
+    leaves = {name: h(field(name), field(kind)) for name, kind in rows}
+    one, two = h(leaves["b"], leaves["c"]), h(leaves[None], leaves["a"])
+    assert {r.doc_id: (r.leaf, r.claim, r.subroot, r.root) for r in found} == {
+        name: (leaves[name], leaves[name], one if kind == 1 else two, h(one, two)) for name, kind in rows
+    }

@@ -9,8 +9,8 @@ from veilframe.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-def test_all_eleven_are_registered():
-    assert {name.split("_")[0] for name in queries.queries()} == {f"op{n}" for n in range(1, 11)}
+def test_all_operators_are_registered():
+    assert {name.split("_")[0] for name in queries.queries()} == {f"op{n}" for n in range(1, 14)}
     assert {*queries.queries(), "pipeline"} <= set(entry.queries())
     assert set(queries.oracles()) <= set(entry.oracle_sql())
     assert "pipeline" not in entry.oracle_sql()

@@ -1,0 +1,113 @@
+import math
+
+import numpy as np
+import pytest
+
+from veilframe.llm import queries, whitening
+
+SF = "/root/testdata/sf0.001"
+
+
+def random_symmetric(values, seed):
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(values), len(values))))[0]
+    return q * np.array(values) @ q.T
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [3.0], [2.0, 2.0], [5, 4, 3, 2, 1], [1e6, 1, 1e-3, 1e-6], [7, 7, 7, 1, 1], [0, 0, 0, 4], [0, 0, 0], [1, 1 + 1e-13, 2],
+        [-3, 0, 3, 5], list(range(1, 65)), [1.0] * 40 + [2.0] * 24, list(np.geomspace(1, 1e-10, 30)),
+    ],
+)
+def test_spectrum_equals_the_library(values):
+    a = random_symmetric(values, len(values))
+    found, vectors = whitening.spectrum(a)
+    assert np.abs(found - np.sort(np.linalg.eigvalsh(a))[::-1]).max() <= 1e-13 * max(1, np.abs(values).max()) * len(values)
+    assert np.abs(vectors.T @ vectors - np.eye(len(values))).max() < 1e-13
+    assert np.abs(a @ vectors - vectors * found).max() <= 1e-13 * max(1, np.abs(values).max()) * len(values)
+
+
+def test_polar_factor_has_the_signs():
+    a = random_symmetric([4, 1e-3, -2, -1e-6, 9], 3)
+    values, vectors = np.linalg.eigh(a)
+    assert np.abs(whitening.polar(a) - vectors * np.sign(values) @ vectors.T).max() < 1e-9
+
+
+def brute(rows, components=32):
+    """{(place of row, component): (n, deviation, whitened up to sign, explained)} of rows of one length."""
+    x = [[math.floor(64 * float(c)) + 1_000_000 for c in row] for row in rows]
+    n, sums = len(x), [sum(column) for column in zip(*x, strict=True)]
+    y = np.array([[a - s // n - (s % n) / n for a, s in zip(row, sums, strict=True)] for row in x])
+    values, vectors = np.linalg.eigh(y.T @ y / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    kept = [i for i in range(min(components, len(values))) if values[i] > 1e-11 * values[0] > 0]
+    out = {}
+    for place, row in enumerate(x):
+        deviation = sum((n * a - s) ** 2 for a, s in zip(row, sums, strict=True))
+        for i in kept:
+            out[place, i + 1] = n, deviation, float(y[place] @ vectors[:, i]) / math.sqrt(values[i]), values[i] / values.sum()
+    return out
+
+
+def compare(found, wanted, names):
+    got = {(row.vec_id, row.component): row for row in found}
+    assert len(got) == len(found) == len(wanted)
+    signs = {}
+    for (place, component), (n, deviation, white, explained) in wanted.items():
+        row = got[names[place], component]
+        assert row.n == n and row.deviation == (deviation if deviation < 1 << 63 else None)
+        assert abs(abs(row.whitened) - abs(white)) < 1e-6 * max(1, abs(white))
+        assert abs(row.explained / explained - 1) < 1e-6 and row.identity_error < 1e-6
+        if abs(white) > 1e-3:
+            assert signs.setdefault(component, np.sign(row.whitened * white)) == np.sign(row.whitened * white)
+
+
+def test_query_equals_numpy_on_the_given_table(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    compare(queries.op13_whitening(spark, SF).collect(), brute([row.embedding for row in rows]), [row.vec_id for row in rows])
+
+
+def test_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    good = [[float(v) for v in rng.standard_normal(3)] for _ in range(40)]
+    pairs = [[1.0, 2.0], [1.5, 0.25], [-2.0, 7.0]]
+    rows = [(n, row, 0, 0.0) for n, row in enumerate(good)]
+    rows += [(100, None, 0, 0.0), (101, [1.0, None, 2.0], 0, 0.0), (102, [math.nan, 1.0, 2.0], 0, 0.0), (103, [math.inf, 1.0, 2.0], 0, 0.0)]
+    rows += [(104, [], 0, 0.0), (105, [2.0**60, 0.0, 0.0], 0, 0.0)] + [(200 + n, row, 0, 0.0) for n, row in enumerate(pairs)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int, whitened double").repartition(5)
+    found = whitening.whitened(docs).collect()
+    compare([r for r in found if r.vec_id < 100], brute(good), range(100))
+    compare([r for r in found if r.vec_id >= 200], brute(pairs), range(200, 210))
+
+
+def test_repeated_rows_and_null_ids_count(spark):
+    rows = [[0.5, 1.0], [0.5, 1.0], [2.0, -1.0], [0.0, 3.0]]
+    docs = spark.createDataFrame([(None, row) for row in rows], "vec_id string, embedding array<float>")
+    found = whitening.whitened(docs).collect()
+    wanted = brute(rows)
+    assert len(found) == 8 and {r.vec_id for r in found} == {None}
+    assert sorted(r.deviation for r in found) == sorted(w[1] for w in wanted.values())
+
+
+def test_large_entries_are_summed_exactly(spark):
+    rng = np.random.default_rng(6)
+    rows = [[float(v) for v in row] for row in np.round(rng.standard_normal((50, 4)) * 2.0**40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)
+    found = whitening.whitened(docs).collect()
+    wanted = brute(rows)
+    assert all(r.deviation is None for r in found) and min(w[1] for w in wanted.values()) >= 1 << 63
+    compare(found, wanted, range(50))
+
+
+def test_nothing_to_tell_apart(spark):
+    same = spark.createDataFrame([(n, [1.0, 2.0]) for n in range(5)] + [(9, [3.0])], "vec_id long, embedding array<double>")
+    assert whitening.whitened(same).count() == 0
+    assert whitening.whitened(same.limit(0)).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [2.0, 2.0, 5.0])], "vec_id long, embedding array<double>")
+    assert {r.component for r in whitening.whitened(few).collect()} == {1}
+
+
+def test_fewer_components(spark):
+    docs = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert {r.component for r in whitening.whitened(docs, components=3).select("component").distinct().collect()} == {1, 2, 3}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, chat, counts, exact, language, mixing, quality, simhash, topk, warc
+from veilframe.llm import bpe, chat, counts, exact, language, merkle, mixing, packing, quality, simhash, topk, warc, whitening
 from veilframe.llm.batches import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,9 +83,32 @@ def op10_counts(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_packing(spark, sf_dir):
+    pieces = packing.packed(table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: The rows whose text is changed after the manifest was made.
+TAMPERED = "crc32(cast(doc_id as string)) % 3 = 0"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op12_merkle(spark, sf_dir):
+    claimed = F.when(F.expr(TAMPERED), F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    found = merkle.proofs(table(spark, sf_dir, "documents"), claimed={"text": claimed})
+    proof = merkle.hashed(merkle.siblings(F.col("steps"))).alias("proof_sha256")
+    told = found.select("doc_id", "leaf", "subroot", "root", proof, merkle.folded(F.col("claim"), F.col("steps")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     made = (
         op1_simhash, op2_chat, op3_bpe, op4_quality, op5_warc, op6_exact, op7_language, op8_mixing, op9_topk, op10_counts,
+        op11_packing, op12_merkle, op13_whitening,
     )
     return {query.__name__: query for query in made}
 
@@ -216,5 +239,62 @@ FROM scored QUALIFY rank <= 5
 """
 
 
+# Levels written out below: enough for 8^8 rows of a language and 8^3 languages.
+_DEEP, _WIDE = 8, 3
+
+
+def _levels(name: str, key: str, count: int) -> str:
+    """Nodes of the levels of a tree as tables ``name``0, ``name``1 ..., with what stands before and after each in its run."""
+    out = []
+    for level in range(count):
+        out.append(f"""{name}{level}_runs AS (
+  SELECT *,
+    CASE WHEN size > 1 THEN coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS before,
+    CASE WHEN size > 1 THEN coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS after
+  FROM {name}{level} WINDOW w AS (PARTITION BY {key}, place // 8 ORDER BY place)
+), {name}{level + 1} AS (
+  SELECT {key}, place // 8 AS place, CASE WHEN min(size) = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest,
+    (min(size) + 7) // 8 AS size
+  FROM {name}{level} GROUP BY {key}, place // 8
+)""")
+    return ", ".join(out)
+
+
+def _merkle_sql() -> str:
+    fields = lambda text: " || ".join(
+        f"coalesce(strlen({one}::VARCHAR) || ':' || {one}::VARCHAR, '-')" for one in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    steps = [(f"n{level}_runs", "s.lang IS NOT DISTINCT FROM h.lang AND s.place = h.place", 8**level) for level in range(_DEEP)]
+    steps += [(f"t{level}_runs", "s.place = h.lang_no", 8**level) for level in range(_WIDE)]
+    told = "held0 AS (SELECT r.*, g.place AS lang_no, g.digest AS subroot, '' AS proof0, r.claim AS f0 FROM rows r JOIN t0 g ON g.lang IS NOT DISTINCT FROM r.lang)"
+    for number, (runs, same, width) in enumerate(steps):
+        told += f""", held{number + 1} AS (
+  SELECT h.* EXCLUDE (proof{number}, f{number}), proof{number} || coalesce(s.before || s.after, '') AS proof{number + 1},
+    CASE WHEN s.before IS NULL THEN f{number} ELSE sha256(s.before || f{number} || s.after) END AS f{number + 1}
+  FROM held{number} h JOIN {runs} s ON {same} // {width}
+)"""
+    last = len(steps)
+    return rf"""
+WITH marked AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(
+    [4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS state
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256({fields("text")}) AS leaf, sha256({fields("changed")}) AS claim
+  FROM (SELECT *, CASE WHEN xor(state, 4294967295) % 3 = 0 THEN translate(text, '{UPPER}', '{UPPER.lower()}') ELSE text END AS changed FROM marked)
+), rows AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS size FROM hashed
+), n0 AS (SELECT lang, place, leaf AS digest, size FROM rows),
+{_levels("n", "lang", _DEEP)},
+t0 AS (
+  SELECT 0 AS top, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, digest, count(*) OVER () AS size FROM n{_DEEP}
+), {_levels("t", "top", _WIDE)},
+{told}
+SELECT doc_id, leaf, subroot, t{_WIDE}.digest AS root, sha256(proof{last}) AS proof_sha256, f{last} AS folded_root, f{last} = t{_WIDE}.digest AS verified
+FROM held{last}, t{_WIDE}
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op2_chat": CHAT, "op5_warc": WARC, "op6_exact": EXACT, "op8_mixing": MIXING, "op9_topk": TOPK}
+    return {"op2_chat": CHAT, "op5_warc": WARC, "op6_exact": EXACT, "op8_mixing": MIXING, "op9_topk": TOPK, "op12_merkle": _merkle_sql()}
