@@ -6,8 +6,9 @@ import re
 import plain_model
 import pyarrow.parquet as pq
 import pytest
+from made_texts import made, one
 from pyspark.sql import functions as F
-from test_detect import FIRST, frame, random_texts, spark_spans
+from test_detect import ALL_KINDS, FIRST, frame, random_texts, spark_spans
 
 import veilframe
 from veilframe import session
@@ -21,8 +22,10 @@ from veilframe.sources.policies import Policy
 from veilframe.sources.tables import documents
 from veilframe.sources.vaults import VaultChanged, VaultFolder
 
-ROUND_TRIP = "王芳来自海棠云图科技，邮箱 desk.nine@mail.example.org，电话13577776666，报销RMB 654321元。"
-RAW = ("王芳", "海棠云图", "desk.nine@mail.example.org", "13577776666")
+TRIP = made(("PERSON", "ORG", "EMAIL", "PHONE", "MONEY"), 14)
+ROUND_TRIP, LAST = TRIP.text, TRIP.fillers[-1]
+RAW = tuple(TRIP.value(kind) for kind in ("PERSON", "ORG", "EMAIL", "PHONE"))
+SHOWN = {"PERSON": "[X_PERSON_0001]", "ORG": "[X_ORG_0001]", "EMAIL": "[X_EMAIL_MASKED]", "PHONE": "[X_PHONE_REDACTED]", "MONEY": "[X_MONEY_100K_1M]"}
 
 
 def docs_of(spark, texts):
@@ -46,10 +49,11 @@ def everything(*tables):
 
 
 def test_scan_reports_no_raw_values(spark):
-    run = veilframe.scan(docs_of(spark, {"s.md": "王五 手机13577776666 写信 desk.nine@mail.example.org 订单PO-2031-778"}), run_id="r")
+    few = made(("CONTRACT_ID", "EMAIL", "PERSON", "PHONE"), 15)
+    run = veilframe.scan(docs_of(spark, {"s.md": few.text}), run_id="r")
     rendered = everything(run.report, run.summary, run.documents, run.outputs)
     assert run.blocked is False and run.sanitized is None
-    assert not any(value in rendered for value in (*RAW, "王五", "PO-2031-778"))
+    assert not any(value in rendered for value in few.values)
     assert run.summary.first()["counts_by_entity"] == {"CONTRACT_ID": 1, "EMAIL": 1, "PERSON": 1, "PHONE": 1}
 
 
@@ -58,7 +62,7 @@ def test_a_secret_blocks(spark, key, tmp_path):
     run = veilframe.prepare(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}), key, folder, output=str(tmp_path / "out"))
     assert run.blocked and run.sanitized is None
     assert not (tmp_path / "out").exists() and not folder.exists()
-    assert "sk-live" not in everything(run.report, run.summary, run.documents, run.outputs)
+    assert ALL_KINDS.value("API_KEY") not in everything(run.report, run.summary, run.documents, run.outputs)
 
 
 def test_prepare_writes_and_restore_brings_back(spark, key, tmp_path):
@@ -69,7 +73,7 @@ def test_prepare_writes_and_restore_brings_back(spark, key, tmp_path):
     run.write_report(str(tmp_path / "report"))
     parts = sorted((tmp_path / "out/bundle/run_id=run-1").glob("part=*/part-*.txt"))
     bundle = "".join(path.read_text("utf-8") for path in parts)
-    assert "[X_PERSON_0001]来自[X_ORG_0001]，邮箱 [X_EMAIL_MASKED]，电话[X_PHONE_REDACTED]，报销[X_MONEY_100K_1M]。" in bundle
+    assert TRIP.shown(*(SHOWN[kind] for kind in TRIP.kinds)) in bundle
     assert re.findall("## Source: (.*)", bundle) == ["a.md", "b/x y.md", "c.md"]
     assert bundle.startswith("# sanitized bundle\n\n## Source: a.md\n\nnothing\n\n")
     written = [p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()]
@@ -77,7 +81,8 @@ def test_prepare_writes_and_restore_brings_back(spark, key, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out/documents"))
     assert {row["output_name"] for row in stored.collect()} == {"b_x_y.md.redacted.md", "a.md.redacted.md", "c.md.redacted.md"}
     back = {row["source_id"]: row for row in veilframe.restore(run.sanitized, key, folder, "run-1", prefix="X").collect()}
-    assert back["b/x y.md"]["text"].startswith("王芳来自海棠云图科技，邮箱 [X_EMAIL_MASKED]")
+    brought = (value if kind in ("PERSON", "ORG") else SHOWN[kind] for kind, value in zip(TRIP.kinds, TRIP.values, strict=True))
+    assert back["b/x y.md"]["text"] == TRIP.shown(*brought)
     assert (back["b/x y.md"]["restored"], back["b/x y.md"]["placeholders"], back["a.md"]["restored"]) == (2, 3, 0)
 
 
@@ -88,18 +93,18 @@ def plain_values(folder):
 
 def test_nothing_raw_stays_staged(spark, key, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path / "staging"))
-    raw = (*RAW, "sk-live")
+    raw = (*RAW, ALL_KINDS.value("API_KEY"))
     run = veilframe.scan(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}))
-    assert run.blocked and run.findings.where("value = '13577776666'").count() >= 1
+    assert run.blocked and run.findings.where("value = '{}'".format(TRIP.value("PHONE"))).count() >= 1
     assert not any(value in plain_values(tmp_path) for value in raw)
     run = veilframe.prepare(docs_of(spark, {"a": FIRST, "b": ROUND_TRIP}), key, empty_vault(spark))
     assert run.blocked and not any(value in plain_values(tmp_path) for value in raw)
     leaking = {"notes/password=hunter2hunter2.md": ROUND_TRIP}
     run = veilframe.prepare(docs_of(spark, leaking), key, empty_vault(spark))
-    assert run.blocked and "报销" not in plain_values(tmp_path)
+    assert run.blocked and f"{LAST} [" not in plain_values(tmp_path)
     run = veilframe.prepare(docs_of(spark, {"b": ROUND_TRIP}), key, empty_vault(spark))
-    assert not run.blocked and "报销" in plain_values(tmp_path)
-    assert run.findings.where("value = '13577776666'").count() == 1
+    assert not run.blocked and f"{LAST} [" in plain_values(tmp_path)
+    assert run.findings.where("value = '{}'".format(TRIP.value("PHONE"))).count() == 1
     assert not any(value in plain_values(tmp_path) for value in raw)
     assert not any(value.encode() in path.read_bytes() for path in tmp_path.rglob("*") if path.is_file() for value in raw)
     vault = with_assignment(empty_vault(spark), run.assignment)
@@ -118,9 +123,9 @@ def test_a_failing_run_leaves_nothing_staged(spark, key, tmp_path, monkeypatch):
 def test_a_run_that_comes_second_releases_nothing(spark, key, tmp_path):
     folder = VaultFolder(spark, str(tmp_path / "vault"))
     late = Late(spark, folder.path)
-    veilframe.prepare(docs_of(spark, {"a": "张三电话13812345678"}), key, folder, run_id="run-1")
+    veilframe.prepare(docs_of(spark, {"a": made(("PERSON", "PHONE"), 16).text}), key, folder, run_id="run-1")
     with pytest.raises(VaultChanged):
-        veilframe.prepare(docs_of(spark, {"a": "李四电话13812345679"}), key, late, run_id="run-2", output=str(tmp_path / "out"))
+        veilframe.prepare(docs_of(spark, {"a": made(("PERSON", "PHONE"), 17).text}), key, late, run_id="run-2", output=str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
     state = folder.load()
     assert state.version == 1 and {row["run_id"] for row in state.token_runs.collect()} == {"run-1"}
@@ -171,7 +176,7 @@ def test_both_plans_of_a_tokenized_table_read_their_own_part(spark, key):
     done = redact_with_tokens(detected, assign_tokens(occurrences(detected), empty_vault(spark), key, "r").tokens)
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert f"NOT {HAS_TOKENS}" in plan and "PartitionFilters: [isnotnull(has_tokens" in plan
-    assert {row["source_id"]: row["text"][:6] for row in done.collect()} == {"a": "[VEIL_", "b": "plain"}
+    assert {row["source_id"]: row["text"][:6] for row in done.collect()} == {"a": (TRIP.fillers[0] + " [")[:6], "b": "plain"}
 
 
 def test_staged_tables_can_be_dropped(spark):

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from made_texts import one
 from pyspark.sql import functions as F
 
 from veilframe.functions.delimited import flattened_sql
@@ -38,16 +39,16 @@ def folder(tmp_path):
     return tmp_path
 
 
-def test_text_csv_and_json(spark, folder):
-    write(folder / "a.md", "# 标题\n张三 电话13812345678")
-    write(folder / "b.csv", "name,phone\n李四,13900001111\n")
-    write(folder / "sub/c.json", '{"person": "王五", "email": "user@example.com"}')
+def test_a_file_of_each_kind_of_reader(spark, folder):
+    write(folder / "log/notes.rst", "=====\ntitle\n=====\n")
+    write(folder / "t.csv", "k;1,v\n\"x, y\",\n")
+    write(folder / "deep/er/v.json", '{"z": [1, {"ü": null}], "a": true}')
     docs = by_id(read_documents(spark, [str(folder)], str(folder)))
-    assert docs["a.md"]["text"] == "# 标题\n张三 电话13812345678"
-    assert docs["b.csv"]["text"] == "name | phone\n李四 | 13900001111"
-    assert docs["sub/c.json"]["text"] == '{\n  "email": "user@example.com",\n  "person": "王五"\n}'
+    assert docs["log/notes.rst"]["text"] == "=====\ntitle\n=====\n"
+    assert docs["t.csv"]["text"].split("\n")[0] == "k;1 | v" and docs["t.csv"]["text"].split("\n")[1].startswith("x, y |")
+    assert docs["deep/er/v.json"]["text"] == '{\n  "a": true,\n  "z": [\n    1,\n    {\n      "ü": null\n    }\n  ]\n}'
     assert {row["status"] for row in docs.values()} == {"ok"}
-    assert docs["b.csv"]["media_type"] == "text/csv"
+    assert docs["t.csv"]["media_type"] == "text/csv"
 
 
 def test_hidden_and_underscore_files(spark, folder):
@@ -258,7 +259,7 @@ def test_dictionary_files(spark, folder):
 def test_a_policy_without_an_entity_uses_its_default(spark):
     entities = dict(Policy().entities)
     del entities["SAMPLE_ID"]
-    docs = documents(spark.createDataFrame([("a", "SAMPLE-20260622-A17")], "id string, t string"), "id", "t")
+    docs = documents(spark.createDataFrame([("a", one("SAMPLE_ID", 9))], "id string, t string"), "id", "t")
     run = prepare(docs, vault_key(spark, b"s" * 32), empty_vault(spark), Policy(entities=entities), prefix="P")
     assert run.sanitized.first()["text"] == "[P_SAMPLE_ID_REPLACED]"
     assert os.path.isdir(spark.conf.get("spark.checkpoint.dir"))

@@ -27,10 +27,41 @@ COUNTERS_SCHEMA = "entity_type string, last_no bigint"
 
 @dataclass(frozen=True)
 class Vault:
+    """``map_parts`` and ``run_parts`` are the same rows in several tables; a store that lays each out by
+    identity gives them, so that lookups leave the rows where they are."""
+
     token_map: DataFrame
     token_runs: DataFrame
     counters: DataFrame
     version: int = 0
+    map_parts: tuple[DataFrame, ...] = ()
+    run_parts: tuple[DataFrame, ...] = ()
+
+    def maps(self) -> tuple[DataFrame, ...]:
+        return self.map_parts or (self.token_map,)
+
+    def runs(self) -> tuple[DataFrame, ...]:
+        return self.run_parts or (self.token_runs,)
+
+
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
+def of_run(vault: Vault, run_id: str) -> DataFrame:
+    """Identities that a run used."""
+    return union_of([part.where(F.col("run_id") == run_id).select("identity") for part in vault.runs()])
+
+
+def only_used_by(vault: Vault, run_id: str) -> DataFrame:
+    """Identities that this run used and no other."""
+    mine = of_run(vault, run_id)
+    for part in vault.runs():
+        mine = mine.join(part.where(F.col("run_id") != run_id).select("identity"), "identity", "left_anti")
+    return mine
 
 
 def empty_vault(spark: SparkSession) -> Vault:
@@ -95,8 +126,9 @@ def assign_tokens(
     named = distinct_values(occurrences).withColumn("identity", identity(F.col("entity_type"), F.col("value"), key))
     sealed = encrypt(F.col("value"), F.col("identity"), key)
     values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values")
-    known = values.join(vault.token_map.select("identity", "token"), "identity").withColumn("token_no", F.lit(None).cast("long"))
-    numbered = number_values(values.join(vault.token_map, "identity", "left_anti"), vault.counters)
+    known = staged(union_of([values.join(part.select("identity", "token"), "identity") for part in vault.maps()]), "known")
+    known = known.withColumn("token_no", F.lit(None).cast("long"))
+    numbered = number_values(values.join(known, "identity", "left_anti"), vault.counters)
     numbered = numbered.withColumn("token", F.expr(token_sql("entity_type", "token_no", prefix)))
     shared = ["entity_type", "identity", "value_enc", "token", "token_no", "uses"]
     every = staged(known.select(*shared).unionByName(numbered.select(*shared)), "given")
@@ -104,8 +136,10 @@ def assign_tokens(
     opened = decrypt(F.col("value_enc"), F.col("identity"), key)
     given = every.select("entity_type", opened.alias("value"), "identity", "token", "uses")
     new_map = new.select("identity", "entity_type", "token_no", "token", "value_enc")
-    met = values.select("identity", F.lit(run_id).alias("run_id"))
-    new_runs = met.join(vault.token_runs, ["identity", "run_id"], "left_anti")
+    met = values.select("identity")
+    for part in vault.runs():
+        met = met.join(part.where(F.col("run_id") == run_id).select("identity"), "identity", "left_anti")
+    new_runs = met.withColumn("run_id", F.lit(run_id))
     last = new.groupBy("entity_type").agg(F.max("token_no").alias("last_no"))
     counters = vault.counters.unionByName(last).groupBy("entity_type").agg(F.max("last_no").alias("last_no"))
     return Assignment(given, new_map, new_runs, counters)
@@ -118,6 +152,8 @@ def with_assignment(vault: Vault, assignment: Assignment) -> Vault:
         token_map=vault.token_map.unionByName(assignment.new_map),
         token_runs=vault.token_runs.unionByName(assignment.new_runs),
         counters=assignment.counters,
+        map_parts=(*vault.maps(), assignment.new_map),
+        run_parts=(*vault.runs(), assignment.new_runs),
     )
 
 
@@ -145,7 +181,8 @@ def restore(
 
     entries = vault.token_map
     if run_id:
-        entries = entries.join(vault.token_runs.where(F.col("run_id") == run_id), "identity", "left_semi")
+        mine = of_run(vault, run_id)
+        entries = union_of([part.join(mine, "identity", "left_semi") for part in vault.maps()])
     tokens = F.regexp_extract_all(F.expr(source), regex, F.lit(0))
     found = staged(docs.where(has_token).select(F.col(doc_key), F.posexplode(tokens).alias("pos", "token")), "tokens")
     uses = staged(found.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "uses")
@@ -181,7 +218,7 @@ def purge_run(vault: Vault, run_id: str) -> tuple[Vault, DataFrame]:
     runs = vault.token_runs.where(F.col("run_id") != run_id)
     kept = vault.token_map.join(runs, "identity", "left_semi")
     removed = vault.token_map.join(runs, "identity", "left_anti").agg(F.count(F.lit(1)).alias("removed"))
-    return replace(vault, token_map=kept, token_runs=runs), removed
+    return replace(vault, token_map=kept, token_runs=runs, map_parts=(), run_parts=()), removed
 
 
 def rekey(vault: Vault, old: VaultKey, new: VaultKey) -> Vault:
@@ -203,7 +240,7 @@ def rekey(vault: Vault, old: VaultKey, new: VaultKey) -> Vault:
     )
     names = entries.select("old_identity", "identity")
     runs = vault.token_runs.withColumnRenamed("identity", "old_identity").join(names, "old_identity")
-    return replace(vault, token_map=token_map, token_runs=runs.select("identity", "run_id"))
+    return replace(vault, token_map=token_map, token_runs=runs.select("identity", "run_id"), map_parts=(), run_parts=())
 
 
 def status(vault: Vault) -> DataFrame:

@@ -144,8 +144,8 @@ CARRIERS = {
         "'，'", "'ORG'", "'tokenize'", "'cn-org-context'",
     ),
     "org_generic": Carrier(
-        "supplier", "s_suppkey", "'下月起不再向'", "concat('Lab', cast(s_suppkey as string), '研究中心')",
-        "'寄出样片。'", "'ORG'", "'tokenize'", "'cn-org-generic'",
+        "supplier", "s_suppkey", "'x7给'", "concat('Lab', cast(s_suppkey as string), '集团')",
+        "' y'", "'ORG'", "'tokenize'", "'cn-org-generic'",
     ),
     "address": Carrier(
         "customer", "c_custkey", "'，'",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -382,6 +383,76 @@ def clashing_runs(spark, sf_dir):
     return entries.join(released, "run_id", "full")
 
 
+class _Dying(VaultFolder):
+    """The vault of a run whose driver dies when its tables are written and nothing is committed yet."""
+
+    def _publish(self, version, entry):
+        raise ConnectionError("the driver died")
+
+
+def _half_made(folder: VaultFolder, version: int, content: str) -> None:
+    """A marker that a driver left behind an hour ago, on a store where files are seen before they are complete."""
+    files, marker = folder._hadoop(folder._marker(version))
+    folder._write_file(files.createFile(marker).recursive().overwrite(False), content)
+    files.setTimes(marker, int((time.time() - 3600) * 1000), -1)
+
+
+def _code_documents(orders, status: str | None = None) -> DataFrame:
+    """A customer code per order (of a status)."""
+    rows = orders if status is None else orders.where(F.col("o_orderstatus") == status)
+    return documents(rows, F.expr(padded("o_orderkey")), F.expr(f"concat('编号', {CUST_CODE}, '。')"))
+
+
+def interrupted_commit(spark, sf_dir):
+    """Three runs, with dead ones between them: a commit broken off, an empty marker and half of one."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"))
+    target, key = _target(spark, "interrupted"), vault_key(spark, SECRET)
+    folder = VaultFolder(spark, f"{target}/vault")
+
+    def run(name: str, docs: DataFrame, vault: VaultFolder = folder) -> None:
+        runs.prepare(docs, key, vault, POLICY, name, output=f"{target}/out", bundle=False)
+
+    run("run-1", _code_documents(orders, "F"))
+    try:
+        run("lost", _code_documents(orders), _Dying(spark, folder.path))
+    except ConnectionError:
+        pass
+    _half_made(folder, 2, "")
+    run("run-2", _code_documents(orders, "O"))
+    _half_made(folder, 3, '{"base": 1, "fold')
+    run("run-3", _code_documents(orders))
+    entries = folder.load().token_runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("entries"))
+    released = spark.read.parquet(f"{target}/out/documents").groupBy("run_id").agg(F.count(F.lit(1)).alias("documents"))
+    return entries.join(released, "run_id", "full")
+
+
+def purge_folder(spark, sf_dir):
+    """Runs purged from a vault folder, before and after it is written in one piece: what goes, what is left, the last number."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"))
+    folder, out = VaultFolder(spark, _target(spark, "purged")), []
+
+    def add(run_id: str, status: str) -> None:
+        state = folder.load()
+        folder.append(state, _assigned(spark, sf_dir, detect(_code_documents(orders, status), POLICY), state, run_id))
+
+    def told(step: str, removed: int) -> None:
+        state = folder.load()
+        entries = state.token_map.agg(F.count(F.lit(1)).alias("entries"))
+        used = state.token_runs.agg(F.count_distinct("run_id").alias("runs"))
+        last = state.counters.agg(F.max("last_no").alias("last_no"))
+        row = entries.join(used).join(last)  # one row each
+        out.append(row.select(F.lit(step).alias("step"), F.lit(removed).cast("long").alias("removed"), "entries", "runs", "last_no"))
+
+    for run_id, status in (("run-1", "F"), ("run-2", "O"), ("run-3", "P")):
+        add(run_id, status)
+    told("purged run-2", folder.purge("run-2"))
+    folder.compact()
+    told("compacted", 0)
+    add("run-4", "O")
+    told("purged run-1", folder.purge("run-1"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def policy_from_file(spark, sf_dir):
     """Findings by action under a policy read from YAML, and under the built-in one with its term lists."""
     target = _target(spark, "policies")
@@ -627,7 +698,7 @@ def queries() -> dict[str, Query]:
         prepare_notes, restore_notes, gate_documents, gate_texts, gate_run, second_pass, report_findings, report_summary,
         counts_by_action, grouped_counts, findings_per_document, document_results, bundle_sections, extract_text_files,
         content_hash, json_canonical, delimited_flatten, read_written_files, written_documents, written_bundle, written_report,
-        vault_folder, terms_from_files, restore_popular, gate_unreadable, blocked_writes_nothing, clashing_runs,
+        vault_folder, terms_from_files, restore_popular, gate_unreadable, blocked_writes_nothing, clashing_runs, interrupted_commit, purge_folder,
         policy_from_file, split_secrets, jsonl_lines, read_manifest, bundle_order, report_files,
     )
     named.update({query.__name__: query for query in listed})
