@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -11,19 +12,6 @@ from veilframe.llm import queries, topk
 SCHEMA = "vec_id long, embedding array<double>"
 
 
-def plainly(rows, every=50, wanted=5):
-    def fits(row):
-        return row[0] is not None and row[1] is not None and all(x is not None and math.isfinite(x) and abs(x) < 524288 for x in row[1])
-
-    used = [(i, [math.floor(256 * x) for x in v]) for i, v in filter(fits, rows)]
-    out = []
-    for q, a in used:
-        if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in used if i != q and len(b) == len(a))
-            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best[:wanted])]
-    return sorted(out)
-
-
 def vectors(number, dims, seed, spread=0.2):
     rng = random.Random(seed)
     return [(i, [rng.gauss(0, spread) for _ in range(dims)]) for i in range(number)]
@@ -56,8 +44,11 @@ def test_bitmap_sums_are_sums():
     assert (total == (np.where(query < 0, top - (rows - block.least), rows - block.least) * np.abs(query)).sum(axis=1)).all()
 
 
-@pytest.mark.parametrize("blocks", [(1 << 14, 1 << 10), (40, 3)])
-def test_search_agrees_with_all_pairs(spark, blocks):
+@pytest.mark.parametrize("block_rows", [1 << 13, 40])
+def test_search_agrees_with_all_pairs(spark, block_rows, monkeypatch):
+    if block_rows == 40:
+        monkeypatch.setattr(topk, "BLOCK_BYTES", 2 * topk.SLICES * 8 * 70)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rows = vectors(400, 8, 1) + vectors(60, 3, 2)[1:]
     rows = [(i if len(v) == 8 else 1000 + i, v) for i, v in rows]
     rows += [(None, [0.1] * 8), (2000, None), (2050, [0.1, None] + [0.2] * 6), (2100, [math.nan] * 8), (2150, [math.inf] * 8)]
@@ -65,15 +56,15 @@ def test_search_agrees_with_all_pairs(spark, blocks):
     rows += [(3200 + i, rows[7][1]) for i in range(6)]
     random.Random(1).shuffle(rows)
     table = spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit(1)).withColumn("Score", F.lit("x")).repartition(4)
-    found = topk.top_k(table, block_rows=blocks[0], block_queries=blocks[1])
-    assert found.columns == ["query_id", "rank", "vec_id", "score"]
-    assert sorted(map(tuple, found.collect())) == plainly(rows)
+    got = topk.top_k(table, block_rows=block_rows).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.query_id, r.rank, r.vec_id, r.whole_score) for r in got) == wholly(rows)
 
 
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0])]
     found = topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()
-    once = [(50, 1, 1, 32768), (50, 2, 1, 32768), (50, 3, 2, 16384)]
+    once = [(50, 1, 1, 32768, "32768"), (50, 2, 1, 32768, "32768"), (50, 3, 2, 16384, "16384")]
     assert sorted(map(tuple, found)) == sorted(once * 2)
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     assert topk.top_k(spark.createDataFrame([(50, [1.0])], SCHEMA)).count() == 0
@@ -93,8 +84,8 @@ def wholly(rows, every=50, wanted=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(1 << 14, 1 << 10), (30, 3)])
-def test_large_components_take_part_exactly(spark, blocks):
+@pytest.mark.parametrize("block_rows", [1 << 13, 64])
+def test_large_components_take_part_exactly(spark, block_rows):
     rng = random.Random(4)
     rows = vectors(200, 6, 5)
     for i, size in enumerate([524288.0, 1e6, 3e8, 1e15, 2.0**60, 1e30, 1e154, 1e300, 1.7e308] * 3):
@@ -107,7 +98,7 @@ def test_large_components_take_part_exactly(spark, blocks):
     # In range each, but their products' sum is not.
     rows += [(1400 + i, [524287.5] * 600) for i in range(3)]
     rng.shuffle(rows)
-    found = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), block_rows=blocks[0], block_queries=blocks[1], large=True)
+    found = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), block_rows=block_rows)
     assert found.columns == ["query_id", "rank", "vec_id", "score", "whole_score"]
     got = found.collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.whole_score) for r in got) == wholly(rows)
@@ -115,6 +106,18 @@ def test_large_components_take_part_exactly(spark, blocks):
     assert any(r.score is None for r in got)
 
 
+def test_rows_move_once_and_wide_vectors_make_smaller_blocks(spark, monkeypatch):
+    rows = vectors(300, 900, 8)
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 2 * topk.SLICES * 900 * 100)
+    found = topk.top_k(table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Generate") == 1
+    assert re.search(r"hashpartitioning\(dims#\d+, block#\d+, 3\)", plan)
+    got = found.collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.whole_score) for r in got) == wholly(rows)
+
+
 def test_query_keeps_large_vectors(spark, tmp_path):
     rows = [(0, [1.0, 0.0]), (1, [600000.0, 0.0]), (2, [2.0, 0.0]), (50, [1e6, 1.0])]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")

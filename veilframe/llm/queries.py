@@ -76,7 +76,7 @@ def op8_mixing(spark, sf_dir):
 
 
 def op9_topk(spark, sf_dir):
-    return topk.top_k(table(spark, sf_dir, "embeddings"), large=True).drop("whole_score")
+    return topk.top_k(table(spark, sf_dir, "embeddings")).drop("whole_score")
 
 
 def op10_counts(spark, sf_dir):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import operator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 from veilframe.session import staged
 
 SCALE = 256
-#: Rows of a block of the index, and queries that meet a block in one task.
-BLOCK_ROWS = 1 << 14
-BLOCK_QUERIES = 1 << 10
+#: Rows of a block of the index, or fewer, so that making its bitmaps takes no more bytes than this.
+BLOCK_ROWS = 1 << 13
+BLOCK_BYTES = 1 << 27
 #: Bits of an attribute that are kept as slices; the rest is made up for by exact scores of boundary rows.
 SLICES = 5
 #: Components of the index are integers up to this in size, or less for long vectors, so that scores fit into 64 bits.
@@ -165,17 +167,14 @@ def scaled(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(F.abs(x.cast("double")) < WHOLE, parts(x.cast("double"))).otherwise(x.cast("double")))
 
 
-def usable(vector: Column, large: bool) -> Column:
-    """Not null, and every component a finite number; without ``large``, one below 524,288 in size."""
-    limit = math.inf if large else LARGEST / SCALE
-    return F.coalesce(
-        F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(limit), F.lit(False))), F.lit(False)
-    )
+def usable(vector: Column) -> Column:
+    """Not null, and every component a finite number."""
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(math.inf), F.lit(False)))
+    return F.coalesce(finite, F.lit(False))
 
 
-def _matrix(table: pa.Table, dims: int) -> np.ndarray:
-    values = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(table), dims)
+def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dims)
 
 
 def _near(matrix: np.ndarray) -> np.ndarray:
@@ -188,10 +187,21 @@ def _indexed(matrix: np.ndarray) -> np.ndarray:
     return (matrix * SCALE).astype(np.int64)
 
 
-def block_search(wanted: int, slices: int):
-    def run(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
+class Block:
+    """The rows of a block, ready for its queries: the index, and beside it the rows that it can't hold."""
+
+    def __init__(self, parts: list[pa.RecordBatch], dims: int, slices: int):
+        self.dims = dims
+        self.rows = np.concatenate([_matrix(part.column("vector"), dims) for part in parts])
+        self.ids = np.concatenate([part.column("vec_id").to_numpy() for part in parts])
+        near = _near(self.rows)
+        self.near_ids = self.ids[near]
+        self.index = SlicedBlock(_indexed(self.rows[near]), slices) if near.any() else None
+        self.far = None if near.all() else FarRows(self.rows[~near], self.ids[~near])
+        self.every: FarRows | None = None  # for queries that the index can't take
+
+    def answers(self, queries: pa.RecordBatch, wanted: int) -> pa.RecordBatch:
         out = [[] for _ in FOUND]
-        dims = key[0].as_py()
 
         def put(own: int, row: int, ids: np.ndarray, scores: list[int]) -> None:
             for vec_id, score in zip(ids.tolist(), scores, strict=True):
@@ -201,24 +211,41 @@ def block_search(wanted: int, slices: int):
                 for column, value in zip(out, (own, row, vec_id, score if fits else None, side, digits), strict=True):
                     column.append(value)
 
-        if len(rows) and len(queries):
-            all_rows, all_ids, asked = _matrix(rows, dims), rows.column("vec_id").to_numpy(), _matrix(queries, dims)
-            near, easy = _near(all_rows), _near(asked)
-            ids = all_ids[near]
-            block = SlicedBlock(_indexed(all_rows[near]), slices) if near.any() and easy.any() else None
-            far = FarRows(all_rows[~near], all_ids[~near]) if not near.all() and easy.any() else None
-            every = FarRows(all_rows, all_ids) if not easy.all() else None
-            owns, places = queries.column("vec_id").to_pylist(), queries.column("row_no").to_pylist()
-            for own, row, query, indexed in zip(owns, places, asked, easy, strict=True):
-                if not indexed:
-                    put(own, row, *every.best(query, wanted, own))
-                    continue
-                if block is not None:
-                    found, scores = block.best(_indexed(query), wanted, ids, own)
-                    put(own, row, found, scores.tolist())
-                if far is not None:
-                    put(own, row, *far.best(query, wanted, own))
-        return pa.table({name: pa.array(column, kind) for column, (name, kind) in zip(out, FOUND.items(), strict=True)})
+        asked = _matrix(queries.column("vector"), self.dims)
+        owns, places = queries.column("vec_id").to_pylist(), queries.column("row_no").to_pylist()
+        for own, row, query, easy in zip(owns, places, asked, _near(asked), strict=True):
+            if not easy:
+                self.every = self.every or FarRows(self.rows, self.ids)
+                put(own, row, *self.every.best(query, wanted, own))
+                continue
+            if self.index is not None:
+                found, scores = self.index.best(_indexed(query), wanted, self.near_ids, own)
+                put(own, row, found, scores.tolist())
+            if self.far is not None:
+                put(own, row, *self.far.best(query, wanted, own))
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, FOUND.values(), strict=True)], list(FOUND))
+
+
+def searched(wanted: int, slices: int):
+    """Rows come sorted by block, those of the index before the queries, which are answered as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("dims", "block", "asks")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for start, end in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+                dims, number, asks = keys[:, start].tolist()
+                if held != (dims, number):
+                    held, parts, block = (dims, number), [], None
+                part = batch.slice(start, end - start)
+                if not asks:
+                    parts.append(part)
+                elif parts:
+                    block = block or Block(parts, dims, slices)
+                    yield block.answers(part, wanted)
 
     return run
 
@@ -230,48 +257,41 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     block_rows: int = BLOCK_ROWS,
-    block_queries: int = BLOCK_QUERIES,
     slices: int = SLICES,
-    large: bool = False,
 ) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: the ``wanted`` best rows for each row whose id ``every`` divides.
+    """``query_id``, ``rank``, ``vec_id``, ``score``, ``whole_score``: the ``wanted`` best rows for each row whose id ``every`` divides.
 
     Components become floor(256 x); the score is the integer inner product,
     ties go to the smaller id.  Rows with the query's id are its own and not
     among its results.  Vectors that are null or hold null or non-finite
-    components take no part, nor rows without id; without ``large``, neither do
-    vectors with a component of 524,288 or more in size.  With it they are
-    scored beside the index, in integers of any length; a score beyond 64 bits
-    is null, and ``whole_score`` has each score's digits as text.  Vectors of
+    components take no part, nor rows without id.  Components of any size are scored exactly: what is too large
+    for the index is scored beside it, in integers of any length.  ``score`` is null beyond 64 bits;
+    ``whole_score`` has each score's digits as text.  Vectors of
     another length than the query's don't meet it, empty ones score 0.  Repeated
     rows are candidates each, and a repeated query row gets its results again.
     Other columns are ignored.
 
-    Rows are dealt to blocks of about ``block_rows`` by a hash of their place,
-    queries to sets of about ``block_queries``; each set meets each block in one task, which
-    makes the index of the block and passes on ``wanted`` rows per query.
+    Each row is dealt to one block of about ``block_rows``, or fewer where vectors are long, by a hash of its place; queries
+    go to every block.  A task makes the index of a block, answers the queries one batch after the other and
+    passes on ``wanted`` rows for each.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), large))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = rows.select("vec_id", scaled(F.col("vector")).alias("vector"), F.monotonically_increasing_id().alias("row_no"))
     rows = staged(rows.withColumn("dims", F.size("vector")), "vectors")
-    # Columns of their own: the optimizer may drop a column of the second side that has the identity of one of the first.
-    queries = rows.where(F.col("vec_id") % every == 0).select(*(F.col(name).alias(name) for name in rows.columns))
-    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    blocks, sets = (max(1, math.ceil(a / b)) for a, b in ((counted.n, block_rows), (counted.q, block_queries)))
-
-    def dealt(part: DataFrame, own: str, number: int, other: str, others: int) -> DataFrame:
-        keyed = part.withColumn(own, F.pmod(F.xxhash64("row_no"), F.lit(number)).cast("int"))
-        keyed = keyed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-        return keyed.repartition(min(blocks * sets, 1 << 15), "dims", "block", "part").groupBy("dims", "block", "part")
-
-    found = (
-        dealt(rows, "block", blocks, "part", sets)
-        .cogroup(dealt(queries, "part", sets, "block", blocks))
-        .applyInArrow(block_search(wanted, slices), "query_id long, query_row long, vec_id long, score long, side int, digits string")
-    )
+    # Of each length there are to be so many blocks that the bitmaps of one stay below BLOCK_BYTES.
+    fit = F.greatest(F.lit(64), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_BYTES) / (2 * slices * F.greatest(F.lit(1), F.col("dims"))))))
+    lengths = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lengths.agg(F.coalesce(F.max(F.ceil(F.col("n") / fit)), F.lit(1)).cast("int").alias("blocks")).first().blocks
+
+    block = F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("block", block).withColumn("asks", F.lit(False))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = rows.where(F.col("vec_id") % every == 0).withColumn("block", copies).withColumn("asks", F.lit(True))
+    met = dealt.unionByName(asking).repartition(min(blocks, 1 << 15), "dims", "block").sortWithinPartitions("dims", "block", "asks")
+    found = met.mapInArrow(searched(wanted, slices), "query_id long, query_row long, vec_id long, score long, side int, digits string")
     above, below = F.when(F.col("side") > 0, F.col("digits")), F.when(F.col("side") < 0, F.col("digits"))
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("side"), F.desc("score"), F.desc(above), below, "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= wanted)
     whole = F.coalesce(F.col("score").cast("string"), above, F.concat(F.lit("-"), below)).alias("whole_score")
-    return ranked.select("query_id", "rank", "vec_id", "score", *([whole] if large else []))
+    return ranked.select("query_id", "rank", "vec_id", "score", whole)
