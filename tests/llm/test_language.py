@@ -70,12 +70,13 @@ def test_passages_of_many_languages_are_shared(monkeypatch):
 
 def test_odd_rows(spark):
     base = [(r.doc_id, r.text, r.lang) for r in table(spark, SF, "documents").collect()]
-    odd = [(10**7, None, "en"), (10**7 + 1, "", "en"), (10**7 + 2, "123 !!", "en"), (None, base[0][1], None), (10**7 + 3, base[0][1] * 300, None), base[5], base[5]]
+    numbers = [(10**7 + 10 + n, text, "en") for n, text in enumerate(["½ ² Ⅷ ①", "²³ ١٢", "㊀ 〇 ৪", "_ _1", "\u0301 \u0bcd"])]
+    odd = [*numbers, (10**7, None, "en"), (10**7 + 1, "", "en"), (10**7 + 2, "123 !!", "en"), (None, base[0][1], None), (10**7 + 3, base[0][1] * 300, None), base[5], base[5]]
     docs = spark.createDataFrame(base + odd, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     got = language.languages(docs).collect()
     assert len(got) == len(base) + len(odd)
     by = {r.doc_id: r for r in got}
-    for doc_id in (10**7, 10**7 + 1, 10**7 + 2):
+    for doc_id in (10**7, 10**7 + 1, 10**7 + 2, *(doc_id for doc_id, _, _ in numbers)):
         assert (by[doc_id].lang_pred, by[doc_id].score, by[doc_id].rejected) == ("und", 0.0, True)
     assert by[None].held_out is False
     assert by[10**7 + 3].lang_pred == by[None].lang_pred == by[base[0][0]].lang_pred
@@ -91,3 +92,55 @@ def test_narrow_margins_are_rejected():
     name, margin, rejected = model.classify("zzqx vvwk " * 20, compressors)
     assert rejected and margin < language.NARROW
     assert model.classify("zq", compressors)[2] is False
+
+
+def test_letters_are_what_the_character_database_calls_so():
+    import unicodedata
+
+    kept = language.letters("".join(f"{chr(c)} " for c in range(0x3400) if unicodedata.category(chr(c)) != "Cn")).decode().split()
+    known = [chr(c).lower() for c in range(0x3400) if unicodedata.category(chr(c)).startswith("L")]
+    assert "".join(kept) == "".join("".join(c for c in one if c.isalpha()) for one in known)
+    assert language.letters("a½b Ⅷ²c") == b"a b c"
+
+
+def plain_run(rows):
+    """The whole query in plain Python: {doc_id: (held_out, lang_pred, score)}."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    def words(text):
+        return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+    known = {}
+    for doc_id, text, lang in rows:
+        if lang is not None and text and zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            place = struct.unpack("<q", xxhash.xxh64(struct.pack("<q", doc_id), seed=42).digest()[::-1])[0] % (1 << 30)
+            start = max(0, min(len(text) // 3, len(text) - 400))
+            known.setdefault(lang, []).append((place, doc_id, text[start : start + 400]))
+    coders = []
+    for lang in sorted(known, key=lambda lang: (-len(known[lang]), lang)):
+        content = b" ".join(" ".join(words(text)).encode() for _, _, text in sorted(known[lang])[:600])
+        content = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coder = zstandard.ZstdCompressor(level=6, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)
+        coders.append((lang, coder))
+    out = {}
+    for doc_id, text, _ in rows:
+        raw = " ".join(words(text)).encode()
+        sizes = [(sum(len(coder.compress(raw[at : at + 1024])) for at in range(0, len(raw), 1024)), n) for n, (_, coder) in enumerate(coders)]
+        best = sorted(sizes)[:2]
+        found = ("und", 0.0) if not raw else (coders[best[0][1]][0], min(1.0, 4 * (1 - best[0][0] / best[1][0])))
+        out[doc_id] = (zlib.crc32(str(doc_id).encode()) % 3 == 1, *found)
+    return out
+
+
+def test_whole_query_equals_a_plain_run(spark):
+    from veilframe.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, sf, "documents").collect()]
+    wanted = plain_run(rows)
+    for row in queries.op7_language(spark, sf).collect():
+        held, lang, score = wanted[row.doc_id]
+        assert (row.held_out, row.lang_pred) == (held, lang) and abs(row.score - score) < 1e-12

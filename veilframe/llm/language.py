@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +22,11 @@ NARROW = 0.02
 SHORT_BYTES = 64
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def letters(text: str | None) -> bytes:
-    """The words of a whole text in lower case, one space apart."""
+    """The words (runs of letters) of a whole text in lower case, one space apart."""
     return _OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
 
 
