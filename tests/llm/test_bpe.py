@@ -121,6 +121,35 @@ def test_both_tiers_give_the_same_counts(spark, vocabulary, monkeypatch):
         assert [lengths.count("the cat sat on the mat " * (i % 5) + f"rare{i}") for i, _ in plain] == [n for _, n in plain]
 
 
+def test_memory_of_frequent_words_does_not_grow_with_their_length():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(length, count):
+        rng = random.Random(length)
+        for _ in range(count // 100):
+            texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(length)) for _ in range(100)]
+            yield pa.RecordBatch.from_arrays([pa.array([*texts, "the the and"])], ["text"])
+
+    for length in (1000, 5000):
+        tracemalloc.start()
+        found = list(counts.frequent_words(1 << 16)(batches(length, 2000)))[0].to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {row["word"]: row["seen"] for row in found} == {None: 2060, "the": 40, "and": 20}
+        assert peak < 4 * 100 * (4 * length + 1000) < 2000 * 2 * length * 2
+
+
+def test_very_long_texts_through_spark(spark, library):
+    long = ["many small words " * 70_000, "".join(random.Random(2).choice("abc é日 ") for _ in range(1_100_000))]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    ids = [library.encode(text, add_special_tokens=False).ids for text in long]
+    assert [r.n_tokens for r in counts.token_counts(docs, PATH).orderBy("doc_id").collect()] == list(map(len, ids))
+    found = bpe.round_trip(docs, PATH).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == ids and [r.text for r in found] == long
+
+
 def test_other_kinds_of_vocabulary_are_refused():
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file, pytest.raises(ValueError):
         bpe.Vocabulary(file.read())

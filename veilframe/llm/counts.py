@@ -68,32 +68,44 @@ class Lengths(dict):
 _LOADED: dict[str, Lengths] = {}
 
 
-def frequent_lengths(texts: DataFrame, shared: SharedVocabulary, share: int = FREQUENT) -> PackedLengths:
-    """Lengths of the pre-tokens of the words that make up more than 1/``share`` of all words in ``texts``.
+def frequent_words(share: int):
+    """Of a task: the short words that make up more than 1/(4 ``share``) of its words, and the number of all (``word`` null).
 
-    Words between white space are counted, which costs far less than cutting
-    pre-tokens twice.  Each task sums them up in at most 4 ``share`` counters and
-    passes on those that are frequent in it, with the number of all (``word``
-    null); the frequent ones are then cut, as they stand behind a space and at a start.
-    Which pre-tokens are in the table changes the work only, never a count.
+    Only words shorter than ``CACHED_CHARS`` are kept, at most 8 ``share`` and those of one text: scripts without spaces make whole sentences one word.
     """
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, lost = Counter(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, others = Counter(), 0
         for batch in batches:
             for text in batch.column(0):
-                counts.update((text.as_py() or "").split())
+                words = (text.as_py() or "").split()
+                short = [word for word in words if len(word) < CACHED_CHARS]
+                others += len(words) - len(short)
+                counts.update(short)
                 if len(counts) > 8 * share:
-                    lost += sum(counts.values())
+                    others += sum(counts.values())
                     counts = merged(counts, 4 * share)
-                    lost -= sum(counts.values())
-        words = lost + sum(counts.values())
-        rows = [(key, n) for key, n in counts.items() if n * 4 * share > words and len(key) < CACHED_CHARS]
+                    others -= sum(counts.values())
+        words = others + sum(counts.values())
+        rows = [(key, n) for key, n in counts.items() if n * 4 * share > words]
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *(key for key, _ in rows)], pa.string()), pa.array([words, *(n for _, n in rows)], pa.int64())],
             ["word", "seen"],
         )
 
+    return run
+
+
+def frequent_lengths(texts: DataFrame, shared: SharedVocabulary, share: int = FREQUENT) -> PackedLengths:
+    """Lengths of the pre-tokens of the words that make up more than 1/``share`` of all words in ``texts``.
+
+    Words between white space are counted, which costs far less than cutting
+    pre-tokens twice.  Each task sums them up in at most 4 ``share`` counters and
+    passes on those that are frequent in it, with the number of all (``word``
+    null); the frequent ones are then cut, as they stand behind a space and at a start.
+    Which pre-tokens are in the table changes the work only, never a count.
+    """
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.get()
         for batch in batches:
@@ -102,7 +114,7 @@ def frequent_lengths(texts: DataFrame, shared: SharedVocabulary, share: int = FR
             lengths = [len(vocabulary.merged(piece.encode())) for piece in pieces]
             yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(lengths, pa.int32())], ["piece", "length"])
 
-    seen = texts.select("text").mapInArrow(summed, "word string, seen long")
+    seen = texts.select("text").mapInArrow(frequent_words(share), "word string, seen long")
     seen = staged(seen.groupBy("word").agg(F.sum("seen").alias("seen")), "words")
     total = seen.where("word is null").select("seen").scalar()
     table = seen.where("word is not null").where(F.col("seen") * share > total).select("word")
