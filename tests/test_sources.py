@@ -161,12 +161,12 @@ def test_half_a_surrogate_pair_is_an_error(spark):
     assert docs["b.json"]["text"] == '{\n  "a": "😀"\n}'
 
 
-def test_files_are_read_in_one_scan(spark, folder):
+def test_files_are_listed_and_read_by_tasks(spark, folder):
     write(folder / "in/a.jsonl", "{}\n{}")
     write(folder / "in/b.csv", "a,b")
     docs = read_documents(spark, [str(folder / "in")], str(folder))
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("binaryFile") == 1 and plan.count("MapInPandas") == 0
+    assert plan.count("binaryFile") == 0 and plan.count("MapInPandas") == 1
     assert len(docs.collect()) == 3
 
 

@@ -579,23 +579,50 @@ def jsonl_lines(spark, sf_dir):
     return files.extract(rows, "/events").select("source_id", "text", "status", "error_code")
 
 
+def jsonl_ranges(spark, sf_dir):
+    """All events in one file of JSON lines, read range by range: the number of each line and its text."""
+    events = table(spark, sf_dir, "events").orderBy("event_id")
+    lines = events.select(F.format_string('{"t": "%s", "id": %d}', "event_type", "event_id").alias("value"))
+    target = _target(spark, "lines")
+    files.write_named(lines, f"{target}/events.jsonl")
+    docs = files.read_documents(spark, [target], target, split=RANGE_BYTES)
+    number = F.regexp_extract("source_id", ":([0-9]+)$", 1).cast("bigint")
+    return docs.select(number.alias("line_no"), "text", "status", "error_code")
+
+
+def delimited_ranges(spark, sf_dir):
+    """All customers in one CSV file with line ends in quoted cells, read range by range: its lines and how often each occurs."""
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey")
+    quoted = "concat(c_mktsegment, chr(10), 'say \"\"', c_nationkey, '\"\"')"
+    cells = F.expr(f"concat(c_custkey, ',', chr(34), {quoted}, chr(34), ',', c_name)")
+    target = _target(spark, "records")
+    files.write_named(rows.select(cells.alias("value")), f"{target}/customers.csv")
+    docs = files.read_documents(spark, [target], target, split=RANGE_BYTES)
+    lines = docs.select("status", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("status", "line").agg(F.count(F.lit(1)).alias("lines"))
+
+
+#: Bytes of a range where a given table is one file; such a file is shorter than what is cut by default.
+RANGE_BYTES = 1 << 14
+
+
 def read_manifest(spark, sf_dir):
-    """Nations as files of many kinds: in folders asked for twice, with names that Spark leaves out, hidden, empty, not UTF-8."""
+    """A file per customer, written by tasks: in folders asked for twice, with names that Spark leaves out, hidden, empty, not UTF-8."""
     target = _target(spark, "manifest")
-    for row in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator():
-        name, text = (
-            (f"plain/{row.n_name}.txt", f"{row.n_name}\r\n"),
-            (f"_under/deep/{row.n_name}.md", row.n_name),
-            (f".hidden/{row.n_name}.txt", row.n_name),
-            (f"{row.n_name}.tsv", f"a\tb\r\n{row.n_name}\t"),
-            (f"_{row.n_name}.txt", f"国家{row.n_name}"),
-            (f"{row.n_name}.jsonl", ""),
-        )[row.n_nationkey % 6]
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
-        out.write(bytearray(text.encode("gb18030")))
-        out.close()
-    docs = files.read_documents(spark, [target, f"{target}/plain", f"{target}/.hidden/NATION_2.txt"], target)
+    kinds = (
+        ("concat('plain/', c_nationkey, '/n', c_custkey, '.txt')", "concat(c_name, chr(13), chr(10))"),
+        ("concat('_under/deep/', c_nationkey, '/n', c_custkey, '.md')", "c_name"),
+        ("concat('.hidden/n', c_custkey, '.txt')", "c_name"),
+        ("concat('n', c_custkey, '.tsv')", "concat('a', chr(9), 'b', chr(13), chr(10), c_name, chr(9))"),
+        ("concat('_n', c_custkey, '.txt')", "concat('国家', c_name)"),
+        ("concat('n', c_custkey, '.jsonl')", "''"),
+    )
+    choose = lambda at: " ".join(f"when {n} then {kind[at]}" for n, kind in enumerate(kinds))
+    rows = spread(table(spark, sf_dir, "customer")).selectExpr(
+        f"concat('{target}/', case c_custkey % 6 {choose(0)} end) as path", f"case c_custkey % 6 {choose(1)} end as text"
+    )
+    files.write_contents(rows, "gb18030")
+    docs = files.read_documents(spark, [target, f"{target}/plain", f"{target}/.hidden/n2.txt"], target)
     return docs.select("source_id", "text", "status", "error_code")
 
 
@@ -700,6 +727,7 @@ def queries() -> dict[str, Query]:
         content_hash, json_canonical, delimited_flatten, read_written_files, written_documents, written_bundle, written_report,
         vault_folder, terms_from_files, restore_popular, gate_unreadable, blocked_writes_nothing, clashing_runs, interrupted_commit, purge_folder,
         policy_from_file, split_secrets, jsonl_lines, read_manifest, bundle_order, report_files,
+        jsonl_ranges, delimited_ranges,
     )
     named.update({query.__name__: query for query in listed})
     named["bucket_money"] = _redacted_carrier("money")

@@ -13,6 +13,9 @@ from pyspark.sql.types import StringType
 
 from veilframe.functions.delimited import flattened_sql
 from veilframe.functions.patterns import sql_string
+from veilframe.session import staged
+from veilframe.sources import ranges
+from veilframe.sources.listing import SKIPPED_FOLDERS, content_hashes, file_system, hidden, known_to_tasks, list_files, whole_contents
 from veilframe.sources.tables import DOCUMENT_FIELDS
 
 # --- fixed values: suffixes, media types and error codes --------------------
@@ -57,7 +60,6 @@ SUFFIX_ERRORS = {
 UNKNOWN_FORMAT = "unknown_format"
 EXTRACT_FAILED = "extract_failed"
 FALLBACK_ENCODINGS = ("gb18030", "latin-1")
-SKIPPED_FOLDERS = (".git", "__pycache__")
 
 MESSAGES = {
     "unsupported_format": "No reader for this format here; provide the document as text, CSV or JSON.",
@@ -82,20 +84,15 @@ def _plain_path(path: str) -> str:
     return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
 
 
-def _hidden(part: str) -> bool:
-    """Whether a folder scan leaves out files below a part of this name."""
-    return part in SKIPPED_FOLDERS or (part.startswith(".") and part not in (".", ".."))
-
-
 def _without_nested(paths: list[str]) -> list[str]:
     """Requested paths without repeats and without those that a requested
     folder brings along anyway, so that no file is read twice."""
     kept: list[str] = []
     for path in sorted({_plain_path(path).rstrip("/") or "/" for path in paths}):
         for folder in [one for one in kept if path.startswith(one + "/")]:
-            if any(map(_hidden, folder.split("/"))):
+            if any(map(hidden, folder.split("/"))):
                 kept.remove(folder)  # a folder below a hidden one brings nothing
-            elif not any(map(_hidden, path.split("/"))):
+            elif not any(map(hidden, path.split("/"))):
                 break
         else:
             kept.append(path)
@@ -109,6 +106,8 @@ def listed_folder_path() -> Column:
 
 
 _FILE_SCHEMA = "path string, content binary"
+#: What parts of long files have besides.
+PART_FIELDS = {"sha256": "string", "first_no": "bigint", "encoding": "string"}
 
 
 def passed_over(name: str) -> bool:
@@ -118,12 +117,10 @@ def passed_over(name: str) -> bool:
 
 # Folders listed at once.
 LISTERS = 32
-# Schemes of Spark that the reader of single files knows by another name.
-_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def overlooked_paths(spark: SparkSession, requested: list[str]) -> list[tuple[str, bool]]:
-    """Files that Spark's file sources pass over, and whether they are empty.
+    """Files that Spark's file sources pass over, and whether they are empty; for file systems that only Spark knows.
 
     Those sources drop empty files and names that start with ``_`` or ``.``,
     silently and even if such a file is asked for; a check that never sees a file
@@ -154,7 +151,7 @@ def overlooked_paths(spark: SparkSession, requested: list[str]) -> list[tuple[st
             for (_, dropped), listed in zip(folders, pool.map(entries, [folder for folder, _ in folders]), strict=True):
                 for path, is_folder, is_empty in listed:
                     name = path.rsplit("/", 1)[-1]
-                    if _hidden(name):
+                    if hidden(name):
                         continue
                     if is_folder:
                         deeper.append((path, dropped or passed_over(name)))
@@ -166,17 +163,13 @@ def overlooked_paths(spark: SparkSession, requested: list[str]) -> list[tuple[st
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The contents of single files; null where the file cannot be opened here."""
-    from pyarrow import fs
-
     for batch in batches:
         for path, is_empty in zip(batch["path"], batch["is_empty"], strict=True):
             if is_empty:
                 yield pd.DataFrame({"path": [path], "content": [b""]})
                 continue
-            scheme, _, rest = path.rpartition("://")
             try:
-                uri = f"{_SCHEMES.get(scheme, scheme)}://{rest}"
-                system, inner = fs.FileSystem.from_uri(uri) if scheme else (fs.LocalFileSystem(), path)
+                system, inner = file_system(path)
                 with system.open_input_file(inner) as handle:
                     content = handle.read()
             except (OSError, ValueError):
@@ -184,16 +177,9 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": [path], "content": [content]})
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(path, content)`` of files and folders, each file once.
-
-    Explicitly named files are read even below hidden folders (but not below
-    ``.git``); folders are read recursively without hidden parts.  Spark reads
-    the contents; files that it would leave out because of their names are read
-    one by one, and one that cannot be has null content.
-    """
-    requested = _without_nested(paths)
-    asked = spark.createDataFrame([(path,) for path in requested], "path string")
+def _read_by_spark(spark: SparkSession, requested: list[str]) -> DataFrame:
+    """``(path, content)`` where only Spark knows the file system.  Files that it would leave out because of their names are
+    read one by one, and one that cannot be has null content."""
     plain_path = F.regexp_replace(F.col("path"), "^file:/+", "/")
     seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(requested)
     # Whether or not this version of Spark reads empty files, they come from the list.
@@ -203,12 +189,27 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         few = spark.createDataFrame(overlooked, "path string, is_empty boolean")
         few = few.repartition(min(len(overlooked), 1000))
         found = found.unionByName(few.mapInPandas(_contents, _FILE_SCHEMA))
-    named = asked.select("path", F.lit(True).alias("named"))
+    return found
+
+
+def _counted(found: DataFrame, requested: list[str]) -> DataFrame:
+    """Files that count: explicitly named ones even below hidden folders (but not below ``.git``), of folders those without
+    hidden parts."""
+    named = found.sparkSession.createDataFrame([(path, True) for path in requested], "path string, named boolean")
     in_git = F.array_contains(F.split(F.col("path"), "/"), ".git")
     counts = (F.col("named").isNotNull() & ~in_git) | listed_folder_path()
+    # As long as the list of paths that the caller gave.
     return found.join(F.broadcast(named), "path", "left").where(counts).drop("named")
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, content)`` of files and folders, each file once and whole.  Names that Spark's own sources drop are read too."""
+    requested = _without_nested(paths)
+    if all(map(known_to_tasks, requested)):
+        return whole_contents(_counted(list_files(spark, requested), requested))
+    return _counted(_read_by_spark(spark, requested), requested)
+
+
 def source_id(root: str) -> Column:
     """The path below ``root``, or the bare file name for files elsewhere."""
     folder = _plain_path(root).rstrip("/") + "/"
@@ -268,6 +269,12 @@ def _canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(canonical)
 
 
+@F.pandas_udf(StringType())
+def _decode_part(contents: pd.Series, encodings: pd.Series) -> pd.Series:
+    pairs = zip(contents, encodings, strict=True)
+    return pd.Series([None if content is None else bytes(content).decode(encoding) for content, encoding in pairs], dtype=object)
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 where valid (a byte order mark stays), else the fallback.  Only
     contents that are not UTF-8 cross over to Python."""
@@ -290,30 +297,41 @@ def delimited_text(text: str, tabs: bool = False) -> Column:
 
 
 def extract(files: DataFrame, root: str = "/") -> DataFrame:
-    """Documents from ``(path, content)``.
+    """Documents from ``(path, content)``; long files may come in parts, as ``parts_of`` gives them, with their ``sha256``.
 
     A file that cannot be read becomes a document with an error code and an
     empty text, never a missing row.  Files of JSON lines give one document per
     line that is not blank, ``<source id>:<line number>``; one without such a
-    line is a document that could not be read.
+    line is a document that could not be read.  Each part of another file is a document, ``<source id>:<number of
+    its first line or record>``.
     """
-    base = classify(files).select(
-        source_id(root).alias("source_id"), "path", F.sha2("content", 256).alias("sha256"), "content", "reader", "error_code"
-    )
-    text = base.withColumn("_text", line_feeds(decoded(F.when(F.col("reader").isin("text", "json", "jsonl"), F.col("content")))))
+    missing = {name: F.lit(None).cast(kind) for name, kind in PART_FIELDS.items() if name not in files.columns}
+    base = classify(files.withColumns(missing) if missing else files).select(
+        source_id(root).alias("source_id"), "path", F.coalesce("sha256", F.sha2("content", 256)).alias("sha256"), "content",
+        "reader", "error_code", "first_no", "encoding",
+    )
+    lines_of = F.when(F.col("reader").isin("text", "json", "jsonl"), F.col("content"))
+    whole = decoded(F.when(F.col("encoding").isNull(), lines_of))
+    other = _decode_part(F.when(F.col("encoding") != "utf-8", lines_of), F.col("encoding"))
+    part = F.coalesce(F.when(F.col("encoding") == "utf-8", lines_of).cast("string"), other)
+    text = base.withColumn("_text", line_feeds(F.coalesce(whole, part) if "encoding" in files.columns else whole))
     # Delimited files must be UTF-8 (their mark is dropped) and keep line ends in quotes.
     cells = F.regexp_replace(
         F.try_validate_utf8(F.when(F.col("reader").isin("csv", "tsv"), F.col("content")).cast("string")), r"\A\x{feff}", ""
     )
+    if "first_no" in files.columns:
+        later = F.when(F.col("reader").isin("csv", "tsv") & (F.col("first_no") > 1), F.col("content").cast("string"))
+        cells = F.coalesce(later, cells)
     text = text.withColumn("_cells", cells).drop("content")
 
     # Every file goes the same way: one piece, or for JSON lines a piece per line.
-    whole = "array(named_struct('line', cast(null as int), 'one', {}))"
-    lines = """filter(transform(split(_text, '\\n', -1), (one, n) -> named_struct('line', n + 1, 'one', one)),
+    whole = "array(named_struct('line', {}, 'one', {}))"
+    lines = """filter(transform(split(_text, '\\n', -1), (one, n) -> named_struct('line', n + coalesce(first_no, 1L), 'one', one)),
         piece -> trim(piece.one) != '')"""
+    # A part may well have no line that is not blank; a file may not.
     pieces = f"""case when reader = 'jsonl' then
-            if(coalesce(size({lines}), 0) > 0, {lines}, {whole.format('cast(null as string)')})
-        else {whole.format('_text')} end"""
+            if(coalesce(size({lines}), 0) > 0 or first_no is not null, {lines}, {whole.format('cast(null as bigint)', 'cast(null as string)')})
+        else {whole.format('first_no', '_text')} end"""
     read = text.withColumn("_piece", F.explode(F.expr(pieces))).drop("_text")
     read = read.withColumn("_text", F.col("_piece.one")).withColumn(
         "source_id", F.expr("if(_piece.line is null, source_id, concat(source_id, ':', _piece.line))")
@@ -341,6 +359,56 @@ def extract(files: DataFrame, root: str = "/") -> DataFrame:
     ).select(*DOCUMENT_FIELDS)
 
 
-def read_documents(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
-    """Documents from files and folders."""
-    return extract(read_files(spark, paths), root)
+def read_documents(
+    spark: SparkSession, paths: list[str], root: str, split: int | None = None, most: int | None = None
+) -> DataFrame:
+    """Documents from files and folders.
+
+    Files longer than ``split`` bytes (``ranges.SPLIT_BYTES``) that consist of lines or records are read by many
+    tasks, part by part.  Others are read whole up to ``most`` (``ranges.MOST_BYTES``); what is longer becomes a document with an error code.
+    """
+    split, most = split or ranges.SPLIT_BYTES, most or ranges.MOST_BYTES
+    requested = _without_nested(paths)
+    if not all(map(known_to_tasks, requested)):
+        return extract(_counted(_read_by_spark(spark, requested), requested), root)
+    listed = staged(classify(_counted(list_files(spark, requested), requested)), "files")
+    long = listed.where(F.col("length") > split)
+    short = whole_contents(listed.where(F.col("length") <= split))
+    if long.isEmpty():
+        return extract(short, root)
+    cut = ranges.parts_of(long.where(F.col("reader").isin(*ranges.RECORDS)), split, most)
+    other = long.where(~F.coalesce(F.col("reader").isin(*ranges.RECORDS), F.lit(False)))
+    readable = F.coalesce(F.col("reader") == "json", F.lit(False)) & (F.col("length") <= most)
+    whole = whole_contents(other.where(readable)).unionByName(other.where(~readable).select("path", F.lit(None).cast("binary").alias("content")))
+    hashes = content_hashes(long)
+    fields = [F.lit(None).cast(kind).alias(name) for name, kind in PART_FIELDS.items()]
+    pieces = cut.unionByName(whole.select("*", *fields[1:])).join(hashes, "path")
+    return extract(short.select("*", *fields).unionByName(pieces), root)
+
+
+def write_contents(files: DataFrame, encoding: str = "utf-8") -> None:
+    """Write each ``text`` to its ``path``, by tasks; a task that is run again writes the same files again."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                system, inner = file_system(_plain_path(path))
+                system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(inner) as out:
+                    out.write(text.encode(encoding))
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    files.select("path", "text").mapInPandas(write, "written bigint").agg(F.sum("written")).first()
+
+
+def write_named(lines: DataFrame, path: str) -> None:
+    """Write lines (one text column, in order) as one file of this name."""
+    folder, name = path.rsplit("/", 1)
+    lines.coalesce(1).write.text(f"{folder}/_written", lineSep="\n")
+    spark = lines.sparkSession
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_written")
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(source):
+        if status.getPath().getName().startswith("part-"):
+            system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    system.delete(source, True)
