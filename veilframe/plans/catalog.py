@@ -491,6 +491,17 @@ def second_pass(spark, sf_dir):
     )
 
 
+def second_pass_joined(spark, sf_dir):
+    """Secrets that only the joined bundle shows: key blocks over many sections, a cookie that meets the next heading."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
+    text = "case o_orderstatus when 'O' then 'k -----BEGIN PRIVATE KEY----- m' when 'F' then 'x -----END PRIVATE KEY-----' else 'Cookie:' end"
+    sanitized = redact(detect(documents(orders, F.expr(padded("o_orderkey")), F.expr(text)), POLICY))
+    return gate.crossing_leaks(sanitized, POLICY).select(
+        "section", "until", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"),
+        "entity_type", "detector",
+    )
+
+
 def report_findings(spark, sf_dir):
     report = audit.report_findings(findings(detect(_documents(spark, sf_dir), POLICY)))
     return report.select(
@@ -722,7 +733,7 @@ def queries() -> dict[str, Query]:
         detect_email, detect_bank_card, scan_every_text, counts_by_entity, dictionary_scan, dictionary_join,
         dictionary_products, resolve_overlaps, policy_actions, redact_notes, redact_documents, assign_tokens,
         assign_tokens_again, run_membership, purge_first_run, rekey_vault, vault_status, keyed_identity, tokenize_notes,
-        prepare_notes, restore_notes, gate_documents, gate_texts, gate_run, second_pass, report_findings, report_summary,
+        prepare_notes, restore_notes, gate_documents, gate_texts, gate_run, second_pass, second_pass_joined, report_findings, report_summary,
         counts_by_action, grouped_counts, findings_per_document, document_results, bundle_sections, extract_text_files,
         content_hash, json_canonical, delimited_flatten, read_written_files, written_documents, written_bundle, written_report,
         vault_folder, terms_from_files, restore_popular, gate_unreadable, blocked_writes_nothing, clashing_runs, interrupted_commit, purge_folder,

@@ -125,7 +125,7 @@ def prepare(
     ``output``; a run that finds the vault changed raises before any text is
     written.  Tables with raw values that the run stages are deleted when it ends, whatever its end.
     ``bundle`` also writes the texts as one ordered bundle, for which they have to
-    be sorted by source id.
+    be sorted by source id; the second pass then looks across the borders of its sections, too.
     """
     spark = docs.sparkSession
     policy = load_policy(spark, policy)
@@ -151,8 +151,13 @@ def prepare(
         terms_again = None if terms is None else (lambda sections: add_term_spans(sections, terms, policy))
         leaked = gate.leaks(sanitized, policy, rules, terms_again).drop("section")
         leaked = staged(leaked.withColumn("value", F.lit(None).cast("string")), "leaks")
+        if output and bundle and leaked.isEmpty():
+            # Texts that are written one behind the other may show what none of them shows alone.
+            crossing = gate.crossing_leaks(sanitized, policy, rules).drop("section", "until")
+            crossing = crossing.withColumn("source_id", F.lit(gate.BUNDLE_SOURCE)).withColumn("value", F.lit(None).cast("string"))
+            leaked = staged(crossing.select(*leaked.columns), "leaks")
         if not leaked.isEmpty():
-            raw.add("sanitized")
+            raw |= {"sanitized", "borders"}
             return _result(run_id, True, public, found, "prepared", leaked=leaked)
 
         if isinstance(vault, VaultFolder):
