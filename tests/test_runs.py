@@ -3,6 +3,7 @@ import os
 import random
 import re
 
+import numpy as np
 import plain_model
 import pyarrow.parquet as pq
 import pytest
@@ -253,10 +254,10 @@ def test_hits_of_terms():
 def test_both_dictionary_plans_give_the_same(spark, monkeypatch):
     texts = term_texts() + ["x" * 4095 + "aba" + "y" * 5000 + "ab", "中" * 4094 + "中😀aa"]
     docs, terms = frame(spark, texts), term_table(spark, TERMS)
-    first = spark_spans(dictionary.with_term_spans(docs, terms, Policy()), "_terms")
+    first = spark_spans(dictionary._with_broadcast_spans(docs, terms, Policy()), "_terms")
     monkeypatch.setattr(dictionary, "BROADCAST_CHARS", 0)
-    for piece, bits in ((1 << 16, 27), (7, 12), (1 << 16, 1)):
-        monkeypatch.setattr(dictionary, "PIECE", piece)
+    for group, bits in ((1 << 20, 27), (7, 12), (1 << 16, 7), (1 << 16, 6)):
+        monkeypatch.setattr(dictionary, "GROUP_CHARS", group)
         monkeypatch.setattr(dictionary, "MOST_MARK_BITS", bits)
         joined = dictionary.add_term_spans(docs, terms, Policy())
         assert "Join" in joined._jdf.queryExecution().toString()
@@ -276,6 +277,44 @@ def test_short_and_very_long_terms_meet_by_the_join(spark):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+def test_cost_does_not_depend_on_the_longest_term(spark):
+    long = "".join(random.Random(3).choice("abcdefgh") for _ in range(1_000_000))
+    terms = [("a", "PERSON"), (long, "ORG"), (long[:-1] + "z", "ORG"), ("ab" * 500_000, "PROJECT")]
+    texts = [f"x{long}y", "a" * 5, long[:-1], "ab" * 500_001, "no"] + ["bcd " * 20] * 3000
+    docs = documents(spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(texts)], "id string, t string").repartition(4), "id", "t")
+    found = dictionary.term_findings(docs, term_table(spark, terms)).where("length(value) > 1").select("source_id", "start", "end").collect()
+    assert sorted(map(tuple, found)) == [("d0", 1, 1_000_001), ("d3", 0, 1_000_000)]
+    rolled = []
+    looked = dictionary.Places(np.zeros(1 << 9, np.uint8), 12, [1, 1_000_000])
+    real = dictionary.Rolling
+
+    class Counted(real):
+        def __init__(self, codes):
+            rolled.append(len(codes))
+            super().__init__(codes)
+
+    dictionary.Rolling = Counted
+    try:
+        assert list(looked.of(["abc"] * 50)) == []
+    finally:
+        dictionary.Rolling = real
+    assert rolled == [150]
+
+
+def test_rolling_hashes_and_self_overlap():
+    rng = random.Random(5)
+    text = "".join(rng.choice("ab") for _ in range(300))
+    rolling = dictionary.Rolling(dictionary._codes(text * 500))
+    for length in (1, 7, 64, 70_000):
+        starts = np.arange(0, 150_000 - length, 1 if length < 100 else 13)
+        hashes = rolling.of(starts, length)
+        assert len(set(hashes.tolist())) == len({(text * 500)[s : s + length] for s in starts.tolist()})
+    for size in range(1, 9):
+        for n in range(1 << size):
+            term = f"{n:0{size}b}"
+            assert dictionary.overlaps_itself(term) == any(term.startswith(term[-k:]) for k in range(1, size))
+
+
 def test_terms_reach_prepare_and_its_second_pass(spark, key):
     docs = docs_of(spark, {"a": "Project Zephyr starts", "Zephyr-notes": "x"})
     run = veilframe.prepare(docs, key, empty_vault(spark), terms=term_table(spark, [("Zephyr", "PROJECT")]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -17,15 +18,20 @@ from veilframe.functions.patterns import column_name, sql_string
 from veilframe.functions.rules import DICTIONARY_CONFIDENCE, DICTIONARY_DETECTOR
 from veilframe.functions.spans import DICTIONARY_PLACE, SPANS_TYPE, blocks_of, priority_sql, text_of
 from veilframe.operators.skew import join_skewed
+from veilframe.operators.tokens import union_of
 from veilframe.session import staged
 from veilframe.sources.policies import Policy
 
 # Term lists up to this many characters travel to every task.
 BROADCAST_CHARS = 32 * 1024 * 1024
-# Texts are looked at in pieces of this many characters.
-PIECE = 1 << 16
-# The table of marks for larger lists has at most this many bits, as a power of two.
+#: Texts are looked at together until they have this many characters.
+GROUP_CHARS = 1 << 20
+#: The table of marks for larger lists has at most this many bits, as a power of two, and at least so many for each term: it
+#: lets at most (4 / 32)^2 of all places through for nothing.  Longer lists are looked for slice by slice.
 MOST_MARK_BITS = 27
+BITS_PER_TERM = 32
+# Powers are worked out for so many places at once.
+BLOCK = 1 << 16
 
 
 def distinct_terms(terms: DataFrame) -> DataFrame:
@@ -67,17 +73,15 @@ def _finder(terms: list[str]):
     return find
 
 
-def with_term_spans(
+def _with_broadcast_spans(
     docs: DataFrame, terms: DataFrame, policy: Policy, text: str = "text", output: str = "_terms"
 ) -> DataFrame:
-    """Add the dictionary spans of every document as an array column.
+    """Add the dictionary spans of every document as an array column, for lists that ``add_term_spans`` finds small enough.
 
     One pass over each text finds all terms at once; the terms go to the tasks
     as a broadcast variable (they never appear in a plan) and the texts stay
-    where they are.  Use :func:`term_findings` for lists too large for that.
+    where they are.
     """
-    if term_chars(terms) > BROADCAST_CHARS:
-        raise ValueError("term list too large to broadcast; use term_findings")
     rows = sorted((r.term_ord, r.term, r.entity_type) for r in distinct_terms(terms).collect())
     names = list(dict.fromkeys(term for _, term, _ in rows))
     uses: dict[str, list[tuple[int, str]]] = {}
@@ -122,24 +126,49 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+_BACK = pow(int(_BASE), -1, 1 << 64)
+
+
 def _powers(base: int, count: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(count, base, np.uint64)])
 
 
+_UP, _DOWN = _powers(int(_BASE), BLOCK - 1), _powers(_BACK, BLOCK - 1)
+
+
+def _power_of(places: np.ndarray, base: int, near: np.ndarray) -> np.ndarray:
+    """Powers of a base at any places: of the place's block times of the place in it."""
+    blocks = np.array([pow(base, BLOCK * n, 1 << 64) for n in range(int(places.max(initial=0)) // BLOCK + 1)], np.uint64)
+    return blocks[places // BLOCK] * near[places % BLOCK]
+
+
 class Rolling:
     """Hashes of all parts of a text: running sums of its characters times powers of an odd number, modulo 2^64."""
 
     def __init__(self, codes: np.ndarray):
-        self.sums = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(int(_BASE), len(codes))[:-1])]
-        self.back = _powers(pow(int(_BASE), -1, 1 << 64), len(codes))
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        for start in range(0, len(codes), BLOCK):
+            part = codes[start : start + BLOCK].astype(np.uint64) + np.uint64(1)
+            part *= _UP[: len(part)] * np.uint64(pow(int(_BASE), start, 1 << 64))
+            self.sums[start + 1 : start + 1 + len(part)] = np.cumsum(part) + self.sums[start]
+
+    def plain(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * _power_of(starts, _BACK, _DOWN)
 
     def of(self, starts: np.ndarray, length: int) -> np.ndarray:
-        own = np.uint64(length * int(_MIX) & (1 << 64) - 1)
-        mixed = (self.sums[starts + length] - self.sums[starts]) * self.back[starts] + own
+        mixed = self.plain(starts, starts + length) + np.uint64(length * int(_MIX) & (1 << 64) - 1)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
         return mixed ^ (mixed >> np.uint64(29))
 
 
+def overlaps_itself(term: str) -> bool:
+    """Whether a term begins as it ends, so that two of its places can overlap."""
+    rolling, size = Rolling(_codes(term)), len(term)
+    lengths = np.arange(1, size)
+    alike = rolling.plain(np.zeros_like(lengths), lengths) == rolling.plain(size - lengths, np.full_like(lengths, size))
+    return any(term.startswith(term[-length:]) for length in lengths[alike].tolist())
+
+
 def head_length(length: int) -> int:
     """Terms are told by their first characters: as many as the largest power of two up to their length."""
     return 1 << (length.bit_length() - 1)
@@ -181,40 +210,73 @@ def term_marks(terms: DataFrame, bits: int) -> np.ndarray:
     return table.view(np.uint8)
 
 
+class Places:
+    """Looks for parts of texts that may be terms, many texts at once."""
+
+    def __init__(self, marks: np.ndarray, bits: int, lengths: list[int]):
+        self.marks, self.bits = marks, bits
+        self.heads: dict[int, list[int]] = {}
+        for length in sorted(lengths):
+            self.heads.setdefault(head_length(length), []).append(length)
+
+    def of(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Number of the text, start and length of each such part."""
+        sizes = np.array([len(text) for text in texts])
+        ends = np.cumsum(sizes)
+        codes = _codes("".join(texts))
+        rolling = Rolling(codes)
+        left = np.repeat(ends, sizes) - np.arange(len(codes))
+        for head, lengths in self.heads.items():
+            starts = np.flatnonzero(left >= head)
+            starts = starts[_set(self.marks, rolling.of(starts, head), self.bits)]
+            for length in lengths:
+                fit = starts[left[starts] >= length]
+                if length != head:
+                    fit = fit[_set(self.marks, rolling.of(fit, length), self.bits)]
+                numbers = np.searchsorted(ends, fit, side="right")
+                yield from zip(numbers.tolist(), (fit - (ends - sizes)[numbers]).tolist(), itertools.repeat(length))
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Neighbours of together hardly more than GROUP_CHARS characters, and the number of the first."""
+    first, held, size = 0, [], 0
+    for number, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield first, held
+            first, held, size = number + 1, [], 0
+    if held:
+        yield first, held
+
+
 def term_findings(docs: DataFrame, terms: DataFrame, text: str = "text", key: str = "source_id") -> DataFrame:
     """Occurrences by equi-join, for term lists of any size.
 
     Each task hashes the parts of its texts that are as long as some term and
     looks them up in a broadcast table of marks (16 MB at most): first the head, and only behind a known head the whole
-    length.  What passes is sent on as place and digest of the part, and meets
-    the terms by digest.  So neither texts nor windows move, whatever the length of the terms; popular terms are
-    split by ``join_skewed``.  The digests are salted for each call, as they are staged.
+    length.  One running sum over many texts gives all hashes, whatever their length.  What passes is sent on as place and digest of the part, and meets
+    the terms by digest.  So neither texts nor windows move; popular terms are
+    split by ``join_skewed``.  The digests are salted for each call, as they are staged.  Lists too long for one table are cut into
+    slices by a hash of the term, and the texts are read for each.
     """
-    spark = docs.sparkSession
     terms = distinct_terms(terms)
     shape = terms.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.length("term"))).alias("lengths")).first()
-    bits = min(max(12, (32 * (shape["n"] or 1) - 1).bit_length()), MOST_MARK_BITS)
+    slices = -(-shape.n * BITS_PER_TERM >> MOST_MARK_BITS) or 1
+    if slices == 1:
+        return _findings(docs, terms, shape.n, shape.lengths, text, key)
+    own = F.pmod(F.xxhash64("term"), F.lit(slices))
+    return union_of([_findings(docs, terms.where(own == n), shape.n // slices, shape.lengths, text, key) for n in range(slices)])
+
+
+def _findings(docs: DataFrame, terms: DataFrame, number: int, lengths: list[int], text: str, key: str) -> DataFrame:
+    spark = docs.sparkSession
+    bits = min(max(12, (BITS_PER_TERM * (number or 1) - 1).bit_length()), MOST_MARK_BITS)
     shared = spark.sparkContext.broadcast(term_marks(terms, bits))
-    heads: dict[int, list[int]] = {}
-    for length in shape["lengths"]:
-        heads.setdefault(head_length(length), []).append(length)
-    longest = max(shape["lengths"], default=1)
     salt = uuid.uuid4().hex
 
-    def places(part: str, own: int) -> Iterator[tuple[int, int]]:
-        """Starts and lengths of parts that may be terms, with starts below ``own``."""
-        codes, marks = _codes(part), shared.value
-        rolling = Rolling(codes)
-        for head, lengths in heads.items():
-            starts = np.arange(max(0, min(own, len(codes) - head + 1)))
-            starts = starts[_set(marks, rolling.of(starts, head), bits)]
-            for length in lengths:
-                fit = starts[starts + length <= len(codes)]
-                if length != head:
-                    fit = fit[_set(marks, rolling.of(fit, length), bits)]
-                yield from ((start, length) for start in fit.tolist())
-
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looked = Places(shared.value, bits, lengths)
         salted = hashlib.sha256(salt.encode())
 
         def digest(part: str) -> bytes:
@@ -223,41 +285,39 @@ def term_findings(docs: DataFrame, terms: DataFrame, text: str = "text", key: st
             return own.digest()
 
         for batch in batches:
-            rows: list[tuple[int, int, int, bytes]] = []
-            for number, whole in enumerate(batch.column(1).to_pylist()):
-                for first in range(0, len(whole), PIECE):
-                    part = whole[first : first + PIECE + longest - 1]
-                    rows += (
-                        (number, first + start, first + start + length, digest(part[start : start + length]))
-                        for start, length in places(part, PIECE)
-                    )
-            numbers, starts, ends, digests = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(numbers, pa.int64())),
-                    pa.array(starts, pa.int32()),
-                    pa.array(ends, pa.int32()),
-                    pa.array(digests, pa.binary()),
-                ],
-                [key, "start", "end", "digest"],
-            )
+            for first, texts in _groups(batch.column(1).to_pylist()):
+                rows = [(first + n, at, at + size, digest(texts[n][at : at + size])) for n, at, size in looked.of(texts)]
+                numbers, starts, ends, digests = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(numbers, pa.int64())),
+                        pa.array(starts, pa.int32()),
+                        pa.array(ends, pa.int32()),
+                        pa.array(digests, pa.binary()),
+                    ],
+                    [key, "start", "end", "digest"],
+                )
+
+    def knotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("knotted", pa.array([overlaps_itself(term) for term in batch.column(1).to_pylist()], pa.bool_()))
 
     keyed = docs.select(F.col(key), F.expr(text_of(text)).alias("text"))
     key_type = keyed.schema[key].dataType.simpleString()
     passed = keyed.mapInArrow(found, f"{column_name(key)} {key_type}, start int, end int, digest binary")
     passed = staged(passed, "places")
     uses = staged(passed.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")), "uses")
-    entries = F.collect_list(F.struct("term_ord", "entity_type", F.col("term").alias("value")))
+    entries = F.collect_list(F.struct("term_ord", "entity_type", F.col("term").alias("value"), "knotted"))
     digest = F.unhex(F.sha2(F.concat(F.lit(salt), "term"), 256))
-    listed = terms.withColumn("digest", digest).groupBy("digest").agg(entries.alias("entries")).join(uses, "digest")
+    told = terms.select("term_ord", "term", "entity_type").mapInArrow(knotted, "term_ord bigint, term string, entity_type string, knotted boolean")
+    listed = told.withColumn("digest", digest).groupBy("digest").agg(entries.alias("entries")).join(uses, "digest")
     hits = join_skewed(passed, listed, ["digest"], "uses", [key, "start"], uses)
-    hits = hits.select(key, "start", "end", F.inline("entries")).select(key, "start", "end", "term_ord", "entity_type", "value")
+    shown = (key, "start", "end", "term_ord", "entity_type", "value")
+    hits = hits.select(key, "start", "end", F.inline("entries"))
     # A term that can overlap itself keeps its leftmost occurrences only.
-    length = "length(value)"
-    knotted = f"{length} > 1 and exists(sequence(1, greatest({length} - 1, 1)), n -> n < {length} and startswith(value, right(value, n)))"
-    loose = hits.where(f"not ({knotted})")
+    loose = hits.where("not knotted").select(*shown)
     chains = (
-        hits.where(knotted)
+        hits.where("knotted")
         .groupBy(key, "term_ord", "entity_type", "value")
         .agg(F.array_sort(F.collect_list("start")).alias("starts"))
         .withColumn(
@@ -267,7 +327,7 @@ def term_findings(docs: DataFrame, terms: DataFrame, text: str = "text", key: st
                 (done, blk) -> transform(array(aggregate(blk,
                     named_struct('free', done.free, 'out', cast(array() as array<int>)),
                     (acc, s) -> if(s >= acc.free,
-                        named_struct('free', s + {length}, 'out', concat(acc.out, array(s))), acc))),
+                        named_struct('free', s + length(value), 'out', concat(acc.out, array(s))), acc))),
                     r -> named_struct('free', r.free, 'out', concat(done.out, array(r.out))))[0],
                 done -> done.out))"""),
         )
@@ -280,7 +340,7 @@ def term_findings(docs: DataFrame, terms: DataFrame, text: str = "text", key: st
 def with_joined_term_spans(
     docs: DataFrame, terms: DataFrame, policy: Policy, text: str = "text", key: str = "source_id", output: str = "_terms"
 ) -> DataFrame:
-    """As :func:`with_term_spans`, by way of the join.  Spans return to their
+    """The same by way of the join.  Spans return to their
     documents by key, which shuffles the texts once."""
     hits = term_findings(docs, terms, text, key)
     arrays = hits.groupBy(key).agg(
@@ -293,5 +353,5 @@ def with_joined_term_spans(
 def add_term_spans(docs: DataFrame, terms: DataFrame, policy: Policy, text: str = "text", key: str = "source_id") -> DataFrame:
     """Dictionary spans by the plan that fits the size of the term list."""
     if term_chars(terms) <= BROADCAST_CHARS:
-        return with_term_spans(docs, terms, policy, text)
+        return _with_broadcast_spans(docs, terms, policy, text)
     return with_joined_term_spans(docs, terms, policy, text, key)
