@@ -176,11 +176,28 @@ def test_restore_takes_one_pass_and_counts(spark, key):
     assert every["a"] == "Grace and Ada, Grace"
 
 
-def test_restore_reads_the_texts_twice_at_most(spark, key, tmp_path):
+def test_restore_reads_the_texts_twice(spark, key, tmp_path, monkeypatch):
     vault = with_assignment(empty_vault(spark), assign_tokens(places(spark, FIRST), empty_vault(spark), key, "run-1"))
     spark.createDataFrame([("a", "[VEIL_PERSON_0001]")], "source_id string, text string").write.parquet(str(tmp_path / "texts"))
-    plan = tokens.restore(spark.read.parquet(str(tmp_path / "texts")), vault, key)._jdf.queryExecution().executedPlan().toString()
-    assert 1 <= plan.count("ReadSchema: struct<source_id:string,text:string>") <= 2
+    plans = []
+
+    def recorded(df, *args, real=tokens.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args)
+
+    monkeypatch.setattr(tokens, "staged", recorded)
+    done = tokens.restore(spark.read.parquet(str(tmp_path / "texts")), vault, key)
+    plans.append(done._jdf.queryExecution().executedPlan().toString())
+    assert sum(plan.count("ReadSchema: struct<source_id:string,text:string>") for plan in plans) == 2
+    assert done.first()["text"] == "Grace"
+
+
+def test_restore_of_repeated_and_nameless_documents(spark, key):
+    vault = with_assignment(empty_vault(spark), assign_tokens(places(spark, FIRST), empty_vault(spark), key, "run-1"))
+    rows = [(None, "[VEIL_PERSON_0001]", 1), (None, "[VEIL_PERSON_0002] x", 2), ("a", "[VEIL_PERSON_0002]", 3), ("a", "[VEIL_PERSON_0001]", 4), ("a", None, 5)]
+    docs = spark.createDataFrame(rows, "source_id string, text string, pos int")
+    got = {row["pos"]: (row["source_id"], row["text"]) for row in tokens.restore(docs, vault, key).collect()}
+    assert got == {1: (None, "Grace"), 2: (None, "Ada x"), 3: ("a", "Ada"), 4: ("a", "Grace"), 5: ("a", "")}
 
 
 def test_a_hot_key_is_spread(spark):

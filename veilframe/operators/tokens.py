@@ -164,15 +164,14 @@ def restore(
     run_id: str = "",
     prefix: str = DEFAULT_PREFIX,
     text: str = "text",
-    doc_key: str = "source_id",
 ) -> DataFrame:
     """Put the values back in place of the tokens of a run (all runs if empty).
 
     Adds ``restored`` and ``unresolved``, the numbers of tokens replaced and
     left, and ``placeholders``, the placeholders of any kind still in the text.
-    The tokens are looked for once; what was found is staged (tokens, no
-    values) and travels to the mapping, not the mapping to the texts.  Texts
-    without a token stay in their partition.
+    Texts with tokens are cut once, at their tokens, and staged in pieces (no
+    values); the tokens travel to the mapping, not the mapping to the texts, and the pieces are woven with what they
+    bring back.  Texts without a token stay in their partition.  So the texts are read twice, once for either kind.
     """
     regex = F.lit(token_pattern(prefix))
     source = text_of(text)
@@ -183,27 +182,27 @@ def restore(
     if run_id:
         mine = of_run(vault, run_id)
         entries = union_of([part.join(mine, "identity", "left_semi") for part in vault.maps()])
-    tokens = F.regexp_extract_all(F.expr(source), regex, F.lit(0))
-    found = staged(docs.where(has_token).select(F.col(doc_key), F.posexplode(tokens).alias("pos", "token")), "tokens")
+    cut = docs.where(has_token).withColumn("_regex", regex).selectExpr(
+        *others, f"split({source}, _regex, -1) as _gaps", f"regexp_extract_all({source}, _regex, 0) as _tokens",
+        "monotonically_increasing_id() as _row",
+    )
+    cut = staged(cut, "pieces")
+    found = cut.select("_row", F.posexplode("_tokens").alias("pos", "token"))
     uses = staged(found.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "uses")
     lookup = uses.join(entries, "token", "left").select(
         "token", "uses", decrypt(F.col("value_enc"), F.col("identity"), key).alias("value")
     )
     values = (
-        join_skewed(found, lookup, ["token"], "uses", [doc_key, "pos"], uses)
-        .groupBy(doc_key)
+        join_skewed(found, lookup, ["token"], "uses", ["_row", "pos"], uses)
+        .groupBy("_row")
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("put")))).alias("_puts"),
             F.count("value").alias("restored"),
             (F.count(F.lit(1)) - F.count("value")).alias("unresolved"),
         )
     )
-    woven = woven_sql(f"split({source}, _regex, -1)", "_puts.put")
-    with_tokens = (
-        docs.where(has_token)
-        .join(values, doc_key)
-        .withColumn("_regex", regex)
-        .selectExpr(*others, f"{woven} as {column_name(text)}", "restored", "unresolved")
+    with_tokens = cut.join(values, "_row").selectExpr(
+        *others, f"{woven_sql('_gaps', '_puts.put')} as {column_name(text)}", "restored", "unresolved"
     )
     untouched = docs.where(~has_token).selectExpr(
         *others, f"{source} as {column_name(text)}", "0L as restored", "0L as unresolved"
