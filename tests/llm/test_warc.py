@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import queries, warc
 
-SCHEMA = "record_id long, url string, at long, kind string, headers map<string,string>, body string"
+SCHEMA = "record_id long, url string, at long, kind string, http_status int, headers map<string,string>, body string"
 
 
 @pytest.mark.parametrize(
@@ -28,24 +28,24 @@ def test_urls_have_one_spelling(spark, url, key):
 def plainly(rows, key):
     out = []
     lower = lambda h: {k.lower(): v for k, v in sorted((h or {}).items())}
-    for record_id, url, at, kind, headers, _ in rows:
+    for record_id, url, at, kind, _, headers, _ in rows:
         if kind != "revisit":
             continue
         own, found = lower(headers), None
         if url is not None and at is not None:
-            earlier = [r for r in rows if r[3] == "response" and r[1] is not None and key(r[1]) == key(url) and r[2] is not None and r[2] < at]
+            earlier = [r for r in rows if r[3] == "response" and r[4] == 200 and r[1] is not None and key(r[1]) == key(url) and r[2] is not None and r[2] < at]
             found = max(earlier, key=lambda r: (r[2], r[0]), default=None)
         if found is None:
             out.append((record_id, "no_response", None, own, None))
             continue
-        stored, status = lower(found[4]), "no_validator"
+        stored, status = lower(found[5]), "no_validator"
         for name in ("last-modified", "etag"):
             if own.get(name) is not None and stored.get(name) is not None:
                 strip = lambda v: v.removeprefix("W/") if name == "etag" else v  # noqa: B023, E731
                 status = "resolved" if strip(own[name]) == strip(stored[name]) else "mismatch"
         if status == "resolved":
             merged = stored | {k: v for k, v in own.items() if k not in warc.KEPT_HEADERS}
-            out.append((record_id, status, found[0], merged, found[5]))
+            out.append((record_id, status, found[0], merged, found[6]))
         else:
             out.append((record_id, status, found[0], own, None))
     return sorted(out, key=repr)
@@ -61,7 +61,7 @@ def sample():
             if rng.random() < 0.3:
                 del headers[name]
         kind = rng.choice(["response", "revisit", "revisit", "request", None])
-        rows.append((i, url, rng.choice([rng.randrange(120), None, 60]), kind, rng.choice([headers, headers, headers, None]), rng.choice(["body", None, "é" * 50_000])))
+        rows.append((i, url, rng.choice([rng.randrange(120), None, 60]), kind, rng.choice([200, 200, 206, 304, 404, None]), rng.choice([headers, headers, headers, None]), rng.choice(["body", None, "é" * 50_000])))
     return rows
 
 
@@ -78,13 +78,31 @@ def test_revisits_meet_the_latest_earlier_response(spark):
 
 
 def test_repeated_records_and_empty_tables(spark):
-    row = (1, "http://a.example", 1, "response", {"etag": "x"}, "b")
-    again = (2, "http://a.example", 2, "revisit", {"etag": "x"}, None)
+    row = (1, "http://a.example", 1, "response", 200, {"etag": "x"}, "b")
+    again = (2, "http://a.example", 2, "revisit", None, {"etag": "x"}, None)
     found = warc.resolve_revisits(spark.createDataFrame([row, row, again, again], SCHEMA)).collect()
     assert [(r.record_id, r.status, r.body) for r in found] == [(2, "resolved", "b")] * 2
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_captures_have_every_outcome(spark):
-    found = queries.op5_warc(spark, "/root/testdata/sf0.001").groupBy("status").count().collect()
-    assert {r.status for r in found} == {"resolved", "mismatch", "no_response"}
+def test_partial_and_error_answers_are_passed_over(spark):
+    url, tag = "http://a.example", {"etag": "x"}
+    rows = [(n, url, n, "response", status, tag, f"b{status}") for n, status in enumerate([200, 206, 304, 404, 500, None])]
+    rows += [(9, url, 9, "revisit", None, tag, None), (10, "http://b.example", 9, "revisit", None, tag, None), (11, "http://b.example", 1, "response", 206, tag, "p")]
+    found = {r.record_id: (r.status, r.response_id, r.body) for r in warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {9: ("resolved", 0, "b200"), 10: ("no_response", None, None)}
+
+
+def test_very_many_and_very_long_headers(spark):
+    url, stored = "http://a.example", {f"x-{n}": "v" * 50 for n in range(2000)} | {"etag": "x", "content-type": "t"}
+    own = {f"X-{n}": "w" for n in range(0, 2000, 2)} | {"etag": "x", "content-type": "u", "x-long": "z" * 500_000}
+    rows = [(1, url, 1, "response", 200, stored, "b"), (2, url, 2, "revisit", None, own, None)]
+    found = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).first()
+    assert found.headers == stored | {k.lower(): v for k, v in own.items() if k != "content-type"}
+
+
+def test_captures_have_every_outcome_often(spark):
+    found = queries.op5_warc(spark, "/root/testdata/sf0.01").groupBy("status").count().collect()
+    total = sum(r["count"] for r in found)
+    assert {r.status for r in found} == {"resolved", "mismatch", "no_response", "no_validator"}
+    assert all(r["count"] > 0.05 * total for r in found)

@@ -144,33 +144,44 @@ WITH spelled AS (
       lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref|sessionid)(=|$)', 'i'))) AS kept
   FROM parted
 ), records AS (
-  SELECT page_id, html, page || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
-    md5(coalesce(html, '')) AS tag, page_id % 28 AS day
+  SELECT page_id AS p, html, page || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
+    html || '<!-- changed -->' AS changed, html || '<!-- twin -->' AS twin
   FROM keyed
-), pairs AS (
-  SELECT r.page_id, r.url_key, r.tag, r.day, r.page_id + CASE WHEN r.page_id % 13 = 0 THEN -1 ELSE 7 END AS seen,
-    s.page_id AS found, s.html AS body, s.tag AS found_tag, s.day AS found_day
-  FROM records r LEFT JOIN records s
-    ON r.url_key = s.url_key AND s.page_id < r.page_id + CASE WHEN r.page_id % 13 = 0 THEN -1 ELSE 7 END
-  QUALIFY row_number() OVER (PARTITION BY r.page_id ORDER BY s.page_id DESC NULLS LAST) = 1
+), tagged AS (
+  SELECT *, '"' || md5(coalesce(html, '')) || '"' AS tag0, '"' || md5(coalesce(changed, '')) || '"' AS tag1,
+    '"' || md5(coalesce(twin, '')) || '"' AS tag2, 'day ' || p % 28 AS day0, 'day ' || (p + 1) % 28 AS day1, 'day ' || (p + 2) % 28 AS day2
+  FROM records
+), full_responses AS (
+  SELECT 8 * p AS id, url_key, p AS seen, html AS body, CASE WHEN p % 5 <> 0 THEN tag0 END AS tag, day0 AS day FROM tagged
+  UNION ALL SELECT 8 * p + 1, url_key, p + 2, changed, CASE WHEN p % 5 <> 0 THEN tag1 END, day1 FROM tagged WHERE p % 3 = 2
+  UNION ALL SELECT 8 * p + 2, url_key, p + 2, twin, CASE WHEN p % 5 <> 0 THEN tag2 END, day2 FROM tagged WHERE p % 7 = 0
+), revisits AS (
+  SELECT p, 8 * p + 3 AS id, url_key, CASE WHEN p % 6 = 0 THEN p - 1 ELSE p + 2 END AS seen, tag0 AS tag, day0 AS day FROM tagged
+  UNION ALL SELECT p, 8 * p + 4, url_key, p + 7,
+    CASE WHEN p % 11 = 0 THEN '"new"' WHEN p % 7 = 0 THEN tag2 WHEN p % 3 = 2 THEN tag1 ELSE tag0 END,
+    CASE WHEN p % 7 = 0 THEN day2 WHEN p % 3 = 2 THEN day1 ELSE day0 END FROM tagged
+  UNION ALL SELECT p, 8 * p + 5, url_key, p + 40, tag0, day0 FROM tagged
+), shown AS (
+  SELECT id, url_key, seen, CASE WHEN p % 5 <> 0 AND p % 10 <> 3 THEN tag END AS tag, CASE WHEN p % 10 <> 3 THEN day END AS day FROM revisits
+), met AS (
+  SELECT v.*, r.id AS found, r.body, r.tag AS found_tag, r.day AS found_day
+  FROM shown v LEFT JOIN full_responses r ON v.url_key = r.url_key AND r.seen < v.seen
+  QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.seen DESC NULLS LAST, r.id DESC) = 1
 ), judged AS (
-  SELECT *, page_id % 5 <> 0 AS tagged,
-    CASE WHEN found IS NULL THEN 'no_response'
-      WHEN page_id % 5 <> 0 AND found % 5 <> 0 THEN
-        CASE WHEN page_id % 11 <> 0 AND tag = found_tag THEN 'resolved' ELSE 'mismatch' END
-      WHEN day = found_day THEN 'resolved' ELSE 'mismatch' END AS status
-  FROM pairs
+  SELECT *, CASE WHEN found IS NULL THEN 'no_response'
+    WHEN tag IS NOT NULL AND found_tag IS NOT NULL THEN CASE WHEN tag = found_tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN day IS NOT NULL AND found_day IS NOT NULL THEN CASE WHEN day = found_day THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'no_validator' END AS status
+  FROM met
 ), told AS (
-  SELECT *, status = 'resolved' AS ok, CASE WHEN page_id % 11 = 0 THEN '"new"' ELSE 'W/"' || tag || '"' END AS own_tag
-  FROM judged
+  SELECT *, status = 'resolved' AS ok FROM judged
 )
-SELECT 2 * page_id + 1 AS record_id, url_key, status, 2 * found AS response_id,
+SELECT id AS record_id, url_key, status, found AS response_id,
   CASE WHEN ok THEN coalesce('content-length: ' || length(body) || chr(10), '') || 'content-type: text/html' || chr(10)
     ELSE 'content-length: 0' || chr(10) END
   || 'date: ' || seen || chr(10)
-  || CASE WHEN tagged THEN 'etag: ' || own_tag || chr(10)
-    WHEN ok AND found % 5 <> 0 THEN 'etag: "' || found_tag || '"' || chr(10) ELSE '' END
-  || 'last-modified: day ' || day || chr(10) AS headers,
+  || coalesce('etag: W/' || tag || chr(10), CASE WHEN ok THEN 'etag: ' || found_tag || chr(10) END, '')
+  || coalesce('last-modified: ' || day || chr(10), '') AS headers,
   CASE WHEN ok THEN sha256(body) END AS body_sha256
 FROM told
 """

@@ -17,6 +17,9 @@ KEPT_HEADERS = (
     "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer",
     "transfer-encoding", "upgrade",
 )
+#: Which records hold a whole page.
+FULL = "(kind = 'response' and http_status = 200)"
+
 # Query parameters that name the visit, not the page.
 VISIT_PARAMETERS = "utm_[a-z]+|gclid|fbclid|ref|sessionid"
 
@@ -52,9 +55,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """``record_id``, ``url_key``, ``status``, ``response_id``, ``headers``, ``body`` of every revisit among ``records``.
 
     ``records`` has ``record_id``, ``url``, ``at`` (long), ``kind``
-    (``response`` or ``revisit``), ``headers`` (map) and ``body``.  A revisit
-    meets the latest response of its canonical URL that is strictly earlier; of
-    several at that time the one with the largest id.  It is ``resolved`` when the validators agree: the entity
+    (``response`` or ``revisit``), ``http_status``, ``headers`` (map) and ``body``.  A revisit
+    meets the latest full response (of status 200; partial, empty and error answers are none, nor those without a status) of its canonical
+    URL that is strictly earlier; of several at that time the one with the largest id.  It is ``resolved`` when the validators agree: the entity
     tags if both have one (a weak mark ``W/`` aside), else the modification
     dates if both have one.  Then the body is the response's and the headers
     are the response's, replaced by those of the revisit except
@@ -68,7 +71,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ranges of time, each told the latest response of the ranges before, so a URL
     with a third of all records is spread; bodies are fetched by id afterwards.
     """
-    narrow = records.where("kind in ('response', 'revisit')").select(
+    records = records.where(f"kind = 'revisit' or {FULL}")
+    narrow = records.select(
         "record_id",
         canonical_url(F.col("url")).alias("url_key"),
         "at",
@@ -122,42 +126,50 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records of two crawls of ``pages``: the first fetched every page, the second asked whether it had changed.
+    """Records of several fetches of each of the ``pages``, and of revisits between and after them.
 
-    Times are page ids; the second visit comes 7 later, so it meets the
-    latest of the pages that share its canonical URL.  Every fifth page sends no
-    entity tag, every eleventh has changed meanwhile, and every thirteenth was
-    asked for just before its first fetch.
+    Times follow the page's number p.  At p the page comes whole.  At p + 2 every third comes in part, every third not at all and the
+    others have changed; at that same time every seventh comes as another version, and the others answer that nothing has
+    changed.  Revisits come at p + 2 (for every sixth page at p - 1), at p + 7 with the validators of the latest version, and at
+    p + 40 with those of the first.  Every fifth page sends no entity tags, every eleventh has
+    changed once more at p + 7, and revisits of every tenth show no validator.  Pages that share a canonical URL share its records.
     """
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    date = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
-    has_tag = F.col("page_id") % 5 != 0
+    page = F.col("page_id")
     none = F.lit(None).cast("string")
     names = F.array(*map(F.lit, ("ETag", "Last-Modified", "Content-Type", "Content-Length", "Date")))
-
-    def headers(tag, date, kind, length, seen):
-        pairs = F.map_from_arrays(names, F.array(tag, date, kind, length, seen))
-        return F.map_filter(pairs, lambda _, value: value.isNotNull())
-
-    first = pages.select(
-        (2 * F.col("page_id")).alias("record_id"),
-        "url",
-        F.col("page_id").alias("at"),
-        F.lit("response").alias("kind"),
-        headers(F.when(has_tag, tag), date, F.lit("text/html"), F.length("html").cast("string"), F.col("page_id").cast("string")).alias("headers"),
-        F.col("html").alias("body"),
-    )
-    changed = F.col("page_id") % 11 == 0
-    again = F.col("page_id") + F.when(F.col("page_id") % 13 == 0, -1).otherwise(7)
-    second = pages.select(
-        (2 * F.col("page_id") + 1).alias("record_id"),
-        "url",
-        again.alias("at"),
-        F.lit("revisit").alias("kind"),
-        headers(
-            F.when(has_tag, F.when(changed, F.lit('"new"')).otherwise(F.concat(F.lit("W/"), tag))),
-            date, none, F.lit("0"), again.cast("string"),
-        ).alias("headers"),
-        none.alias("body"),
-    )
-    return first.unionByName(second)
+    versions = {name: F.concat("html", F.lit(mark)) for name, mark in (("first", ""), ("changed", "<!-- changed -->"), ("twin", "<!-- twin -->"))}
+    tag = {name: F.concat(F.lit('"'), F.md5(F.coalesce(body, F.lit(""))), F.lit('"')) for name, body in versions.items()}
+    day = {name: F.concat(F.lit("day "), ((page + n) % 28).cast("string")) for n, name in enumerate(versions)}
+    latest = lambda values: F.when(page % 7 == 0, values["twin"]).when(page % 3 == 2, values["changed"]).otherwise(values["first"])
+
+    def record(number, at, status, body, tag, day):
+        is_revisit = status is None
+        shown = page % 10 != 3 if is_revisit else F.lit(True)
+        tag = F.when((page % 5 != 0) & shown, F.concat(F.lit("W/"), tag) if is_revisit else tag)
+        length = F.lit("0") if is_revisit else F.length(body).cast("string")
+        values = F.array(tag, F.when(shown, day), none if is_revisit else F.lit("text/html"), length, at.cast("string"))
+        return pages.select(
+            (8 * page + number).alias("record_id"),
+            "url",
+            at.alias("at"),
+            F.lit("revisit" if is_revisit else "response").alias("kind"),
+            (F.lit(None) if is_revisit else status).cast("int").alias("http_status"),
+            F.map_filter(F.map_from_arrays(names, values), lambda _, value: value.isNotNull()).alias("headers"),
+            body.alias("body"),
+        )
+
+    later = F.when(page % 3 == 0, 206).when(page % 3 == 1, 404).otherwise(200)
+    part = F.when(page % 3 == 0, F.substring("html", 1, 100)).when(page % 3 == 1, F.lit("not found")).otherwise(versions["changed"])
+    again = F.when(page % 7 == 0, versions["twin"])
+    parts = [
+        record(0, page, F.lit(200), F.col("html"), tag["first"], day["first"]),
+        record(1, page + 2, later, part, F.when(page % 3 == 2, tag["changed"]).otherwise(tag["first"]), F.when(page % 3 == 2, day["changed"]).otherwise(day["first"])),
+        record(2, page + 2, F.when(page % 7 == 0, 200).otherwise(304), again, F.when(page % 7 == 0, tag["twin"]).otherwise(tag["first"]), day["twin"]),
+        record(3, page + F.when(page % 6 == 0, -1).otherwise(2), None, none, tag["first"], day["first"]),
+        record(4, page + 7, None, none, F.when(page % 11 == 0, F.lit('"new"')).otherwise(latest(tag)), latest(day)),
+        record(5, page + 40, None, none, tag["first"], day["first"]),
+    ]
+    whole = parts[0]
+    for one in parts[1:]:
+        whole = whole.unionByName(one)
+    return whole
