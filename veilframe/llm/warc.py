@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.operators.skew import join_skewed
+from veilframe.operators.skew import salted_lookup
 from veilframe.session import staged
 
 #: Ranges of capture time in which records of one URL are looked at apart.
@@ -110,15 +110,18 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisits = staged(revisits.select("row_no", "record_id", "url_key", "status", "response_id", "headers"), "revisits")
 
     resolved = revisits.where("status = 'resolved'")
-    uses = resolved.groupBy("response_id").agg(F.count(F.lit(1)).alias("uses"))
-    stored = records.where("kind = 'response'").select(
-        F.col("record_id").alias("response_id"), _lowered(F.col("headers")).alias("stored"), "body"
-    )
-    stored = stored.join(uses, "response_id").dropDuplicates(["response_id"])
+    uses = staged(resolved.groupBy("response_id").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    # Bodies move once, to the parts of their id; only ids with many uses have more than one.
+    hot, _ = salted_lookup(uses, ["response_id"], "uses", uses)
+    stored = records.where(FULL).select(F.col("record_id").alias("response_id"), _lowered(F.col("headers")).alias("stored"), "body")
+    stored = stored.join(F.broadcast(hot), "response_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    stored = stored.drop("_parts").dropDuplicates(["response_id", "salt"])
+    asked = resolved.join(F.broadcast(hot), "response_id", "left")
+    asked = asked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row_no"), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     fixed = F.array(*map(F.lit, KEPT_HEADERS))
     taken = F.map_filter("headers", lambda name, _: ~F.array_contains(fixed, name))
     left = F.map_filter("stored", lambda name, _: ~F.array_contains(F.map_keys("headers"), name) | F.array_contains(fixed, name))
-    whole = join_skewed(resolved, stored, ["response_id"], "uses", ["row_no"], uses)
+    whole = asked.join(stored, ["response_id", "salt"])
     whole = whole.withColumn("headers", F.map_concat(left, taken))
     fields = ["record_id", "url_key", "status", "response_id", "headers", "body"]
     others = revisits.where("status <> 'resolved'").withColumn("body", F.lit(None).cast(records.schema["body"].dataType))
