@@ -151,9 +151,9 @@ def captures(pages: DataFrame) -> DataFrame:
         tag = F.when((page % 5 != 0) & shown, F.concat(F.lit("W/"), tag) if is_revisit else tag)
         length = F.lit("0") if is_revisit else F.length(body).cast("string")
         values = F.array(tag, F.when(shown, day), none if is_revisit else F.lit("text/html"), length, at.cast("string"))
-        return pages.select(
+        return F.struct(
             (8 * page + number).alias("record_id"),
-            "url",
+            F.col("url"),
             at.alias("at"),
             F.lit("revisit" if is_revisit else "response").alias("kind"),
             (F.lit(None) if is_revisit else status).cast("int").alias("http_status"),
@@ -172,7 +172,5 @@ def captures(pages: DataFrame) -> DataFrame:
         record(4, page + 7, None, none, F.when(page % 11 == 0, F.lit('"new"')).otherwise(latest(tag)), latest(day)),
         record(5, page + 40, None, none, tag["first"], day["first"]),
     ]
-    whole = parts[0]
-    for one in parts[1:]:
-        whole = whole.unionByName(one)
-    return whole
+    # All from one look at a page.
+    return pages.select(F.inline(F.array(*parts)))
