@@ -33,37 +33,88 @@ def test_runs_agree_and_only_texts_decide(spark, found):
     assert max(abs(scores[r.doc_id] - r.score) for r in again) < 1e-3
 
 
-def test_word_vectors_are_sums_over_neighbours(spark, monkeypatch):
-    texts = ["a b c d a b", "A b", "x", "", None, "THE the !!", "a " * 300]
-    places, signs = quality.index_vectors()
-    index = np.zeros((quality.WORDS, quality.DIMS))
-    for word in range(quality.WORDS):
+def plain_sums(texts, words):
+    """Sums of the neighbours' index vectors, pair by pair."""
+    rows = quality.rows_of(words)
+    places, signs = quality.index_vectors(rows)
+    index = np.zeros((rows, quality.DIMS))
+    for word in range(rows):
         np.add.at(index[word], places[word], signs[word])
-    expected = np.zeros((quality.WORDS, quality.DIMS))
+    sums = np.zeros((rows, quality.DIMS))
     for text in texts:
-        ids = [quality.Words()[t] for t in quality._TOKENS.findall(text or "")]
+        ids = [words[t] for t in quality._TOKENS.findall(text or "")]
         for i, word in enumerate(ids):
             for j in range(max(0, i - 2), min(len(ids), i + 3)):
                 if i != j:
-                    expected[word] += index[ids[j]]
+                    sums[word] += index[ids[j]]
+    return sums
+
+
+def test_word_vectors_are_sums_over_neighbours(monkeypatch):
     import pyarrow as pa
 
+    texts = ["a b c d a b", "A b", "x", "", None, "THE the !!", "a " * 300]
+    words = quality.Words(["a", "the"])
+    assert words["A"] == words["a"] == 0 and words["THE"] >= 2 and words["The"] == 1 and words["c"] >= 2
+    expected = plain_sums(texts, words)
     for chunk in (quality.CHUNK, 5):
         monkeypatch.setattr(quality, "CHUNK", chunk)
-        (out,) = quality.context_sums([pa.record_batch({"text": pa.array(texts, pa.string())})])
-        sums = np.zeros((quality.WORDS // quality.SLAB, quality.SLAB * quality.DIMS))
-        for slab, part in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
-            sums[slab] = np.frombuffer(part, "<f4")
-        assert np.allclose(sums.reshape(expected.shape), expected)
+        sums = np.zeros((quality.rows_of(words) // quality.SLAB, quality.SLAB * quality.DIMS))
+        for out in quality.context_sums(words)([pa.record_batch({"text": pa.array(texts, pa.string())})]):
+            for slab, part in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                sums[slab] = np.frombuffer(part, "<i8")
+        assert (sums.reshape(expected.shape) == expected).all()
+
+
+def test_frequent_words_have_vectors_of_their_own(spark, monkeypatch):
+    texts = ["often " * 50 + f"rare{n} HERE " + "z" * 100 for n in range(40)] + [None, "Often often"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(quality, "OWN", 60)
+    assert quality.own_words(docs) == ["HERE", "often", "rare"]
+    assert quality.own_words(docs.limit(0)) == []
 
 
 def test_pooling_does_not_depend_on_chunks(monkeypatch):
-    vectors = np.random.default_rng(1).normal(size=(quality.WORDS, quality.DIMS)).astype(np.float32)
+    words = quality.Words(["word1"])
+    vectors = np.random.default_rng(1).normal(size=(quality.rows_of(words), quality.DIMS)).astype(np.float32)
     text = " ".join(f"word{i % 13}" for i in range(100))
-    whole = quality.pooled(text, vectors)
+    whole = quality.pooled(text, vectors, words)
     monkeypatch.setattr(quality, "CHUNK", 7)
-    assert np.allclose(quality.pooled(text, vectors), whole)
-    assert not quality.pooled(None, vectors).any() and not quality.pooled(" ", vectors).any()
+    assert np.allclose(quality.pooled(text, vectors, words), whole)
+    assert not quality.pooled(None, vectors, words).any() and not quality.pooled(" ", vectors, words).any()
+
+
+def test_whole_query_equals_a_plain_run(spark):
+    from collections import Counter
+
+    from veilframe.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    marks = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect() if r.quality in (0, 1)}
+    tokens = {doc_id: quality._TOKENS.findall(text or "") for doc_id, text in rows.items()}
+    seen = Counter(quality.shape(t) for one in tokens.values() for t in one if len(t) <= 64)
+    total = sum(map(len, tokens.values()))
+    words = quality.Words(sorted(word for word, n in seen.items() if n * quality.OWN > total))
+    vectors = plain_sums(rows.values(), words)
+    used = np.abs(vectors).sum(axis=1) > 0
+    vectors[used] /= np.linalg.norm(vectors[used], axis=1, keepdims=True)
+    vectors[used] -= vectors[used].mean(axis=0)
+    vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32).astype(float)
+
+    def features(doc_id):
+        own = np.array([vectors[words[t]] for t in tokens[doc_id]]).reshape(-1, quality.DIMS)
+        if not len(own):
+            return np.zeros(quality.FEATURES)
+        alike = sum(float(a @ b) for a, b in zip(own, own[1:], strict=False)) / max(1, len(own) - 1)
+        return np.concatenate([own.mean(axis=0), own.std(axis=0), [alike, np.log1p(len(own)) / 10]])
+
+    fit = sorted(d for d in marks if d in rows and zlib.crc32(str(d).encode()) % 5)
+    model = quality.Network(np.array([features(d) for d in fit]), np.array([marks[d] for d in fit], float))
+    for row in queries.op4_quality(spark, sf).collect():
+        score = float(model.scores(features(row.doc_id)[None, :])[0])
+        assert abs(row.score - score) < 1e-4
+        assert row.predicted == int(row.score >= 0.3) and row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
 
 
 def test_temperature_calibrates():

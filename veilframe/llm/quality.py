@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.batches import per_text, texts_of
+from veilframe.llm.exact import merged
+from veilframe.session import staged
 
-#: Words share so many vectors by a hash, of so many numbers.
-WORDS = 1 << 13
+#: A word that makes up more than 1/OWN of all has a vector of its own; the others share so many by a hash.
+OWN = 1 << 16
+SHARED = 1 << 13
+#: Numbers of a vector.
 DIMS = 32
 #: Non-zero entries of a word's index vector, and how far its neighbours reach.
 ENTRIES = 4
@@ -27,103 +32,171 @@ THRESHOLD = 0.3
 # Rows of the matrix of word vectors that move together, and partial sums of each.
 SLAB = 256
 SALTS = 16
-# Tokens looked at once, and words a worker remembers.
+# Tokens looked at once, and words a worker remembers, up to this length.
 CHUNK = 1 << 16
 CACHED = 1 << 18
+LONGEST = 64
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
+def shape(token: str) -> str:
+    """Case counts only where all letters are capitals."""
+    return token if len(token) > 1 and token.isupper() else token.lower()
+
+
 class Words(dict):
-    """The vector number of each token.  Case counts only where all letters are capitals."""
+    """The vector number of each token: ``own`` words in their order, then the shared numbers."""
+
+    def __init__(self, own: list[str]):
+        super().__init__()
+        self.key = uuid.uuid4().hex
+        self.own = {word: number for number, word in enumerate(own)}
 
     def __missing__(self, token: str) -> int:
-        shape = token if len(token) > 1 and token.isupper() else token.lower()
-        number = zlib.crc32(shape.encode("utf-8", "replace")) % WORDS
+        word = shape(token)
+        number = self.own.get(word)
+        if number is None:
+            number = len(self.own) + zlib.crc32(word.encode("utf-8", "replace")) % SHARED
         if len(self) >= CACHED:
             self.clear()
-        if len(token) <= 64:
+        if len(token) <= LONGEST:
             self[token] = number
         return number
 
+    def __reduce__(self):
+        return _words, (self.key, list(self.own))
+
+
+_KNOWN: dict[str, Words] = {}
+
 
-_WORDS = Words()
+def _words(key: str, own: list[str]) -> Words:
+    """One table of a worker for each key, so that what it remembers serves later tasks."""
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Words(own)
+        _KNOWN[key].key = key
+    return _KNOWN[key]
+
+
+def frequent_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task: words with a share of 1/(32 ``OWN``) of its tokens or more, and the number of all (``word`` null).  A
+    Misra-Gries summary bounds what is kept."""
+    counts, others = Counter(), 0
+    for batch in batches:
+        for text in batch.column(0):
+            found = _TOKENS.findall(text.as_py() or "")
+            for start in range(0, len(found), CHUNK):
+                part = found[start : start + CHUNK]
+                short = [token for token in part if len(token) <= LONGEST]
+                others += len(part) - len(short)
+                counts.update(short)
+                if len(counts) > 8 * OWN:
+                    others += sum(counts.values())
+                    counts = merged(counts, 4 * OWN)
+                    others -= sum(counts.values())
+    words: Counter = Counter()
+    for token, n in counts.items():
+        words[shape(token)] += n
+    total = others + sum(words.values())
+    rows = [(word, n) for word, n in words.items() if n * 32 * OWN > total]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([None, *(word for word, _ in rows)], pa.string()), pa.array([total, *(n for _, n in rows)], pa.int64())], ["word", "seen"]
+    )
 
 
-def numbers(text: str | None) -> Iterator[np.ndarray]:
+def own_words(texts: DataFrame) -> list[str]:
+    """The words with vectors of their own, fewer than ``OWN``."""
+    seen = texts.select("text").mapInArrow(frequent_shapes, "word string, seen long")
+    seen = staged(seen.groupBy("word").agg(F.sum("seen").alias("seen")), "words")
+    total = seen.where("word is null").select("seen").scalar()
+    return sorted(row.word for row in seen.where("word is not null").where(F.col("seen") * OWN > total).select("word").collect())
+
+
+def numbers(text: str | None, words: Words) -> Iterator[np.ndarray]:
     """The vector numbers of all tokens of a whole text, in chunks that share ``WINDOW`` tokens."""
     if not text:
         return
     tokens = _TOKENS.findall(text)
     for start in range(0, len(tokens), CHUNK):
         part = tokens[max(0, start - WINDOW) : start + CHUNK]
-        yield np.fromiter(map(_WORDS.__getitem__, part), np.int64, len(part))
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the non-zero entries of each word's random index vector."""
-    random = np.random.default_rng(20)
-    return random.integers(0, DIMS, (WORDS, ENTRIES)), random.choice([-1.0, 1.0], (WORDS, ENTRIES))
+        yield np.fromiter(map(words.__getitem__, part), np.int64, len(part))
 
 
-def context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word the sum of the index vectors of its neighbours in a task's texts, in slabs."""
-    places, signs = index_vectors()
-    sums, held, size = np.zeros(WORDS * DIMS), [], 0
+def rows_of(words: Words) -> int:
+    """Numbers in use, filled up to whole slabs."""
+    return -(-(len(words.own) + SHARED) // SLAB) * SLAB
 
-    def add(pairs):
-        words, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        for entry in range(ENTRIES):
-            sums[:] += np.bincount(words * DIMS + places[near, entry], signs[near, entry], WORDS * DIMS)
 
-    for batch in batches:
-        for text in batch.column(0):
-            fresh = 0
-            for ids in numbers(text.as_py()):
-                for distance in range(1, WINDOW + 1):
-                    # Pairs that lie within the tokens shared with the chunk before have been counted.
-                    a, b = ids[max(0, fresh - distance) : -distance], ids[max(distance, fresh) :]
-                    held += [(a, b), (b, a)]
-                    size += 2 * len(a)
-                fresh = WINDOW
-            if size > 1 << 22:
-                add(held)
-                held, size = [], 0
-    if held:
-        add(held)
-    slabs = sums.reshape(-1, SLAB * DIMS)
-    used = np.flatnonzero(np.abs(slabs).sum(axis=1))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array([slabs[at].astype("<f4").tobytes() for at in used], pa.binary())], ["slab", "sums"]
-    )
+def index_vectors(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the non-zero entries of each word's random index vector."""
+    random = np.random.default_rng(20)
+    return random.integers(0, DIMS, (rows, ENTRIES)), random.choice([-1, 1], (rows, ENTRIES))
+
+
+def context_sums(words: Words):
+    """For each word the sum of the index vectors of its neighbours in a task's texts, in slabs of integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(words)
+        places, signs = index_vectors(rows)
+        sums, held, size = np.zeros(rows * DIMS, np.int64), [], 0
+
+        def add(pairs):
+            own, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            for entry in range(ENTRIES):
+                # Sums of so few signs are exact in doubles.
+                sums[:] += np.bincount(own * DIMS + places[near, entry], signs[near, entry], rows * DIMS).astype(np.int64)
+
+        for batch in batches:
+            for text in batch.column(0):
+                fresh = 0
+                for ids in numbers(text.as_py(), words):
+                    for distance in range(1, WINDOW + 1):
+                        # Pairs that lie within the tokens shared with the chunk before have been counted.
+                        a, b = ids[max(0, fresh - distance) : -distance], ids[max(distance, fresh) :]
+                        held += [(a, b), (b, a)]
+                        size += 2 * len(a)
+                    fresh = WINDOW
+                if size > 1 << 22:
+                    add(held)
+                    held, size = [], 0
+        if held:
+            add(held)
+        slabs = sums.reshape(-1, SLAB * DIMS)
+        for at in np.flatnonzero(np.abs(slabs).sum(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([slabs[at].astype("<i8").tobytes()], pa.binary())], ["slab", "sums"])
+
+    return run
 
 
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for slab, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[slab] = sums.get(slab, 0) + np.frombuffer(part, "<f4").astype(np.float64)
+            sums[slab] = sums.get(slab, 0) + np.frombuffer(part, "<i8")
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in sums.values()], pa.binary())],
+        [pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())],
         ["slab", "sums"],
     )
 
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
+def word_vectors(texts: DataFrame, words: Words) -> np.ndarray:
     """Unit word vectors from the neighbours of every word in all ``texts`` (column ``text``).
 
     Tasks pass on sums in slabs of a fixed number of words, which are added in
-    two steps, so neither the number of texts nor of tasks reaches one place.  The result
-    has a fixed size (1 MB) whatever the corpus.
+    two steps, so neither the number of texts nor of tasks reaches one place.  Sums are integers, so their order makes no
+    difference.  The result has fewer than ``OWN`` and ``SHARED`` rows together, at most 10 MB, whatever the corpus.
     """
     fields = "slab int, sums binary"
-    parts = texts.select("text").mapInArrow(context_sums, fields)
+    parts = texts.select("text").mapInArrow(context_sums(words), fields)
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     partly = salted.repartition("slab", "salt").select("slab", "sums").mapInArrow(added, fields)
-    vectors = np.zeros((WORDS // SLAB, SLAB * DIMS))
+    sums = np.zeros((rows_of(words) // SLAB, SLAB * DIMS), np.int64)
     for row in partly.repartition("slab").mapInArrow(added, fields).collect():
-        vectors[row.slab] += np.frombuffer(row.sums, "<f4")
-    vectors = vectors.reshape(WORDS, DIMS)
+        sums[row.slab] += np.frombuffer(row.sums, "<i8")
+    vectors = sums.reshape(-1, DIMS).astype(np.float64)
     # Common words add the same to all, so take off the mean; words never seen stay zero.
     seen = np.abs(vectors).sum(axis=1) > 0
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -136,10 +209,10 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 FEATURES = 2 * DIMS + 2
 
 
-def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
+def pooled(text: str | None, vectors: np.ndarray, words: Words) -> np.ndarray:
     """Mean and spread of a whole text's word vectors, the mean likeness of neighbours, and the length; zeros without tokens."""
     total, squares, alike, count, pairs, fresh = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0, 0, 0
-    for ids in numbers(text):
+    for ids in numbers(text, words):
         rows = vectors[ids]
         own = rows[fresh:]
         total += own.sum(axis=0, dtype=np.float64)
@@ -220,8 +293,8 @@ def trained(texts: DataFrame, labels: DataFrame, vectors, most: int = LABELLED)
     rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
 
     def make():
-        shared = vectors.value
-        return lambda text: (pooled(text, shared).tolist(),)
+        shared, words = vectors.value
+        return lambda text: (pooled(text, shared, words).tolist(),)
 
     found = per_text(rows, make, "features array<double>").orderBy("doc_id").limit(most).toArrow()
     marked = dict(zip(*(column.to_pylist() for column in chosen.toArrow().columns), strict=True))
@@ -236,7 +309,7 @@ def quality(
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every row of ``docs``.
 
     Word vectors come from all texts: each word adds up the random index
-    vectors of its neighbours.  A document pools the vectors of its whole text; a
+    vectors of its neighbours.  Words that make up more than 1/``OWN`` of all tokens have vectors of their own, rarer ones share ``SHARED`` by a hash.  A document pools the vectors of its whole text; a
     network of two layers turns that into the probability of label 1 (``quality`` in ``labels``),
     learned from at most ``most`` rows outside the held-out fold.  ``predicted`` is 1 from a score of 0.3 on.
     A null or empty text pools to zeros and is scored like any other; without labels
@@ -246,12 +319,13 @@ def quality(
     """
     context = docs.sparkSession.sparkContext
     texts = texts_of(docs, id_col, text_col)
-    vectors = context.broadcast(word_vectors(texts))
+    words = Words(own_words(texts))
+    vectors = context.broadcast((word_vectors(texts, words), words))
     network = context.broadcast(trained(texts, labels, vectors, most))
 
     def make():
-        shared, model = vectors.value, network.value
-        return lambda text: (float(model.scores(pooled(text, shared)[None, :])[0]),)
+        (shared, words), model = vectors.value, network.value
+        return lambda text: (float(model.scores(pooled(text, shared, words)[None, :])[0]),)
 
     scored = per_text(texts, make, "score double")
     predicted = (F.col("score") >= THRESHOLD).cast("int")
