@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 import zlib
@@ -32,7 +33,7 @@ THRESHOLD = 0.3
 # Rows of the matrix of word vectors that move together, and partial sums of each.
 SLAB = 256
 SALTS = 16
-# Tokens looked at once, and words a worker remembers, up to this length.
+# Words looked at once, and words a worker remembers, up to this length.
 CHUNK = 1 << 16
 CACHED = 1 << 18
 LONGEST = 64
@@ -46,23 +47,26 @@ def shape(token: str) -> str:
 
 
 class Words(dict):
-    """The vector number of each token: ``own`` words in their order, then the shared numbers."""
+    """The vector numbers of the tokens of each word between white space: ``own`` tokens in their order, then the shared
+    numbers."""
 
     def __init__(self, own: list[str]):
         super().__init__()
         self.key = uuid.uuid4().hex
         self.own = {word: number for number, word in enumerate(own)}
 
-    def __missing__(self, token: str) -> int:
+    def number(self, token: str) -> int:
         word = shape(token)
         number = self.own.get(word)
-        if number is None:
-            number = len(self.own) + zlib.crc32(word.encode("utf-8", "replace")) % SHARED
+        return len(self.own) + zlib.crc32(word.encode("utf-8", "replace")) % SHARED if number is None else number
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(map(self.number, _TOKENS.findall(word)))
         if len(self) >= CACHED:
             self.clear()
-        if len(token) <= LONGEST:
-            self[token] = number
-        return number
+        if len(word) <= LONGEST:
+            self[word] = found
+        return found
 
     def __reduce__(self):
         return _words, (self.key, list(self.own))
@@ -81,24 +85,26 @@ def _words(key: str, own: list[str]) -> Words:
 
 
 def frequent_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task: words with a share of 1/(32 ``OWN``) of its tokens or more, and the number of all (``word`` null).  A
-    Misra-Gries summary bounds what is kept."""
+    """Of a task: tokens with a share of 1/(32 ``OWN``) of its tokens or more, and the number of all (``word`` null).
+
+    No token holds white space, so words between it are counted and cut afterwards.  A
+    Misra-Gries summary bounds what is kept; words over ``LONGEST`` have no vectors of their own.
+    """
     counts, others = Counter(), 0
     for batch in batches:
         for text in batch.column(0):
-            found = _TOKENS.findall(text.as_py() or "")
-            for start in range(0, len(found), CHUNK):
-                part = found[start : start + CHUNK]
-                short = [token for token in part if len(token) <= LONGEST]
-                others += len(part) - len(short)
-                counts.update(short)
-                if len(counts) > 8 * OWN:
-                    others += sum(counts.values())
-                    counts = merged(counts, 4 * OWN)
-                    others -= sum(counts.values())
+            found = (text.as_py() or "").split()
+            short = [word for word in found if len(word) <= LONGEST]
+            others += len(found) - len(short)
+            counts.update(short)
+            if len(counts) > 8 * OWN:
+                others += sum(counts.values())
+                counts = merged(counts, 4 * OWN)
+                others -= sum(counts.values())
     words: Counter = Counter()
-    for token, n in counts.items():
-        words[shape(token)] += n
+    for word, n in counts.items():
+        for token in _TOKENS.findall(word):
+            words[shape(token)] += n
     total = others + sum(words.values())
     rows = [(word, n) for word, n in words.items() if n * 32 * OWN > total]
     yield pa.RecordBatch.from_arrays(
@@ -118,10 +124,12 @@ def numbers(text: str | None, words: Words) -> Iterator[np.ndarray]:
     """The vector numbers of all tokens of a whole text, in chunks that share ``WINDOW`` tokens."""
     if not text:
         return
-    tokens = _TOKENS.findall(text)
-    for start in range(0, len(tokens), CHUNK):
-        part = tokens[max(0, start - WINDOW) : start + CHUNK]
-        yield np.fromiter(map(words.__getitem__, part), np.int64, len(part))
+    parts, shared = text.split(), np.zeros(0, np.int64)
+    for start in range(0, len(parts), CHUNK):
+        chunk = map(words.__getitem__, parts[start : start + CHUNK])
+        ids = np.concatenate([shared, np.fromiter(itertools.chain.from_iterable(chunk), np.int64)])
+        yield ids
+        shared = ids[-WINDOW:]
 
 
 def rows_of(words: Words) -> int:
