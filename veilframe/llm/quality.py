@@ -221,12 +221,14 @@ def pooled(text: str | None, vectors: np.ndarray, words: Words) -> np.ndarray:
     """Mean and spread of a whole text's word vectors, the mean likeness of neighbours, and the length; zeros without tokens."""
     total, squares, alike, count, pairs, fresh = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0, 0, 0
     for ids in numbers(text, words):
+        # Plain products of single-precision matrices, a chunk at a time; chunks add up in doubles.
         rows = vectors[ids]
         own = rows[fresh:]
-        total += own.sum(axis=0, dtype=np.float64)
-        squares += np.einsum("ij,ij->j", own, own, dtype=np.float64)
+        ones = np.ones(len(own), np.float32)
+        total += ones @ own
+        squares += ones @ (own * own)
         near = rows[max(0, fresh - 1) :]
-        alike += float(np.einsum("ij,ij->", near[1:], near[:-1]))
+        alike += float(near[1:].ravel() @ near[:-1].ravel())
         count, pairs, fresh = count + len(own), pairs + len(near) - 1, WINDOW
     if not count:
         return np.zeros(FEATURES)
