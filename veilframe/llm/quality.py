@@ -20,7 +20,7 @@ from veilframe.session import staged
 
 #: A word that makes up more than 1/OWN of all has a vector of its own; the others share so many by a hash.
 OWN = 1 << 16
-SHARED = 1 << 13
+SHARED = 1 << 12
 #: Numbers of a vector.
 DIMS = 32
 #: Non-zero entries of a word's index vector, and how far its neighbours reach.
@@ -140,7 +140,7 @@ def rows_of(words: Words) -> int:
 def index_vectors(rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the non-zero entries of each word's random index vector."""
     random = np.random.default_rng(20)
-    return random.integers(0, DIMS, (rows, ENTRIES)), random.choice([-1, 1], (rows, ENTRIES))
+    return random.integers(0, DIMS, (rows, ENTRIES)), random.choice([-1.0, 1.0], (rows, ENTRIES))
 
 
 def context_sums(words: Words):
@@ -148,14 +148,15 @@ def context_sums(words: Words):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows_of(words)
-        places, signs = index_vectors(rows)
+        places, signs = (np.ascontiguousarray(one.T) for one in index_vectors(rows))
         sums, held, size = np.zeros(rows * DIMS, np.int64), [], 0
 
         def add(pairs):
             own, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            first = own * DIMS
             for entry in range(ENTRIES):
                 # Sums of so few signs are exact in doubles.
-                sums[:] += np.bincount(own * DIMS + places[near, entry], signs[near, entry], rows * DIMS).astype(np.int64)
+                sums[:] += np.bincount(first + places[entry][near], signs[entry][near], rows * DIMS).astype(np.int64)
 
         for batch in batches:
             for text in batch.column(0):
