@@ -474,7 +474,7 @@ def split_secrets(spark, sf_dir):
     opening = "concat(text, chr(10), '-----BEGIN PRIVATE KEY-----', chr(10), turn)"
     closing = "concat(turn, chr(10), '-----END PRIVATE KEY-----', chr(10), text)"
     turns = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "turn", f"case turn % 4 when 0 then {opening} when 2 then {closing} else '-' end as text"
+        "conv_id", "turn", f"case turn % 4 when 0 then {opening} when 2 then {closing} else text end as text"
     )
     found = findings(detect(joined_documents(turns, "conv_id", ["turn"], "text"), POLICY, rules_for("PRIVATE_KEY")))
     return found.groupBy("source_id").agg(F.count(F.lit(1)).alias("secrets"), F.sum(F.length("value")).alias("chars"))
