@@ -5,6 +5,8 @@ import pytest
 from made_texts import FILLER, made, one
 
 from veilframe.functions.rules import BUILTIN_RULES, rules_named
+from veilframe.functions.spans import NO_SPANS, SPANS_TYPE, evaluated_once
+from veilframe.operators import resolve
 from veilframe.operators.detect import detect, findings, found_spans, has_fail
 from veilframe.sources.policies import Policy
 
@@ -130,6 +132,44 @@ def test_very_many_overlapping_spans_in_one_document(spark):
     ]
 
 
+def dense_spans(seed):
+    """Spans in discovery order that overlap a lot: of all lengths, in chains that rank up, down and up and down."""
+    rng = random.Random(seed)
+    if seed % 4 == 0:
+        ranks = (lambda n: n, lambda n: -n, lambda n: abs(n % 80 - 40), lambda n: n * 7919 % 997)[seed // 4 % 4]
+        return [(2 * n, 2 * n + 3, "mask", 0.5 + ranks(n) / 10000, 20, 0) for n in range(1500)]
+    count, room = rng.choice([65, 200, 900]), rng.choice([50, 300, 3000])
+    spans = []
+    for _ in range(count):
+        start = rng.randrange(room)
+        length = rng.choice([0, 1, 2, 3, 5, 8, 20, room // 3]) if seed % 2 else rng.randint(1, 9)
+        kind = rng.choice(["fail", "mask"]), rng.choice([0.7, 0.8, 0.95]), rng.choice([20, 80]), rng.randrange(4)
+        spans.append((start, start + length, *kind))
+    return sorted(spans, key=lambda span: span[5])
+
+
+@pytest.mark.parametrize("sweeps", [resolve.SWEEPS, 1])
+def test_large_clusters_against_the_plain_model(spark, monkeypatch, sweeps):
+    monkeypatch.setattr(resolve, "SWEEPS", sweeps)
+    cases = {seed: dense_spans(seed) for seed in range(40)}
+    rows = [
+        (seed, [(a, b, "E", act, conf, prio, place, "d", "low", str(n)) for n, (a, b, act, conf, prio, place) in enumerate(spans)])
+        for seed, spans in cases.items()
+    ]
+    found = spark.createDataFrame(rows, f"seed int, found {SPANS_TYPE}").repartition(8)
+    kept = found.selectExpr("seed", f"{evaluated_once(resolve.resolve_sql('found'), NO_SPANS)} as spans").collect()
+    for row in kept:
+        raw = [(a, b, "E", act, conf, prio, str(n)) for n, (a, b, act, conf, prio, _) in enumerate(cases[row["seed"]])]
+        assert [(s.start, s.end, s.value) for s in row["spans"]] == [(a[0], a[1], a[6]) for a in plain_model.accepted(raw)]
+
+
+def test_many_names_under_one_address(spark):
+    count = 6000
+    text = "".join("张三李四王五"[n % 3 * 2 : n % 3 * 2 + 2] for n in range(count)) + "市"
+    found = spark_spans(detect(frame(spark, [text]), Policy()))["0"]
+    assert [s[:3] for s in found] == [(2 * n, 2 * n + 2, "PERSON") for n in range(count)]
+
+
 def test_rules_can_be_chosen(spark):
     detected = detect(frame(spark, [FIRST]), Policy(), rules_named("email", "cn-phone"))
     assert {row["entity_type"] for row in findings(detected).collect()} == {"EMAIL", "PHONE"}

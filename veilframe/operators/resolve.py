@@ -4,46 +4,68 @@ from __future__ import annotations
 
 from veilframe.functions.spans import NO_SPANS, blocks_of
 
-# A cluster of more spans is looked at through slots of its length.
+# A cluster of more spans is settled by sweeps, what few spans those leave by comparing all.
 FEW = 64
+SWEEPS = 16
 
 
 def _greedy(cluster: str) -> str:
     """Accept the spans of a cluster best first, each unless it overlaps one
     accepted before.  Best: fail action, confidence, length, entity priority,
     then discovery order."""
-    ranked = f"""sort_array(transform({cluster}, e -> named_struct(
-        'soft', if(e.span.action = 'fail', 0, 1), 'confidence', -e.span.confidence, 'length', e.start - e.end,
-        'priority', -e.span.priority, 'place', e.span.place, 'found', e.found, 'span', e.span)))"""
+    rank = """'soft', if(e.span.action = 'fail', 0, 1), 'confidence', -e.span.confidence, 'length', e.start - e.end,
+        'priority', -e.span.priority, 'place', e.span.place, 'found', e.found"""
+    ranked = f"sort_array(transform({cluster}, e -> named_struct({rank}, 'span', e.span)))"
     few = f"""sort_array(aggregate(
         {ranked},
         {NO_SPANS},
         (kept, k) -> if(
             exists(kept, a -> a.start < k.span.end and k.span.start < a.end), kept, concat(kept, array(k.span)))))"""
     return f"""if(size({cluster}) = 1, transform({cluster}, e -> e.span),
-        if(size({cluster}) <= {FEW}, {few}, {_greedy_by_slots(cluster, ranked)}))"""
+        if(size({cluster}) <= {FEW}, {few}, {_greedy_by_sweeps(cluster, rank)}))"""
 
 
-def _greedy_by_slots(cluster: str, ranked: str) -> str:
-    """The same choice for a large cluster.  Its length is cut into as many slots
-    as the root of its size; accepted spans stand in all slots they touch, and a
-    span is compared with those in its own slots only.  Accepted spans are
-    apart, so few slots hold many and all slots together hold hardly more than there are spans."""
-    shape = f"""named_struct('low', {cluster}[0].start, 'slots', cast(ceil(sqrt(size({cluster}))) as int), 'width',
-        cast(ceil((array_max({cluster}.end) - {cluster}[0].start) / ceil(sqrt(size({cluster})))) as int))"""
-    first, last = "((k.span.start - z.low) div z.width)", "((k.span.end - 1 - z.low) div z.width)"
-    empty = f"transform(sequence(1, z.slots), i -> {NO_SPANS})"
-    clash = f"""exists(slice(slots, cast({first} + 1 as int), cast({last} - {first} + 1 as int)),
-        slot -> exists(slot, a -> a.start < k.span.end and k.span.start < a.end))"""
-    # Most spans stand in one slot, which is replaced without a look at the others.
-    at = f"cast({first} as int)"
-    one = f"""concat(slice(slots, 1, {at}), array(concat(slots[{at}], array(k.span))),
-        slice(slots, {at} + 2, size(slots)))"""
-    many = f"transform(slots, (slot, i) -> if(i between {first} and {last}, concat(slot, array(k.span)), slot))"
-    placed = f"if({first} = {last}, {one}, {many})"
-    own = "filter(slot, a -> (a.start - z.low) div z.width = i)"
-    return f"""transform(array({shape}), z -> sort_array(flatten(transform(
-        aggregate({ranked}, {empty}, (slots, k) -> if({clash}, slots, {placed})), (slot, i) -> {own}))))[0]"""
+def _greedy_by_sweeps(cluster: str, rank: str) -> str:
+    """The same choice for a large cluster, whose spans come in order of start.
+
+    A sweep holds one span.  A span that overlaps the held one takes its place if
+    it ranks better; one that starts behind it settles the held one as accepted,
+    because all that overlap that ranked worse or overlap one settled earlier.
+    What overlaps an accepted span is dropped, and the rest is swept from the
+    other end, so ranks that rise along a chain cost no more than ranks that fall.
+    Names under one address take one sweep.  Spans that 16 sweeps
+    leave are compared with each other.
+
+    A fold copies its state in every step: that is numbers of spans only.
+    """
+    entries = f"""transform({cluster},
+        e -> named_struct('low', e.start, 'high', e.end, 'rank', named_struct({rank}), 'span', e.span))"""
+    ints = "cast(array() as array<int>)"
+    # 'before' holds, for each span, how many were settled when it was met: the next one is the first that ends behind its start.
+    held = "named_struct('low', s.low, 'high', s.high, 'rank', s.rank, 'n', acc.n)"
+    step = f"""if(s.low >= acc.held.high,
+        named_struct('n', acc.n + 1, 'held', {held}, 'count', acc.count + 1, 'settled', concat(acc.settled, array(acc.held.n)),
+            'before', concat(acc.before, array(acc.count + 1))),
+        named_struct('n', acc.n + 1, 'held', if(s.rank < acc.held.rank, {held}, acc.held), 'count', acc.count,
+            'settled', acc.settled, 'before', concat(acc.before, array(acc.count))))"""
+    in_block = f"""aggregate(blk,
+        named_struct('n', w.n, 'held', w.held, 'count', w.count, 'settled', {ints}, 'before', {ints}), (acc, s) -> {step},
+        r -> named_struct('n', r.n, 'held', r.held, 'count', r.count,
+            'settled', concat(w.settled, array(r.settled)), 'before', concat(w.before, array(r.before))))"""
+    first = "named_struct('low', left[0].low, 'high', left[0].high, 'rank', left[0].rank, 'n', 0)"
+    sweep = f"""aggregate({blocks_of('left')},
+        named_struct('n', 0, 'held', {first}, 'count', 0, 'settled', array({ints}), 'before', array({ints})),
+        (w, blk) -> {in_block},
+        w -> named_struct('settled', concat(flatten(w.settled), array(w.held.n)), 'before', flatten(w.before)))"""
+    rest = """sort_array(transform(filter(left, (s, i) -> left[r.settled[r.before[i]]].low >= s.high),
+        s -> named_struct('low', -s.high, 'high', -s.low, 'rank', s.rank, 'span', s.span)))"""
+    turn = f"""transform(array(z.left), left -> transform(array({sweep}), r -> named_struct(
+        'left', {rest}, 'kept', concat(z.kept, transform(r.settled, i -> left[i].span))))[0])[0]"""
+    compared = f"""aggregate(sort_array(transform(z.left, e -> named_struct('rank', e.rank, 'span', e.span))), {NO_SPANS},
+        (kept, k) -> if(exists(kept, a -> a.start < k.span.end and k.span.start < a.end), kept, concat(kept, array(k.span))))"""
+    return f"""aggregate(sequence(1, {SWEEPS}), named_struct('left', {entries}, 'kept', {NO_SPANS}),
+        (z, j) -> if(size(z.left) = 0, z, {turn}),
+        z -> sort_array(concat(z.kept, {compared})))"""
 
 
 def _clustered(spans: str) -> str:
