@@ -19,8 +19,9 @@ _WORD_START = re.compile(r"\\b(?:\(\?:)?[A-Za-z0-9]")
 _CLASS_OR_ESCAPE = re.compile(r"\[(?:\\.|[^\]\\])*\]|\\[bds]")
 
 
-def spark_regex(plain: str, ignore_case: bool = False) -> str:
-    """The pattern as the JVM regex functions should get it."""
+def spark_regex(plain: str, ignore_case: bool = False, first: str = "") -> str:
+    """The pattern as the JVM regex functions should get it.  ``first`` is a class of all
+    characters a match can start with, which rules most places out before the pattern looks behind it."""
 
     def rewrite(match: re.Match) -> str:
         part = match.group(0)
@@ -38,7 +39,8 @@ def spark_regex(plain: str, ignore_case: bool = False) -> str:
     start = ""
     if _WORD_START.match(plain):  # before a word character, a boundary is the end of no word
         plain, start = plain[2:], f"(?<!{WORD})"
-    body = start + _CLASS_OR_ESCAPE.sub(rewrite, plain)
+    ahead = f"(?={_CLASS_OR_ESCAPE.sub(rewrite, first)})" if first else ""
+    body = ahead + start + _CLASS_OR_ESCAPE.sub(rewrite, plain)
     return f"(?iu){body}" if ignore_case else body
 
 
@@ -47,9 +49,9 @@ def sql_string(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def sql_regex(plain: str, ignore_case: bool = False) -> str:
+def sql_regex(plain: str, ignore_case: bool = False, first: str = "") -> str:
     """A plain pattern as a SQL string literal in the JVM dialect."""
-    return "r'" + spark_regex(plain, ignore_case).replace("'", r"\x27") + "'"
+    return "r'" + spark_regex(plain, ignore_case, first).replace("'", r"\x27") + "'"
 
 
 def column_name(name: str) -> str:

@@ -65,7 +65,7 @@ def possible(text: str, rule: Rule) -> str:
 
 def matches(text: str, rule: Rule) -> str:
     """Whether the pattern of a rule occurs in the text."""
-    return f"({text} rlike {sql_regex(rule.pattern, rule.ignore_case)})"
+    return f"({text} rlike {sql_regex(rule.pattern, rule.ignore_case, rule.first)})"
 
 
 def after_markers(value: str, markers: tuple[str, ...]) -> str:
@@ -99,7 +99,7 @@ def _split_at_matches(text: str, rule: Rule, nul: str) -> str:
     is searched twice instead: from the end of the last match (``\\G``) the
     shortest gap that a match follows, once for the gaps, once for the matches.
     """
-    regex = sql_regex(rule.pattern, rule.ignore_case)
+    regex = sql_regex(rule.pattern, rule.ignore_case, rule.first)
     plain = spark_regex(rule.pattern, rule.ignore_case).replace("'", r"\x27")
     marked = f"""transform(
         filter(array(split(regexp_replace({text}, {regex}, '\\0$0\\0'), '\\0', -1)), a -> size(a) > 1),
