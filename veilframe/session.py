@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a scanned table that one task takes on.
+TASK_ROWS = 1 << 15
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
@@ -81,12 +85,15 @@ def sensitive(spark: SparkSession) -> Iterator[set[str]]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scanned table that arrives in fewer partitions than
-    there are cores (one small file, one compressed file).  Detection costs far
-    more than moving such a table; a table of many files stays as it is.
+    """Deal the rows of a scanned table to tasks of at most ``TASK_ROWS``, and to all cores at least.
+
+    Detection costs far more than moving such a table, and a scan is cut at the row groups of
+    its files: a long file of few row groups keeps few tasks busy, however many partitions its
+    scan has, and their share grows with the table.  A table whose scan has enough partitions stays as it is.
 
-    For tables straight from a source: counting the partitions of a query with
-    shuffles would run them.
+    For tables straight from a source, whose rows are counted without reading a column:
+    counting those of a query with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(cores, -(-df.count() // TASK_ROWS))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
