@@ -1,6 +1,10 @@
 """What one task gets of a table or a file does not grow with it."""
 
+from pyspark.sql import functions as F
+
 from veilframe import session
+from veilframe.sources.files import write_named
+from veilframe.sources.ranges import parts_of
 
 
 def test_a_scanned_table_is_dealt_by_rows(spark, tmp_path, monkeypatch):
@@ -9,3 +13,20 @@ def test_a_scanned_table_is_dealt_by_rows(spark, tmp_path, monkeypatch):
     dealt = session.spread(spark.read.parquet(str(tmp_path / "t")))
     sizes = [len(rows) for rows in dealt.rdd.glom().collect()]
     assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) < 200
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_text("".join(f'{{"n": {n}}}\n' for n in range(4000)))
+    cut = parts_of(spark.createDataFrame([(str(path), "jsonl", path.stat().st_size)], "path string, reader string, length bigint"), 64)
+    assert cut.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert b"".join(row.content for row in cut.orderBy("first_no").collect()) == path.read_bytes()
+
+
+def test_lines_of_one_file_are_worked_out_by_many_tasks(spark, tmp_path):
+    rows = spark.range(1000).repartitionByRange(5, "id").sortWithinPartitions("id")
+    write_named(rows.select(F.concat_ws(" ", "id", F.spark_partition_id()).alias("value")), str(tmp_path / "out" / "a.txt"))
+    lines = [line.split() for line in (tmp_path / "out" / "a.txt").read_text().splitlines()]
+    assert [int(number) for number, _ in lines] == list(range(1000))
+    assert len({task for _, task in lines}) == 5
+    assert [one.name for one in (tmp_path / "out").iterdir() if not one.name.startswith(".")] == ["a.txt"]

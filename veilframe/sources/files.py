@@ -115,6 +115,8 @@ def passed_over(name: str) -> bool:
     return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
 
 
+# Bytes copied at once where parts are put together.
+COPY_BYTES = 8 << 20
 # Folders listed at once.
 LISTERS = 32
 
@@ -330,9 +332,10 @@ def extract(files: DataFrame, root: str = "/") -> DataFrame:
         piece -> trim(piece.one) != '')"""
     # A part may well have no line that is not blank; a file may not.
     pieces = f"""case when reader = 'jsonl' then
-            if(coalesce(size({lines}), 0) > 0 or first_no is not null, {lines}, {whole.format('cast(null as bigint)', 'cast(null as string)')})
+            if(coalesce(size(_lines), 0) > 0 or first_no is not null, _lines, {whole.format('cast(null as bigint)', 'cast(null as string)')})
         else {whole.format('first_no', '_text')} end"""
-    read = text.withColumn("_piece", F.explode(F.expr(pieces))).drop("_text")
+    text = text.withColumn("_lines", F.expr(f"if(reader = 'jsonl', {lines}, null)"))
+    read = text.withColumn("_piece", F.explode(F.expr(pieces))).drop("_text", "_lines")
     read = read.withColumn("_text", F.col("_piece.one")).withColumn(
         "source_id", F.expr("if(_piece.line is null, source_id, concat(source_id, ':', _piece.line))")
     )
@@ -380,7 +383,8 @@ def read_documents(
     other = long.where(~F.coalesce(F.col("reader").isin(*ranges.RECORDS), F.lit(False)))
     readable = F.coalesce(F.col("reader") == "json", F.lit(False)) & (F.col("length") <= most)
     whole = whole_contents(other.where(readable)).unionByName(other.where(~readable).select("path", F.lit(None).cast("binary").alias("content")))
-    hashes = content_hashes(long)
+    # A row per long file, and every part of a file has the same key: a shuffle would bring them all to one task.
+    hashes = F.broadcast(content_hashes(long))
     fields = [F.lit(None).cast(kind).alias(name) for name, kind in PART_FIELDS.items()]
     pieces = cut.unionByName(whole.select("*", *fields[1:])).join(hashes, "path")
     return extract(short.select("*", *fields).unionByName(pieces), root)
@@ -402,13 +406,41 @@ def write_contents(files: DataFrame, encoding: str = "utf-8") -> None:
 
 
 def write_named(lines: DataFrame, path: str) -> None:
-    """Write lines (one text column, in order) as one file of this name."""
+    """Write lines (one text column, in order) as one file of this name.
+
+    Tasks work the lines out and write them part by part; one task puts the parts' bytes together, where tasks know
+    the file system.
+    """
     folder, name = path.rsplit("/", 1)
-    lines.coalesce(1).write.text(f"{folder}/_written", lineSep="\n")
+    parts = f"{folder}/_written"
+    joined = known_to_tasks(parts)
+    (lines if joined else lines.coalesce(1)).write.text(parts, lineSep="\n")
     spark = lines.sparkSession
-    source = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_written")
+    source = spark._jvm.org.apache.hadoop.fs.Path(parts)
     system = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in system.listStatus(source):
-        if status.getPath().getName().startswith("part-"):
-            system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    listed = sorted(status.getPath().getName() for status in system.listStatus(source))
+    listed = [one for one in listed if one.startswith("part-")]
+    if joined:
+        _put_together(spark, [f"{parts}/{one}" for one in listed], path)
+    else:
+        for one in listed:
+            system.rename(spark._jvm.org.apache.hadoop.fs.Path(source, one), spark._jvm.org.apache.hadoop.fs.Path(path))
     system.delete(source, True)
+
+
+def _put_together(spark: SparkSession, parts: list[str], path: str) -> None:
+    """One file of the bytes of others, in this order."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ordered, target in zip(batch["parts"], batch["path"], strict=True):
+                system, inner = file_system(_plain_path(target))
+                with system.open_output_stream(inner) as out:
+                    for one in ordered:
+                        with system.open_input_file(file_system(_plain_path(one))[1]) as part:
+                            while chunk := part.read(COPY_BYTES):
+                                out.write(chunk)
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    whole = spark.createDataFrame([(parts, path)], "parts array<string>, path string").coalesce(1)
+    whole.mapInPandas(put, "written bigint").agg(F.sum("written")).first()

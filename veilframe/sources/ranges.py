@@ -25,6 +25,10 @@ MOST_BYTES = 1 << 30
 #: Bytes looked at in one go for the end of a line.
 LINE_BYTES = 1 << 20
 
+#: Bytes a task reads at least where there are more ranges than cores, and the most tasks.
+TASK_BYTES = 4 << 20
+MOST_TASKS = 1 << 15
+
 RECORDS = {"text": b"", "jsonl": b"", "csv": b",", "tsv": b"\t"}
 _LINE_END = re.compile(rb"\r\n?|\n")
 
@@ -178,6 +182,11 @@ def _folded(most: int):
     return run
 
 
+def _tasks(number: int, size: int, cores: int) -> int:
+    """Tasks for so many ranges: one each, but small ranges go together until a task has TASK_BYTES or all cores have work."""
+    return max(1, min(number, max(4 * cores, size // TASK_BYTES), MOST_TASKS))
+
+
 def parts_of(files: DataFrame, split: int | None = None, most: int | None = None) -> DataFrame:
     """``path``, ``content``, ``first_no``, ``encoding`` of the parts of long files (``path``, ``reader``, ``length``).
 
@@ -187,11 +196,11 @@ def parts_of(files: DataFrame, split: int | None = None, most: int | None = None
     number.  A file of JSON lines without any is such a file, too.
     """
     split, most = split or SPLIT_BYTES, most or MOST_BYTES
-    cores = files.sparkSession.sparkContext.defaultParallelism
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(split).cast("long")))
     ranges = files.select("path", "reader", "length", at.alias("at"))
-    number = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / split)), F.lit(0)).alias("n")).first().n
-    ranges = ranges.repartition(max(1, min(int(number), max(cores, 1 << 15))))
+    sizes = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / split)), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = _tasks(int(sizes.n), int(sizes.bytes), files.sparkSession.sparkContext.defaultParallelism)
+    ranges = ranges.repartition(tasks)
     looked = ranges.mapInPandas(_looked(split, most), _LOOKED)
     # One row per range: a file of ten terabytes has 160,000.
     parts = looked.groupBy("path").applyInPandas(_folded(most), _PARTS)
@@ -208,5 +217,5 @@ def parts_of(files: DataFrame, split: int | None = None, most: int | None = None
                 number = None if row.failed else int(row.first_no)
                 yield pd.DataFrame({"path": [row.path], "content": [content], "first_no": [number], "encoding": [row.encoding]})
 
-    dealt = parts.repartition(max(1, min(int(number), max(cores, 1 << 15))))
+    dealt = parts.repartition(tasks)
     return dealt.mapInPandas(read, "path string, content binary, first_no bigint, encoding string")
