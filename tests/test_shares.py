@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from veilframe import session
+from veilframe.operators import dictionary
 from veilframe.sources.files import write_named
+from veilframe.sources.policies import Policy
 from veilframe.sources.ranges import parts_of
 
 
@@ -30,3 +32,11 @@ def test_lines_of_one_file_are_worked_out_by_many_tasks(spark, tmp_path):
     assert [int(number) for number, _ in lines] == list(range(1000))
     assert len({task for _, task in lines}) == 5
     assert [one.name for one in (tmp_path / "out").iterdir() if not one.name.startswith(".")] == ["a.txt"]
+
+
+def test_a_long_term_list_builds_no_automaton_in_every_worker(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "_with_broadcast_spans", None)
+    terms = spark.range(80_000).selectExpr("id as term_ord", "format_string('Customer#%09d', id) as term", "'PERSON' as entity_type")
+    docs = spark.createDataFrame([("a", "of Customer#000000007, Customer#000079999"), ("b", "none")], "source_id string, text string")
+    found = {row.source_id: [span.value for span in row._terms] for row in dictionary.add_term_spans(docs, terms, Policy()).collect()}
+    assert found == {"a": ["Customer#000000007", "Customer#000079999"], "b": []}

@@ -22,8 +22,9 @@ from veilframe.operators.tokens import union_of
 from veilframe.session import staged
 from veilframe.sources.policies import Policy
 
-# Term lists up to this many characters travel to every task.
-BROADCAST_CHARS = 32 * 1024 * 1024
+# Term lists up to this many characters (16 more for each term) travel to every task: each Python worker of an executor builds
+# its own automaton, which takes some hundred bytes a character where terms share no beginning.
+BROADCAST_CHARS = 2 * 1024 * 1024
 #: Texts are looked at together until they have this many characters.
 GROUP_CHARS = 1 << 20
 #: The table of marks for larger lists has at most this many bits, as a power of two, and at least so many for each term: it
