@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from veilframe import session
-from veilframe.operators import dictionary
+from veilframe.functions.crypto import vault_key
+from veilframe.operators import dictionary, tokens
 from veilframe.sources.files import write_named
 from veilframe.sources.policies import Policy
 from veilframe.sources.ranges import parts_of
@@ -40,3 +41,17 @@ def test_a_long_term_list_builds_no_automaton_in_every_worker(spark, monkeypatch
     docs = spark.createDataFrame([("a", "of Customer#000000007, Customer#000079999"), ("b", "none")], "source_id string, text string")
     found = {row.source_id: [span.value for span in row._terms] for row in dictionary.add_term_spans(docs, terms, Policy()).collect()}
     assert found == {"a": ["Customer#000000007", "Customer#000079999"], "b": []}
+
+
+def test_values_do_not_move_for_a_vault_that_knows_none(spark, monkeypatch):
+    numbered, met = tokens.number_values, []
+    monkeypatch.setattr(tokens, "number_values", lambda values, counters: met.append(values) or numbered(values, counters))
+    rows = spark.createDataFrame([("a", "a", 0, "CUSTOMER", "x"), ("b", "b", 0, "CUSTOMER", "y")], "source_id string, doc_ord string, start int, entity_type string, value string")
+    key = vault_key(spark, b"some secret")
+    first = tokens.assign_tokens(rows, tokens.empty_vault(spark), key, "run-1")
+    state = tokens.with_assignment(tokens.empty_vault(spark), first)
+    more = rows.unionByName(rows.withColumn("value", F.lit("z")).limit(1))
+    again = {row.value: row.token for row in tokens.assign_tokens(more, state, key, "run-2").tokens.collect()}
+    assert again == {"x": "[VEIL_CUSTOMER_0001]", "y": "[VEIL_CUSTOMER_0002]", "z": "[VEIL_CUSTOMER_0003]"}
+    plans = ["LeftAnti" in one._jdf.queryExecution().toString() for one in met]
+    assert plans == [False, True]

@@ -128,7 +128,9 @@ def assign_tokens(
     values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values")
     known = staged(union_of([values.join(part.select("identity", "token"), "identity") for part in vault.maps()]), "known")
     known = known.withColumn("token_no", F.lit(None).cast("long"))
-    numbered = number_values(values.join(known, "identity", "left_anti"), vault.counters)
+    # A vault that knows none of the values takes nothing off them, so they need not move for it.
+    fresh = values if known.isEmpty() else values.join(known, "identity", "left_anti")
+    numbered = number_values(fresh, vault.counters)
     numbered = numbered.withColumn("token", F.expr(token_sql("entity_type", "token_no", prefix)))
     shared = ["entity_type", "identity", "value_enc", "token", "token_no", "uses"]
     every = staged(known.select(*shared).unionByName(numbered.select(*shared)), "given")
