@@ -24,7 +24,7 @@ AWS_KEY = r"\bAKIA[0-9A-Z]{16}\b"
 GITHUB_TOKEN = r"\b(?:ghp|gho|ghu|ghs)_[A-Za-z0-9_]{24,}\b"
 COOKIE = r"\b(?:set-cookie|cookie)\s*[:=]\s*[^;\n]{12,}"
 PASSWORD = r"\b(?:password|passwd|pwd|secret)\s*[:=]\s*['\"]?[^'\"\s]{8,}"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+EMAIL = r"\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?<!\d)1[3-9]\d{9}(?!\d)"
 ID_CARD = (
     r"(?<![0-9A-Za-z])\d{6}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])"
@@ -131,7 +131,7 @@ PERSONAL_RULES = (
     Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("CUST-",), first="[Cc]"),
     Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("SAMPLE-",), first="[Ssſ]"),
     Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}", rare=True, first="[A-Za-z]"),
-    Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD")),
+    Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD"), first=r"[人R¥$\d]"),
     Rule("DATE", "cn-date", DATE, 0.75, probe=r"[12][09]\d{2}[年/-]", first="[12]"),
     Rule("ADDRESS", "cn-address", ADDRESS_RUN, 0.7, keep="head", keep_pattern=ADDRESS_KEEP, hints=ADDRESS_SUFFIXES, probe=CJK),
 )

@@ -76,23 +76,27 @@ def after_markers(value: str, markers: tuple[str, ...]) -> str:
     return f"case {tests} else {value} end"
 
 
-def _kept(rule: Rule, regex: str) -> str:
-    """The parts of the matches ``m.hits`` that become spans."""
+def _kept(rule: Rule, regex: str, hits: str) -> str:
+    """The parts of the matches ``hits`` that become spans."""
+    return hits if rule.keep == "match" else f"transform({hits}, h -> {_kept_part(rule, regex, 'h')})"
+
+
+def _kept_part(rule: Rule, regex: str, hit: str) -> str:
     if rule.keep == "group":  # these patterns look at nothing outside their match
-        return f"transform(m.hits, h -> regexp_extract(h, {regex}, 1))"
+        return f"regexp_extract({hit}, {regex}, 1)"
     if rule.keep == "head":
-        return f"transform(m.hits, h -> regexp_extract(h, {sql_regex(rule.keep_pattern)}, 0))"
+        return f"regexp_extract({hit}, {sql_regex(rule.keep_pattern)}, 0)"
     if rule.keep == "tail":
-        return f"transform(m.hits, h -> {after_markers('h', rule.markers)})"
-    return "m.hits"
+        return after_markers(hit, rule.markers)
+    return hit
 
 
 def has_nul(text: str) -> str:
     return f"contains({text}, '\\0')"
 
 
-def _split_at_matches(text: str, rule: Rule, nul: str) -> str:
-    """The matches and the gaps before and after them, in at most one entry.
+def cut_sql(rule: Rule, text: str, check: str, nul: str) -> str:
+    """The text cut at the matches of a rule: gap, match, gap and so on. Null where the rule cannot match or keeps nothing.
 
     One search marks the matches with a character that the text does not hold
     and a split at that character gives both.  The rare text with the character
@@ -101,14 +105,24 @@ def _split_at_matches(text: str, rule: Rule, nul: str) -> str:
     """
     regex = sql_regex(rule.pattern, rule.ignore_case, rule.first)
     plain = spark_regex(rule.pattern, rule.ignore_case).replace("'", r"\x27")
-    marked = f"""transform(
-        filter(array(split(regexp_replace({text}, {regex}, '\\0$0\\0'), '\\0', -1)), a -> size(a) > 1),
-        a -> named_struct('gaps', filter(a, (x, i) -> i % 2 = 0), 'hits', filter(a, (x, i) -> i % 2 = 1)))"""
+    marked = f"split(regexp_replace({text}, {regex}, '\\0$0\\0'), '\\0', -1)"
     gaps, hits = (rf"regexp_extract_all({text}, r'(?s)\G(.*?)({plain})', {group})" for group in (1, 2))
-    return f"if({nul}, array(named_struct('gaps', {gaps}, 'hits', {hits})), {marked})"
+    searched = f"concat(flatten(zip_with({gaps}, {hits}, (gap, hit) -> array(gap, hit))), array(''))"
+    cut = f"if({nul}, {searched}, {marked})"
+    if rule.keep != "match":
+        kept = _kept(rule, sql_regex(rule.pattern, rule.ignore_case), "filter(a, (x, i) -> i % 2 = 1)")
+        cut = f"transform(array({cut}), a -> if(array_join({kept}, '') = '', null, a))[0]"
+    if rule.rare:
+        check = f"({check} and {matches(text, rule)})"
+    return f"if({check}, {cut}, null)"
+
 
+def _named(text: str, rule: Rule) -> str:
+    """Whether the text holds a name of a built-in list."""
+    return "(" + " or ".join(f"contains({text}, {sql_string(term)})" for term in rule.terms) + ")"
 
-def rule_pieces(rule_id: int, rule: Rule, text: str, check: str, nul: str) -> str:
+
+def rule_pieces(rule_id: int, rule: Rule, text: str, check: str, cut: str) -> str:
     """An array with the matches of one rule and the texts between them, empty
     without a match.  A built-in name list gives one entry per name found."""
     if rule.terms:
@@ -116,14 +130,12 @@ def rule_pieces(rule_id: int, rule: Rule, text: str, check: str, nul: str) -> st
         gaps = rf"split({text}, concat('\\Q', n, '\\E'), -1)"
         parts = f"transform(filter({names}, n -> contains({text}, n)), n -> named_struct('n', n, 'gaps', {gaps}))"
         found = f"transform({parts}, p -> named_struct('gaps', p.gaps, 'hits', array_repeat(p.n, size(p.gaps) - 1)))"
-        kept = "m.hits"
+        found, kept = f"if({check}, {found}, array())", "m.hits"
     else:
-        found = _split_at_matches(text, rule, nul)
-        kept = _kept(rule, sql_regex(rule.pattern, rule.ignore_case))
-        if rule.rare:
-            check = f"({check} and {matches(text, rule)})"
-    entries = f"transform({found}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', m.hits, 'kept', {kept}))"
-    return f"if({check}, {entries}, array())"
+        found = f"""transform(filter(array({cut}), a -> a is not null and size(a) > 1),
+            a -> named_struct('gaps', filter(a, (x, i) -> i % 2 = 0), 'hits', filter(a, (x, i) -> i % 2 = 1)))"""
+        kept = _kept(rule, sql_regex(rule.pattern, rule.ignore_case), "m.hits")
+    return f"transform({found}, m -> named_struct('rule', {rule_id}, 'gaps', m.gaps, 'hits', m.hits, 'kept', {kept}))"
 
 
 def blocks_of(array: str) -> str:
@@ -171,32 +183,67 @@ def offsets_of(piece: str, head: str) -> str:
     return f"if(size({piece}.hits) = 1 and {piece}.kept[0] != '', {one}, {many})"
 
 
+def _about(n: int, rule: Rule, actions: dict[str, str]) -> dict[str, str]:
+    """The fields of a span that its rule gives."""
+    return {
+        "entity_type": sql_string(rule.entity),
+        "action": sql_string(actions[rule.entity]),
+        "confidence": f"{rule.confidence}D",
+        "priority": str(ENTITY_PRIORITY.get(rule.entity, DEFAULT_PRIORITY)),
+        "place": str(PLACES.get(rule.detector, 2 * len(BUILTIN_RULES) + n)),
+        "detector": sql_string(rule.detector),
+        "risk": sql_string(rule.risk),
+    }
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
 def found_sql(
-    text: str, rules: tuple[Rule, ...], checks: dict[Rule, str], actions: dict[str, str], nul: str | None = None
+    text: str,
+    rules: tuple[Rule, ...],
+    checks: dict[Rule, str],
+    actions: dict[str, str],
+    nul: str | None = None,
+    cuts: dict[Rule, str] | None = None,
 ) -> str:
-    """All spans of the rules, in discovery order, overlapping ones too."""
+    """All spans of the rules, in discovery order, overlapping ones too.
+
+    ``cuts`` names columns with the texts as :func:`cut_sql` cuts them.  Where no rule matches a text more than once,
+    its spans then come from plain functions, which Spark compiles; higher-order ones are interpreted.
+    """
     nul = nul or has_nul(text)
     if not rules:
         return NO_SPANS
-    pieces = ",\n".join(rule_pieces(n, rule, text, checks[rule], nul) for n, rule in enumerate(rules))
+    cut_at = cuts or {rule: cut_sql(rule, text, checks[rule], nul) for rule in rules if not rule.terms}
+    pieces = ",\n".join(rule_pieces(n, rule, text, checks[rule], cut_at.get(rule, "")) for n, rule in enumerate(rules))
     heads = [str(n) for n, rule in enumerate(rules) if rule.keep == "head"]
     head = f"r.rule in ({', '.join(heads)})" if heads else "false"
-    about = ",\n".join(
-        f"named_struct('entity_type', {sql_string(rule.entity)}, 'action', {sql_string(actions[rule.entity])}, "
-        f"'confidence', {rule.confidence}D, 'priority', {ENTITY_PRIORITY.get(rule.entity, DEFAULT_PRIORITY)}, "
-        f"'place', {PLACES.get(rule.detector, 2 * len(BUILTIN_RULES) + n)}, "
-        f"'detector', {sql_string(rule.detector)}, 'risk', {sql_string(rule.risk)})"
-        for n, rule in enumerate(rules)
-    )
+    abouts = [_about(n, rule, actions) for n, rule in enumerate(rules)]
     offsets = offsets_of("r", head)
-    return f"""transform(
+    fields = {"start": "x.s.start", "end": "x.s.end"} | {name: f"x.about.{name}" for name in abouts[0]} | {"value": "x.s.value"}
+    many = f"""transform(
         transform(
             flatten(transform(concat({pieces}), r -> {offsets})),
-            s -> named_struct('s', s, 'about', array({about})[s.rule])),
-        x -> named_struct(
-            'start', x.s.start, 'end', x.s.end, 'entity_type', x.about.entity_type, 'action', x.about.action,
-            'confidence', x.about.confidence, 'priority', x.about.priority, 'place', x.about.place,
-            'detector', x.about.detector, 'risk', x.about.risk, 'value', x.s.value))"""
+            s -> named_struct('s', s, 'about', array({", ".join(map(_struct, abouts))})[s.rule])),
+        x -> {_struct(fields)})"""
+    if cuts is None:
+        return many
+    tests = [
+        f"not ({checks[rule]} and {_named(text, rule)})" if rule.terms else f"({cuts[rule]} is null or size({cuts[rule]}) <= 3)"
+        for rule in rules
+    ]
+    singles = [_single(cuts[rule], rule, about) for rule, about in zip(rules, abouts) if not rule.terms]
+    return f"if({' and '.join(tests)}, concat({', '.join([NO_SPANS, *singles])}), {many})"
+
+
+def _single(cut: str, rule: Rule, about: dict[str, str]) -> str:
+    """The span of a rule that matches once, in an array; an empty one if it does not match."""
+    kept = _kept_part(rule, sql_regex(rule.pattern, rule.ignore_case), f"{cut}[1]")
+    start = f"length({cut}[0])" if rule.keep in ("match", "head") else f"length({cut}[0]) + length({cut}[1]) - length({kept})"
+    span = _struct({"start": start, "end": f"{start} + length({kept})"} | about | {"value": kept})
+    return f"if({cut} is not null and size({cut}) = 3 and {kept} != '', array({span}), {NO_SPANS})"
 
 
 def priority_sql(entity: str) -> str:

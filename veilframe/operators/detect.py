@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import column_name, sql_regex
 from veilframe.functions.rules import BUILTIN_RULES, Rule
-from veilframe.functions.spans import NO_SPANS, evaluated_once, found_sql, has_hint, has_nul, matches, possible, text_of
+from veilframe.functions.spans import NO_SPANS, cut_sql, evaluated_once, found_sql, has_hint, has_nul, matches, possible, text_of
 from veilframe.operators.resolve import resolve_sql
 from veilframe.sources.policies import Policy
 
@@ -40,7 +40,9 @@ def _with_checks(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[D
 def _found(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...], text: str, terms: str | None):
     checked, checks = _with_checks(docs, rules, text)
     actions = {rule.entity: policy.action_for(rule.entity) for rule in rules}
-    found = found_sql(text_of(text), rules, checks, actions, "_nul")
+    cuts = {rule: f"_cut_{n}" for n, rule in enumerate(rules) if not rule.terms}
+    checked = checked.selectExpr("*", *(f"{cut_sql(rule, text_of(text), checks[rule], '_nul')} as {name}" for rule, name in cuts.items()))
+    found = found_sql(text_of(text), rules, checks, actions, "_nul", cuts)
     if terms:
         found = f"concat({found}, coalesce({column_name(terms)}, array()))"
     return checked, found
