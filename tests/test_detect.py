@@ -1,11 +1,12 @@
 import random
+import re
 
 import plain_model
 import pytest
 from made_texts import FILLER, made, one
 from pyspark.sql import functions as F
 
-from veilframe.functions import spans
+from veilframe.functions import rules, spans
 from veilframe.functions.rules import BUILTIN_RULES, rules_named
 from veilframe.functions.spans import NO_SPANS, SPANS_TYPE, evaluated_once
 from veilframe.operators import detect as detection
@@ -185,8 +186,8 @@ def test_null_text_has_no_spans(spark):
 
 def test_single_matches_take_compiled_functions_only(spark):
     """Where no rule matches twice, spans come from plain functions; they equal those of the interpreted ones."""
-    rules = [rule for rule in BUILTIN_RULES if not rule.terms]
-    assert not any("->" in spans._single("c", rule, spans._about(0, rule, {rule.entity: "mask"})) for rule in rules)
+    plain = [rule for rule in BUILTIN_RULES if not rule.terms]
+    assert not any("->" in spans._single("c", rule, spans._about(0, rule, {rule.entity: "mask"})) for rule in plain)
     texts = ["", "编号CUST-2020-123456，合同HT-2020-0001，邮箱 a.b@c.example.com。", "GZO-ab-12-345和aa-bb-cc-dd", "a@b.example.com c@d.example.com",
              "张三在广东省南山区", "a\0b 13812345678", "供应商：海山科技有限公司，", "𠀀13812345678"]
     docs, checks = detection._with_checks(frame(spark, texts), BUILTIN_RULES, "text")
@@ -195,3 +196,10 @@ def test_single_matches_take_compiled_functions_only(spark):
     compiled = found_spans(frame(spark, texts), Policy())
     assert [row.found for row in compiled.orderBy("source_id").collect()] == [row.found for row in interpreted.orderBy("source_id").collect()]
     assert any(row.found for row in interpreted.collect())
+
+
+def test_sign_of_a_project_code():
+    """Codes of customers and contracts have none, so their texts are not cut for it; whatever is kept has one."""
+    sign = re.compile(rules.PROJECT_SIGN)
+    assert not any(map(sign.search, ["编号CUST-2020-000012345。", "HT-2020-000012345", "2020-01-02", "a-12", "-a-x", "a-b-12345", "a-" * 20000 + "b"]))
+    assert all(map(sign.search, ["GZO-ab-12-345", "aa-bb-12", "1-2-a-b-12-x", "A1--b-c-34", "x-1-2-33", "-9-q-w-1234-"]))

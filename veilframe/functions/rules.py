@@ -5,7 +5,7 @@ and its confidence.  Patterns are written in plain notation (``\\b``, ``\\d``,
 ``\\s`` with Unicode meaning); :func:`veilframe.functions.patterns.spark_regex`
 gives the form that Spark's JVM regex functions evaluate with that meaning.
 
-``hints`` and ``probe`` are necessary conditions that are cheaper than the
+``hints``, ``probe`` and ``sign`` are necessary conditions that are cheaper than the
 pattern: a text that holds none of the hints, or does not match the probe,
 cannot match the rule.  ``first`` is a class of all characters a match can
 start with.  They only save time and never change a result.
@@ -78,6 +78,11 @@ PROJECT_CHAIN = (
     r"(?:-[A-Za-z0-9]++(?!\d))++(?:-\d{2,4}(?![A-Za-z0-9]))?+"
 )
 PROJECT_KEEP = r"^[A-Za-z0-9]++-[A-Za-z0-9]++[A-Za-z0-9-]*-\d{2,4}(?![A-Za-z0-9])"
+# Whatever is kept lies in a run of letters, digits and hyphens: behind its first letter's segment and one more comes a short number.
+PROJECT_SIGN = (
+    r"(?<![A-Za-z0-9-])[0-9-]*+[A-Za-z][A-Za-z0-9]*+-++[A-Za-z0-9]++"
+    r"[A-Za-z0-9-]*?-\d{2,4}(?![A-Za-z0-9])"
+)
 # An address is the part of a run of Chinese characters up to its last place
 # suffix: take the run once, then cut it.
 ADDRESS_RUN = r"[一-龥]{2,}+"
@@ -107,6 +112,7 @@ class Rule:
     probe: str = ""
     first: str = ""
     terms: tuple[str, ...] = ()
+    sign: str = ""  # found in every text that the rule keeps something of; asked for behind hints and probe
     rare: bool = False  # seldom found where its hints and probe are: ask for a match before working matches out
 
 
@@ -130,7 +136,7 @@ PERSONAL_RULES = (
     Rule("CONTRACT_ID", "contract-id", CONTRACT_ID, 0.86, ignore_case=True, probe=r"\d(?<=[A-Za-zſ-]\d)\d{3}", first="[HhXxNnCcPpSsſ]"),
     Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("CUST-",), first="[Cc]"),
     Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("SAMPLE-",), first="[Ssſ]"),
-    Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}", rare=True, first="[A-Za-z]"),
+    Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}", sign=PROJECT_SIGN, first="[A-Za-z]"),
     Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD"), first=r"[人R¥$\d]"),
     Rule("DATE", "cn-date", DATE, 0.75, probe=r"[12][09]\d{2}[年/-]", first="[12]"),
     Rule("ADDRESS", "cn-address", ADDRESS_RUN, 0.7, keep="head", keep_pattern=ADDRESS_KEEP, hints=ADDRESS_SUFFIXES, probe=CJK),

@@ -114,6 +114,8 @@ def cut_sql(rule: Rule, text: str, check: str, nul: str) -> str:
         cut = f"transform(array({cut}), a -> if(array_join({kept}, '') = '', null, a))[0]"
     if rule.rare:
         check = f"({check} and {matches(text, rule)})"
+    if rule.sign:
+        check = f"({check} and {text} rlike {sql_regex(rule.sign)})"
     return f"if({check}, {cut}, null)"
 
 
