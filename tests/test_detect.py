@@ -203,3 +203,17 @@ def test_sign_of_a_project_code():
     sign = re.compile(rules.PROJECT_SIGN)
     assert not any(map(sign.search, ["编号CUST-2020-000012345。", "HT-2020-000012345", "2020-01-02", "a-12", "-a-x", "a-b-12345", "a-" * 20000 + "b"]))
     assert all(map(sign.search, ["GZO-ab-12-345", "aa-bb-12", "1-2-a-b-12-x", "A1--b-c-34", "x-1-2-33", "-9-q-w-1234-"]))
+
+
+def test_texts_without_a_needed_character_are_not_searched(spark):
+    from veilframe.functions.rules import BUILTIN_RULES
+    from veilframe.functions.spans import possible
+
+    texts = ["Cookie and password of a customer", "password: swordfish-1", "Cookie=abcdefghijkl", "CUST-٢٠٢٠-١٢٣", "¥ ٥", "日期 2020年1月", "张三"]
+    needing = {rule.detector: rule for rule in BUILTIN_RULES if rule.needs}
+    assert {"cookie", "password", "customer-id", "money", "cn-date"} <= set(needing)
+    docs = spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "n int, text string")
+    tests = [f"{possible('text', rule)} as `{name}`" for name, rule in needing.items()]
+    rows = {row.n: {name for name in needing if row[name]} for row in docs.selectExpr("n", *tests).collect()}
+    assert rows[0] == set() and rows[6] == set()
+    assert "password" in rows[1] and "cookie" in rows[2] and "customer-id" in rows[3] and "money" in rows[4] and "cn-date" in rows[5]

@@ -18,6 +18,19 @@ def test_a_scanned_table_is_dealt_by_rows(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) < 200
 
 
+def test_a_table_in_one_row_group_is_dealt_however_many_parts_its_scan_has(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "sha2(cast(id as string), 256) as text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        scanned = spark.read.parquet(str(tmp_path / "t"))
+        assert scanned.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+        sizes = [len(rows) for rows in session.spread(scanned).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(sizes) == 5000 and max(sizes) < 1250
+
+
 def test_small_ranges_share_tasks(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text("".join(f'{{"n": {n}}}\n' for n in range(4000)))

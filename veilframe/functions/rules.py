@@ -7,8 +7,10 @@ gives the form that Spark's JVM regex functions evaluate with that meaning.
 
 ``hints``, ``probe`` and ``sign`` are necessary conditions that are cheaper than the
 pattern: a text that holds none of the hints, or does not match the probe,
-cannot match the rule.  ``first`` is a class of all characters a match can
-start with.  They only save time and never change a result.
+cannot match the rule.  ``needs`` is a class of which every match holds a
+character; many rules share one, and most prose holds none of it.  ``first`` is
+a class of all characters a match can start with.  They only save time and
+never change a result.
 """
 
 from __future__ import annotations
@@ -110,6 +112,7 @@ class Rule:
     hints: tuple[str, ...] = ()
     folded_hints: tuple[str, ...] = ()
     probe: str = ""
+    needs: str = ""
     first: str = ""
     terms: tuple[str, ...] = ()
     sign: str = ""  # found in every text that the rule keeps something of; asked for behind hints and probe
@@ -123,22 +126,22 @@ SECRET_RULES = (
     Rule("API_KEY", "openai-key", OPENAI_KEY, 0.98, "critical", hints=("sk-",)),
     Rule("API_KEY", "aws-key", AWS_KEY, 0.98, "critical", hints=("AKIA",)),
     Rule("API_KEY", "github-token", GITHUB_TOKEN, 0.98, "critical", hints=("ghp_", "gho_", "ghu_", "ghs_")),
-    Rule("COOKIE", "cookie", COOKIE, 0.9, "critical", True, folded_hints=("COO",), first="[CcSsſ]"),
-    Rule("PASSWORD", "password", PASSWORD, 0.9, "critical", True, folded_hints=("PASSW", "PWD", "SECRET"), first="[PpSsſ]"),
+    Rule("COOKIE", "cookie", COOKIE, 0.9, "critical", True, folded_hints=("COO",), needs="[:=]", first="[CcSsſ]"),
+    Rule("PASSWORD", "password", PASSWORD, 0.9, "critical", True, folded_hints=("PASSW", "PWD", "SECRET"), needs="[:=]", first="[PpSsſ]"),
 )
 
 PERSONAL_RULES = (
     Rule("EMAIL", "email", EMAIL, 0.95, hints=("@",), first="[A-Za-z0-9._%+-]"),
-    Rule("PHONE", "cn-phone", PHONE, 0.95, probe=LONG_NUMBER, first="1"),
-    Rule("ID_CARD", "cn-id-card", ID_CARD, 0.95, probe=LONG_NUMBER, rare=True, first=r"\d"),
-    Rule("BANK_CARD", "bank-card", BANK_CARD, 0.72, probe=LONG_NUMBER, rare=True, first=r"\d"),
+    Rule("PHONE", "cn-phone", PHONE, 0.95, probe=LONG_NUMBER, needs=r"\d", first="1"),
+    Rule("ID_CARD", "cn-id-card", ID_CARD, 0.95, probe=LONG_NUMBER, rare=True, needs=r"\d", first=r"\d"),
+    Rule("BANK_CARD", "bank-card", BANK_CARD, 0.72, probe=LONG_NUMBER, rare=True, needs=r"\d", first=r"\d"),
     Rule("USCC", "cn-uscc", USCC, 0.78, probe=r"[0-9A-Z]{18}", rare=True, first="[0-9A-Z]"),
-    Rule("CONTRACT_ID", "contract-id", CONTRACT_ID, 0.86, ignore_case=True, probe=r"\d(?<=[A-Za-zſ-]\d)\d{3}", first="[HhXxNnCcPpSsſ]"),
-    Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("CUST-",), first="[Cc]"),
-    Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("SAMPLE-",), first="[Ssſ]"),
-    Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}", sign=PROJECT_SIGN, first="[A-Za-z]"),
-    Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD"), first=r"[人R¥$\d]"),
-    Rule("DATE", "cn-date", DATE, 0.75, probe=r"[12][09]\d{2}[年/-]", first="[12]"),
+    Rule("CONTRACT_ID", "contract-id", CONTRACT_ID, 0.86, ignore_case=True, probe=r"\d(?<=[A-Za-zſ-]\d)\d{3}", needs=r"\d", first="[HhXxNnCcPpSsſ]"),
+    Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("CUST-",), needs=r"\d", first="[Cc]"),
+    Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("SAMPLE-",), needs=r"\d", first="[Ssſ]"),
+    Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}", sign=PROJECT_SIGN, needs=r"\d", first="[A-Za-z]"),
+    Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD"), needs=r"\d", first=r"[人R¥$\d]"),
+    Rule("DATE", "cn-date", DATE, 0.75, probe=r"[12][09]\d{2}[年/-]", needs=r"\d", first="[12]"),
     Rule("ADDRESS", "cn-address", ADDRESS_RUN, 0.7, keep="head", keep_pattern=ADDRESS_KEEP, hints=ADDRESS_SUFFIXES, probe=CJK),
 )
 

@@ -11,7 +11,7 @@ and one parse of it is far cheaper than thousands of calls into the JVM.
 from __future__ import annotations
 
 from veilframe.functions.patterns import column_name, spark_regex, sql_regex, sql_string
-from veilframe.functions.rules import BUILTIN_RULES, DEFAULT_PRIORITY, ENTITY_PRIORITY, NAME_RULES, Rule
+from veilframe.functions.rules import BUILTIN_RULES, CJK, DEFAULT_PRIORITY, ENTITY_PRIORITY, NAME_RULES, Rule
 
 SPAN_FIELDS = (
     "start int, end int, entity_type string, action string, confidence double, "
@@ -56,11 +56,17 @@ def has_hint(text: str, rule: Rule) -> str:
     return "(" + " or ".join(hints) + ")" if hints else "true"
 
 
-def possible(text: str, rule: Rule) -> str:
-    """False only when the rule cannot match the text."""
-    if rule.probe:
-        return f"({text} rlike {sql_regex(rule.probe)} and {has_hint(text, rule)})"
-    return has_hint(text, rule)
+def probed(text: str, probe: str) -> str:
+    """Whether a probe or class occurs; that of Chinese characters only where characters take several bytes."""
+    found = f"{text} rlike {sql_regex(probe)}"
+    return f"(octet_length({text}) > char_length({text}) and {found})" if probe == CJK else found
+
+
+def possible(text: str, rule: Rule, needed: str = "") -> str:
+    """False only when the rule cannot match the text.  ``needed`` names a column that holds the answer for ``needs``."""
+    tests = [needed or probed(text, rule.needs)] if rule.needs else []
+    tests += [probed(text, rule.probe)] if rule.probe else []
+    return "(" + " and ".join([*tests, has_hint(text, rule)]) + ")"
 
 
 def matches(text: str, rule: Rule) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import column_name, sql_regex
 from veilframe.functions.rules import BUILTIN_RULES, Rule
-from veilframe.functions.spans import NO_SPANS, cut_sql, evaluated_once, found_sql, has_hint, has_nul, matches, possible, text_of
+from veilframe.functions.spans import NO_SPANS, cut_sql, evaluated_once, found_sql, has_hint, has_nul, matches, possible, probed, text_of
 from veilframe.operators.resolve import resolve_sql
 from veilframe.sources.policies import Policy
 
@@ -19,21 +19,26 @@ SPANS = "spans"
 def _with_checks(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[DataFrame, dict[Rule, str]]:
     """Add one boolean column per cheap check that several rules share.
 
-    The text is scanned for a probe once, however many rules wait for it.
+    The text is scanned for a probe once, however many rules wait for it, and
+    for none of those whose class of characters (``needs``) it does not hold.
     """
-    uses = Counter(rule.probe for rule in rules if rule.probe)
-    shared = {probe: f"_probe_{n}" for n, probe in enumerate(uses) if uses[probe] > 1}
+    needs = {rule.needs: f"_need_{n}" for n, rule in enumerate(rules) if rule.needs}
+    docs = docs.selectExpr("*", *(f"{probed(text_of(text), chars)} as {name}" for chars, name in needs.items()))
+    uses = Counter((rule.needs, rule.probe) for rule in rules if rule.probe)
+    shared = {both: f"_probe_{n}" for n, both in enumerate(uses) if uses[both] > 1}
     added = [f"{has_nul(text_of(text))} as _nul"]
-    added += [f"{text_of(text)} rlike {sql_regex(probe)} as {name}" for probe, name in shared.items()]
+    for (chars, probe), name in shared.items():
+        test = probed(text_of(text), probe)
+        added.append(f"{needs[chars]} and {test} as {name}" if chars else f"{test} as {name}")
     checks: dict[Rule, str] = {}
     for n, rule in enumerate(rules):
-        if rule.probe in shared:
-            checks[rule] = f"({shared[rule.probe]} and {has_hint(text_of(text), rule)})"
+        if (rule.needs, rule.probe) in shared:
+            checks[rule] = f"({shared[rule.needs, rule.probe]} and {has_hint(text_of(text), rule)})"
         elif rule.folded_hints:  # all of these share one folding of the text
-            added.append(f"{possible(text_of(text), rule)} as _hint_{n}")
+            added.append(f"{possible(text_of(text), rule, needs.get(rule.needs, ''))} as _hint_{n}")
             checks[rule] = f"_hint_{n}"
         else:
-            checks[rule] = possible(text_of(text), rule)
+            checks[rule] = possible(text_of(text), rule, needs.get(rule.needs, ""))
     return docs.selectExpr("*", *added), checks
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of a scanned table that one task takes on.
@@ -89,11 +90,15 @@ def spread(df: DataFrame) -> DataFrame:
 
     Detection costs far more than moving such a table, and a scan is cut at the row groups of
     its files: a long file of few row groups keeps few tasks busy, however many partitions its
-    scan has, and their share grows with the table.  A table whose scan has enough partitions stays as it is.
+    scan has, and their share grows with the table.  A table of which no partition holds more than
+    twice its share stays as it is.
 
     For tables straight from a source, whose rows are counted without reading a column:
     counting those of a query with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = max(cores, -(-df.count() // TASK_ROWS))
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    parts = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("held"))
+    rows, most = parts.agg(F.coalesce(F.sum("held"), F.lit(0)), F.coalesce(F.max("held"), F.lit(0))).first()
+    wanted = max(cores, -(-rows // TASK_ROWS))
+    uneven = most * wanted > 2 * rows
+    return df.repartition(wanted) if uneven or df.rdd.getNumPartitions() < wanted else df
