@@ -138,3 +138,14 @@ def test_odd_rows(spark):
     mixed = quality.quality(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(1, 6)] + [(3, 0, 0), (None, 1, 0)], LABELS))
     assert all(0 <= r.score <= 1 for r in mixed.collect())
     assert quality.quality(docs.limit(0), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_words_of_letters_are_cut_without_a_search(monkeypatch):
+    from veilframe.llm import quality
+
+    plain = ["word", "Größe", "DIE", "end.", "why?", "ſo:", "ª", "日本"]
+    others = [".", "a.b", "x1", "x1.", "don't", "wait...", "a_b", "a_", "_.", "½", "٣", "e\u0301,", "Ⅷ."]
+    for word in plain + others:
+        assert list(quality.tokens_of(word)) == quality._TOKENS.findall(word)
+    monkeypatch.setattr(quality, "_TOKENS", None)
+    assert [len(quality.Words([])[word]) for word in plain] == [1, 1, 1, 2, 2, 2, 1, 1]

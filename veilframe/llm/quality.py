@@ -41,6 +41,18 @@ LONGEST = 64
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
+_MARKS = frozenset(".,;:!?")
+
+
+def tokens_of(word: str) -> tuple[str, ...] | list[str]:
+    """What ``_TOKENS`` finds in a word; one of letters alone, with a mark behind it or not, needs no search."""
+    if word.isalpha():
+        return (word,)
+    if word[-1] in _MARKS and word[:-1].isalpha():
+        return word[:-1], word[-1]
+    return _TOKENS.findall(word)
+
+
 def shape(token: str) -> str:
     """Case counts only where all letters are capitals."""
     return token if len(token) > 1 and token.isupper() else token.lower()
@@ -61,7 +73,7 @@ class Words(dict):
         return len(self.own) + zlib.crc32(word.encode("utf-8", "replace")) % SHARED if number is None else number
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(map(self.number, _TOKENS.findall(word)))
+        found = tuple(map(self.number, tokens_of(word)))
         if len(self) >= CACHED:
             self.clear()
         if len(word) <= LONGEST:
@@ -103,7 +115,7 @@ def frequent_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 others -= sum(counts.values())
     words: Counter = Counter()
     for word, n in counts.items():
-        for token in _TOKENS.findall(word):
+        for token in tokens_of(word):
             words[shape(token)] += n
     total = others + sum(words.values())
     rows = [(word, n) for word, n in words.items() if n * 32 * OWN > total]
