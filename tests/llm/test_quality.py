@@ -149,3 +149,19 @@ def test_words_of_letters_are_cut_without_a_search(monkeypatch):
         assert list(quality.tokens_of(word)) == quality._TOKENS.findall(word)
     monkeypatch.setattr(quality, "_TOKENS", None)
     assert [len(quality.Words([])[word]) for word in plain] == [1, 1, 1, 2, 2, 2, 1, 1]
+
+
+def test_words_are_looked_up_once(spark, monkeypatch):
+    words = quality.Words(["word1"])
+    vectors = np.random.default_rng(1).normal(size=(quality.rows_of(words), quality.DIMS)).astype(np.float32)
+    texts = [" ".join(f"word{i % 13}, end{i}." for i in range(n)) for n in (1, 2, 3, 100)] + ["", " ", None]
+    whole = [quality.pooled(text, vectors, words) for text in texts]
+    known = [quality.packed(text, words) for text in texts]
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id long, text string")
+    assert [bytes(r.text) for r in quality.numbered(rows, words).orderBy("doc_id").collect()] == known
+    monkeypatch.setattr(quality.Words, "__missing__", None)
+    empty = quality.Words(["word1"])
+    for chunk in (quality.CHUNK, 7):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        assert all(np.allclose(quality.pooled(one, vectors, empty), old) for one, old in zip(known, whole, strict=True))
+    assert quality.Words([str(n) for n in range(1 << 16)]).kind == "<u4" and empty.kind == "<u2"

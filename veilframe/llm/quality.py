@@ -67,6 +67,11 @@ class Words(dict):
         self.key = uuid.uuid4().hex
         self.own = {word: number for number, word in enumerate(own)}
 
+    @property
+    def kind(self) -> str:
+        """The least whole numbers that hold all vector numbers."""
+        return "<u2" if rows_of(self) <= 1 << 16 else "<u4"
+
     def number(self, token: str) -> int:
         word = shape(token)
         number = self.own.get(word)
@@ -132,10 +137,16 @@ def own_words(texts: DataFrame) -> list[str]:
     return sorted(row.word for row in seen.where("word is not null").where(F.col("seen") * OWN > total).select("word").collect())
 
 
-def numbers(text: str | None, words: Words) -> Iterator[np.ndarray]:
-    """The vector numbers of all tokens of a whole text, in chunks that share ``WINDOW`` tokens."""
+def numbers(text: str | bytes | None, words: Words) -> Iterator[np.ndarray]:
+    """The vector numbers of all tokens of a whole text, in chunks that share ``WINDOW`` tokens.  ``text`` may be what
+    :func:`packed` made of it."""
     if not text:
         return
+    if isinstance(text, bytes):
+        known = np.frombuffer(text, words.kind)
+        for start in range(0, len(known), CHUNK):
+            yield known[max(0, start - WINDOW) : start + CHUNK].astype(np.int64)
+        return
     parts, shared = text.split(), np.zeros(0, np.int64)
     for start in range(0, len(parts), CHUNK):
         chunk = map(words.__getitem__, parts[start : start + CHUNK])
@@ -144,6 +155,27 @@ def numbers(text: str | None, words: Words) -> Iterator[np.ndarray]:
         shared = ids[-WINDOW:]
 
 
+def packed(text: str | None, words: Words) -> bytes:
+    """The vector numbers of all tokens of a whole text, as bytes."""
+    fresh, out = 0, []
+    for ids in numbers(text, words):
+        out.append(ids[fresh:].astype(words.kind).tobytes())
+        fresh = min(len(ids), WINDOW)
+    return b"".join(out)
+
+
+def numbered(texts: DataFrame, words: Words) -> DataFrame:
+    """``texts`` with the numbers of its tokens as ``text``, worked out once for all steps that read them: in vocabularies that grow
+    with the texts, looking words up costs far more than all that is made of their numbers."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def make():
+        known = shared.value
+        return lambda text: (packed(text, known),)
+
+    return staged(per_text(texts, make, "text binary"), "word-numbers")
+
+
 def rows_of(words: Words) -> int:
     """Numbers in use, filled up to whole slabs."""
     return -(-(len(words.own) + SHARED) // SLAB) * SLAB
@@ -204,7 +236,7 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_vectors(texts: DataFrame, words: Words) -> np.ndarray:
-    """Unit word vectors from the neighbours of every word in all ``texts`` (column ``text``).
+    """Unit word vectors from the neighbours of every word in all ``texts`` (column ``text``, packed or not).
 
     Tasks pass on sums in slabs of a fixed number of words, which are added in
     two steps, so neither the number of texts nor of tasks reaches one place.  Sums are integers, so their order makes no
@@ -230,7 +262,7 @@ def word_vectors(texts: DataFrame, words: Words) -> np.ndarray:
 FEATURES = 2 * DIMS + 2
 
 
-def pooled(text: str | None, vectors: np.ndarray, words: Words) -> np.ndarray:
+def pooled(text: str | bytes | None, vectors: np.ndarray, words: Words) -> np.ndarray:
     """Mean and spread of a whole text's word vectors, the mean likeness of neighbours, and the length; zeros without tokens."""
     total, squares, alike, count, pairs, fresh = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0, 0, 0
     for ids in numbers(text, words):
@@ -343,6 +375,7 @@ def quality(
     context = docs.sparkSession.sparkContext
     texts = texts_of(docs, id_col, text_col)
     words = Words(own_words(texts))
+    texts = numbered(texts, words)
     vectors = context.broadcast((word_vectors(texts, words), words))
     network = context.broadcast(trained(texts, labels, vectors, most))
 
