@@ -219,3 +219,16 @@ def test_parts_of_a_hot_key_follow_its_uses(spark):
     salted = skew.salted_lookup(counts, ["k"], "uses", counts)
     copies = {row["k"]: row["n"] for row in salted[1].groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert copies["half"] == parts // 2 and copies["tenth"] == -(-parts // 10) and copies["3"] == 1
+
+
+def test_values_do_not_move_to_look_for_themselves_in_an_empty_vault(spark, key):
+    values = places(spark, FIRST).withColumn("identity", identity(F.col("entity_type"), F.col("value"), key))
+    vault = empty_vault(spark)
+    for how in ("inner", "left_anti"):
+        met = values.join(vault.token_map.select("identity"), "identity", how)
+        assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sorts_of_values_are_led_by_a_hash(spark):
+    plan = tokens.distinct_values(places(spark, FIRST))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" in plan and "Sort [entity_type" not in plan

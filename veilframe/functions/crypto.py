@@ -54,7 +54,9 @@ def hmac_sha256(message: Column, key: VaultKey) -> Column:
 def identity(entity: Column, value: Column, key: VaultKey) -> Column:
     """Keyed identity of a value of an entity type: base64url without padding."""
     message = F.concat(F.encode(entity, "UTF-8"), F.lit(bytearray(b"\0")), F.encode(value, "UTF-8"))
-    return F.translate(F.base64(hmac_sha256(message, key)), "+/=", "-_")
+    # Three passes over bytes; translate would look each character up as a string.
+    plain = F.rtrim(F.base64(hmac_sha256(message, key)), F.lit("="))
+    return F.replace(F.replace(plain, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
 
 
 def encrypt(value: Column, identity_column: Column, key: VaultKey) -> Column:

@@ -63,10 +63,11 @@ def redact_with_tokens(
     marked = detected.where(needs)
 
     spans = marked.select(F.col(key), F.posexplode(F.expr(_OPEN)).alias("pos", "s")).where("s.action = 'tokenize'")
-    looked_up = join_skewed(
-        spans.select(key, "pos", "s.entity_type", "s.value"), tokens, ["entity_type", "value"], "uses", [key, "pos"]
-    )
-    found = looked_up.groupBy(key).agg(F.collect_list(F.struct("pos", F.col("token").alias("put"))).alias("_tokens"))
+    # Types, values and keys begin alike; a hash in front spares their sorts most comparisons.
+    by, home = F.xxhash64("entity_type", "value").alias("_hash"), F.xxhash64(F.col(key)).alias("_home")
+    spans = spans.select(key, home, "pos", "s.entity_type", "s.value").select("*", by)
+    looked_up = join_skewed(spans, tokens.select("*", by), ["_hash", "entity_type", "value"], "uses", [key, "pos"])
+    found = looked_up.groupBy("_home", key).agg(F.collect_list(F.struct("pos", F.col("token").alias("put"))).alias("_tokens"))
     others = [column_name(name) for name in detected.columns if name != text]
     # Cut the texts before they move, so that no span travels with them.
     fixed = f"""filter(
@@ -75,9 +76,9 @@ def redact_with_tokens(
         p -> p.put is not null)"""
     kept = [name for name in others if name != column_name(key)]
     pieces = marked.selectExpr("*", f"{_OPEN} as _open").selectExpr(
-        column_name(key), *kept, f"{gaps_sql(text_of(text), '_open')} as _gaps", f"{fixed} as _fixed"
+        column_name(key), f"xxhash64({column_name(key)}) as _home", *kept, f"{gaps_sql(text_of(text), '_open')} as _gaps", f"{fixed} as _fixed"
     )
-    tokenized = pieces.join(found, key).selectExpr(
+    tokenized = pieces.join(found, ["_home", key]).selectExpr(
         *others, f"{woven_sql('_gaps', 'sort_array(concat(_fixed, _tokens)).put')} as {column_name(text)}"
     )
     return plain.unionByName(tokenized)
