@@ -217,3 +217,20 @@ def test_texts_without_a_needed_character_are_not_searched(spark):
     rows = {row.n: {name for name in needing if row[name]} for row in docs.selectExpr("n", *tests).collect()}
     assert rows[0] == set() and rows[6] == set()
     assert "password" in rows[1] and "cookie" in rows[2] and "customer-id" in rows[3] and "money" in rows[4] and "cn-date" in rows[5]
+
+
+def test_signs_are_found_wherever_their_rule_matches():
+    import itertools
+    import re
+
+    from veilframe.functions.rules import BUILTIN_RULES
+
+    by_name = {rule.detector: rule for rule in BUILTIN_RULES if rule.detector in ("contract-id", "cn-date")}
+    codes = ["".join(parts) for parts in itertools.product(("HT", "xs", "NDa", "cDA", "pO", "ſO", "XſX", "XS", "CUST", "QT"), ("-", ""), ("2020", "٢٠٢٠"), ("-1A", "000", ""))]
+    dates = ["".join(parts) for parts in itertools.product(("1999", "2020", "2099", "1899"), "年/-", ("0", "1", "01", "10", "12", "13", "00"), ("", "月3日", "-31", "0012"))]
+    for name, texts in (("contract-id", codes), ("cn-date", dates)):
+        rule = by_name[name]
+        flags = re.I if rule.ignore_case else 0
+        matching = [text for text in texts if re.search(rule.pattern, text, flags)]
+        assert matching and all(re.search(rule.sign, text) for text in matching)
+        assert rule.sign and not re.search(rule.sign, "编号CUST-2020-000012345。")

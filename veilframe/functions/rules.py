@@ -35,6 +35,8 @@ ID_CARD = (
 BANK_CARD = r"(?<!\d)(?:\d[ -]?){15,19}(?!\d)"
 USCC = r"(?<![0-9A-Z])[0-9A-Z]{18}(?![0-9A-Z])"
 CONTRACT_ID = r"(?<![A-Za-z0-9])(?:HT|XS|NDA|CDA|PO|SO)-?\d{4}[-A-Z0-9]{3,}(?![A-Za-z0-9])"
+# Each of these names ends with one of four pairs of letters (the long s folds to s), whatever stands before it.
+CONTRACT_SIGN = r"(?:[Hh][Tt]|[Xx][Ssſ]|[Dd][Aa]|[PpSsſ][Oo])-?\d{4}"
 CUSTOMER = r"(?<![A-Za-z0-9])CUST-\d{4}-\d{3,}(?![A-Za-z0-9])"
 SAMPLE_ID = r"(?<![A-Za-z0-9])SAMPLE-\d{8}-[A-Z]\d{2,}(?![A-Za-z0-9])"
 # Behind an amount only its unit can follow, so nothing is given back; and an
@@ -47,6 +49,7 @@ DATE = (
     r"\b(?:19|20)\d{2}[年/-](?:0?[1-9]|1[0-2])"
     r"(?:[月/-](?:0?[1-9]|[12]\d|3[01])日?)?\b"
 )
+DATE_SIGN = r"(?:19|20)\d{2}[年/-]0?[1-9]"
 ADDRESS_SUFFIXES = ("省", "市", "区", "县", "镇", "街道", "路", "号楼", "园区", "大厦", "基地")
 COMMON_PERSONS = ("张三", "李四", "王五", "赵六", "陈七", "刘强", "王芳", "李娜", "张伟")
 PERSON_WORDS = ("姓名", "联系人", "负责人", "员工", "代表", "由")
@@ -136,12 +139,12 @@ PERSONAL_RULES = (
     Rule("ID_CARD", "cn-id-card", ID_CARD, 0.95, probe=LONG_NUMBER, rare=True, needs=r"\d", first=r"\d"),
     Rule("BANK_CARD", "bank-card", BANK_CARD, 0.72, probe=LONG_NUMBER, rare=True, needs=r"\d", first=r"\d"),
     Rule("USCC", "cn-uscc", USCC, 0.78, probe=r"[0-9A-Z]{18}", rare=True, first="[0-9A-Z]"),
-    Rule("CONTRACT_ID", "contract-id", CONTRACT_ID, 0.86, ignore_case=True, probe=r"\d(?<=[A-Za-zſ-]\d)\d{3}", needs=r"\d", first="[HhXxNnCcPpSsſ]"),
+    Rule("CONTRACT_ID", "contract-id", CONTRACT_ID, 0.86, ignore_case=True, probe=r"\d(?<=[A-Za-zſ-]\d)\d{3}", sign=CONTRACT_SIGN, needs=r"\d", first="[HhXxNnCcPpSsſ]"),
     Rule("CUSTOMER", "customer-id", CUSTOMER, 0.86, ignore_case=True, folded_hints=("CUST-",), needs=r"\d", first="[Cc]"),
     Rule("SAMPLE_ID", "sample-id", SAMPLE_ID, 0.9, ignore_case=True, folded_hints=("SAMPLE-",), needs=r"\d", first="[Ssſ]"),
     Rule("PROJECT", "project-code", PROJECT_CHAIN, 0.82, keep="head", keep_pattern=PROJECT_KEEP, probe=r"-\d{2}", sign=PROJECT_SIGN, needs=r"\d", first="[A-Za-z]"),
     Rule("MONEY", "money", MONEY, 0.86, hints=("人民币", "RMB", "¥", "$", "元", "万", "USD"), needs=r"\d", first=r"[人R¥$\d]"),
-    Rule("DATE", "cn-date", DATE, 0.75, probe=r"[12][09]\d{2}[年/-]", needs=r"\d", first="[12]"),
+    Rule("DATE", "cn-date", DATE, 0.75, probe=r"[12][09]\d{2}[年/-]", sign=DATE_SIGN, needs=r"\d", first="[12]"),
     Rule("ADDRESS", "cn-address", ADDRESS_RUN, 0.7, keep="head", keep_pattern=ADDRESS_KEEP, hints=ADDRESS_SUFFIXES, probe=CJK),
 )
 
