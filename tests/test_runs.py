@@ -2,6 +2,7 @@ import json
 import os
 import random
 import re
+import time
 
 import numpy as np
 import plain_model
@@ -324,3 +325,32 @@ def test_terms_reach_prepare_and_its_second_pass(spark, key):
         terms=term_table(spark, [("Zephyr", "PROJECT")]),
     )
     assert run.blocked is True
+
+
+def shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(n).getName() for n in range(files.size()) if files.apply(n).getName().startswith("shuffle_")}
+
+
+def test_staging_leaves_no_shuffle_behind(spark):
+    before = shuffled(spark)
+    df = staged(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled(spark) - before
+    assert spark.conf.get(session.CLEANUP) == "false" and df.count() == 7
+
+
+def test_spans_of_prepared_texts_travel_with_a_number(spark, key, monkeypatch):
+    plans = []
+
+    def recorded(df, label, *args, real=session.staged):
+        if label == "sanitized":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, *args)
+
+    monkeypatch.setattr("veilframe.plans.runs.staged", recorded)
+    run = veilframe.prepare(docs_of(spark, {"a": ROUND_TRIP, "b": "plain", "c": ROUND_TRIP}), key, empty_vault(spark), prefix="X")
+    assert {row.source_id: row.text == TRIP.shown(*(SHOWN[kind] for kind in TRIP.kinds)) for row in run.sanitized.collect()} == {"a": True, "b": False, "c": True}
+    assert "_home" not in plans[0] and run.sanitized.columns == ["source_id", "text"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.crypto import decrypt, encrypt, hmac_sha256, identity, vault_key
 from veilframe.operators import skew, tokens
 from veilframe.operators.tokens import assign_tokens, empty_vault, number_values, with_assignment
+from veilframe import session
 from veilframe.sources import vaults
 from veilframe.sources.vaults import VaultChanged, VaultFolder
 
@@ -232,3 +233,83 @@ def test_values_do_not_move_to_look_for_themselves_in_an_empty_vault(spark, key)
 def test_sorts_of_values_are_led_by_a_hash(spark):
     plan = tokens.distinct_values(places(spark, FIRST))._jdf.queryExecution().executedPlan().toString()
     assert "Sort [" in plan and "Sort [entity_type" not in plan
+
+
+def test_a_run_keeps_one_table_of_its_values(spark, key, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    assigned = assign_tokens(places(spark, FIRST), empty_vault(spark), key, "run-1")
+    labels = {folder.name.split("-")[1]: folder for folder in tmp_path.iterdir()}
+    held = [label for label, folder in labels.items() if spark.read.schema("value_enc binary").parquet(str(folder)).where("value_enc is not null").count()]
+    assert held == ["numbered"]
+    assert assigned.new_runs.count() == 3 and {row.token for row in assigned.tokens.collect()} == {row.token for row in assigned.new_map.collect()}
+
+
+def two_runs(spark, key):
+    first = assign_tokens(places(spark, FIRST), empty_vault(spark), key, "run-1")
+    vault = with_assignment(empty_vault(spark), first)
+    again = [("c", "c", 0, "PERSON", "Ada"), ("c", "c", 9, "PERSON", "Edsger")]
+    return with_assignment(vault, assign_tokens(places(spark, again), vault, key, "run-2"))
+
+
+def test_restore_knows_what_each_run_used(spark, key):
+    vault = two_runs(spark, key)
+    text = "[VEIL_PERSON_0001] [VEIL_PERSON_0002] [VEIL_PERSON_0003] [VEIL_ORG_0001]"
+    docs = spark.createDataFrame([("a", text)], "source_id string, text string")
+    got = {run: tokens.restore(docs, vault, key, run).first()["text"] for run in ("run-1", "run-2", "run-3", "")}
+    assert got == {
+        "run-1": "Grace Ada [VEIL_PERSON_0003] Ada",
+        "run-2": "[VEIL_PERSON_0001] Ada Edsger [VEIL_ORG_0001]",
+        "run-3": text,
+        "": "Grace Ada Edsger Ada",
+    }
+
+
+def without_broadcasts(spark, make):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = make()
+        return done, done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def moves_above_opening(plan):
+    """Exchanges by token between where values are opened and the scan below."""
+    below = plan[plan.index("tryeval"):]
+    return below[: below.index("value_enc", below.index("FileScan"))].count("Exchange hashpartitioning(_hash")
+
+
+def test_restore_moves_ciphertext_only_where_few_tokens_are_in_use(spark, key):
+    vault = with_assignment(empty_vault(spark), assign_tokens(places(spark, FIRST), empty_vault(spark), key, "run-1"))
+    most = spark.createDataFrame([("a", "[VEIL_PERSON_0001] [VEIL_PERSON_0002]")], "source_id string, text string")
+    few = spark.createDataFrame([("a", "[VEIL_PERSON_0002]")], "source_id string, text string")
+    done, plan = without_broadcasts(spark, lambda: tokens.restore(most, vault, key, "run-1"))
+    assert done.first()["text"] == "Grace Ada"
+    assert "LeftSemi" not in plan and moves_above_opening(plan) == 0
+    done, plan = without_broadcasts(spark, lambda: tokens.restore(few, vault, key, "run-1"))
+    assert done.first()["text"] == "Ada" and moves_above_opening(plan) > 0
+
+
+def test_an_entry_that_cannot_be_opened_fails_only_where_it_is_needed(spark, key):
+    vault = with_assignment(empty_vault(spark), assign_tokens(places(spark, FIRST), empty_vault(spark), key, "run-1"))
+    broken = F.when(F.col("token") == "[VEIL_ORG_0001]", F.lit(bytearray(40))).otherwise(F.col("value_enc"))
+    rows = vault.token_map.withColumn("value_enc", broken)
+    state = tokens.Vault(rows, vault.token_runs, vault.counters)
+    for text, shown in (("[VEIL_PERSON_0001] [VEIL_PERSON_0002] [VEIL_X_0001]", "Grace Ada [VEIL_X_0001]"), ("[VEIL_PERSON_0001]", "Grace")):
+        docs = spark.createDataFrame([("a", text)], "source_id string, text string")
+        row = tokens.restore(docs, state, key, "run-1").first()
+        assert row["text"] == shown and row["unresolved"] == shown.count("[")
+        docs = spark.createDataFrame([("a", f"{text} [VEIL_ORG_0001]" if "X" in text else "[VEIL_ORG_0001]")], "source_id string, text string")
+        with pytest.raises(Exception):
+            tokens.restore(docs, state, key, "run-1").collect()
+
+
+def test_a_hot_key_is_spread_by_a_lookup_without_uses(spark):
+    rows = spark.range(60000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id as string)) as k")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("uses"))
+    lookup = rows.where("k = 'hot' or id % 2 = 0").groupBy("k").agg(F.max("id").alias("v"))
+    joined = skew.join_skewed(rows, lookup, ["k"], "uses", ["id"], counts, "left")
+    assert joined.count() == 60000 and joined.select("id").distinct().count() == 60000
+    assert joined.where("k = 'hot' and v = 59997").count() == 20000
+    assert joined.where("v is null").count() == rows.where("k != 'hot' and id % 2 = 1").count()

@@ -70,3 +70,9 @@ def decrypt(value: Column, identity_column: Column, key: VaultKey) -> Column:
     """The value again; a wrong key, row or changed bytes raise an error."""
     plain = F.aes_decrypt(value, key.cipher, F.lit("GCM"), F.lit("DEFAULT"), identity_column)
     return F.decode(plain, "UTF-8")
+
+
+def decrypt_or_null(value: Column, identity_column: Column, key: VaultKey) -> Column:
+    """The value again, or null where :func:`decrypt` would raise an error."""
+    plain = F.try_aes_decrypt(value, key.cipher, F.lit("GCM"), F.lit("DEFAULT"), identity_column)
+    return F.decode(plain, "UTF-8")

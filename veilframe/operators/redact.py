@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veilframe.functions.patterns import column_name
 from veilframe.functions.replacements import DEFAULT_PREFIX, gaps_sql, placeholder_sql, splice_sql, woven_sql
@@ -56,7 +57,8 @@ def redact_with_tokens(
 
     Documents without a span to tokenize never leave their partition.  For the
     others the spans to tokenize go to the tokens and back; the text is shuffled
-    once, when the tokens come home to their documents.
+    once, when the tokens come home to their documents.  ``key`` tells documents apart; every span travels with it, so a
+    number takes least.
     """
     needs = F.col(HAS_TOKENS) if HAS_TOKENS in detected.columns else needs_tokens()
     plain = redact(detected.where(~needs), prefix, text)
@@ -64,10 +66,12 @@ def redact_with_tokens(
 
     spans = marked.select(F.col(key), F.posexplode(F.expr(_OPEN)).alias("pos", "s")).where("s.action = 'tokenize'")
     # Types, values and keys begin alike; a hash in front spares their sorts most comparisons.
-    by, home = F.xxhash64("entity_type", "value").alias("_hash"), F.xxhash64(F.col(key)).alias("_home")
-    spans = spans.select(key, home, "pos", "s.entity_type", "s.value").select("*", by)
+    by = F.xxhash64("entity_type", "value").alias("_hash")
+    home = {"_home": f"xxhash64({column_name(key)})"} if detected.schema[key].dataType == StringType() else {}
+    homes = [*home, key]
+    spans = spans.select(key, *(F.expr(sql).alias(name) for name, sql in home.items()), "pos", "s.entity_type", "s.value").select("*", by)
     looked_up = join_skewed(spans, tokens.select("*", by), ["_hash", "entity_type", "value"], "uses", [key, "pos"])
-    found = looked_up.groupBy("_home", key).agg(F.collect_list(F.struct("pos", F.col("token").alias("put"))).alias("_tokens"))
+    found = looked_up.groupBy(*homes).agg(F.collect_list(F.struct("pos", F.col("token").alias("put"))).alias("_tokens"))
     others = [column_name(name) for name in detected.columns if name != text]
     # Cut the texts before they move, so that no span travels with them.
     fixed = f"""filter(
@@ -76,9 +80,9 @@ def redact_with_tokens(
         p -> p.put is not null)"""
     kept = [name for name in others if name != column_name(key)]
     pieces = marked.selectExpr("*", f"{_OPEN} as _open").selectExpr(
-        column_name(key), f"xxhash64({column_name(key)}) as _home", *kept, f"{gaps_sql(text_of(text), '_open')} as _gaps", f"{fixed} as _fixed"
+        column_name(key), *(f"{sql} as {name}" for name, sql in home.items()), *kept, f"{gaps_sql(text_of(text), '_open')} as _gaps", f"{fixed} as _fixed"
     )
-    tokenized = pieces.join(found, ["_home", key]).selectExpr(
+    tokenized = pieces.join(found, homes).selectExpr(
         *others, f"{woven_sql('_gaps', 'sort_array(concat(_fixed, _tokens)).put')} as {column_name(text)}"
     )
     return plain.unionByName(tokenized)

@@ -23,20 +23,30 @@ def salted_lookup(lookup: DataFrame, keys: list[str], uses: str, counts: DataFra
     total = counts.agg(F.sum(uses).alias("total")).scalar()
     needed = F.ceil(F.col(uses) * parts / total).cast("int")
     hot = counts.where(F.col(uses) * parts > total).select(*keys, needed.alias("_parts"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(needed, F.lit(1)) - 1)))
-    return hot, copies
+    if uses in lookup.columns:
+        copied = lookup.withColumn("_copies", F.greatest(needed, F.lit(1)))
+    else:
+        copied = lookup.join(F.broadcast(hot), keys, "left").withColumn("_copies", F.coalesce("_parts", F.lit(1))).drop("_parts")
+    return hot, copied.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
 
 
 def join_skewed(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], uses: str, spread_by: list[str], counts: DataFrame | None = None
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    uses: str,
+    spread_by: list[str],
+    counts: DataFrame | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join ``rows`` to ``lookup`` (one row per key) on ``keys``.
+    """Join ``rows`` to ``lookup`` (one row per key) on ``keys``; ``how`` may be ``left`` to keep all rows.
 
     ``uses`` counts the rows of each key.  Rows of a hot key are dealt to its
     parts by a hash of ``spread_by``, and each part has a copy of the key's
-    lookup row.  ``counts`` may give keys and uses from a table that is cheaper to read than the lookup.
+    lookup row.  ``counts`` may give keys and uses from a table that is cheaper to read than the lookup, which
+    then needs no ``uses``.
     """
     hot, copies = salted_lookup(lookup, keys, uses, lookup if counts is None else counts)
     salt = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt", "_parts")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt", "_parts")

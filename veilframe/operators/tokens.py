@@ -13,12 +13,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.crypto import VaultKey, decrypt, encrypt, identity
+from veilframe.functions.crypto import VaultKey, decrypt, decrypt_or_null, encrypt, identity
 from veilframe.functions.patterns import column_name
 from veilframe.functions.replacements import DEFAULT_PREFIX, token_pattern, token_sql, woven_sql
 from veilframe.functions.spans import text_of
 from veilframe.operators.skew import join_skewed
-from veilframe.session import staged
+from veilframe.session import sensitive, staged
 
 MAP_SCHEMA = "identity string, entity_type string, token_no bigint, token string, value_enc binary"
 RUNS_SCHEMA = "identity string, run_id string"
@@ -28,7 +28,8 @@ COUNTERS_SCHEMA = "entity_type string, last_no bigint"
 @dataclass(frozen=True)
 class Vault:
     """``map_parts`` and ``run_parts`` are the same rows in several tables; a store that lays each out by
-    identity gives them, so that lookups leave the rows where they are."""
+    identity gives them, so that lookups leave the rows where they are.  ``made_by`` names, for each of ``map_parts``, the
+    run that added its rows; nothing where that is not known."""
 
     token_map: DataFrame
     token_runs: DataFrame
@@ -36,6 +37,7 @@ class Vault:
     version: int = 0
     map_parts: tuple[DataFrame, ...] = ()
     run_parts: tuple[DataFrame, ...] = ()
+    made_by: tuple[str, ...] = ()
 
     def maps(self) -> tuple[DataFrame, ...]:
         return self.map_parts or (self.token_map,)
@@ -43,6 +45,9 @@ class Vault:
     def runs(self) -> tuple[DataFrame, ...]:
         return self.run_parts or (self.token_runs,)
 
+    def makers(self) -> tuple[str, ...]:
+        return self.made_by or ("",) * len(self.maps())
+
 
 def union_of(tables: list[DataFrame]) -> DataFrame:
     whole = tables[0]
@@ -56,6 +61,16 @@ def of_run(vault: Vault, run_id: str) -> DataFrame:
     return union_of([part.where(F.col("run_id") == run_id).select("identity") for part in vault.runs()])
 
 
+def entries_of(vault: Vault, run_id: str) -> DataFrame:
+    """What the mapping says about the values that a run used.  Rows that this run added are used by it, so they need not
+    meet its identities."""
+    mine = of_run(vault, run_id)
+    return union_of([
+        part if maker == run_id else part.join(mine, "identity", "left_semi")
+        for part, maker in zip(vault.maps(), vault.makers())
+    ])
+
+
 def only_used_by(vault: Vault, run_id: str) -> DataFrame:
     """Identities that this run used and no other."""
     mine = of_run(vault, run_id)
@@ -77,6 +92,7 @@ class Assignment:
     new_map: DataFrame
     new_runs: DataFrame
     counters: DataFrame
+    run_id: str = ""
 
 
 def distinct_values(occurrences: DataFrame) -> DataFrame:
@@ -114,7 +130,7 @@ def number_values(values: DataFrame, counters: DataFrame, order: tuple[str, ...]
     )
     # Bounded by shuffle partitions x entity types, whatever the data.
     return (
-        blocks.join(F.broadcast(offsets), ["entity_type", "block"])
+        blocks.join(F.broadcast(staged(offsets, "offsets")), ["entity_type", "block"])
         .withColumn("token_no", F.col("seq") + F.col("shift"))
         .drop("block", "seq", "shift")
     )
@@ -127,26 +143,29 @@ def assign_tokens(
     next number of its entity type, by first place in document order."""
     named = distinct_values(occurrences).withColumn("identity", identity(F.col("entity_type"), F.col("value"), key))
     sealed = encrypt(F.col("value"), F.col("identity"), key)
-    values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values")
-    known = staged(union_of([values.join(part.select("identity", "token"), "identity") for part in vault.maps()]), "known")
-    known = known.withColumn("token_no", F.lit(None).cast("long"))
-    # A vault that knows none of the values takes nothing off them, so they need not move for it.
-    fresh = values if known.isEmpty() else values.join(known, "identity", "left_anti")
-    numbered = number_values(fresh, vault.counters)
+    with sensitive(named.sparkSession) as spent:
+        spent.add("values")
+        values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values")
+        known = staged(union_of([values.join(part.select("identity", "token"), "identity") for part in vault.maps()]), "known")
+        known = known.withColumn("token_no", F.lit(None).cast("long"))
+        # A vault that knows none of the values takes nothing off them, so they need not move for it.
+        fresh = values if known.isEmpty() else values.join(known, "identity", "left_anti")
+        # All values are in ``known`` or ``numbered`` from here on.
+        numbered = number_values(fresh, vault.counters)
     numbered = numbered.withColumn("token", F.expr(token_sql("entity_type", "token_no", prefix)))
     shared = ["entity_type", "identity", "value_enc", "token", "token_no", "uses"]
-    every = staged(known.select(*shared).unionByName(numbered.select(*shared)), "given")
-    new = every.where("token_no is not null")
+    new = numbered.select(*shared)
+    every = known.select(*shared).unionByName(new)
     opened = decrypt(F.col("value_enc"), F.col("identity"), key)
     given = every.select("entity_type", opened.alias("value"), "identity", "token", "uses")
     new_map = new.select("identity", "entity_type", "token_no", "token", "value_enc")
-    met = values.select("identity")
+    met = every.select("identity")
     for part in vault.runs():
         met = met.join(part.where(F.col("run_id") == run_id).select("identity"), "identity", "left_anti")
     new_runs = met.withColumn("run_id", F.lit(run_id))
     last = new.groupBy("entity_type").agg(F.max("token_no").alias("last_no"))
     counters = vault.counters.unionByName(last).groupBy("entity_type").agg(F.max("last_no").alias("last_no"))
-    return Assignment(given, new_map, new_runs, counters)
+    return Assignment(given, new_map, new_runs, counters, run_id)
 
 
 def with_assignment(vault: Vault, assignment: Assignment) -> Vault:
@@ -158,9 +177,31 @@ def with_assignment(vault: Vault, assignment: Assignment) -> Vault:
         counters=assignment.counters,
         map_parts=(*vault.maps(), assignment.new_map),
         run_parts=(*vault.runs(), assignment.new_runs),
+        made_by=(*vault.makers(), assignment.run_id),
     )
 
 
+def _opened(entries: DataFrame, uses: DataFrame, counters: DataFrame, key: VaultKey) -> DataFrame:
+    """Keys and ``value`` of the entries that ``uses`` asks for, others too where it asks for most of them.
+
+    Ciphertext and identities do not compress and take several times the disk of their values when they move.  Where
+    the tokens in use are at least half of all ever given out, entries are opened where they are; where they are fewer, entries
+    move to them first, so that no others are opened.  An entry that cannot be opened keeps ``value_enc`` and
+    ``identity``, to raise its error where a text needs it.
+    """
+    given = counters.agg(F.coalesce(F.sum("last_no"), F.lit(0))).first()[0]
+    if 2 * uses.count() < given:
+        met = uses.select("_hash", "token").join(entries, ["_hash", "token"])
+        return _with_values(met, key)
+    return _with_values(entries, key)
+
+
+def _with_values(entries: DataFrame, key: VaultKey) -> DataFrame:
+    opened = entries.withColumn("value", decrypt_or_null(F.col("value_enc"), F.col("identity"), key))
+    left = [F.when(F.col("value").isNull(), F.col(name)).alias(name) for name in ("value_enc", "identity")]
+    return opened.select("_hash", "token", "value", *left)
+
+
 def restore(
     docs: DataFrame,
     vault: Vault,
@@ -182,10 +223,7 @@ def restore(
     others = [column_name(name) for name in docs.columns if name != text]
     has_token = F.expr(source).rlike(token_pattern(prefix))
 
-    entries = vault.token_map
-    if run_id:
-        mine = of_run(vault, run_id)
-        entries = union_of([part.join(mine, "identity", "left_semi") for part in vault.maps()])
+    entries = entries_of(vault, run_id) if run_id else vault.token_map
     cut = docs.where(has_token).withColumn("_regex", regex).selectExpr(
         *others, f"split({source}, _regex, -1) as _gaps", f"regexp_extract_all({source}, _regex, 0) as _tokens",
         "monotonically_increasing_id() as _row",
@@ -195,17 +233,13 @@ def restore(
     by = F.xxhash64("token").alias("_hash")
     found = cut.select("_row", F.posexplode("_tokens").alias("pos", "token")).select("*", by)
     uses = staged(found.groupBy("_hash", "token").agg(F.count(F.lit(1)).alias("uses")), "uses")
-    lookup = uses.join(entries.select("*", by), ["_hash", "token"], "left").select(
-        "_hash", "token", "uses", decrypt(F.col("value_enc"), F.col("identity"), key).alias("value")
-    )
-    values = (
-        join_skewed(found, lookup, ["_hash", "token"], "uses", ["_row", "pos"], uses)
-        .groupBy("_row")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("put")))).alias("_puts"),
-            F.count("value").alias("restored"),
-            (F.count(F.lit(1)) - F.count("value")).alias("unresolved"),
-        )
+    lookup = _opened(entries.select("*", by), uses, vault.counters, key)
+    value = F.coalesce("value", decrypt(F.col("value_enc"), F.col("identity"), key))
+    looked_up = join_skewed(found, lookup, ["_hash", "token"], "uses", ["_row", "pos"], uses, "left").withColumn("value", value)
+    values = looked_up.groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("put")))).alias("_puts"),
+        F.count("value").alias("restored"),
+        (F.count(F.lit(1)) - F.count("value")).alias("unresolved"),
     )
     with_tokens = cut.join(values, "_row").selectExpr(
         *others, f"{woven_sql('_gaps', '_puts.put')} as {column_name(text)}", "restored", "unresolved"
@@ -223,7 +257,7 @@ def purge_run(vault: Vault, run_id: str) -> tuple[Vault, DataFrame]:
     runs = vault.token_runs.where(F.col("run_id") != run_id)
     kept = vault.token_map.join(runs, "identity", "left_semi")
     removed = vault.token_map.join(runs, "identity", "left_anti").agg(F.count(F.lit(1)).alias("removed"))
-    return replace(vault, token_map=kept, token_runs=runs, map_parts=(), run_parts=()), removed
+    return replace(vault, token_map=kept, token_runs=runs, map_parts=(), run_parts=(), made_by=()), removed
 
 
 def rekey(vault: Vault, old: VaultKey, new: VaultKey) -> Vault:
@@ -245,7 +279,7 @@ def rekey(vault: Vault, old: VaultKey, new: VaultKey) -> Vault:
     )
     names = entries.select("old_identity", "identity")
     runs = vault.token_runs.withColumnRenamed("identity", "old_identity").join(names, "old_identity")
-    return replace(vault, token_map=token_map, token_runs=runs.select("identity", "run_id"), map_parts=(), run_parts=())
+    return replace(vault, token_map=token_map, token_runs=runs.select("identity", "run_id"), map_parts=(), run_parts=(), made_by=())
 
 
 def status(vault: Vault) -> DataFrame:

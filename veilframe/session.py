@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a scanned table that one task takes on.
 TASK_ROWS = 1 << 15
+#: Lets Spark delete the shuffle files of a query when that ends; else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,11 +43,17 @@ def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
     Later steps start from the written files: work is not repeated for each
     use, a lost executor costs a re-read only, and columns a step does not need
-    are not read.
+    are not read.  What was shuffled to write the table is deleted once it is written.
     """
     path = f"{shared_folder(df.sparkSession)}/veilframe-{label}-{uuid.uuid4().hex}"
     writer = df.write if by is None else df.write.partitionBy(by)
-    writer.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        writer.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,8 +77,8 @@ def drop_staged(spark: SparkSession) -> int:
 
 @contextmanager
 def sensitive(spark: SparkSession) -> Iterator[set[str]]:
-    """Labels added to the result name tables, staged inside, that hold raw values: they are deleted at the end.  Should
-    the block fail, all tables staged inside are."""
+    """Labels added to the result name tables, staged inside, that hold raw values or that nothing reads later: they are
+    deleted at the end.  Should the block fail, all tables staged inside are."""
     before, labels, done = len(_STAGED), set(), False
     try:
         yield labels
