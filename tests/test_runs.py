@@ -354,3 +354,16 @@ def test_spans_of_prepared_texts_travel_with_a_number(spark, key, monkeypatch):
     run = veilframe.prepare(docs_of(spark, {"a": ROUND_TRIP, "b": "plain", "c": ROUND_TRIP}), key, empty_vault(spark), prefix="X")
     assert {row.source_id: row.text == TRIP.shown(*(SHOWN[kind] for kind in TRIP.kinds)) for row in run.sanitized.collect()} == {"a": True, "b": False, "c": True}
     assert "_home" not in plans[0] and run.sanitized.columns == ["source_id", "text"]
+
+
+def test_values_are_opened_once_for_their_texts(spark, key):
+    from veilframe.operators.redact import occurrences, redact_with_tokens
+    from veilframe.operators.tokens import assign_tokens
+
+    detected = detect(docs_of(spark, {"a": ROUND_TRIP, "b": "plain"}), Policy())
+    done = redact_with_tokens(detected, assign_tokens(occurrences(detected), empty_vault(spark), key, "r").tokens)
+    plan = done._jdf.queryExecution().executedPlan().toString().splitlines()
+    tested = [line for line in plan if "Filter" in line and "aesDecrypt" in line]
+    # Only where frequent values are looked for, behind the test of their uses.
+    assert len(tested) == 1 and tested[0].index("uses") < tested[0].index("aesDecrypt")
+    assert {row["source_id"]: row["text"][:6] for row in done.collect()} == {"a": (TRIP.fillers[0] + " [")[:6], "b": "plain"}

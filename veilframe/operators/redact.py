@@ -70,7 +70,11 @@ def redact_with_tokens(
     home = {"_home": f"xxhash64({column_name(key)})"} if detected.schema[key].dataType == StringType() else {}
     homes = [*home, key]
     spans = spans.select(key, *(F.expr(sql).alias(name) for name, sql in home.items()), "pos", "s.entity_type", "s.value").select("*", by)
-    looked_up = join_skewed(spans, tokens.select("*", by), ["_hash", "entity_type", "value"], "uses", [key, "pos"])
+    # Naming the task keeps the optimizer from asking whether a value is null by decrypting it once more.
+    once = tokens.withColumn("value", F.when(F.spark_partition_id() >= 0, F.col("value")))
+    looked_up = join_skewed(
+        spans, once.select("*", by), ["_hash", "entity_type", "value"], "uses", [key, "pos"], tokens.select("*", by)
+    )
     found = looked_up.groupBy(*homes).agg(F.collect_list(F.struct("pos", F.col("token").alias("put"))).alias("_tokens"))
     others = [column_name(name) for name in detected.columns if name != text]
     # Cut the texts before they move, so that no span travels with them.
