@@ -117,7 +117,7 @@ def number_values(values: DataFrame, counters: DataFrame, order: tuple[str, ...]
     ranged = values.repartitionByRange("entity_type", *order).sortWithinPartitions("entity_type", *order)
     blocks = staged(
         ranged.select("*", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("seq")),
-        "numbered",
+        "numbered", None, "zstd",
     )
     sizes = blocks.groupBy("entity_type", "block").agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("first"))
     earlier = Window.partitionBy("entity_type").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,7 +145,7 @@ def assign_tokens(
     sealed = encrypt(F.col("value"), F.col("identity"), key)
     with sensitive(named.sparkSession) as spent:
         spent.add("values")
-        values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values")
+        values = staged(named.select("entity_type", "identity", sealed.alias("value_enc"), "first_seen", "uses"), "values", None, "zstd")
         known = staged(union_of([values.join(part.select("identity", "token"), "identity") for part in vault.maps()]), "known")
         known = known.withColumn("token_no", F.lit(None).cast("long"))
         # A vault that knows none of the values takes nothing off them, so they need not move for it.

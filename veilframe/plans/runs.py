@@ -148,7 +148,7 @@ def prepare(
         assignment = tokens.assign_tokens(occurrences(detected, document_order()), state, key, run_id, prefix)
         bare = detected.select("_row", "source_id", "text", "spans", HAS_TOKENS)
         sanitized = redact_with_tokens(bare, assignment.tokens, prefix, key="_row").select("source_id", "text")
-        sanitized = staged(sanitized, "sanitized")
+        sanitized = staged(sanitized, "sanitized", None, "zstd")
         terms_again = None if terms is None else (lambda sections: add_term_spans(sections, terms, policy))
         leaked = gate.leaks(sanitized, policy, rules, terms_again).drop("section")
         leaked = staged(leaked.withColumn("value", F.lit(None).cast("string")), "leaks")

@@ -37,9 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder once and read it from there.  ``by``
-    names a column with few values whose rows are to be read apart.
+    names a column with few values whose rows are to be read apart.  ``codec`` is the compression, the session's if none is
+    given; Spark takes the size of files for that of rows, so what compresses well and is joined should not be packed tighter.
 
     Later steps start from the written files: work is not repeated for each
     use, a lost executor costs a re-read only, and columns a step does not need
@@ -47,11 +48,13 @@ def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/veilframe-{label}-{uuid.uuid4().hex}"
     writer = df.write if by is None else df.write.partitionBy(by)
+    if codec is not None:
+        writer = writer.option("compression", codec)
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP)
     conf.set(CLEANUP, "true")
     try:
-        writer.option("compression", "zstd").parquet(path)
+        writer.parquet(path)
     finally:
         conf.set(CLEANUP, before)
     _STAGED.append(path)
